@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import hilbert, packing
+from . import hilbert, packing, simhash
 
 
 def vocabulary(name: str) -> str:
@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of each document among fingerprints linked at two bits or fewer."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of equal row counts along a Hilbert curve over language, source, size and id."""
     text = F.coalesce("text", F.lit(""))
@@ -34,5 +39,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op7_hilbert_shards, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op5_simhash_near_dedup, op7_hilbert_shards, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {}
