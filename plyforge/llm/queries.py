@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import hilbert, packing, simhash
+from . import hilbert, packing, simhash, token_store
+from .common import scratch
 
 
 def vocabulary(name: str) -> str:
@@ -34,10 +35,16 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids in shard files, read back through the perfect hash index."""
+    store = token_store.TokenStore.write(table(spark, sf_dir, "documents"), scratch(spark, "tokens"), vocabulary("word_bpe_49k.json"), end_id=1)
+    return store.rows().select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens by sums of squares."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash_near_dedup, op7_hilbert_shards, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op5_simhash_near_dedup, op7_hilbert_shards, op9_token_store, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {}
