@@ -109,6 +109,17 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[ends[0] : ends[-1]], ends - ends[0]
 
 
+def runs(texts: pa.Array, most_bytes: int = 3 << 20) -> list[tuple[int, int]]:
+    """Ranges (from, to) that cut an array into runs of about most_bytes; a longer text is its own run."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    out, k = [], 0
+    while k < len(ends):
+        stop = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + most_bytes, side="right")))
+        out.append((k, stop))
+        k = stop
+    return out
+
+
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Runs of bytes outside 0x20 and 0x09-0x0D, and n + 1 offsets of each text's words."""
     lists = pc.ascii_split_whitespace(texts)

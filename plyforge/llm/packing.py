@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize, text_column
+from .common import materialize, runs, text_column
 from .tokens import encoder, with_end
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -64,8 +64,8 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, spaced=False)
-        for batch in batches:
-            flat, ends = with_end(*enc.encode(text_column(batch, "text")), end_id)
+        for batch, texts in ((b.slice(x, y - x), t[x:y]) for b in batches for t in [text_column(b, "text")] for x, y in runs(t, 6 << 20)):
+            flat, ends = with_end(*enc.encode(texts), end_id)
             n = np.diff(ends)
             count = -(-n // capacity)
             doc = np.repeat(np.arange(len(n)), count)

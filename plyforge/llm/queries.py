@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import hilbert, packing, simhash, token_store
+from . import compress_quality, hilbert, langid, packing, simhash, token_store
 from .common import scratch
 
 
@@ -15,10 +15,22 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def remainder(n: int, key: str = "doc_id"):
+    """crc32 of the key's decimal text, modulo n; a null key counts as an empty text."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % n
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document, learned from labels outside the held-out third."""
+    docs = table(spark, sf_dir, "documents")
+    model = compress_quality.fit(docs, table(spark, sf_dir, "labels"), known=remainder(3) != 1)
+    return compress_quality.score(docs.select("doc_id", (remainder(3) == 1).alias("held_out"), "text"), model).drop("text")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of each document among fingerprints linked at two bits or fewer."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -35,6 +47,13 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, known=remainder(5) != 0)
+    return langid.identify(docs.select("doc_id", (remainder(5) == 0).alias("held_out"), "text"), model).drop("text")
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids in shard files, read back through the perfect hash index."""
     store = token_store.TokenStore.write(table(spark, sf_dir, "documents"), scratch(spark, "tokens"), vocabulary("word_bpe_49k.json"), end_id=1)
@@ -46,5 +65,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash_near_dedup, op7_hilbert_shards, op9_token_store, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op4_compression_quality, op5_simhash_near_dedup, op7_hilbert_shards, op8_language_id, op9_token_store, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {}

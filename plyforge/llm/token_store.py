@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import map_file, read_range, text_column, write_file
+from .common import map_file, read_range, runs, text_column, write_file
 from .tokens import encoder, with_end
 
 MAGIC = 0x5349474D41544B31
@@ -158,13 +158,14 @@ class TokenStore:
                 keys = batch.column(0)
                 if keys.null_count:
                     raise ValueError("a key is null")
-                for k in range(0, len(keys), 2000):
-                    flat, ends = with_end(*enc.encode(text_column(batch, "text")[k : k + 2000]), end_id)
+                texts = text_column(batch, "text")
+                for a, b in runs(texts, 6 << 20):
+                    flat, ends = with_end(*enc.encode(texts[a:b]), end_id)
                     raw = flat.astype(f"<u{unit}").tobytes()
-                    part = keys[k : k + 2000]
+                    part = keys[a:b]
                     shard = np.searchsorted(np.array(bounds, np.int64), part.to_numpy(), side="left")
                     cut = (ends * unit).tolist()
-                    ids = [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+                    ids = [raw[x:y] for x, y in zip(cut, cut[1:], strict=False)]
                     yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), part, pa.array(ids, pa.binary())], ["shard", "key", "ids"])
 
         def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import gather
+from .common import gather, runs
 
 #: White space beyond what ascii_split_whitespace knows; next to a space it makes cuts depend on more than a chunk.
 SPACES = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]"
@@ -102,11 +102,11 @@ class ChunkEncoder:
         parts = [cut.split(t) if o else None for t, o in zip(texts.to_pylist(), odd.to_pylist(), strict=True)]
         return pa.array([p if p is not None else x for p, x in zip(parts, lists.to_pylist(), strict=True)], pa.list_(pa.string()))
 
-    def encode(self, texts: pa.Array, step: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array, most_bytes: int = 6 << 20) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) in a row, and n + 1 offsets of each text's ids."""
         ids, counts = [], []
-        for k in range(0, len(texts), step):
-            lists = self._chunks(texts[k : k + step])
+        for a, b in runs(texts, most_bytes):
+            lists = self._chunks(texts[a:b])
             coded = lists.flatten().dictionary_encode()
             codes, chunks = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
             if len(self.known) + len(chunks) > self.max_chunks:

@@ -19,7 +19,7 @@ def test_chunks_give_the_whole_texts_ids(name, spaced):
     path = public_tokenizers.path(name)
     plain = Tokenizer.from_file(path)
     for bound in (800_000, 5):  # the second forgets at once
-        flat, ends = ChunkEncoder(path, spaced, bound).encode(pa.array(TEXTS), step=3)
+        flat, ends = ChunkEncoder(path, spaced, bound).encode(pa.array(TEXTS), most_bytes=20)
         for k, text in enumerate(TEXTS):
             assert flat[ends[k] : ends[k + 1]].tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
