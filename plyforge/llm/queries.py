@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import compress_quality, hilbert, langid, packing, simhash, token_store
-from .common import scratch
+from . import compress_quality, hilbert, langid, packing, simhash, token_store, webp
+from .common import materialize, scratch
 
 
 def vocabulary(name: str) -> str:
@@ -36,6 +36,12 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a lossless WebP column, written, read back and decoded."""
+    media = materialize(webp.store(table(spark, sf_dir, "documents")), "media")
+    return webp.read(media)
+
+
 def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of equal row counts along a Hilbert curve over language, source, size and id."""
     text = F.coalesce("text", F.lit(""))
@@ -65,5 +71,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op4_compression_quality, op5_simhash_near_dedup, op7_hilbert_shards, op8_language_id, op9_token_store, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op4_compression_quality, op5_simhash_near_dedup, op6_lossless_webp, op7_hilbert_shards, op8_language_id, op9_token_store, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {}
