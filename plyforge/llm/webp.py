@@ -141,6 +141,11 @@ class Writer:
         return self.value.to_bytes(-(-self.at // 8), "little")
 
 
+@lru_cache(256)
+def code_of(lengths: tuple[int, ...]) -> Code:
+    return Code(list(lengths))
+
+
 def read_code(bits: Bits, symbols: int) -> Code:
     lengths = [0] * symbols
     if bits.read(1):
@@ -148,11 +153,11 @@ def read_code(bits: Bits, symbols: int) -> Code:
         lengths[bits.read(8 if wide else 1)] = 1
         if two:
             lengths[bits.read(8)] = 1
-        return Code(lengths)
+        return code_of(tuple(lengths))
     first = [0] * 19
     for i in range(4 + bits.read(4)):
         first[CODE_ORDER[i]] = bits.read(3)
-    inner = Code(first)
+    inner = code_of(tuple(first))
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else symbols
     s, before = 0, 8
     while s < symbols and left:
@@ -168,7 +173,7 @@ def read_code(bits: Bits, symbols: int) -> Code:
             raise ValueError("code lengths run over their alphabet")
         lengths[s : s + times] = [value] * times
         s += times
-    return Code(lengths)
+    return code_of(tuple(lengths))
 
 
 def write_code(out: Writer, lengths: list[int]) -> None:
@@ -270,10 +275,10 @@ STEP_BITS = 16
 
 
 @lru_cache(16)
-def literal_runs(lengths: tuple[int, ...]) -> tuple[list[bytes], list[int]]:
-    """For each 16 bits: the literals that they hold whole, and those words' bits."""
+def literal_runs(lengths: tuple[int, ...]) -> list[tuple[bytes, int, int]]:
+    """For each 16 bits: the literals that they hold whole, those words' bits, and the literals' count."""
     code = Code(list(lengths))
-    literal, used = [b""] * (1 << STEP_BITS), [0] * (1 << STEP_BITS)
+    out = []
     symbol, length, mask = code.symbol.tolist(), code.length.tolist(), (1 << code.width) - 1
     for v in range(1 << STEP_BITS):
         at, found = 0, []
@@ -284,8 +289,8 @@ def literal_runs(lengths: tuple[int, ...]) -> tuple[list[bytes], list[int]]:
                 break
             found.append(s)
             at += n
-        literal[v], used[v] = bytes(found), at
-    return literal, used
+        out.append((bytes(found), at, len(found)))
+    return out
 
 
 def green_only(bits: Bits, codes: list[Code], width: int, total: int) -> np.ndarray:
@@ -297,16 +302,15 @@ def green_only(bits: Bits, codes: list[Code], width: int, total: int) -> np.ndar
         if green.only > 255:
             raise ValueError("a back-reference leaves the image")
         return np.full(total, base | green.only << 8, np.int64)
-    literal, used = literal_runs(tuple(green.lengths))
+    step = literal_runs(tuple(green.lengths))
     raw = np.frombuffer(bits.data + bytes(4), np.uint8).astype(np.int64)
     window = (raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16).tolist()
     out, done, at, end = [], 0, bits.at, bits.end
     while done < total:
-        v = (window[at >> 3] >> (at & 7)) & 0xFFFF
-        n, got = used[v], literal[v]
-        if n and done + len(got) <= total:
+        got, n, count = step[(window[at >> 3] >> (at & 7)) & 0xFFFF]
+        if n and done + count <= total:
             out.append(got)
-            done += len(got)
+            done += count
             at += n
             if at > end:
                 break
@@ -590,7 +594,7 @@ def payload_code() -> tuple[np.ndarray, np.ndarray, int, int]:
     Weights by rule: letters by their rank in European text, capitals and
     signs less, bytes of longer characters about as common letters.
     """
-    weight = [0.3] * 32 + [1.0] * 96 + [2.0] * 128
+    weight = [0.1] * 32 + [0.5] * 96 + [0.3] * 32 + [1.5] * 32 + [0.2] * 64
     for rank, c in enumerate(b"eatnoirshdlucmpgfbwvykzjxq"):
         weight[c], weight[c - 32] = 90 * 0.88**rank, 2 + 6 * 0.88**rank
     weight[ord(" ")], weight[ord("\n")], weight[ord("|")], weight[0xC3] = 150, 8, 6, 12
@@ -639,15 +643,15 @@ def _encode_part(data: np.ndarray, width: int) -> bytes:
     if more:
         word = np.concatenate([word, [w for w, _ in more]])
         size = np.concatenate([size, [n for _, n in more]])
-    start = 40 + head_bits + np.cumsum(size) - size
+    start = 32 + head_bits + np.cumsum(size) - size
     total = int(start[-1] + size[-1])
     spread, byte = word << (start & 7), start >> 3
     stream = np.zeros((total >> 3) + 4, np.int64)
     for k in range(4):  # no two words share a bit, so sums are unions
         part = (spread >> (8 * k)) & 255
         stream[: len(stream)] += np.bincount(byte + k, part, len(stream))[: len(stream)].astype(np.int64)
-    front = (width - 1) | (len(data) // width - 1) << 14 | head << 40
-    raw = np.frombuffer(front.to_bytes(-(-(40 + head_bits) // 8), "little"), np.uint8)
+    front = (width - 1) | (len(data) // width - 1) << 14 | head << 32
+    raw = np.frombuffer(front.to_bytes(-(-(32 + head_bits) // 8), "little"), np.uint8)
     stream[: len(raw)] += raw
     return riff(stream[: -(-total // 8)].astype(np.uint8).tobytes())
 
