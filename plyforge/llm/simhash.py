@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize, small, split_words, text_column, utf8
+from .common import materialize, runs, small, split_words, text_column, utf8
 from .components import components
 
 BIT = (np.uint64(1) << np.arange(64, dtype=np.uint64))[None, :]
@@ -32,7 +32,7 @@ def references(count: int) -> list[int]:
     return [int(np.uint64(xxhash.xxh64_intdigest(str(i).encode(), 42)).astype(np.int64)) for i in range(count)]
 
 
-def fingerprints(texts: pa.Array, width: int = 3, step: int = 400_000) -> np.ndarray:
+def fingerprints(texts: pa.Array, width: int = 3, step: int = 200_000) -> np.ndarray:
     """64-bit SimHash of each text over its shingles of `width` words, repeats included."""
     words, ends = split_words(pc.ascii_lower(texts))
     joined, _ = utf8(pc.binary_join_element_wise(words, " ", ""))  # every word and one space
@@ -63,7 +63,8 @@ def with_fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text", w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = fingerprints(text_column(batch, "text"), width)
+            texts = text_column(batch, "text")
+            fp = np.concatenate([fingerprints(texts[a:b], width) for a, b in runs(texts)] or [np.empty(0, np.uint64)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["key", "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
