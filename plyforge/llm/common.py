@@ -62,7 +62,7 @@ def write_file(uri: str, parts) -> int:
     store.create_dir(path.rpartition("/")[0], recursive=True)
     part = f"{path}.{uuid.uuid4().hex[:8]}.part"
     size = 0
-    with store.open_output_stream(part) as out:
+    with store.open_output_stream(part, compression=None) as out:
         for x in parts:
             x = memoryview(x).cast("B") if not isinstance(x, bytes) else x
             out.write(x)
@@ -80,7 +80,7 @@ def map_file(uri: str, dtype) -> np.ndarray:
     store, path = open_fs(uri)
     if isinstance(store, fs.LocalFileSystem):
         return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.empty(0, dtype)
-    with tempfile.NamedTemporaryFile() as copy, store.open_input_stream(path) as source:
+    with tempfile.NamedTemporaryFile() as copy, store.open_input_stream(path, compression=None) as source:
         while block := source.read(1 << 22):
             copy.write(block)
         copy.flush()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import compress_quality, hilbert, langid, packing, simhash, token_store, webp
+from . import compress_quality, hilbert, langid, packing, simhash, token_store, warc, webp
 from .common import materialize, scratch
 
 
@@ -24,6 +24,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def warc_rows(captures: DataFrame) -> DataFrame:
+    """The digest columns of assembled captures, with the request and metadata that they met."""
+    original = F.regexp_extract("response.refers_to", "<urn:page:(-?[0-9]+)>", 1)
+    return captures.select(
+        F.col("response.page_id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
+        "record_type", F.when(original != "", original.cast("long")).alias("refers_to"),
+        F.col("request.id").alias("request_id"), F.col("metadata.id").alias("metadata_id"),
+    )
+
+
+def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through WARC archives and back, one row a capture."""
+    return warc_rows(warc.captures(table(spark, sf_dir, "pages"), scratch(spark, "warc")))
+
+
 def op4_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every document, learned from labels outside the held-out third."""
     docs = table(spark, sf_dir, "documents")
@@ -71,5 +86,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op4_compression_quality, op5_simhash_near_dedup, op6_lossless_webp, op7_hilbert_shards, op8_language_id, op9_token_store, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_warc_transactions, op4_compression_quality, op5_simhash_near_dedup, op6_lossless_webp, op7_hilbert_shards, op8_language_id, op9_token_store, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {}
