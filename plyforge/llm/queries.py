@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import compress_quality, hilbert, langid, packing, simhash, token_store, warc, webp
+from . import compress_quality, hilbert, kneser_ney, langid, packing, simhash, token_store, warc, webp
 from .common import materialize, scratch
 
 
@@ -30,7 +30,7 @@ def warc_rows(captures: DataFrame) -> DataFrame:
     return captures.select(
         F.col("response.page_id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
         "record_type", F.when(original != "", original.cast("long")).alias("refers_to"),
-        F.col("request.id").alias("request_id"), F.col("metadata.id").alias("metadata_id"),
+        "n_requests", "n_metadata",
     )
 
 
@@ -39,6 +39,11 @@ def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_rows(warc.captures(table(spark, sf_dir, "pages"), scratch(spark, "warc")))
 
 
+def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log probability of every document under a model of six sevenths of them."""
+    return kneser_ney.train_and_score(table(spark, sf_dir, "documents"), known=remainder(7) != 2)
+
+
 def op4_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every document, learned from labels outside the held-out third."""
     docs = table(spark, sf_dir, "documents")
@@ -86,5 +91,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_transactions, op4_compression_quality, op5_simhash_near_dedup, op6_lossless_webp, op7_hilbert_shards, op8_language_id, op9_token_store, op10_best_fit_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_kneser_ney, op4_compression_quality, op5_simhash_near_dedup, op6_lossless_webp, op7_hilbert_shards, op8_language_id, op9_token_store, op10_best_fit_packing)}
+ORACLES: dict[str, str] = {
+    "op1_warc_transactions": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS size FROM pages),
+             m AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS original FROM p)
+        SELECT page_id, size AS payload_bytes, sha1(body) AS payload_digest,
+               CASE WHEN size >= 1000 AND original <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN size >= 1000 AND original <> page_id THEN original END AS refers_to,
+               CAST(1 AS BIGINT) AS n_requests, CAST(1 AS BIGINT) AS n_metadata
+        FROM m""",
+}
