@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import compress_quality, hilbert, kneser_ney, langid, packing, simhash, token_store, warc, webp
+from . import compress_quality, decontaminate, hilbert, kneser_ney, langid, packing, simhash, token_store, warc, webp
 from .common import materialize, scratch
 
 
@@ -44,6 +44,11 @@ def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.train_and_score(table(spark, sf_dir, "documents"), known=remainder(7) != 2)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every document lies inside benchmark windows."""
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_k1", "_k2")
+
+
 def op4_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every document, learned from labels outside the held-out third."""
     docs = table(spark, sf_dir, "documents")
@@ -91,7 +96,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_kneser_ney, op4_compression_quality, op5_simhash_near_dedup, op6_lossless_webp, op7_hilbert_shards, op8_language_id, op9_token_store, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_kneser_ney, op3_decontamination, op4_compression_quality, op5_simhash_near_dedup, op6_lossless_webp, op7_hilbert_shards, op8_language_id, op9_token_store, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {
     "op1_warc_transactions": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS size FROM pages),
@@ -101,4 +106,16 @@ ORACLES: dict[str, str] = {
                CASE WHEN size >= 1000 AND original <> page_id THEN original END AS refers_to,
                CAST(1 AS BIGINT) AS n_requests, CAST(1 AS BIGINT) AS n_metadata
         FROM m""",
+    "op3_decontamination": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+             b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+             s AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS i FROM b WHERE len(w) > 0),
+             win AS (SELECT DISTINCT item_id, least(len(w), 13) AS l, array_to_string(w[i : i + 12], ' ') AS t FROM s),
+             spot AS (SELECT r, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT l FROM win) WHERE len(w) >= l),
+             hit AS (SELECT spot.r, i, spot.l, item_id FROM spot JOIN win ON spot.l = win.l AND array_to_string(spot.w[i : i + spot.l - 1], ' ') = win.t),
+             places AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + l)) AS p FROM hit) GROUP BY r),
+             items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN places USING (r) LEFT JOIN items USING (r)""",
 }
