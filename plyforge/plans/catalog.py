@@ -2,5 +2,295 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from plyforge.functions import geometry, names
+from plyforge.operators import compare, layers, meshes, pixels, register, score, toolpath
+
+from . import views
+from .views import COMMANDS, LAYERS, PIXELS, POINTS, POSITIONS, TOOL_LAYERS, VOXELS, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- layers and anomalies
+
+LAGGED = f"""{LAYERS}, lagged AS (SELECT *, z - lag(z) OVER w AS gap, CASE WHEN n_points >= 3 AND lag(n_points) OVER w >= 3
+        THEN sqrt((cx - lag(cx) OVER w) * (cx - lag(cx) OVER w) + (cy - lag(cy) OVER w) * (cy - lag(cy) OVER w)) END AS shift,
+        CASE WHEN perimeter >= 1e-6 AND lag(perimeter) OVER w >= 1e-6 THEN abs(perimeter - lag(perimeter) OVER w) / lag(perimeter) OVER w END AS dp,
+        CASE WHEN area >= 1e-6 AND lag(area) OVER w >= 1e-6 THEN abs(area - lag(area) OVER w) / lag(area) OVER w END AS da
+        FROM layers WINDOW w AS (PARTITION BY build_id ORDER BY layer_idx)),
+    counted AS (SELECT *, greatest(0, CAST(round_even(gap / CAST(0.2 AS DOUBLE), 0) AS INTEGER) - 1) AS missing FROM lagged),
+    anomalies AS (
+        SELECT build_id, layer_idx, 1 AS detector_rank, 'missing_layer' AS anomaly_type, CASE WHEN missing >= 3 THEN 'critical' WHEN missing >= 1 THEN 'warning' ELSE 'info' END AS severity, round(gap, 4) AS measured_value, round(CAST(0.2 AS DOUBLE) * 1.5, 4) AS threshold FROM counted WHERE gap > CAST(0.2 AS DOUBLE) * CAST(1.5 AS DOUBLE)
+        UNION ALL SELECT build_id, layer_idx, 2, 'layer_shift', CASE WHEN shift / 0.5 > 3 THEN 'critical' WHEN shift / 0.5 > 1.5 THEN 'warning' ELSE 'info' END, round(shift, 4), 0.5 FROM counted WHERE shift > 0.5
+        UNION ALL SELECT build_id, layer_idx, 3, 'width_variation', CASE WHEN dp / CAST(0.2 AS DOUBLE) > 3 THEN 'critical' WHEN dp / CAST(0.2 AS DOUBLE) > 2 THEN 'warning' ELSE 'info' END, round(dp, 4), 0.2 FROM counted WHERE dp > CAST(0.2 AS DOUBLE)
+        UNION ALL SELECT build_id, layer_idx, 4, 'width_variation', CASE WHEN da / CAST(0.2 AS DOUBLE) > 3 THEN 'critical' WHEN da / CAST(0.2 AS DOUBLE) > 2 THEN 'warning' ELSE 'info' END, round(da, 4), 0.2 FROM counted WHERE da > CAST(0.2 AS DOUBLE))"""
+
+
+@query(f"WITH {LAGGED} SELECT build_id, layer_idx, detector_rank, anomaly_type, severity, measured_value, CAST(threshold AS DOUBLE) AS threshold FROM anomalies")
+def layer_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers.anomalies(views.layers(spark, sf_dir)).drop("description")
+
+
+@query(f"WITH {LAGGED} SELECT anomaly_type, severity, count(*) AS n FROM anomalies GROUP BY GROUPING SETS ((anomaly_type), (severity), ())")
+def anomaly_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers.anomaly_summary(layers.anomalies(views.layers(spark, sf_dir)))
+
+
+OCCLUDED = f"""{LAYERS}, before AS (SELECT *, lag(area) OVER (PARTITION BY build_id ORDER BY layer_idx) AS p FROM layers),
+    occluded AS (SELECT build_id, layer_idx, area, greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), CASE WHEN p > 0 AND area / p < CAST(0.7 AS DOUBLE) THEN CAST(1 AS DOUBLE) - CAST(2 AS DOUBLE) * ((CAST(1 AS DOUBLE) - area / p) - CAST(0.3 AS DOUBLE)) ELSE CAST(1 AS DOUBLE) END)) AS confidence FROM before)"""
+
+
+@query(f"WITH {OCCLUDED} SELECT build_id, layer_idx, round(confidence, 6) AS confidence, confidence < CAST(0.7 AS DOUBLE) AS flagged FROM occluded")
+def occlusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers.occlusion(views.layers(spark, sf_dir)).select("build_id", "layer_idx", F.round("confidence", 6).alias("confidence"), "flagged")
+
+
+@query(f"WITH {OCCLUDED} SELECT build_id, count(*) AS n_layers, count(*) FILTER (WHERE confidence < CAST(0.7 AS DOUBLE)) AS n_flagged, coalesce(string_agg(CAST(layer_idx AS VARCHAR), ',' ORDER BY layer_idx) FILTER (WHERE confidence < CAST(0.7 AS DOUBLE)), '') AS flagged_layers FROM occluded GROUP BY build_id")
+def occlusion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = layers.occlusion_report(layers.occlusion(views.layers(spark, sf_dir)))
+    return report.withColumn("flagged_layers", F.array_join("flagged_layers", ","))
+
+
+@query(f"WITH {LAYERS}, span AS (SELECT build_id, min(layer_idx) AS a, max(layer_idx) AS b FROM layers GROUP BY 1), every AS (SELECT build_id, CAST(unnest(range(a, b + 1)) AS BIGINT) AS layer_idx FROM span) SELECT e.build_id, e.layer_idx FROM every e LEFT JOIN layers l ON l.build_id = e.build_id AND l.layer_idx = e.layer_idx WHERE l.build_id IS NULL")
+def missing_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers.missing_layers(views.layers(spark, sf_dir), number="layer_idx")
+
+
+@query(f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {', '.join(views.ORDER[2:])}) AS n FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM r WHERE n = 1")
+def dedupe_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = layers.dedupe(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], views.ORDER[2:])
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+
+
+NAME_SQL = "CASE p_partkey % 9 WHEN 0 THEN '/a/layer_' || k || '.PNG' WHEN 1 THEN '/a/Img-' || k || '_v2.jpg' WHEN 2 THEN '/a/capa' || k || '.tif' WHEN 3 THEN '/a/slice_' || k || '.bmp' WHEN 4 THEN '/a/' || k || '.jpeg' WHEN 5 THEN '/a/' || p_brand || '_' || k || '.tiff' WHEN 6 THEN '/a/none.png' WHEN 7 THEN '/a/layer_' || k || '.txt' ELSE '/a/scan' || k || 'b.png' END"
+NAMED = f"files AS (SELECT build_id, {NAME_SQL} AS path FROM (SELECT *, p_partkey % 50 AS build_id, CAST(p_size AS VARCHAR) AS k FROM part)), stems AS (SELECT *, regexp_replace(path, '^.*/|\\.[^./]*$', '', 'g') AS s FROM files WHERE regexp_matches(lower(path), '\\.(png|jpg|jpeg|tiff|tif|bmp)$')), numbered AS (SELECT build_id, path, TRY_CAST(coalesce(nullif(regexp_extract(s, '(?i)layer[_-]?(\\d+)', 1), ''), nullif(regexp_extract(s, '(?i)img[_-]?(\\d+)', 1), ''), nullif(regexp_extract(s, '(?i)capa[_-]?(\\d+)', 1), ''), nullif(regexp_extract(s, '(?i)slice[_-]?(\\d+)', 1), ''), nullif(regexp_extract(s, '^(\\d+)$', 1), ''), nullif(regexp_extract(s, '(\\d+)$', 1), '')) AS INTEGER) AS layer_number FROM stems)"
+
+
+def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").withColumns({"build_id": F.col("p_partkey") % 50, "k": F.col("p_size").cast("string")})
+    return part.select("build_id", F.expr(NAME_SQL).alias("path"))
+
+
+@query(f"WITH {NAMED} SELECT build_id, path, layer_number FROM numbered WHERE layer_number IS NOT NULL")
+def layer_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = part_files(spark, sf_dir).filter(names.is_image(F.col("path"))).withColumn("layer_number", names.layer_number(F.col("path")))
+    return rows.filter("layer_number is not null")
+
+
+IMAGES = f"{NAMED}, images AS (SELECT build_id, layer_number, min(path) AS path, layer_number * CAST(0.2 AS DOUBLE) AS z_height FROM numbered WHERE layer_number IS NOT NULL GROUP BY 1, 2)"
+
+
+@query(f"WITH {IMAGES} SELECT build_id, layer_number, path, round(z_height, 6) AS z_height FROM images")
+def layer_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers.layer_images(part_files(spark, sf_dir)).withColumn("z_height", F.round("z_height", 6))
+
+
+@query(f"WITH {IMAGES}, t AS (SELECT l_suppkey % 50 AS build_id, CAST(max(l_quantity) AS DOUBLE) AS total FROM lineitem WHERE l_suppkey % 50 < 40 GROUP BY 1), r AS (SELECT images.*, total, count(*) OVER (PARTITION BY images.build_id) AS n, row_number() OVER (PARTITION BY images.build_id ORDER BY layer_number) - 1 AS place FROM images LEFT JOIN t USING (build_id)) SELECT build_id, layer_number, round(CASE WHEN total > 0 AND n > 1 AND abs(total / greatest(n - 1, 1) - CAST(0.2 AS DOUBLE)) > 0.001 THEN place * (total / greatest(n - 1, 1)) ELSE z_height END, 6) AS z_height FROM r")
+def respaced_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    totals = table(spark, sf_dir, "lineitem").filter("l_suppkey % 50 < 40").groupBy((F.col("l_suppkey") % 50).alias("build_id")).agg(F.max("l_quantity").alias("total_height"))
+    rows = layers.respace(layers.layer_images(part_files(spark, sf_dir)), totals, 0.2)
+    return rows.select("build_id", "layer_number", F.round("z_height", 6).alias("z_height"))
+
+
+PLANNED = "planned AS (SELECT user_id AS build_id, CAST(day(ts) - 1 AS INTEGER) AS layer_idx, round(avg(value) / 100, 6) AS z FROM events WHERE event_id % 3 = 0 GROUP BY user_id, day(ts))"
+
+
+def planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").filter("event_id % 3 = 0")
+    return e.groupBy(F.col("user_id").alias("build_id"), (F.dayofmonth("ts") - 1).alias("layer_idx")).agg(F.round(F.avg("value") / 100, 6).alias("z"))
+
+
+@query(f"WITH {LAYERS}, {PLANNED} SELECT l.build_id, l.layer_idx, round(l.z - p.z, 6) AS error FROM layers l JOIN planned p ON p.build_id = l.build_id AND p.layer_idx = l.layer_idx")
+def height_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers.height_errors(planned(spark, sf_dir), views.layers(spark, sf_dir))
+
+
+@query(f"WITH {LAYERS}, o AS (SELECT DISTINCT user_id AS build_id, CAST(user_id % 7 + 3 AS INTEGER) AS kernel, user_id % 2 = 0 AS invert FROM events WHERE user_id % 4 = 1) SELECT l.build_id, l.layer_idx, coalesce(kernel, 5) AS kernel, coalesce(invert, false) AS invert FROM layers l LEFT JOIN o USING (build_id)")
+def override_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "events").filter("user_id % 4 = 1").select(F.col("user_id").alias("build_id"), (F.col("user_id") % 7 + 3).cast("int").alias("kernel"), (F.col("user_id") % 2 == 0).alias("invert")).distinct()
+    rows = views.layers(spark, sf_dir).select("build_id", "layer_idx")
+    return layers.with_overrides(rows, o, ["build_id"], {"kernel": 5, "invert": False})
+
+
+# ---- toolpaths
+
+
+@query(f"WITH {COMMANDS} SELECT file, line_no, text, mode, is_move, x, y, z, e, f FROM commands")
+def gcode_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolpath.commands(views.programs(spark, sf_dir))
+
+
+@query(f"WITH {POSITIONS} SELECT file, line_no, round(pos_x, 4) AS pos_x, round(pos_y, 4) AS pos_y, round(pos_z, 4) AS pos_z, z_gate FROM gated")
+def gcode_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolpath.parse(views.programs(spark, sf_dir)).select("file", "line_no", *[F.round(f"pos_{a}", 4).alias(f"pos_{a}") for a in "xyz"], "z_gate")
+
+
+@query(f"WITH {TOOL_LAYERS} SELECT file, layer_idx, z, height FROM tool_layers")
+def gcode_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolpath.layers(toolpath.parse(views.programs(spark, sf_dir)))
+
+
+@query(f"WITH {TOOL_LAYERS} SELECT file, count(*) AS layer_count, round(max(z), 4) AS total_height, min(height) AS min_height, max(height) AS max_height FROM tool_layers GROUP BY file")
+def gcode_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolpath.summary(toolpath.layers(toolpath.parse(views.programs(spark, sf_dir))))
+
+
+@query(f"WITH {POSITIONS}, s AS (SELECT *, sum(CAST(z_gate AS INTEGER)) OVER (PARTITION BY file ORDER BY line_no) AS seg FROM gated), p AS (SELECT *, lag(pos_x) OVER w AS px, lag(pos_y) OVER w AS py FROM s WHERE is_move AND (x IS NOT NULL OR y IS NOT NULL) WINDOW w AS (PARTITION BY file, seg ORDER BY line_no)) SELECT file, CAST(seg AS BIGINT) AS segment, CAST(count(*) AS INTEGER) AS n_points, round(coalesce(sum(sqrt((pos_x - px) * (pos_x - px) + (pos_y - py) * (pos_y - py))), 0), 4) AS length FROM p GROUP BY file, seg HAVING count(*) >= 2")
+def gcode_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = toolpath.segments(toolpath.parse(views.programs(spark, sf_dir)))
+    return s.select("file", "segment", "n_points", F.round(geometry.polyline_length(F.col("points")), 4).alias("length"))
+
+
+# ---- distances and scores
+
+
+@query("SELECT event_type, round(avg(d), 6) AS mean, round(max(d), 6) AS max, round(stddev_pop(d), 6) AS std, round(median(d), 6) AS median, round(quantile_cont(d, 0.95), 6) AS p95, round(quantile_cont(d, 0.99), 6) AS p99 FROM (SELECT event_type, abs(value) AS d FROM events) GROUP BY event_type")
+def distance_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.distance_stats(table(spark, sf_dir, "events").withColumn("d", F.abs("value")), "d", "event_type")
+
+
+@query("SELECT l_returnflag, round(avg(CASE WHEN l_discount <= CAST(0.05 AS DOUBLE) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) * 100, 2) AS within_tolerance_pct FROM lineitem GROUP BY l_returnflag")
+def tolerance_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.within_tolerance(table(spark, sf_dir, "lineitem"), "l_discount", 0.05, "l_returnflag")
+
+
+@query(f"WITH {POINTS}, a AS (SELECT p.vec_id, q.vec_id AS o, p.k AS i, q.k AS j, (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) AS d FROM points p JOIN points q ON q.vec_id = p.vec_id + 1), f AS (SELECT vec_id, max(m) AS h FROM (SELECT vec_id, i, min(d) AS m FROM a GROUP BY 1, 2) GROUP BY 1), g AS (SELECT vec_id, max(m) AS h FROM (SELECT vec_id, j, min(d) AS m FROM a GROUP BY 1, 2) GROUP BY 1) SELECT f.vec_id, round(sqrt(greatest(f.h, g.h)), 6) AS hausdorff FROM f JOIN g USING (vec_id)")
+def hausdorff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = views.polygons(spark, sf_dir)
+    return compare.hausdorff(p, p.withColumn("vec_id", F.col("vec_id") - 1), ["vec_id"])
+
+
+@query(f"WITH {POINTS}, p AS (SELECT vec_id, x, y FROM points WHERE k = 0 AND vec_id % 2 = 1), t AS (SELECT vec_id, x, y FROM points WHERE k = 0 AND vec_id % 2 = 0) SELECT p.vec_id, arg_min(t.vec_id, sqrt((p.x - t.x) * (p.x - t.x) + (p.y - t.y) * (p.y - t.y))) AS target_id, round(min(sqrt((p.x - t.x) * (p.x - t.x) + (p.y - t.y) * (p.y - t.y))), 6) AS distance FROM p CROSS JOIN t GROUP BY p.vec_id")
+def nearest_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = views.polygons(spark, sf_dir).select("vec_id", F.col("points")[0]["x"].alias("x"), F.col("points")[0]["y"].alias("y"))
+    found = compare.nearest(p.filter("vec_id % 2 = 1"), p.filter("vec_id % 2 = 0").withColumnRenamed("vec_id", "target_id"), ["x", "y"], "vec_id", "target_id", 0.02)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+@query(f"WITH {LAGGED}, {PLANNED}, e AS (SELECT l.build_id, avg(CASE WHEN abs(round(l.z - p.z, 6)) <= CAST(0.2 AS DOUBLE) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) * 100 AS layer FROM layers l JOIN planned p ON p.build_id = l.build_id AND p.layer_idx = l.layer_idx GROUP BY 1), a AS (SELECT build_id, greatest(CAST(0 AS DOUBLE), 100 - sum(CASE severity WHEN 'critical' THEN 15 WHEN 'warning' THEN 5 WHEN 'info' THEN 1 ELSE 0 END)) AS anomaly FROM anomalies GROUP BY 1), d AS (SELECT user_id AS build_id, round(avg(CASE WHEN value <= 30 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) * 100, 2) AS dimensional FROM events GROUP BY 1), n AS (SELECT build_id, count(*) AS n FROM layers GROUP BY 1), s AS (SELECT n.build_id, coalesce(dimensional, 100) * CAST(0.35 AS DOUBLE) + coalesce(layer, 100) * CAST(0.25 AS DOUBLE) + coalesce(anomaly, 100) * CAST(0.25 AS DOUBLE) + least(CAST(100 AS DOUBLE), n / CAST(30 AS DOUBLE) * 100) * CAST(0.15 AS DOUBLE) AS score FROM n LEFT JOIN e USING (build_id) LEFT JOIN a USING (build_id) LEFT JOIN d USING (build_id)) SELECT build_id, round(score, 4) AS score, CASE WHEN score >= 85 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 50 THEN 'C' WHEN score >= 30 THEN 'D' ELSE 'F' END AS grade FROM s")
+def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = views.layers(spark, sf_dir)
+    parts = built.groupBy("build_id").agg(F.count("*").alias("n_processed")).withColumn("n_expected", F.lit(30))
+    for other in (
+        compare.within_tolerance(table(spark, sf_dir, "events").withColumnRenamed("user_id", "build_id"), "value", 30, "build_id").withColumnRenamed("within_tolerance_pct", "dimensional"),
+        score.layer_accuracy(layers.height_errors(planned(spark, sf_dir), built), 0.2, "build_id"),
+        score.anomaly_score(layers.anomalies(built), "build_id"),
+    ):
+        parts = parts.join(other, "build_id", "left")
+    parts = parts.fillna(100.0, ["dimensional", "layer", "anomaly"])
+    return score.quality(parts).select("build_id", F.round("score", 4).alias("score"), "grade")
+
+
+# ---- polygons and registration
+
+
+@query(f"WITH {POINTS}, n AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny, first_value(x) OVER w AS fx, first_value(y) OVER w AS fy FROM points WINDOW w AS (PARTITION BY vec_id ORDER BY k)), s AS (SELECT vec_id, abs(sum(x * coalesce(ny, fy) - coalesce(nx, fx) * y)) * 0.5 AS area, sum(CASE WHEN nx IS NOT NULL THEN sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y)) ELSE 0 END) AS length, sum(sqrt((coalesce(nx, fx) - x) * (coalesce(nx, fx) - x) + (coalesce(ny, fy) - y) * (coalesce(ny, fy) - y))) AS per, avg(x) AS cx, avg(y) AS cy FROM n GROUP BY vec_id) SELECT vec_id, round(area, 6) AS area, round(length, 6) AS length, round(per, 6) AS perimeter, round(cx, 6) AS cx, round(cy, 6) AS cy, round(least(1, greatest(0, 4 * pi() * area / (per * per))), 6) AS circularity FROM s")
+def polygon_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("points")
+    rows = views.polygons(spark, sf_dir).select("vec_id", geometry.shoelace_area(p).alias("area"), geometry.polyline_length(p).alias("length"), geometry.perimeter(p).alias("perimeter"), geometry.vertex_mean(p).alias("c"), F.size(p).alias("n"))
+    rows = rows.withColumn("circularity", geometry.circularity(F.col("area"), F.col("perimeter"), F.col("n")))
+    return rows.select("vec_id", *[F.round(c, 6).alias(n) for n, c in (("area", "area"), ("length", "length"), ("perimeter", "perimeter"), ("cx", "c.x"), ("cy", "c.y"), ("circularity", "circularity"))])
+
+
+PAIRS = f"{POINTS}, pairs AS (SELECT p.vec_id, p.x AS sx, p.y AS sy, q.x AS tx, q.y AS ty FROM points p JOIN points q ON q.vec_id = p.vec_id + 1 AND q.k = p.k)"
+
+
+def polygon_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = views.polygons(spark, sf_dir)
+    both = p.join(p.select((F.col("vec_id") - 1).alias("vec_id"), F.col("points").alias("other")), "vec_id")
+    rows = both.select("vec_id", F.explode(F.arrays_zip("points", "other")).alias("z"))
+    return rows.select("vec_id", *[F.col(f"z.{f}.{a}").alias(f"{n}{a}") for n, f in (("s", "points"), ("t", "other")) for a in "xy"])
+
+
+@query(f"WITH {PAIRS}, c AS (SELECT vec_id, avg(sx) AS ax, avg(sy) AS ay, avg(tx) AS bx, avg(ty) AS by_ FROM pairs GROUP BY 1), k AS (SELECT vec_id, atan2(sum((sx - ax) * (ty - by_) - (sy - ay) * (tx - bx)), sum((sx - ax) * (tx - bx) + (sy - ay) * (ty - by_))) AS angle, any_value(ax) AS ax, any_value(ay) AS ay, any_value(bx) AS bx, any_value(by_) AS by_ FROM pairs JOIN c USING (vec_id) GROUP BY 1), m AS (SELECT vec_id, angle, bx - (cos(angle) * ax - sin(angle) * ay) AS shift_x, by_ - (sin(angle) * ax + cos(angle) * ay) AS shift_y FROM k) SELECT vec_id, round(any_value(angle), 6) AS angle, round(any_value(shift_x), 6) AS shift_x, round(any_value(shift_y), 6) AS shift_y, round(avg((cos(angle) * sx - sin(angle) * sy + shift_x - tx) ** 2 + (sin(angle) * sx + cos(angle) * sy + shift_y - ty) ** 2), 6) AS error FROM pairs JOIN m USING (vec_id) GROUP BY 1")
+def kabsch_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = register.kabsch_2d(polygon_pairs(spark, sf_dir), "vec_id")
+    return rows.select("vec_id", *[F.round(c, 6).alias(c) for c in ("angle", "shift_x", "shift_y", "error")])
+
+
+@query(f"WITH {POINTS} SELECT vec_id, CAST(k AS INTEGER) AS k, round(cos(radians(30)) * (x - 0.1) - sin(radians(30)) * (y + 0.2) + 0.1, 6) AS x, round(sin(radians(30)) * (x - 0.1) + cos(radians(30)) * (y + 0.2) - 0.2, 6) AS y FROM points")
+def rigid_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = views.polygons(spark, sf_dir).select("vec_id", F.posexplode("points").alias("k", "p"))
+    matrix = geometry.about((0.1, -0.2, 0.0), geometry.rotation_z(30))
+    x, y, _ = geometry.affine(F.col("p.x"), F.col("p.y"), F.lit(0.0), matrix)
+    return p.select("vec_id", "k", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+
+
+@query()
+def icp_multistart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """24 closest-point runs between two polygons stacked as clouds, and the best of them."""
+    p = views.polygons(spark, sf_dir)
+    cloud = lambda vec: p.filter(F.col("vec_id").between(vec, vec + 3)).select("vec_id", F.posexplode("points").alias("k", "p")).select((F.col("vec_id") * 32 + F.col("k")).alias("vid"), F.col("p.x").alias("x"), F.col("p.y").alias("y"), (F.col("vec_id") % 4 * 0.1).alias("z"))
+    best = register.best_alignment(register.align_from_starts(cloud(0), cloud(4)))
+    return best.select("angle", F.round("error", 6).alias("error"), "iterations", "converged")
+
+
+# ---- pixels and voxels
+
+
+@query(f"WITH {PIXELS} SELECT image, y, x, CASE WHEN v > 127 THEN 255 ELSE 0 END AS v FROM pixels")
+def threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.threshold(views.pixels(spark, sf_dir)).select("image", "y", "x", "v")
+
+
+@query(f"WITH {PIXELS}, h AS (SELECT image, v, CAST(count(*) AS DOUBLE) AS n FROM pixels GROUP BY 1, 2), c AS (SELECT *, sum(n) OVER r AS n0, sum(n * v) OVER r AS s0, sum(n) OVER w AS nt, sum(n * v) OVER w AS st FROM h WINDOW r AS (PARTITION BY image ORDER BY v ROWS UNBOUNDED PRECEDING), w AS (PARTITION BY image)), b AS (SELECT image, v, round(coalesce(n0 * (nt - n0) * (s0 / n0 - (st - s0) / nullif(nt - n0, 0)) * (s0 / n0 - (st - s0) / nullif(nt - n0, 0)), 0), 3) AS between_ FROM c) SELECT image, v AS level FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY between_ DESC, v) AS i FROM b) WHERE i = 1")
+def otsu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.otsu_levels(views.pixels(spark, sf_dir))
+
+
+@query(f"WITH {PIXELS}, b AS (SELECT y, x, v AS bv FROM pixels WHERE image = 0) SELECT p.image, p.y, p.x, CASE WHEN abs(v - bv) > 30 THEN 255 ELSE 0 END AS v FROM pixels p LEFT JOIN b ON b.y = p.y AND b.x = p.x")
+def bg_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = views.pixels(spark, sf_dir)
+    return pixels.subtract_background(p, p.filter("image = 0")).select("image", "y", "x", "v")
+
+
+@query(f"WITH {PIXELS}, m AS (SELECT image, y, x, CASE WHEN v > 200 THEN 255 ELSE 0 END AS v FROM pixels) SELECT image, greatest(min(x) FILTER (WHERE v > 0) - 1, 0) AS x0, least(max(x) FILTER (WHERE v > 0) + 2, max(x) + 1) AS x1, greatest(min(y) FILTER (WHERE v > 0) - 1, 0) AS y0, least(max(y) FILTER (WHERE v > 0) + 2, max(y) + 1) AS y1 FROM m GROUP BY image HAVING max(v) > 0")
+def bbox_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mask = pixels.threshold(views.pixels(spark, sf_dir), 200)
+    some = mask.groupBy("image").agg(F.max("v").alias("m")).filter("m > 0").select("image")
+    return pixels.bounds(mask, 1, "image").join(some, "image")
+
+
+CROSS = "el(dy, dx) AS (VALUES (-1, 0), (0, -1), (0, 0), (0, 1), (1, 0))"
+SPREAD = "(SELECT p.image, p.y, p.x, {f}(q.v) AS v FROM {s} p CROSS JOIN el JOIN {s} q ON q.image = p.image AND q.y = p.y + dy AND q.x = p.x + dx GROUP BY 1, 2, 3)"
+
+
+@query(f"WITH {PIXELS}, {CROSS}, m AS (SELECT image, y, x, CASE WHEN v > 127 THEN 255 ELSE 0 END AS v FROM pixels), a AS {SPREAD.format(f='min', s='m')}, b AS {SPREAD.format(f='max', s='a')}, c AS {SPREAD.format(f='max', s='b')}, d AS {SPREAD.format(f='min', s='c')} SELECT image, y, x, v FROM d")
+def morph_open_close(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.open_close(pixels.threshold(views.pixels(spark, sf_dir)), 3).select("image", "y", "x", "v")
+
+
+@query(f"WITH {VOXELS}, i AS (SELECT * FROM voxels WHERE inside), e AS (SELECT volume, 'x' AS axis, unnest([x, x - 1]) AS x, y, z FROM i UNION ALL SELECT volume, 'y', x, unnest([y, y - 1]), z FROM i UNION ALL SELECT volume, 'z', x, y, unnest([z, z - 1]) FROM i) SELECT volume, axis, x + CASE WHEN axis = 'x' THEN CAST(0.5 AS DOUBLE) ELSE 0 END AS x, y + CASE WHEN axis = 'y' THEN CAST(0.5 AS DOUBLE) ELSE 0 END AS y, z + CASE WHEN axis = 'z' THEN CAST(0.5 AS DOUBLE) ELSE 0 END AS z FROM e GROUP BY ALL HAVING count(*) = 1")
+def isosurface_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return meshes.isosurface_vertices(views.voxels(spark, sf_dir))
+
+
+SIDES = f"{VOXELS}, i AS (SELECT * FROM voxels WHERE inside), e AS (SELECT volume, 0 AS axis, unnest([2 * x - 1, 2 * x + 1]) AS x, 2 * y AS y, 2 * z AS z FROM i UNION ALL SELECT volume, 1, 2 * x, unnest([2 * y - 1, 2 * y + 1]), 2 * z FROM i UNION ALL SELECT volume, 2, 2 * x, 2 * y, unnest([2 * z - 1, 2 * z + 1]) FROM i), sides AS (SELECT volume, axis, x, y, z FROM e GROUP BY ALL HAVING count(*) = 1)"
+
+
+@query(f"WITH {SIDES} SELECT volume AS mesh, CAST(count(*) AS DOUBLE) AS area, 2 * count(*) AS n_faces, min(x - CASE WHEN axis = 0 THEN 0 ELSE 1 END) / 2 AS min_x, max(z + CASE WHEN axis = 2 THEN 0 ELSE 1 END) / 2 AS max_z FROM sides GROUP BY volume")
+def mesh_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return meshes.mesh_info(meshes.voxel_faces(views.voxels(spark, sf_dir)).withColumnRenamed("volume", "mesh")).select("mesh", "area", "n_faces", "min_x", "max_z")
+
+
+@query(f"WITH {SIDES} SELECT volume, CAST(z / 2 AS INTEGER) AS height_idx, 2 * count(*) AS n_segments, CAST(count(*) AS DOUBLE) AS length FROM sides WHERE axis <> 2 GROUP BY 1, 2")
+def mesh_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heights = spark.range(4).select(F.col("id").cast("int").alias("height_idx"), (F.col("id") + 0.25).alias("z"))
+    cuts = meshes.plane_sections(meshes.voxel_faces(views.voxels(spark, sf_dir)), heights, "volume")
+    length = F.sqrt((F.col("x1") - F.col("x0")) * (F.col("x1") - F.col("x0")) + (F.col("y1") - F.col("y0")) * (F.col("y1") - F.col("y0")))
+    return cuts.groupBy("volume", "height_idx").agg(F.count("*").alias("n_segments"), F.round(F.sum(length), 6).alias("length"))
