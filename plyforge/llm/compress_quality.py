@@ -105,27 +105,27 @@ def fit_texts(good: list[str], bad: list[str], size: int = 32_768, level: int =
     return model
 
 
-def draw(rows: DataFrame, most_texts: int, most_bytes: int) -> tuple[list[str], list[str]]:
-    """Good and bad non-empty texts in the order of their checksums: one share of both classes, within both bounds.
-
-    One share for both keeps the labels' own odds, which the curve learns.
-    """
-    n, size = rows.agg(F.count("*"), F.sum(F.octet_length("t"))).first()
-    share = min(1.0, most_texts / max(n, 1), most_bytes / max(size or 1, 1))
-    drawn = rows.filter(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    got = sorted({(r.t, r.y) for r in drawn.collect()}, key=lambda x: (zlib.crc32(x[0].encode()), x))
-    return [t for t, y in got if y == 1], [t for t, y in got if y == 0]
+def share_of(column: str, share: float) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
 
 
 def fit(docs: DataFrame, labels: DataFrame, known: Column, key: str = "doc_id", text: str = "text", quality: str = "quality", most_texts: int = 8000, most_bytes: int = 48_000_000) -> CompressionModel:
     """Learn from labelled rows where `known` (of the labels' columns) holds.
 
-    most_texts and most_bytes bound what reaches the driver, whatever the
-    tables' size. Labels other than 0 and 1, and null or empty texts, teach nothing.
+    most_texts bounds the labels drawn, by a hash of their key and one share
+    for both classes, which keeps the labels' own odds; that many rows are
+    broadcast to find their texts. most_texts and most_bytes then bound what
+    reaches the driver, whatever the tables' size. Equal texts teach once;
+    labels other than 0 and 1, null keys and null or empty texts teach nothing.
     """
-    marks = labels.filter(known & F.col(quality).isin(0, 1)).select(F.col(key).alias("k"), F.col(quality).alias("y")).distinct()
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t <> ''").join(marks, "k").select("t", "y")
-    return fit_texts(*draw(rows, most_texts, most_bytes))
+    marks = labels.filter(known & F.col(quality).isin(0, 1)).select(F.col(key).alias("k"), F.col(quality).alias("y")).filter("k is not null").distinct()
+    marks = marks.filter(share_of("k", most_texts / max(marks.count(), 1)))
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t <> ''").join(F.broadcast(marks), "k")
+    rows = rows.groupBy(F.xxhash64("t").alias("h"), "y").agg(F.first("t").alias("t"))
+    n, size = rows.agg(F.count("*"), F.sum(F.octet_length("t"))).first()
+    drawn = rows.filter(share_of("h", min(most_texts / max(n, 1), most_bytes / max(size or 1, 1))))
+    got = sorted({(r.t, r.y) for r in drawn.collect()}, key=lambda x: (zlib.crc32(x[0].encode()), x))
+    return fit_texts([t for t, y in got if y == 1], [t for t, y in got if y == 0])
 
 
 def score(docs: DataFrame, model: CompressionModel, text: str = "text") -> DataFrame:
