@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,18 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """Within it, Spark hands texts to Python in batches of so many rows (its default of 10,000 may be a lot of text)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
     if "://" not in uri:
         uri = "file://" + (uri.removeprefix("file:") if uri.startswith("file:") else os.path.abspath(uri))

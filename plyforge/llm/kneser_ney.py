@@ -28,7 +28,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import map_file, runs, scratch, split_words, text_column, write_file
+from .common import batches_of, map_file, runs, scratch, split_words, text_column, write_file
 
 END = xxhash.xxh64_intdigest(b" ", 0)  # no word has a space
 
@@ -324,7 +324,8 @@ def train(docs: DataFrame, text: str = "text", bucket_bytes: int = 24 << 20, pat
         yield batch_of(["bucket", "n", "total", "top", "top_counts"], [b], [len(keys)], [int(counts.sum())], pa.array([top.tolist()], pa.list_(pa.int64())), pa.array([counts[top].tolist()], pa.list_(pa.int64())))
 
     shuffled = rows.mapInArrow(words, "bucket int, keys binary, counts binary").repartitionById(buckets, "bucket")
-    made = {r.bucket: r for r in shuffled.mapInArrow(merge_words, "bucket long, n long, total long, top array<long>, top_counts array<long>").collect()}
+    with batches_of(spark):
+        made = {r.bucket: r for r in shuffled.mapInArrow(merge_words, "bucket long, n long, total long, top array<long>, top_counts array<long>").collect()}
     bases = [0]
     for b in range(buckets):
         if b not in made:
@@ -426,7 +427,8 @@ def _count_pairs(rows: DataFrame, model: Model) -> None:
 
     shuffled = rows.mapInArrow(pairs, "bucket int, n int, steps binary, words binary, counts binary").repartitionById(model.pair_buckets, "bucket")
     shuffled = shuffled.mapInArrow(merge_pairs, "bucket int, source int, n int, seen array<long>, steps binary, counts binary").repartitionById(buckets, "bucket")
-    found = shuffled.mapInArrow(merge_kinds, "bucket long, source long, numbers array<long>").collect()
+    with batches_of(rows.sparkSession):
+        found = shuffled.mapInArrow(merge_kinds, "bucket long, source long, numbers array<long>").collect()
     done_pairs, done_words = {r.source for r in found}, {r.bucket for r in found}
     for b in set(range(model.pair_buckets)) - done_pairs:
         first, stop = (model.first_context(b), model.first_context(b + 1)) if b < buckets else (0, 0)

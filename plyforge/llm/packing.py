@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize, runs, text_column
+from .common import batches_of, materialize, runs, text_column
 from .tokens import encoder, with_end
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -124,5 +124,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
     than the capacity, and only these, are cut. Rows of equal or null key are
     documents of their own. Other columns of the input are not carried.
     """
-    cut = materialize(pieces(docs, tokenizer, key, text, capacity, end_id, with_ids), "pieces")
+    with batches_of(docs.sparkSession):
+        cut = materialize(pieces(docs, tokenizer, key, text, capacity, end_id, with_ids), "pieces")
     return pack(cut, cut.count(), capacity)

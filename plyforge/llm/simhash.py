@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize, runs, small, split_words, text_column, utf8
+from .common import batches_of, materialize, runs, small, split_words, text_column, utf8
 from .components import components
 
 BIT = (np.uint64(1) << np.arange(64, dtype=np.uint64))[None, :]
@@ -194,7 +194,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     keys are never a component's id unless it has no other. An empty table
     gives no rows; other columns are not carried.
     """
-    rows = materialize(with_fingerprint(docs, key, text, width), "fingerprints")
+    with batches_of(docs.sparkSession):
+        rows = materialize(with_fingerprint(docs, key, text, width), "fingerprints")
     each = materialize(rows.groupBy("fp").agg(F.min("key").alias("least")), "distinct")
     roots = materialize(components(links(each.select("fp"), radius, pivots)), "roots")
     linked = each.join(roots, each.fp == roots.node).select("fp", "root", "least")
