@@ -21,12 +21,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import map_file, read_range, runs, text_column, write_file
+from .common import batches_of, map_file, read_range, runs, text_column, write_file
 from .tokens import encoder, with_end
 
 MAGIC = 0x5349474D41544B31
@@ -124,6 +123,15 @@ class Index:
         return known & (mark == (mix(keys, 977) >> np.uint64(32))), shard.astype(np.int64), place.astype(np.int64), count.astype(np.int64)
 
 
+def runs_of(sizes: np.ndarray, most: int = 8 << 20) -> list[int]:
+    """Cuts between rows so that each run has about `most` bytes, or one row."""
+    ends, cuts = np.cumsum(sizes), [0]
+    while cuts[-1] < len(sizes):
+        k = cuts[-1]
+        cuts.append(max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + most, side="right"))))
+    return cuts
+
+
 def key_part(keys: np.ndarray, parts: int) -> np.ndarray:
     return (mix(keys, 31) % np.uint64(parts)).astype(np.int32)
 
@@ -178,7 +186,8 @@ class TokenStore:
             yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([len(keys)]), pa.array([sum(map(len, ids)) // unit])], ["shard", "n_docs", "n_tokens"])
 
         dealt = rows.mapInArrow(encode, "shard int, key long, ids binary").repartitionById(shards, "shard").sortWithinPartitions("key", "ids")
-        made = dict((r[0], r[2]) for r in dealt.mapInArrow(store, "shard long, n_docs long, n_tokens long").collect())
+        with batches_of(spark):
+            made = {r[0]: r[2] for r in dealt.mapInArrow(store, "shard long, n_docs long, n_tokens long").collect()}
         starts = [0]
         for s in range(shards):
             if s not in made:  # Spark runs no task over nothing
@@ -220,12 +229,23 @@ class TokenStore:
         for p in set(range(self.parts)) - made:
             write_index(f"{path}/index-{p:05d}.mph", *[np.empty(0, np.int64)] * 4)
 
-    def get(self, keys: DataFrame, key: str = "doc_id") -> DataFrame:
-        """(key, row, start, n_tokens, ids) of the given keys' rows; keys that the store lacks give none.
+    def get(self, keys: DataFrame, key: str = "doc_id", with_ids: bool = True) -> DataFrame:
+        """(key, row, start, n_tokens, ids_crc32, ids) of the given keys' rows; keys that the store lacks give none.
 
         The keys go to their index partition, which names shard and place, and
         then to the shard, where one range read of each key's ids follows.
         """
+        parts = self.parts
+
+        def place_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key_part(batch.column(0).to_numpy(), parts))], ["key", "part"])
+
+        wanted = keys.select(F.col(key).cast("long").alias("key")).filter("key is not null")
+        return self._fetch(wanted.mapInArrow(place_keys, "key long, part int"), key, with_ids)
+
+    def _fetch(self, wanted: DataFrame, key: str, with_ids: bool) -> DataFrame:
+        """The rows of the keys in wanted (key, part)."""
         path, starts, parts = self.path, self.starts, self.parts
 
         def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,19 +270,18 @@ class TokenStore:
                 same = held[at] == wanted[which]  # a stranger with a known fingerprint
                 which, row, at = which[same], row[same], at[same]
                 a, b = ends[at], ends[at + 1]
-                ids = [data[first + unit * x : first + unit * y].tobytes() for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-                wide = ids if unit == 4 else [np.frombuffer(x, "<u2").astype("<u4").tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays([pa.array(wanted[which]), pa.array(row), pa.array(a + starts[shard]), pa.array(b - a), pa.array([zlib.crc32(x) for x in wide], pa.int64()), pa.array(wide, pa.binary())], ["key", "row", "start", "n_tokens", "ids_crc32", "ids"])
-
-        @F.pandas_udf("int")
-        def part_of(key: pd.Series) -> pd.Series:
-            return pd.Series(key_part(key.to_numpy(np.int64), parts))
+                cuts = runs_of((b - a) * 4)
+                for x, y in zip(cuts, cuts[1:], strict=False):
+                    raw = [data[first + unit * m : first + unit * n] for m, n in zip(a[x:y].tolist(), b[x:y].tolist(), strict=True)]
+                    wide = [r.view(f"<u{unit}").astype("<u4").tobytes() for r in raw]
+                    sums = pa.array([zlib.crc32(w) for w in wide], pa.int64())
+                    ids = pa.array(wide if with_ids else [None] * len(wide), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(wanted[which[x:y]]), pa.array(row[x:y]), pa.array(a[x:y] + starts[shard]), pa.array(b[x:y] - a[x:y]), sums, ids], ["key", "row", "start", "n_tokens", "ids_crc32", "ids"])
 
-        wanted = keys.select(F.col(key).cast("long").alias("key")).filter("key is not null").withColumn("part", part_of("key"))
         found = wanted.repartitionById(parts, "part").mapInArrow(look_up, "key long, shard int, place long, n_docs long")
         return found.repartitionById(self.shards, "shard").mapInArrow(fetch, "key long, row long, start long, n_tokens long, ids_crc32 long, ids binary").withColumnRenamed("key", key)
 
     def rows(self, key: str = "doc_id", with_ids: bool = False) -> DataFrame:
         """Every row of the store, by keyed access to every key of its tables."""
-        out = self.get(self._keys().select(F.col("key").alias(key)), key)
+        out = self._fetch(self._keys().select("key", "part"), key, with_ids)
         return out if with_ids else out.drop("ids")

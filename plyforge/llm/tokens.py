@@ -6,6 +6,7 @@ anyway, so a text's ids are its chunks' ids in a row.
 
 from __future__ import annotations
 
+import os
 import re
 from itertools import chain
 
@@ -39,7 +40,8 @@ class ChunkEncoder:
     then begins with the space before it).
     """
 
-    def __init__(self, path: str, spaced: bool, max_chunks: int = 800_000):
+    def __init__(self, path: str, spaced: bool, max_chunks: int = 400_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
