@@ -145,3 +145,13 @@ def with_overrides(rows: DataFrame, overrides: DataFrame, keys: list[str], defau
     given = overrides.select(*keys, F.struct(*names_).alias("_given"))
     joined = rows.join(given, keys, "left").withColumn("_p", F.coalesce("_given", F.struct(*[F.lit(v).cast(overrides.schema[k].dataType).alias(k) for k, v in defaults.items()])))
     return joined.select(*rows.columns, *[F.col(f"_p.{n}").alias(n) for n in names_])
+
+
+def mean_thickness(layers: DataFrame, build: str = "build_id", z: str = "z") -> DataFrame:
+    """(build, thickness): the rise from the first to the last layer over the steps between them."""
+    return layers.groupBy(build).agg(((F.max(z) - F.min(z)) / F.greatest(F.lit(1), F.count("*") - 1)).alias("thickness"))
+
+
+def attach(vertices: DataFrame, distances: DataFrame, key: str = "vid") -> DataFrame:
+    """Vertices with their distances, for a heat map; vertices without one keep a null."""
+    return vertices.join(distances, key, "left")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plyforge.functions import geometry, names
-from plyforge.operators import compare, layers, meshes, pixels, register, score, toolpath
+from plyforge.operators import compare, layers, meshes, pixels, register, score, segment, toolpath
 
 from . import views
 from .views import COMMANDS, LAYERS, PIXELS, POINTS, POSITIONS, TOOL_LAYERS, VOXELS, table
@@ -294,3 +294,17 @@ def mesh_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     cuts = meshes.plane_sections(meshes.voxel_faces(views.voxels(spark, sf_dir)), heights, "volume")
     length = F.sqrt((F.col("x1") - F.col("x0")) * (F.col("x1") - F.col("x0")) + (F.col("y1") - F.col("y0")) * (F.col("y1") - F.col("y0")))
     return cuts.groupBy("volume", "height_idx").agg(F.count("*").alias("n_segments"), F.round(F.sum(length), 6).alias("length"))
+
+
+@query(f"WITH {LAYERS} SELECT build_id, round((max(z) - min(z)) / greatest(1, count(*) - 1), 6) AS thickness FROM layers GROUP BY build_id")
+def mean_thickness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers.mean_thickness(views.layers(spark, sf_dir)).withColumn("thickness", F.round("thickness", 6))
+
+
+@query()
+def contours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines of the 8 x 8 masks, by the numpy border follower; tests hold it against known shapes."""
+    p = views.pixels(spark, sf_dir).groupBy("image").agg(F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("p"))
+    mask = F.unhex(F.array_join(F.transform("p", lambda q: F.when(q["v"] > 127, "FF").otherwise("00")), ""))
+    found = segment.contours(p.select("image", F.lit(8).alias("height"), F.lit(8).alias("width"), mask.alias("mask")))
+    return found.select("image", "contour_idx", F.size("outer").alias("n_points"), F.size("inners").alias("n_holes"), F.round("area_mm2", 6).alias("area_mm2"), F.round("perimeter_mm", 6).alias("perimeter_mm"), F.round("confidence", 6).alias("confidence"))

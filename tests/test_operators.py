@@ -290,3 +290,21 @@ def test_polygon_functions_at_the_edges(spark):
     assert got[0].m is None and tuple(got[3].m) == (8 / 3, 1.0) and got[4].m is None
     with pytest.raises(Exception, match="scale"):
         spark.range(1).select(geometry.scale_from_line(F.lit(0.0), F.lit(3.0))).collect()
+
+
+def test_display(spark):
+    from plyforge.functions import display
+
+    row = spark.range(1).select(
+        display.gauge_state(F.lit(80)).alias("a"), display.gauge_state(F.lit(39.9)).alias("b"), display.severity_state(F.lit("CRITICAL")).alias("c"), display.severity_state(F.lit("warning")).alias("d"),
+        display.scale_from_ends(F.lit(0.0), F.lit(0.0), F.lit(30.0), F.lit(40.0), F.lit(10.0)).alias("e"), display.scale_from_ends(F.lit(0.0), F.lit(0.0), F.lit(3.0), F.lit(0.0), F.lit(10.0)).alias("f"),
+    ).first()
+    assert tuple(row) == ("success", "error", "error", "text", 0.2, None)
+
+
+def test_registered_queries_run_and_have_stable_names(spark):
+    from plyforge.plans import catalog
+
+    assert set(catalog.ORACLES) <= set(catalog.QUERIES) and len(catalog.QUERIES) >= 30
+    out = catalog.QUERIES["contours"](spark, "/root/testdata/sf0.001").toPandas()
+    assert len(out) and (out["area_mm2"] >= 0).all() and out["confidence"].between(0, 1).all()
