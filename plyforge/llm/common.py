@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -14,29 +13,12 @@ import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where it is unset and Spark runs in one process, a temporary folder is
-    made; on a cluster an unset folder is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="plyforge-")
-    return _own_dirs[app]
+from plyforge.operators.tables import shared_folder
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new, unused path for one run's files below the shared folder."""
-    return f"{shared_dir(spark)}/plyforge/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{shared_folder(spark)}/plyforge/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -88,17 +70,14 @@ def write_file(uri: str, parts) -> int:
 def map_file(uri: str, dtype) -> np.ndarray:
     """A read-only memory map of a file of equal items.
 
-    A file outside the local file system is copied to the task's temporary
-    folder first and unlinked as soon as it is mapped.
+    Maps need a shared folder that is mounted (file://); a file of another
+    store is held in memory instead.
     """
     store, path = open_fs(uri)
     if isinstance(store, fs.LocalFileSystem):
         return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.empty(0, dtype)
-    with tempfile.NamedTemporaryFile() as copy, store.open_input_stream(path, compression=None) as source:
-        while block := source.read(1 << 22):
-            copy.write(block)
-        copy.flush()
-        return np.memmap(copy.name, dtype=dtype, mode="r") if copy.tell() else np.empty(0, dtype)
+    with store.open_input_stream(path, compression=None) as source:
+        return np.frombuffer(source.read(), dtype)
 
 
 def read_range(uri: str, start: int, length: int) -> bytes:
