@@ -6,8 +6,8 @@ occur, so a prefix of one token suffices: shingles are ordered by their number
 of occurrences in the documents, and each window joins by its rarest one alone;
 a window with a shingle that no document has is gone before the join. A match
 fixes where the window would lie; one that would leave the document falls to
-the positional and length bounds, and the words themselves are compared for
-the rest.
+the positional and length bounds, and the rest is verified: every shingle of
+the window, that is three words each, must lie at its own place.
 """
 
 from __future__ import annotations
@@ -61,38 +61,46 @@ def union(frames: list[DataFrame]) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str, window: int, shingle: int, most_broadcast: int) -> tuple[DataFrame, DataFrame]:
-    """(_k1, _k2, start, length, wid) of each window occurrence, and (wid, item)."""
+    """(_k1, _k2, start, length, wid) of each window occurrence, and (wid, item).
+
+    The documents are read once, for the places of the benchmark's shingles;
+    everything after works on these alone.
+    """
     windows = windows_of(benchmark, item, item_text, window)
     windows = materialize(windows.withColumn("wid", F.xxhash64(F.array_join("window", " "))), "windows")
     distinct = windows.select("wid", "window").distinct()
     length = F.size("window")
     # The sizes of shingles: the usual one, and those of windows that are shorter.
     sizes = sorted({r[0] for r in distinct.select(F.least(length, F.lit(shingle))).distinct().collect()})
+    nothing = docs.limit(0).select(*row_keys(key, text), F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit(0).cast("long").alias("wid"))
+    if not sizes:
+        return nothing, windows
     each = [
-        distinct.filter((length >= shingle) if s == shingle else (length == s)).select("wid", "window", F.posexplode(shingles("window", s, length - s)).alias("off", "token"))
+        distinct.filter((length >= shingle) if s == shingle else (length == s)).select("wid", length.alias("length"), F.posexplode(shingles("window", s, length - s)).alias("off", "token"))
         for s in sizes
     ]
-    texts = docs.select(*row_keys(key, text), words_of(F.col(text)).alias("words")).filter(F.size("words") > 0)
-    seen = [texts.select("_k1", "_k2", "words", F.posexplode(shingles("words", s, F.size("words") - 1)).alias("pos", "token")) for s in sizes]
-    if not sizes:
-        return docs.limit(0).select(*row_keys(key, text), F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit(0).cast("long").alias("wid")), windows
     tokens = materialize(union(each), "tokens")
-    rarity = union([s.select("token").join(b, "token") for b in blocks(tokens.select("token").distinct(), "token", most_broadcast) for s in seen])
-    rarity = materialize(rarity.groupBy("token").agg(F.count("*").alias("n")), "rarity")
+    texts = docs.select(*row_keys(key, text), words_of(F.col(text)).alias("words"))
+    # The outer form: for the inner one Spark infers a filter on the array and computes the words anew for each of its places.
+    told = [texts.filter(F.size("words") >= s).select("_k1", "_k2", shingles("words", s, F.size("words") - s).alias("tokens"), F.size("words").alias("n_words")) for s in sizes]
+    seen = [t.select("_k1", "_k2", "n_words", F.posexplode_outer("tokens").alias("pos", "token")) for t in told]
+    places = union([s.join(b, "token") for b in blocks(tokens.select("token").distinct(), "token", most_broadcast) for s in seen])
+    places = materialize(places.distinct(), "places")
+    rarity = places.groupBy("token").agg(F.count("*").alias("n"))
     # The prefix: the rarest shingle of each window, unless one does not occur at all.
     ranked = tokens.join(rarity, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    prefix = ranked.groupBy("wid", "window").agg(F.min_by(F.struct("token", "off"), F.struct("n", "token", "off")).alias("p"), F.min("n").alias("n")).filter("n > 0")
-    prefix = materialize(prefix.select("wid", "window", F.size("window").alias("length"), "p.token", "p.off"), "prefix")
+    prefix = ranked.groupBy("wid", "length").agg(F.min_by(F.struct("token", "off"), F.struct("n", "token", "off")).alias("p"), F.min("n").alias("n"), F.count("*").alias("n_tokens")).filter("n > 0")
+    prefix = materialize(prefix.select("wid", "length", "n_tokens", "p.token", "p.off"), "prefix")
     begin = F.col("pos") - F.col("off")
-    found = []
-    for b in blocks(prefix, "token", most_broadcast // 4):
-        for s in seen:
-            near = s.join(b, "token").filter((begin >= 0) & (begin + F.col("length") <= F.size("words")))
-            same = near.filter(F.slice(F.col("words"), begin + 1, F.col("length")) == F.col("window"))
-            found.append(same.select("_k1", "_k2", begin.alias("start"), "length", "wid"))
-    if not found:
-        return docs.limit(0).select(*row_keys(key, text), F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit(0).cast("long").alias("wid")), windows
-    return union(found), windows
+    near = [places.join(b, "token").filter((begin >= 0) & (begin + F.col("length") <= F.col("n_words"))).select("_k1", "_k2", begin.alias("start"), "length", "wid", "n_tokens") for b in blocks(prefix, "token", most_broadcast)]
+    if not near:
+        return nothing, windows
+    near = materialize(union(near), "candidates")
+    # Exact containment: each of the window's shingles, at its own place.
+    spread = union([near.join(b, "wid").select("_k1", "_k2", "start", "length", near.wid, "n_tokens", (F.col("start") + F.col("off")).alias("pos"), "token") for b in blocks(tokens.select("wid", "off", "token"), "wid", most_broadcast)])
+    met = spread.join(places.select("_k1", "_k2", "pos", "token"), ["_k1", "_k2", "pos", "token"])
+    whole = met.groupBy("_k1", "_k2", "start", "length", "wid", "n_tokens").agg(F.count("*").alias("n")).filter("n = n_tokens")
+    return whole.select("_k1", "_k2", "start", "length", "wid"), windows
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, shingle: int = 3, share: int = 20, most_broadcast: int = 1_000_000) -> DataFrame:
