@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .tables import written
+
 
 def distance_stats(rows: DataFrame, value: str, *by: str) -> DataFrame:
     """Mean, maximum, population deviation, median, 95th and 99th percentile (interpolated), rounded to 6; zeros without rows."""
@@ -44,14 +46,15 @@ def nearest(points: DataFrame, targets: DataFrame, axes: list[str], point_id: st
 
     An equi-join on grid cells finds what lies within one cell's width. Points
     without a target so near go on to cells of twice the width, until all have
-    one; each round keeps only what is left.
+    one; each round keeps only what is left. Rows without finite coordinates
+    take no part; without targets there are no rows.
     """
-    from plyforge.operators.tables import written
-
-    spark, todo, found, width = points.sparkSession, points.select(F.col(point_id).alias("_p"), *axes), [], float(cell)
-    targets = targets.select(F.col(target_id).alias("_t"), *[F.col(a).alias(f"_{a}") for a in axes])
+    found, width = [], float(cell)
+    finite = lambda df, of: df.filter(" and ".join(f"{of}{a} > double('-infinity') and {of}{a} < double('infinity')" for a in axes))
+    todo = finite(points.select(F.col(point_id).alias("_p"), *axes), "")
+    targets = finite(targets.select(F.col(target_id).alias("_t"), *[F.col(a).alias(f"_{a}") for a in axes]), "_")
     if targets.isEmpty():
-        return spark.createDataFrame([], f"{point_id} {points.schema[point_id].dataType.simpleString()}, {target_id} {points.sparkSession.createDataFrame([], targets.schema).schema['_t'].dataType.simpleString()}, distance double")
+        return todo.limit(0).crossJoin(targets.limit(0)).select(F.col("_p").alias(point_id), F.col("_t").alias(target_id), F.lit(0.0).alias("distance"))
     while True:
         at = [F.floor(F.col(a) / width).alias(f"_c{a}") for a in axes]
         around = F.array(*[F.lit(float(i)) for i in (-1, 0, 1)])

@@ -105,7 +105,7 @@ def test_hausdorff_properties(spark):
 def test_nearest_far_and_near(spark):
     rng = np.random.default_rng(2)
     p, t = rng.normal(size=(40, 2)) * 10, rng.normal(size=(15, 2))
-    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(p)], "pid int, x double, y double")
+    points = spark.createDataFrame([*((i, float(x), float(y)) for i, (x, y) in enumerate(p)), (98, None, 0.0), (99, 0.0, math.nan)], "pid int, x double, y double")
     targets = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(t)], "tid int, x double, y double")
     got = {r.pid: (r.tid, r.distance) for r in compare.nearest(points, targets, ["x", "y"], "pid", "tid", 0.5).collect()}
     gap = np.linalg.norm(p[:, None] - t[None], axis=2)
