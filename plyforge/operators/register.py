@@ -124,6 +124,38 @@ def align_from_starts(source: DataFrame, target: DataFrame, step_degrees: int =
     return starts.mapInPandas(run, "angle long, error double, iterations int, converged boolean, matrix array<array<double>>")
 
 
+def align_pairs_from_starts(points: DataFrame, step_degrees: int = 15, most: int = 50, tolerance: float = 0.001, constrain_z: bool = False) -> DataFrame:
+    """(cloud, angle, error, iterations, converged, matrix): the best closest-point run of each cloud onto the next.
+
+    points: cloud (a whole number), vid, x, y, z. A cloud is a row of arrays, so
+    it has to fit a task; the driver gets none. Each (pair, start) is a row of
+    its own. Points without finite coordinates or a cloud take no part, and a
+    cloud without a next one gives no row.
+    """
+    finite = points.filter("cloud is not null and abs(x) < double('inf') and abs(y) < double('inf') and abs(z) < double('inf')")
+    clouds = finite.groupBy("cloud").agg(F.array_sort(F.collect_list(F.struct("vid", "x", "y", "z"))).alias("p"))
+    flat = lambda name: [F.col("p")[a].alias(f"{name}{a}") for a in "xyz"]
+    pairs = clouds.select("cloud", *flat("s")).join(clouds.select((F.col("cloud") - 1).alias("cloud"), *flat("t")), "cloud")
+    starts = pairs.withColumn("angle", F.explode(F.expr(f"sequence(0L, 359L, {int(step_degrees)}L)"))).repartition("cloud", "angle")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples(index=False):
+                src, dst = np.column_stack([r.sx, r.sy, r.sz]).astype(float), np.column_stack([r.tx, r.ty, r.tz]).astype(float)
+                center, c, s = src.mean(axis=0), math.cos(math.radians(r.angle)), math.sin(math.radians(r.angle))
+                start = np.eye(4)
+                start[:2, :2] = [[c, -s], [s, c]]
+                start[:3, 3] = center - start[:3, :3] @ center
+                m, errors, settled = icp(moved(src, start), dst, most, tolerance, constrain_z)
+                rows.append((r.cloud, r.angle, errors[-1], len(errors) - 1, settled, (m @ start).tolist()))
+            yield pd.DataFrame(rows, columns=["cloud", "angle", "error", "iterations", "converged", "matrix"])
+
+    runs = starts.mapInPandas(run, "cloud long, angle long, error double, iterations int, converged boolean, matrix array<array<double>>")
+    best = F.min_by(F.struct("angle", "error", "iterations", "converged", "matrix"), F.struct("error", "angle"))
+    return runs.groupBy("cloud").agg(best.alias("best")).select("cloud", "best.*")
+
+
 def best_alignment(runs: DataFrame) -> DataFrame:
     """The run of the least error, of the lowest angle on ties."""
     return runs.agg(F.min_by(F.struct(*runs.columns), F.struct("error", "angle")).alias("best")).select("best.*")

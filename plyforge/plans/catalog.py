@@ -233,11 +233,11 @@ def rigid_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def icp_multistart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """24 closest-point runs between two polygons stacked as clouds, and the best of them."""
-    p = views.polygons(spark, sf_dir)
-    cloud = lambda vec: p.filter(F.col("vec_id").between(vec, vec + 3)).select("vec_id", F.posexplode("points").alias("k", "p")).select((F.col("vec_id") * 32 + F.col("k")).alias("vid"), F.col("p.x").alias("x"), F.col("p.y").alias("y"), (F.col("vec_id") % 4 * 0.1).alias("z"))
-    best = register.best_alignment(register.align_from_starts(cloud(0), cloud(4)))
-    return best.select("angle", F.round("error", 6).alias("error"), "iterations", "converged")
+    """Every four consecutive polygons stacked as a cloud: the best of 24 closest-point runs of each cloud onto the next."""
+    p = views.polygons(spark, sf_dir).select("vec_id", F.posexplode("points").alias("k", "p"))
+    points = p.select(F.expr("cast(floor(vec_id / 4) as long)").alias("cloud"), (F.col("vec_id") * 32 + F.col("k")).alias("vid"), F.col("p.x").alias("x"), F.col("p.y").alias("y"), (F.pmod("vec_id", F.lit(4)) * 0.1).alias("z"))
+    best = register.align_pairs_from_starts(points)
+    return best.select("cloud", "angle", F.round("error", 6).alias("error"), "iterations", "converged")
 
 
 # ---- pixels and voxels

@@ -153,6 +153,24 @@ def test_registration(spark):
     assert register.prealign(cloud(a), cloud(a * [2, 2, 1]))[:2] == (2.0, 1.0)
 
 
+def test_every_pair_of_clouds_is_aligned(spark, tmp_path):
+    from plyforge.plans import catalog
+
+    rng = np.random.default_rng(6)
+    vectors = [(i, [float(v) for v in rng.normal(size=64)]) for i in range(18)]
+    vectors[17] = (17, None)
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.cloud: r for r in catalog.QUERIES["icp_multistart"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == [0, 1, 2, 3]  # the fifth cloud has one polygon and no next cloud
+
+    def cloud(c):
+        return spark.createDataFrame([(32 * i + k, *map(float, np.float32(v[2 * k : 2 * k + 2])), i % 4 * 0.1) for i, v in vectors if v and i // 4 == c for k in range(32)], "vid long, x double, y double, z double")
+
+    for c in (1, 3):
+        want = register.best_alignment(register.align_from_starts(cloud(c), cloud(c + 1))).first()
+        assert abs(got[c].error - want.error) < 1e-5
+
+
 def test_score(spark):
     parts = spark.createDataFrame([(90.0, 100.0, 60.0, 8, 10), (0.0, 0.0, 0.0, 1, 0)], "dimensional double, layer double, anomaly double, n_processed int, n_expected int")
     got = [(round(r.score, 6), r.grade) for r in score.quality(parts).orderBy(F.desc("score")).collect()]
