@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plyforge.operators.tables import shared_folder
 
@@ -135,3 +135,16 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def small(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     """A DataFrame of few rows that the driver has."""
     return spark.createDataFrame(rows, schema)
+
+
+def join_by_key(rows: DataFrame, about: DataFrame, key: str, n: str, total: int, least: int = 1000, most_hot: int = 50_000) -> DataFrame:
+    """rows joined to about (one row a key, with the number n of the key's rows; n goes) without a task that one key fills.
+
+    Keys of over max(least, total / most_hot) rows are hot. As no more than
+    most_hot keys can be, their part of `about` is broadcast and their rows
+    stay where they are; only the rows of other keys are shuffled.
+    """
+    bound = max(least, total // most_hot)
+    hot, cold = about.filter(F.col(n) > bound).drop(n), about.filter(F.col(n) <= bound).drop(n)
+    here = rows.join(F.broadcast(hot), key)
+    return here.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))

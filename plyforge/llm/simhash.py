@@ -8,11 +8,13 @@ sought only inside key groups that lose none: of 64 bits in r + 2 blocks, two
 fingerprints within r bits agree on two blocks at least. A group over a bound is
 dealt again by finer blocks of its free bits, so groups of copies of any size
 stay bounded, and a group gives links that span it rather than all its pairs.
+What is still large after that is dealt once more, down to 256 fingerprints.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -21,7 +23,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batches_of, materialize, runs, small, split_words, text_column, utf8
+from .common import batches_of, join_by_key, materialize, runs, small, split_words, text_column, utf8
 from .components import components
 
 BIT = (np.uint64(1) << np.arange(64, dtype=np.uint64))[None, :]
@@ -170,17 +172,25 @@ def links(fps: DataFrame, radius: int = 2, pivots: int = 16, max_group: int = 10
 
     fps: distinct fp. The links' graph has the components of the graph of all
     pairs within the radius. Groups over max_group are dealt by two blocks of
-    their free bits as well, which leaves 2 ** 16 fingerprints a group at most.
+    their free bits as well, as often as bits are left to deal by: at a radius
+    of two, 32, 16 and at last 8 bits are free, which is 256 fingerprints.
     """
-    spark, masks = fps.sparkSession, block_masks(list(range(64)), radius + 2)
-    finer = [(signed(m), signed(m | x)) for m in masks for x in block_masks([i for i in range(64) if not m >> i & 1], radius + 2)]
-    bits = F.col("fp").bitwiseAND(F.col("mask"))
-    keyed = fps.withColumn("mask", F.explode(F.array(*[F.lit(signed(m)) for m in masks]))).withColumn("bits", bits)
-    sizes = keyed.groupBy("mask", "bits").agg(F.count("*").alias("n")).filter("n > 1")
-    keyed = materialize(keyed.join(sizes, ["mask", "bits"]), "keyed")
-    large = keyed.filter(F.col("n") > max_group).join(F.broadcast(small(spark, finer, "mask long, finer long")), "mask")
-    large = large.select("fp", F.col("finer").alias("mask"), F.col("fp").bitwiseAND(F.col("finer")).alias("bits"))
-    groups = pivot_table(keyed.filter(F.col("n") <= max_group).select("fp", "mask", "bits").unionByName(large), pivots)
+    spark, blocks = fps.sparkSession, radius + 2
+    masks, done = block_masks(list(range(64)), blocks), []
+    keyed = fps.withColumn("mask", F.explode(F.array(*[F.lit(signed(m)) for m in masks])))
+    while True:
+        keyed = keyed.withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
+        sizes = keyed.groupBy("mask", "bits").agg(F.count("*").alias("n")).filter("n > 1")
+        finer = [(signed(m), signed(m | x)) for m in masks if 64 - m.bit_count() > blocks for x in block_masks([i for i in range(64) if not m >> i & 1], blocks) if 64 - (m | x).bit_count() >= 8]
+        keyed = materialize(keyed.join(sizes, ["mask", "bits"]), "keyed")
+        large = keyed.filter(F.col("n") > max_group)
+        if not finer or large.isEmpty():
+            done.append(keyed)
+            break
+        done.append(keyed.filter(F.col("n") <= max_group))
+        keyed = large.join(F.broadcast(small(spark, finer, "mask long, finer long")), "mask").select("fp", F.col("finer").alias("mask")).distinct()
+        masks = sorted({f & (1 << 64) - 1 for _, f in finer})
+    groups = pivot_table(reduce(DataFrame.unionByName, done).select("fp", "mask", "bits"), pivots)
     groups = groups.repartition("mask", "bits") if parts is None else groups.repartition(parts, "mask", "bits")
     return groups.sortWithinPartitions("mask", "bits", "fp").mapInArrow(lambda x: sorted_links(x, radius), "a long, b long").distinct()
 
@@ -192,14 +202,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     have fingerprint zero, linked like any other; texts of fewer words than a
     shingle are one shingle. Rows of equal or null key each give a row; null
     keys are never a component's id unless it has no other. An empty table
-    gives no rows; other columns are not carried.
+    gives no rows; other columns are not carried. Rows of a fingerprint that
+    very many share are not gathered in one task.
     """
     with batches_of(docs.sparkSession):
         rows = materialize(with_fingerprint(docs, key, text, width), "fingerprints")
-    each = materialize(rows.groupBy("fp").agg(F.min("key").alias("least")), "distinct")
+    each = materialize(rows.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("n")), "distinct")
     roots = materialize(components(links(each.select("fp"), radius, pivots)), "roots")
     linked = each.join(roots, each.fp == roots.node).select("fp", "root", "least")
     by_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = each.join(linked.select("fp", "root").join(by_root, "root"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    of_fp = each.join(linked.select("fp", "root").join(by_root, "root"), "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id"))
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return rows.join(of_fp, "fp").select(F.col("key").alias(key), shown.alias("fingerprint"), "component_id")
+    return join_by_key(rows, of_fp, "fp", "n", rows.count()).select(F.col("key").alias(key), shown.alias("fingerprint"), "component_id")

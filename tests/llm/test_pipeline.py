@@ -77,3 +77,11 @@ def test_null_ids_are_kept_apart(spark):
     docs = spark.createDataFrame([(None, "one two three four", "en", "s", 1), (None, "other words are here now", "en", "s", 1), (None, "one two three four", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     assert corpus_pipeline.near_duplicates(spark, docs, "").count() == 2
     assert {r.component_id for r in simhash.near_duplicates(docs).collect()} == {None}
+
+
+def test_unlike_texts_of_one_id_both_stay(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(5, a, "en", "s", 1), (5, b, "en", "s", 1), (5, b, "en", "s", 1), (7, b + " more", "en", "s", 2), (None, a, "en", "s", 1), (9, None, None, None, None), (3, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert got == [(3, ""), (5, a), (5, b)]

@@ -76,3 +76,42 @@ def test_large_group_agrees_with_small_path():
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).collect() == []
+
+
+def test_a_fingerprint_that_half_the_rows_share(spark):
+    texts = ["hot words that very many rows share"] * 1300 + [f"own words {i} of row {i * 7}" for i in range(1200)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = simhash.near_duplicates(docs)
+    rows = {r.doc_id: r for r in got.collect()}
+    assert len(rows) == len(texts) and {rows[i].component_id for i in range(1300)} == {0} and rows[2501].component_id == 2500
+    fps = [brute_fingerprint(t) for t in [texts[0], *texts[1300:]]]
+    ids = [0, *range(1300, len(texts))]
+    assert [rows[i].component_id for i in ids] == brute_components(fps, ids)
+
+
+def test_join_by_key_splits_hot_keys(spark):
+    from pyspark.sql import functions as F
+
+    from plyforge.llm.common import join_by_key
+
+    rows = spark.range(3000).select("id", F.when(F.col("id") < 2000, 1).otherwise(F.col("id")).alias("k"))
+    about = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("m"))
+    got = {r.id: r.m for r in join_by_key(rows, about, "k", "n", 3000).collect()}
+    assert got == {i: 1999 if i < 2000 else i for i in range(3000)}
+
+
+def test_a_large_group_is_dealt_down(spark):
+    fps = [(i << 3) & 0xFFFF | 0x5A5A << 40 for i in range(8192)]  # all share 48 bits
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    pairs = simhash.links(df, max_group=200).collect()
+    parent = {f: f for f in fps}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for r in pairs:
+        parent[root(r.a)] = root(r.b)
+    assert len({root(f) for f in fps}) == 1 and all((r.a ^ r.b).bit_count() <= 2 for r in pairs)
