@@ -49,21 +49,33 @@ def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-def write_file(uri: str, parts) -> int:
-    """Write byte pieces under a temporary name, then move it into place.
+class FileStream:
+    """Write byte pieces under a temporary name; close() moves the file into place.
 
     Tasks that run twice write the same bytes; the last move wins.
     """
-    store, path = open_fs(uri)
-    store.create_dir(path.rpartition("/")[0], recursive=True)
-    part = f"{path}.{uuid.uuid4().hex[:8]}.part"
-    size = 0
-    with store.open_output_stream(part, compression=None) as out:
-        for x in parts:
-            x = memoryview(x).cast("B") if not isinstance(x, bytes) else x
-            out.write(x)
-            size += len(x)
-    store.move(part, path)
+
+    def __init__(self, uri: str):
+        self.store, self.path = open_fs(uri)
+        self.store.create_dir(self.path.rpartition("/")[0], recursive=True)
+        self.part = f"{self.path}.{uuid.uuid4().hex[:8]}.part"
+        self.out = self.store.open_output_stream(self.part, compression=None)
+
+    def write(self, x) -> int:
+        x = memoryview(x).cast("B") if not isinstance(x, bytes) else x
+        self.out.write(x)
+        return len(x)
+
+    def close(self) -> None:
+        self.out.close()
+        self.store.move(self.part, self.path)
+
+
+def write_file(uri: str, parts) -> int:
+    """A file of byte pieces, and its size."""
+    out = FileStream(uri)
+    size = sum(out.write(x) for x in parts)
+    out.close()
     return size
 
 

@@ -2,17 +2,21 @@
 
 Layout of a run's folder:
 
-shard-NNNNN.ids  magic, type size, documents, tokens (five little-endian
-                 unsigned 64-bit numbers with the first document's rank); the
-                 documents' keys (int64); their n + 1 offsets (int64, in ids);
-                 then nothing but ids, uint16 or uint32.
-index-NNNNN.mph  one partition of the index, dealt by the keys' hash: levels of
-                 a bit array (each key takes the first level where its slot is
-                 its own), the number of set bits before each 64-bit word, and
-                 in slot order a 32-bit fingerprint, shard, place and row count.
-
-A key's slot is the rank of its bit, so a lookup costs a few hashes and one
-range read of the shard. A stranger is told by its fingerprint.
+shard-PPPPP-NNNN.ids   nothing but little-endian ids, uint16 or uint32 as the
+                       vocabulary needs, of documents in ascending key order.
+shard-PPPPP-NNNN.keys  its table: magic, type size, documents, ids, documents
+                       of null key (five unsigned 64-bit numbers); the keys
+                       (int64) and their n + 1 offsets (int64, in ids).
+index-PPPPP.mph        one partition of the index, dealt by the keys' hash:
+                       levels of a bit array (each key takes the first level
+                       where its slot is its own), the number of set bits before
+                       each 64-bit word, and in slot order a 32-bit fingerprint,
+                       shard, place and row count.
+
+PPPPP is a key range, NNNN counts the files that its task filled, so a range of
+many or long documents costs more files and no more memory. A key's slot is the
+rank of its bit, so a lookup costs a few hashes and one range read of each shard
+that has rows of the key. A stranger is told by its fingerprint.
 """
 
 from __future__ import annotations
@@ -22,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import batches_of, map_file, read_range, runs, text_column, write_file
+from .common import FileStream, batches_of, map_file, runs, write_file
 from .tokens import encoder, with_end
 
 MAGIC = 0x5349474D41544B31
@@ -77,20 +82,55 @@ class PerfectHash:
         return out
 
 
-def write_shard(path: str, keys: np.ndarray, ids: list[bytes], unit: int) -> None:
-    counts = np.fromiter((len(x) // unit for x in ids), np.int64, len(ids))
-    ends = np.concatenate([[0], np.cumsum(counts)]).astype("<i8")
-    head = np.array([MAGIC, unit, len(keys), ends[-1], 0], "<u8")
-    write_file(path, [head, keys.astype("<i8"), ends, *ids])
-
-
-def read_table(path: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """A shard's unit, keys and offsets; the payload stays on disk."""
-    magic, unit, n, _, _ = np.frombuffer(read_range(path, 0, 8 * HEAD), "<u8").tolist()
-    if magic != MAGIC:
-        raise ValueError(f"{path} is no shard of token ids")
-    table = np.frombuffer(read_range(path, 8 * HEAD, 8 * (2 * n + 1)), "<i8")
-    return unit, table[:n], table[n:]
+class ShardWriter:
+    """Fills shard files one after another as documents arrive; about part_bytes of ids or part_docs documents each."""
+
+    def __init__(self, path: str, partition: int, unit: int, part_bytes: int, part_docs: int):
+        self.path, self.partition, self.unit, self.part_bytes, self.part_docs = path, partition, unit, part_bytes, part_docs
+        self.part, self.made, self.out = 0, [], None
+
+    def name(self) -> str:
+        return f"shard-{self.partition:05d}-{self.part:04d}"
+
+    def add(self, keys: pa.Array, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Documents' keys, all ids in a row, and each document's number of ids."""
+        done = 0
+        while done < len(counts):
+            if self.out is None:
+                self.out = FileStream(f"{self.path}/{self.name()}.ids")
+                self.keys, self.counts, self.n_docs, self.n_null, self.n_ids = [], [], 0, 0, 0
+            room = max(1, self.part_bytes // self.unit - self.n_ids)
+            ends = np.cumsum(counts[done:])
+            n = min(max(1, int(np.searchsorted(ends, room, side="right"))), self.part_docs - self.n_docs)
+            size = int(ends[n - 1])
+            self.out.write(ids[:size].astype(f"<u{self.unit}").tobytes())
+            part = keys[done : done + n]
+            self.keys.append(pc.fill_null(part, 0).to_numpy(zero_copy_only=False))
+            self.counts.append(counts[done : done + n])
+            self.n_null += part.null_count
+            self.n_docs, self.n_ids, ids, done = self.n_docs + n, self.n_ids + size, ids[size:], done + n
+            if self.n_docs >= self.part_docs or self.n_ids * self.unit >= self.part_bytes:
+                self.close()
+
+    def close(self) -> None:
+        if self.out is None:
+            return
+        self.out.close()
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(self.counts))]).astype("<i8")
+        head = np.array([MAGIC, self.unit, self.n_docs, self.n_ids, self.n_null], "<u8")
+        write_file(f"{self.path}/{self.name()}.keys", [head, np.concatenate(self.keys).astype("<i8"), ends])
+        self.made.append((self.partition, self.part, self.n_docs, self.n_null, self.n_ids))
+        self.part, self.out = self.part + 1, None
+
+
+def read_table(path: str) -> tuple[int, np.ndarray, np.ndarray, int]:
+    """A shard's unit, keys, offsets and number of null keys, which are the last ones."""
+    raw = map_file(path, "<u8")
+    if len(raw) < HEAD or raw[0] != MAGIC:
+        raise ValueError(f"{path} is no table of token ids")
+    unit, n, _, n_null = raw[1:HEAD].tolist()
+    table = raw[HEAD:].view("<i8")
+    return unit, table[:n], table[n : 2 * n + 1], n_null
 
 
 def write_index(path: str, keys: np.ndarray, shard: np.ndarray, place: np.ndarray, count: np.ndarray) -> None:
@@ -136,104 +176,107 @@ def key_part(keys: np.ndarray, parts: int) -> np.ndarray:
     return (mix(keys, 31) % np.uint64(parts)).astype(np.int32)
 
 
+def type_size(tokenizer: str, end_id: int) -> int:
+    """Bytes that the vocabulary's largest id, or the end's, takes: 2 or 4."""
+    from tokenizers import Tokenizer
+
+    largest = max(end_id, *Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values())
+    return 2 if largest < 1 << 16 else 4
+
+
 class TokenStore:
     """The files of one run: write(), then rows() or get()."""
 
-    def __init__(self, spark: SparkSession, path: str, shards: int, parts: int, starts: list[int]):
-        self.spark, self.path, self.shards, self.parts, self.starts = spark, path, shards, parts, starts
+    def __init__(self, spark: SparkSession, path: str, made: list[tuple[int, int, int, int, int]], parts: int):
+        """made: (partition, part, documents, documents of null key, ids) of the shards, in order."""
+        self.spark, self.path, self.parts = spark, path, parts
+        self.names = [f"{path}/shard-{p:05d}-{k:04d}" for p, k, *_ in made]
+        self.n_docs, self.n_null = (np.array([m[i] for m in made], np.int64) for i in (2, 3))
+        self.starts = np.concatenate([[0], np.cumsum([m[4] for m in made])]).astype(np.int64)
 
     @classmethod
-    def write(cls, docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 1, shards: int | None = None, docs_a_shard: int = 20_000, ids_under: int = 65_536, spaced: bool = True) -> TokenStore:
+    def write(
+        cls, docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 1, ranges: int | None = None,
+        part_bytes: int = 128 << 20, part_docs: int = 200_000, keys_a_part: int = 500_000, spaced: bool = True,
+    ) -> TokenStore:
         """Encode all texts, append the end id and write shards in ascending key order.
 
-        Shards are key ranges at approximate quantiles of the keys; only these
-        bounds and one row a shard reach the driver. Null texts are empty, null
-        keys are refused, and rows of one key lie side by side in the order of
-        their ids. A key that fills several shards' share makes one long shard,
-        written in a stream of batches.
+        Rows are dealt into ranges of (key, hash of the text, place in the
+        input), so a key of very many rows spans several ranges; each range is
+        sorted by Spark and encoded as a stream, which holds one batch at a
+        time. Only the numbers of each file reach the driver. Null texts are
+        empty. Rows of null key lie behind all others and outside the index;
+        rows() has them, get() can't name them. Rows of one key lie side by
+        side in the order of their texts' hashes. An empty table gives a store
+        of no files. Other columns are not read.
         """
-        spark = docs.sparkSession
-        unit = 2 if ids_under <= 65_536 else 4
-        rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-        n = docs.count()
-        shards = shards or max(1, -(-n // docs_a_shard))
-        bounds = rows.agg(F.percentile_approx("key", [i / shards for i in range(1, shards)] or [0.5], 20 * shards + 1000)).first()[0] or []
-        bounds = sorted(set(bounds)) if shards > 1 else []
-
-        def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            enc = encoder(tokenizer, spaced)
-            for batch in batches:
-                keys = batch.column(0)
-                if keys.null_count:
-                    raise ValueError("a key is null")
-                texts = text_column(batch, "text")
-                for a, b in runs(texts, 6 << 20):
-                    flat, ends = with_end(*enc.encode(texts[a:b]), end_id)
-                    raw = flat.astype(f"<u{unit}").tobytes()
-                    part = keys[a:b]
-                    shard = np.searchsorted(np.array(bounds, np.int64), part.to_numpy(), side="left")
-                    cut = (ends * unit).tolist()
-                    ids = [raw[x:y] for x, y in zip(cut, cut[1:], strict=False)]
-                    yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), part, pa.array(ids, pa.binary())], ["shard", "key", "ids"])
+        spark, unit = docs.sparkSession, type_size(tokenizer, end_id)
+        rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+        n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+        # 16 MB of text a range, more where there would be over 2000 ranges, 256 MB at most
+        ranges = ranges or max(1, -(-size // min(max(16 << 20, size // 2000), 256 << 20)), -(-n // 1_000_000))
 
         def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys, ids = [np.empty(0, np.int64)], []
+            enc, out = encoder(tokenizer, spaced), ShardWriter(path, TaskContext.get().partitionId(), unit, part_bytes, part_docs)
             for batch in batches:
-                keys.append(batch.column(1).to_numpy())
-                ids.extend(batch.column(2).to_pylist())
-            keys, shard = np.concatenate(keys), TaskContext.get().partitionId()
-            write_shard(f"{path}/shard-{shard:05d}.ids", keys, ids, unit)
-            yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([len(keys)]), pa.array([sum(map(len, ids)) // unit])], ["shard", "n_docs", "n_tokens"])
-
-        dealt = rows.mapInArrow(encode, "shard int, key long, ids binary").repartitionById(shards, "shard").sortWithinPartitions("key", "ids")
-        with batches_of(spark):
-            made = {r[0]: r[2] for r in dealt.mapInArrow(store, "shard long, n_docs long, n_tokens long").collect()}
-        starts = [0]
-        for s in range(shards):
-            if s not in made:  # Spark runs no task over nothing
-                write_shard(f"{path}/shard-{s:05d}.ids", np.empty(0, np.int64), [], unit)
-            starts.append(starts[-1] + made.get(s, 0))
-        out = cls(spark, path, shards, max(1, shards // 4), starts)
+                texts = batch.column(1)
+                for a, b in runs(texts, 6 << 20):
+                    flat, ends = with_end(*enc.encode(texts[a:b]), end_id)
+                    out.add(batch.column(0)[a:b], flat, np.diff(ends))
+            out.close()
+            names = ["range", "part", "n_docs", "n_null", "n_ids"]
+            yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in out.made], pa.int64()) for i in range(5)], names)
+
+        order = [F.col("key").asc_nulls_last(), F.xxhash64("text"), F.col("place")]
+        dealt = rows.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("key", "text")
+        with batches_of(spark, 1000):
+            made = dealt.mapInArrow(store, "range long, part long, n_docs long, n_null long, n_ids long").collect()
+        made = sorted({(r.range, r.part): tuple(r) for r in made}.values())
+        out = cls(spark, path, made, max(1, -(-n // keys_a_part)))
         out._write_index()
         return out
 
+    def _shards(self, chosen: np.ndarray) -> DataFrame:
+        """(shard, name) of the chosen shards, a task each up to 10,000."""
+        rows = [(int(s), self.names[s]) for s in chosen]
+        return self.spark.createDataFrame(rows, "shard long, name string").repartition(max(1, min(len(rows), 10_000)))
+
     def _keys(self) -> DataFrame:
-        """(shard, place, key, start, n_docs) of the first row of each key, from the shards' tables."""
-        path, starts = self.path, self.starts
+        """(shard, place, key, n_docs, part) of the first row of each key in each shard, from the shards' tables."""
+        parts = self.parts
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for shard in batch.column(0).to_pylist():
-                    _, keys, _ = read_table(f"{path}/shard-{shard:05d}.ids")
-                    distinct, first, count = np.unique(keys, return_index=True, return_counts=True)
+                for shard, name in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    _, keys, _, n_null = read_table(f"{name}.keys")
+                    distinct, first, count = np.unique(keys[: len(keys) - n_null], return_index=True, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(distinct), shard)), pa.array(first), pa.array(distinct), pa.array(count), pa.array(key_part(distinct, parts))], ["shard", "place", "key", "n_docs", "part"])
 
-        parts = self.parts
-        return self._shard_rows().mapInArrow(run, "shard long, place long, key long, n_docs long, part int")
-
-    def _shard_rows(self) -> DataFrame:
-        return self.spark.range(self.shards, numPartitions=self.shards).select(F.col("id").alias("shard"))
+        return self._shards(np.arange(len(self.names))).mapInArrow(run, "shard long, place long, key long, n_docs long, part int")
 
     def _write_index(self) -> None:
+        """Each partition's keys by their first shard and place there, and the rows that they have in all."""
         path = self.path
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = [b for b in batches if b.num_rows]
-            cols = [np.concatenate([b.column(i).to_numpy() for b in t]) if t else np.empty(0, np.int64) for i in range(4)]
+            shard, place, keys, count = (np.concatenate([b.column(i).to_numpy() for b in t]) if t else np.empty(0, np.int64) for i in range(4))
+            order = np.lexsort((shard, keys))
+            keys, shard, place, count = keys[order], shard[order], place[order], count[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
             part = TaskContext.get().partitionId()
-            write_index(f"{path}/index-{part:05d}.mph", cols[2], cols[0], cols[1], cols[3])
+            write_index(f"{path}/index-{part:05d}.mph", keys[first], shard[first], place[first], np.add.reduceat(count, first) if len(keys) else count)
             yield pa.RecordBatch.from_arrays([pa.array([part])], ["part"])
 
-        # Shards are key ranges, so a key is in one shard only.
         made = {r[0] for r in self._keys().repartitionById(self.parts, "part").mapInArrow(run, "part long").collect()}
         for p in set(range(self.parts)) - made:
             write_index(f"{path}/index-{p:05d}.mph", *[np.empty(0, np.int64)] * 4)
 
     def get(self, keys: DataFrame, key: str = "doc_id", with_ids: bool = True) -> DataFrame:
-        """(key, row, start, n_tokens, ids_crc32, ids) of the given keys' rows; keys that the store lacks give none.
+        """(key, row, start, n_tokens, ids_crc32, ids) of the given keys' rows; keys that the store lacks, and null ones, give none.
 
         The keys go to their index partition, which names shard and place, and
-        then to the shard, where one range read of each key's ids follows.
+        then to the shards, where one range read of each key's ids follows.
         """
         parts = self.parts
 
@@ -242,46 +285,78 @@ class TokenStore:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key_part(batch.column(0).to_numpy(), parts))], ["key", "part"])
 
         wanted = keys.select(F.col(key).cast("long").alias("key")).filter("key is not null")
-        return self._fetch(wanted.mapInArrow(place_keys, "key long, part int"), key, with_ids)
+        return self._fetch(self._look_up(wanted.mapInArrow(place_keys, "key long, part int")), key, with_ids)
 
-    def _fetch(self, wanted: DataFrame, key: str, with_ids: bool) -> DataFrame:
-        """The rows of the keys in wanted (key, part)."""
-        path, starts, parts = self.path, self.starts, self.parts
+    def _look_up(self, wanted: DataFrame) -> DataFrame:
+        """(key, shard, place, row, n_docs) for the keys in wanted (key, part): a row for each shard that has rows of the key."""
+        path, here = self.path, self.n_docs - self.n_null
 
-        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = None
             for batch in batches:
                 index = index or Index(f"{path}/index-{TaskContext.get().partitionId():05d}.mph")
-                wanted = batch.column(0).to_numpy()
-                known, shard, place, count = index.find(wanted)
-                yield pa.RecordBatch.from_arrays([pa.array(wanted[known]), pa.array(shard[known].astype(np.int32)), pa.array(place[known]), pa.array(count[known])], ["key", "shard", "place", "n_docs"])
+                keys = batch.column(0).to_numpy()
+                known, shard, place, left = index.find(keys)
+                keys, shard, place, left = keys[known], shard[known], place[known], left[known]
+                row = np.zeros(len(keys), np.int64)
+                while len(keys):
+                    n = np.minimum(left, here[shard] - place)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, shard, place, row, n)], ["key", "shard", "place", "row", "n_docs"])
+                    more = left > n
+                    keys, shard, left, row = keys[more], shard[more] + 1, (left - n)[more], (row + n)[more]
+                    place = np.zeros(len(keys), np.int64)
+
+        return wanted.repartitionById(self.parts, "part").mapInArrow(run, "key long, shard long, place long, row long, n_docs long")
+
+    def _fetch(self, found: DataFrame, key: str, with_ids: bool) -> DataFrame:
+        """The rows that found (key, shard, place, row, n_docs) names."""
+        names, starts = self.names, self.starts
 
         def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shard, unit, data = TaskContext.get().partitionId(), 0, None
-            name = f"{path}/shard-{shard:05d}.ids"
             for batch in batches:
-                if data is None:
-                    unit, held, ends = read_table(name)
-                    data, first = map_file(name, np.uint8), 8 * (HEAD + 2 * len(held) + 1)
-                wanted, place, count = (batch.column(i).to_numpy() for i in (0, 2, 3))
-                which = np.repeat(np.arange(len(wanted)), count)
-                row = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-                at = place[which] + row
-                same = held[at] == wanted[which]  # a stranger with a known fingerprint
-                which, row, at = which[same], row[same], at[same]
-                a, b = ends[at], ends[at + 1]
-                cuts = runs_of((b - a) * 4)
-                for x, y in zip(cuts, cuts[1:], strict=False):
-                    raw = [data[first + unit * m : first + unit * n] for m, n in zip(a[x:y].tolist(), b[x:y].tolist(), strict=True)]
-                    wide = [r.view(f"<u{unit}").astype("<u4").tobytes() for r in raw]
-                    sums = pa.array([zlib.crc32(w) for w in wide], pa.int64())
-                    ids = pa.array(wide if with_ids else [None] * len(wide), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(wanted[which[x:y]]), pa.array(row[x:y]), pa.array(a[x:y] + starts[shard]), pa.array(b[x:y] - a[x:y]), sums, ids], ["key", "row", "start", "n_tokens", "ids_crc32", "ids"])
-
-        found = wanted.repartitionById(parts, "part").mapInArrow(look_up, "key long, shard int, place long, n_docs long")
-        return found.repartitionById(self.shards, "shard").mapInArrow(fetch, "key long, row long, start long, n_tokens long, ids_crc32 long, ids binary").withColumnRenamed("key", key)
+                order = np.argsort(batch.column(1).to_numpy(), kind="stable")
+                keys, (shards, place, row, count) = batch.column(0).take(pa.array(order)), (batch.column(i).to_numpy()[order] for i in (1, 2, 3, 4))
+                edges = np.flatnonzero(np.concatenate([[True], shards[1:] != shards[:-1], [True]])) if len(shards) else []
+                for x, y in zip(edges, edges[1:], strict=False):
+                    yield from of_shard(int(shards[x]), keys[x:y], place[x:y], row[x:y], count[x:y])
+
+        def of_shard(shard: int, keys: pa.Array, place: np.ndarray, row: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+            unit, held, ends, _ = read_table(f"{names[shard]}.keys")
+            data = map_file(f"{names[shard]}.ids", f"<u{unit}")
+            for p in range(0, len(keys), 4096):  # requests in bounded numbers; each may stand for many rows
+                for which, at, nth in expand(place[p : p + 4096], count[p : p + 4096], row[p : p + 4096]):
+                    which = which + p
+                    want = keys.take(pa.array(which))
+                    same = held[at] == pc.fill_null(want, 0).to_numpy(zero_copy_only=False)  # else a stranger with a known fingerprint
+                    which, at, nth, want = which[same], at[same], nth[same], want.filter(pa.array(same))
+                    a, b = ends[at], ends[at + 1]
+                    cuts = runs_of((b - a) * 4)
+                    for x, y in zip(cuts, cuts[1:], strict=False):
+                        wide = [data[m:n].astype("<u4").tobytes() for m, n in zip(a[x:y].tolist(), b[x:y].tolist(), strict=True)]
+                        sums = pa.array([zlib.crc32(w) for w in wide], pa.int64())
+                        ids = pa.array(wide if with_ids else [None] * len(wide), pa.binary())
+                        yield pa.RecordBatch.from_arrays([want[x:y], pa.array(nth[x:y]), pa.array(a[x:y] + starts[shard]), pa.array(b[x:y] - a[x:y]), sums, ids], ["key", "row", "start", "n_tokens", "ids_crc32", "ids"])
+
+        dealt = found.repartitionById(max(1, len(names)), F.col("shard").cast("int"))
+        return dealt.mapInArrow(fetch, "key long, row long, start long, n_tokens long, ids_crc32 long, ids binary").withColumnRenamed("key", key)
 
     def rows(self, key: str = "doc_id", with_ids: bool = False) -> DataFrame:
-        """Every row of the store, by keyed access to every key of its tables."""
-        out = self._fetch(self._keys().select("key", "part"), key, with_ids)
+        """Every row of the store: by keyed access to every key of its tables, and those of null key by their shards' ends."""
+        out = self._look_up(self._keys().select("key", "part").distinct())
+        with_null = np.flatnonzero(self.n_null)
+        if len(with_null):
+            before = np.cumsum(self.n_null) - self.n_null
+            rows = [(None, int(s), int(self.n_docs[s] - self.n_null[s]), int(before[s]), int(self.n_null[s])) for s in with_null]
+            out = out.unionByName(self.spark.createDataFrame(rows, "key long, shard long, place long, row long, n_docs long"))
+        out = self._fetch(out, key, with_ids)
         return out if with_ids else out.drop("ids")
+
+
+def expand(place: np.ndarray, count: np.ndarray, row: np.ndarray, most: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(request, place, row number) of each row that requests of `count` rows stand for, at most `most` rows at a time."""
+    ends = np.cumsum(count)
+    for a in range(0, int(ends[-1]) if len(ends) else 0, most):
+        k = np.arange(a, min(a + most, int(ends[-1])))
+        which = np.searchsorted(ends, k, side="right")
+        nth = k - (ends - count)[which]
+        yield which, place[which] + nth, row[which] + nth

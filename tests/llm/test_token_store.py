@@ -34,17 +34,19 @@ def test_perfect_hash():
 
 def test_store(spark):
     plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    rows = [(7 * i - 20, t, "clash") for i, t in enumerate(TEXTS)] + [(5000, None, "x"), (5000, "again", "x"), (5000, "again", "x")]
+    rows = [(7 * i - 20, t, "clash") for i, t in enumerate(TEXTS)] + [(5000, None, "x"), (5000, "again", "x"), (5000, "again", "x"), (None, "no key", "x"), (None, "no key", "x"), (None, None, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, key string").repartition(3)
-    store = token_store.TokenStore.write(docs, common.scratch(spark, "test"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, shards=4)
+    store = token_store.TokenStore.write(docs, common.scratch(spark, "test"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, ranges=4)
     want, start = [], 0
-    for doc, ids in sorted((r[0], plain.encode(r[1] or "", add_special_tokens=False).ids + [1]) for r in rows):
+    null_last = lambda r: 1 << 62 if r[0] is None else r[0]
+    for doc, ids in sorted((null_last(r), plain.encode(r[1] or "", add_special_tokens=False).ids + [1]) for r in rows):
         want.append((doc, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
-    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in store.rows().collect())
-    # rows of one key are ordered by their stored bytes
+    got = sorted((null_last(r), r.start, r.n_tokens, r.ids_crc32) for r in store.rows().collect())
+    # rows of one key lie in the order of their texts' hashes
     assert [g[0] for g in got] == [w[0] for w in want] and sorted(g[2:] for g in got) == sorted(w[2:] for w in want)
-    assert [g for g in got if g[0] != 5000] == [w for w in want if w[0] != 5000]
+    assert [g for g in got if g[0] < 5000] == [w for w in want if w[0] < 5000]
+    assert [g[1] for g in got] == np.concatenate([[0], np.cumsum([g[2] for g in got])[:-1]]).tolist()
     some = spark.createDataFrame([(1,), (7 * 6 - 20,), (99999,), (None,)], "doc_id long")
     ids = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in store.get(some).collect()}
     assert ids == {1: plain.encode(TEXTS[3], add_special_tokens=False).ids + [1], 22: plain.encode(TEXTS[6], add_special_tokens=False).ids + [1]}
@@ -55,6 +57,37 @@ def test_store_of_nothing(spark):
     assert token_store.TokenStore.write(docs, common.scratch(spark, "test"), public_tokenizers.path("word_bpe_49k.json")).rows().count() == 0
 
 
+def test_one_key_over_several_shards_and_a_long_text(spark):
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    long = "some words to repeat. " * 2_400_000  # over 50 MB
+    rows = [(1, "first"), *[(5, f"hot {i}") for i in range(900)], *[(5, "copy")] * 900, (9, "last")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    docs = docs.unionByName(spark.createDataFrame([(7, "some words to repeat. ")], "doc_id long, text string").selectExpr("doc_id", "repeat(text, 2400000) text"))
+    store = token_store.TokenStore.write(docs, common.scratch(spark, "test"), public_tokenizers.path("word_bpe_49k.json"), ranges=5, part_docs=300, part_bytes=1 << 20)
+    got = sorted(store.rows(with_ids=True).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [1, *[5] * 1800, 7, 9] and [r.row for r in got] == [0, *range(1800), 0, 0]
+    assert len({(s.rpartition("-")[0]) for s in store.names}) > 1 and len(store.names) >= 6
+    assert [r.start for r in got] == np.concatenate([[0], np.cumsum([r.n_tokens for r in got])[:-1]]).tolist()
+    ids = lambda t: plain.encode(t, add_special_tokens=False).ids + [1]
+    assert sorted(np.frombuffer(r.ids, "<u4").tolist() for r in got[1:1801]) == sorted(ids(t) for k, t in rows if k == 5)
+    assert got[1801].n_tokens == 5 * 2_400_000 + 1 and got[1801].ids_crc32 == zlib.crc32(got[1801].ids) and len(long) > 50_000_000
+    assert np.frombuffer(got[1801].ids, "<u4")[-6:].tolist() == ids("some words to repeat.")
+    some = store.get(spark.createDataFrame([(5,), (6,)], "doc_id long"), with_ids=False).collect()
+    assert sorted(r.row for r in some) == list(range(1800))
+
+
+def test_wide_ids(spark, tmp_path):
+    from tokenizers import models, pre_tokenizers
+
+    wide = Tokenizer(models.WordLevel({"<unk>": 0} | {f"t{i}": i for i in range(1, 70_000)}, unk_token="<unk>"))
+    wide.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    wide.save(f"{tmp_path}/wide.json")
+    assert token_store.type_size(f"{tmp_path}/wide.json", 1) == 4 and token_store.type_size(public_tokenizers.path("word_bpe_49k.json"), 1) == 2
+    docs = spark.createDataFrame([(1, "t69999 t1"), (2, "t65536 t65535")], "doc_id long, text string")
+    store = token_store.TokenStore.write(docs, common.scratch(spark, "test"), f"{tmp_path}/wide.json")
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in store.rows(with_ids=True).collect()} == {1: [69999, 1, 1], 2: [65536, 65535, 1]}
+
+
 def test_sum_of_squares_by_hand():
     bins, offsets = sum_of_squares(np.array([6, 6, 5, 4, 4, 10]), 10)
     # 6 | 6 | 5: gaps 4, 4, 5; the first 4 closes a gap of the commoner kind, the second the other
