@@ -1,10 +1,12 @@
 """Quality by compression: a text is good if a good dictionary makes it smaller.
 
-Two zstandard dictionaries are trained, on good and on bad labelled texts. A
-text's normalised difference (bad size - good size) / (bad size + good size)
-becomes a calibrated score: a logistic curve, fitted on labelled texts that
-trained neither dictionary, reads it beside what the difference's worth depends
-on, the log of compressed to raw size and of the raw size.
+zstandard dictionaries of several sizes are trained on good and on bad labelled
+texts. Texts are compressed in blocks, so that a long text's own repetition does
+not drown what the dictionaries know; the sizes are summed over blocks and
+dictionaries. The normalised difference (bad size - good size) / (bad size +
+good size) is all that the score reads: a logistic curve turns it into a
+probability. Each half of the labelled texts trains dictionaries, and the curve
+is fitted on what the other half's dictionaries say of it.
 """
 
 from __future__ import annotations
@@ -59,50 +61,67 @@ class Curve:
         return cls(mean, scale, w)
 
 
+def dictionary(samples: list[bytes], size: int) -> bytes:
+    """A trained dictionary, or where there is too little text for one, the last `size` bytes of the text itself."""
+    try:
+        return zstandard.train_dictionary(size, samples).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"\n".join(samples)[-size:]
+
+
+def compressor(raw: bytes, level: int):
+    if len(raw) < 8:  # the library takes no shorter one
+        return zstandard.ZstdCompressor(level=level, write_content_size=False).compress
+    held = zstandard.ZstdCompressionDict(raw)
+    held.precompute_compress(level=level)
+    return zstandard.ZstdCompressor(dict_data=held, write_content_size=False, write_dict_id=False).compress
+
+
 @dataclass
 class CompressionModel:
-    good: bytes
-    bad: bytes
+    good: list[bytes]
+    bad: list[bytes]
     level: int
+    block: int
     curve: Curve | None = None
     share: float = 0.5
 
-    def features(self, texts: list[str]) -> np.ndarray:
-        """Normalised size differences of whole texts, none of them empty."""
-        compress = []
-        for raw in (self.good, self.bad):
-            held = zstandard.ZstdCompressionDict(raw)
-            held.precompute_compress(level=self.level)
-            compress.append(zstandard.ZstdCompressor(dict_data=held, write_content_size=False, write_dict_id=False).compress)
-        good, bad = compress
-        raws = [t.encode() for t in texts]
-        a, b = (np.array([len(c(r)) for r in raws], float) for c in (good, bad))
-        n = np.log(np.array([len(r) for r in raws], float))
-        d, r = (b - a) / (b + a), np.log(a) - n
-        return np.stack([d, r, r * r, d * n, n], axis=1) if texts else np.zeros((0, 5))
+    def sizes(self, texts: list[str]) -> np.ndarray:
+        """(texts, 2): the summed compressed sizes of whole texts by the good and by the bad dictionaries."""
+        both = [[compressor(raw, self.level) for raw in side] for side in (self.good, self.bad)]
+        out = np.zeros((len(texts), 2))
+        for i, t in enumerate(texts):
+            raw = t.encode()
+            blocks = [raw[k : k + self.block] for k in range(0, len(raw), self.block)]
+            out[i] = [sum(len(c(x)) for c in side for x in blocks) for side in both]
+        return out
+
+    def differences(self, texts: list[str]) -> np.ndarray:
+        """(texts, 1): normalised size differences of texts, none of them empty."""
+        a, b = self.sizes(texts).T if texts else np.zeros((2, 0))
+        return ((b - a) / (b + a))[:, None]
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """0 to 1; empty texts, and all where there was one class to learn from, get the labels' own share."""
         out = np.full(len(texts), self.share)
         full = [i for i, t in enumerate(texts) if t]
         if self.curve is not None and full:
-            out[full] = self.curve(self.features([texts[i] for i in full]))
+            out[full] = self.curve(self.differences([texts[i] for i in full]))
         return out
 
 
-def fit_texts(good: list[str], bad: list[str], size: int = 32_768, level: int = 9) -> CompressionModel:
-    """Every second text of each class trains its dictionary, the others the curve."""
+def fit_texts(good: list[str], bad: list[str], sizes: tuple[int, ...] = (16_384, 32_768, 65_536), level: int = 3, block: int = 512) -> CompressionModel:
+    """Every second text of each class trains one set of dictionaries, the others another; each set's differences on
+    the other half fit the curve. A class of one text has it in both halves; without a text of both classes there is
+    no curve."""
     share = (len(good) + 1) / (len(good) + len(bad) + 2)
-    if min(len(good), len(bad)) < 16:
-        return CompressionModel(b"", b"", level, None, share)
-    try:
-        trained = [zstandard.train_dictionary(size, [t.encode() for t in x[::2]]).as_bytes() for x in (good, bad)]
-    except zstandard.ZstdError:  # too little text for a dictionary of that size
-        trained = [b"\n".join(t.encode() for t in x[::2]) for x in (good, bad)]
-    model = CompressionModel(*trained, level, None, share)
-    x = np.concatenate([model.features(good[1::2]), model.features(bad[1::2])])
-    model.curve = Curve.fit(x, np.r_[np.ones(len(good[1::2])), np.zeros(len(bad[1::2]))])
-    return model
+    if not good or not bad:
+        return CompressionModel([], [], level, block, None, share)
+    halves = [[x[h::2] or x for x in (good, bad)] for h in (0, 1)]
+    models = [CompressionModel(*[[dictionary([t.encode() for t in x], size) for size in sizes] for x in half], level, block) for half in halves]
+    x = np.concatenate([m.differences(t) for m, half in zip(models, halves[::-1], strict=True) for t in half])
+    y = np.concatenate([np.full(len(t), float(good_one)) for half in halves[::-1] for t, good_one in zip(half, (1, 0), strict=True)])
+    return CompressionModel(models[0].good + models[1].good, models[0].bad + models[1].bad, level, block, Curve.fit(x, y), share)
 
 
 def share_of(column: str, share: float) -> Column:
@@ -115,8 +134,8 @@ def fit(docs: DataFrame, labels: DataFrame, known: Column, key: str = "doc_id",
     most_texts bounds the labels drawn, by a hash of their key and one share
     for both classes, which keeps the labels' own odds; that many rows are
     broadcast to find their texts. most_texts and most_bytes then bound what
-    reaches the driver, whatever the tables' size. Equal texts teach once;
-    labels other than 0 and 1, null keys and null or empty texts teach nothing.
+    reaches the driver, whatever the tables' size. Equal texts teach once a
+    label, and a text under both labels teaches both; labels other than 0 and 1, null keys and null or empty texts teach nothing.
     """
     marks = labels.filter(known & F.col(quality).isin(0, 1)).select(F.col(key).alias("k"), F.col(quality).alias("y")).filter("k is not null").distinct()
     marks = marks.filter(share_of("k", most_texts / max(marks.count(), 1)))
@@ -132,7 +151,8 @@ def score(docs: DataFrame, model: CompressionModel, text: str = "text") -> DataF
     """docs with score and predicted, replacing columns of these names.
 
     Whole texts are compressed. Null and empty texts get the labels' share of
-    good ones. All other columns and rows stay as they are.
+    good ones, equal texts equal scores. All other columns and rows, also those
+    of null or repeated keys, stay as they are; an empty table stays empty.
     """
     docs = docs.drop("score", "predicted")
 

@@ -1,4 +1,5 @@
 import numpy as np
+import zstandard
 
 from plyforge.llm import compress_quality
 
@@ -22,6 +23,46 @@ def test_held_out_accuracy_and_edges(spark):
     assert got[900].score == got[901].score == model.share
 
 
+def test_sizes_and_scores_against_the_library(spark):
+    """Every text on its own, by the library's dictionaries and a logistic written out."""
+    rng = np.random.default_rng(5)
+    good, bad = texts(rng, [f"{a}{b}ing" for a in "abcdefgh" for b in "opqrst"], 90), texts(rng, [f"{a}{b}%%$" for a in "abcdefgh" for b in "opqrst"], 60)
+    model = compress_quality.fit_texts(good, bad)
+    assert len(model.good) == len(model.bad) == 6
+    tried = [*good[:5], *bad[:5], "x", "short", "É" * 2000, "neither one"]
+    got = {r.text: r.score for r in compress_quality.score(spark.createDataFrame([(t,) for t in tried], "text string"), model).collect()}
+    for t in tried:
+        raw, sums = t.encode(), []
+        for side in (model.good, model.bad):
+            sums.append(0)
+            for d in side:
+                one = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False)
+                sums[-1] += sum(len(one.compress(raw[k : k + 512])) for k in range(0, len(raw), 512))
+        difference = (sums[1] - sums[0]) / (sums[1] + sums[0])
+        weight, bias = model.curve.weights
+        assert abs(got[t] - 1 / (1 + np.exp(-(weight * (difference - model.curve.mean[0]) / model.curve.scale[0] + bias)))) < 1e-6, t
+    assert model.curve.weights[0] > 0
+
+
+def test_few_labels_still_give_a_curve():
+    good, bad = [f"plain words of text {i} and more" for i in range(4)], [f"$$$ %% {i} $$$ %% ##" for i in range(4)]
+    for n in (4, 1):
+        model = compress_quality.fit_texts(good[:n], bad[:n])
+        assert model.curve is not None and model.scores(["plain words of text"])[0] > 0.5 > model.scores(["$$$ %% $$$"])[0]
+
+
+def test_bounds_and_labels_of_both_kinds(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, t, 7) for i, t in enumerate(texts(rng, ["aa", "bb", "cc"], 60) + texts(rng, ["x%", "y%", "z%"], 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, predicted int")
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(120)] + [(0, 0), (100, 1)], "doc_id long, quality int")
+    for bounds in ({"most_texts": 40}, {"most_bytes": 20_000}, {}):
+        model = compress_quality.fit(docs, labels, known=labels.doc_id >= 0, **bounds)
+        got = compress_quality.score(docs, model)
+        assert got.columns == ["doc_id", "text", "score", "predicted"]
+        assert np.mean([r.predicted == int(r.doc_id < 60) for r in got.collect()]) > 0.9
+
+
 def test_one_class_or_none(spark):
     docs = spark.createDataFrame([(1, "text")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
