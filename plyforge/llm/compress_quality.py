@@ -26,39 +26,27 @@ from .common import runs, text_column
 
 @dataclass
 class Curve:
-    """P(y = 1) as a logistic function of standardised features."""
+    """P(y = 1) as a function that never falls: isotonic regression, straight between the middles of its steps."""
 
-    mean: np.ndarray
-    scale: np.ndarray
-    weights: np.ndarray
+    at: np.ndarray
+    value: np.ndarray
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        z = np.c_[(x - self.mean) / self.scale, np.ones(len(x))] @ self.weights
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return np.interp(x, self.at, self.value)
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, rounds: int = 100) -> Curve:
-        """Newton's method with step halving; with one class, its smoothed share."""
-        mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-12)
-        z = np.c_[(x - mean) / scale, np.ones(len(x))]
-        w = np.zeros(z.shape[1])
-
-        def loss(w: np.ndarray) -> float:
-            m = z @ w
-            return float(np.mean(np.logaddexp(0, m) - y * m) + ridge * (w @ w))
-
-        now = loss(w)
-        for _ in range(rounds):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            grad = z.T @ (p - y) / len(y) + 2 * ridge * w
-            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z / len(y) + 2 * ridge * np.eye(len(w)), grad)
-            rate = 1.0
-            while rate > 1e-6 and loss(w - rate * step) > now:
-                rate /= 2
-            w, before, now = w - rate * step, now, loss(w - rate * step)
-            if before - now < 1e-12:
-                break
-        return cls(mean, scale, w)
+    def fit(cls, x: np.ndarray, y: np.ndarray, share: float) -> Curve:
+        """Pool neighbours while a step would fall; a step of n rows counts one more row of the labels' share."""
+        order = np.argsort(x, kind="stable")
+        steps: list[list[float]] = []  # rows, sum of y, sum of x
+        for v in np.unique(x[order]):
+            mine = x == v
+            steps.append([float(mine.sum()), float(y[mine].sum()), float(v) * mine.sum()])
+            while len(steps) > 1 and steps[-2][1] * steps[-1][0] >= steps[-1][1] * steps[-2][0]:
+                top = steps.pop()
+                steps[-1] = [p + q for p, q in zip(steps[-1], top, strict=True)]
+        n, total, place = np.array(steps).T
+        return cls(place / n, np.maximum.accumulate((total + share) / (n + 1)))
 
 
 def dictionary(samples: list[bytes], size: int) -> bytes:
@@ -97,9 +85,9 @@ class CompressionModel:
         return out
 
     def differences(self, texts: list[str]) -> np.ndarray:
-        """(texts, 1): normalised size differences of texts, none of them empty."""
+        """Normalised size differences of texts, none of them empty."""
         a, b = self.sizes(texts).T if texts else np.zeros((2, 0))
-        return ((b - a) / (b + a))[:, None]
+        return (b - a) / (b + a)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """0 to 1; empty texts, and all where there was one class to learn from, get the labels' own share."""
@@ -121,7 +109,7 @@ def fit_texts(good: list[str], bad: list[str], sizes: tuple[int, ...] = (16_384,
     models = [CompressionModel(*[[dictionary([t.encode() for t in x], size) for size in sizes] for x in half], level, block) for half in halves]
     x = np.concatenate([m.differences(t) for m, half in zip(models, halves[::-1], strict=True) for t in half])
     y = np.concatenate([np.full(len(t), float(good_one)) for half in halves[::-1] for t, good_one in zip(half, (1, 0), strict=True)])
-    return CompressionModel(models[0].good + models[1].good, models[0].bad + models[1].bad, level, block, Curve.fit(x, y), share)
+    return CompressionModel(models[0].good + models[1].good, models[0].bad + models[1].bad, level, block, Curve.fit(x, y, share), share)
 
 
 def share_of(column: str, share: float) -> Column:

@@ -39,9 +39,27 @@ def test_sizes_and_scores_against_the_library(spark):
                 one = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False)
                 sums[-1] += sum(len(one.compress(raw[k : k + 512])) for k in range(0, len(raw), 512))
         difference = (sums[1] - sums[0]) / (sums[1] + sums[0])
-        weight, bias = model.curve.weights
-        assert abs(got[t] - 1 / (1 + np.exp(-(weight * (difference - model.curve.mean[0]) / model.curve.scale[0] + bias)))) < 1e-6, t
-    assert model.curve.weights[0] > 0
+        at, value = model.curve.at, model.curve.value
+        k = int(np.searchsorted(at, difference))
+        want = value[0] if k == 0 else value[-1] if k == len(at) else value[k - 1] + (value[k] - value[k - 1]) * (difference - at[k - 1]) / (at[k] - at[k - 1])
+        assert abs(got[t] - want) < 1e-9, t
+
+
+def test_curve_against_the_definition():
+    """Isotonic regression at i is the largest over a <= i of the smallest over b >= i of the mean of a ... b."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 40, 200) / 10
+    y = (rng.random(200) < x / 5).astype(float)
+    curve = compress_quality.Curve.fit(x, y, 0.5)
+    values = np.unique(x)
+    mean = lambda a, b: y[(x >= values[a]) & (x <= values[b])].mean()
+    steps = {}
+    for i, v in enumerate(values):
+        steps.setdefault(round(max(min(mean(a, b) for b in range(i, len(values))) for a in range(i + 1)), 9), []).append(v)
+    assert len(curve.at) == len(steps)
+    for (level, members), at, value in zip(sorted(steps.items()), curve.at, curve.value):
+        n = np.isin(x, members).sum()
+        assert abs(at - x[np.isin(x, members)].mean()) < 1e-9 and abs(value - (level * n + 0.5) / (n + 1)) < 1e-6
 
 
 def test_few_labels_still_give_a_curve():
