@@ -2,12 +2,14 @@
 
 Every benchmark window (13 consecutive item words; a shorter item is one window)
 is a set of shingles with places. All of them must occur for the window to
-occur, so a prefix of one token suffices: shingles are ordered by their number
-of occurrences in the documents, and each window joins by its rarest one alone;
-a window with a shingle that no document has is gone before the join. A match
-fixes where the window would lie; one that would leave the document falls to
-the positional and length bounds, and the rest is verified: every shingle of
-the window, that is three words each, must lie at its own place.
+occur, so a prefix of one token suffices. A first pass over the documents counts
+how often each of the benchmark's shingles occurs, and nothing else: counts are
+summed before they are shuffled. Shingles are ordered by these numbers and each
+window joins by its rarest one alone; a window with a shingle that no document
+has is gone before the join. In a second pass only these prefix shingles meet
+the documents. A match fixes where the window would lie; one that would leave
+the document falls to the positional and length bounds, and for the rest the
+document's words there must be the window's words.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ def shingles(words: str, size: int, last: Column) -> Column:
 
 def row_keys(key: str, text: str) -> list[Column]:
     """Two hashes of key and text, together 96 bits: equal rows share them and their result."""
-    return [F.xxhash64(F.col(key), F.col(text)).alias("_k1"), F.hash(F.col(key), F.col(text), F.lit(1)).alias("_k2")]
+    return [F.xxhash64(F.col(key), F.col(text)).alias("k1"), F.hash(F.col(key), F.col(text), F.lit(1)).alias("k2")]
 
 
 def windows_of(benchmark: DataFrame, item: str, text: str, window: int) -> DataFrame:
@@ -60,51 +62,51 @@ def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str, window: int, shingle: int, most_broadcast: int) -> tuple[DataFrame, DataFrame]:
-    """(_k1, _k2, start, length, wid) of each window occurrence, and (wid, item).
+def places_of(texts: DataFrame, size: int) -> DataFrame:
+    """(k1, k2, words, pos, token) of each place of a text's shingles."""
+    # The outer form: for the inner one Spark infers a filter on the array and computes the words anew for each of its places.
+    each = texts.filter(F.size("words") >= size).select("k1", "k2", "words", F.posexplode_outer("words").alias("pos", "word"))
+    return each.filter(F.col("pos") + size <= F.size("words")).select("k1", "k2", "words", "pos", shingle_at(F.col("words"), F.col("pos"), size).alias("token"))
 
-    The documents are read once, for the places of the benchmark's shingles;
-    everything after works on these alone.
-    """
+
+def counts_of(texts: DataFrame, tokens: DataFrame, sizes: list[int], most_broadcast: int) -> DataFrame:
+    """(token, n): how often each of the benchmark's tokens occurs in all documents."""
+    found = union([places_of(texts, s).select("token").join(b, "token") for b in blocks(tokens.select("token").distinct(), "token", most_broadcast) for s in sizes])
+    return found.groupBy("token").agg(F.count("*").alias("n"))
+
+
+def occurrences(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str, window: int, shingle: int, most_broadcast: int) -> tuple[DataFrame, DataFrame]:
+    """(k1, k2, start, length, wid) of each window occurrence, and (wid, item)."""
     windows = windows_of(benchmark, item, item_text, window)
-    windows = materialize(windows.withColumn("wid", F.xxhash64(F.array_join("window", " "))), "windows")
-    distinct = windows.select("wid", "window").distinct()
+    named = windows.select("window").distinct().withColumn("wid", F.monotonically_increasing_id())
+    named = materialize(named, "windows")
+    items = materialize(windows.join(named, "window").select("wid", "item"), "items")
     length = F.size("window")
     # The sizes of shingles: the usual one, and those of windows that are shorter.
-    sizes = sorted({r[0] for r in distinct.select(F.least(length, F.lit(shingle))).distinct().collect()})
+    sizes = sorted({r[0] for r in named.select(F.least(length, F.lit(shingle))).distinct().collect()})
     nothing = docs.limit(0).select(*row_keys(key, text), F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit(0).cast("long").alias("wid"))
     if not sizes:
-        return nothing, windows
+        return nothing, items
     each = [
-        distinct.filter((length >= shingle) if s == shingle else (length == s)).select("wid", length.alias("length"), F.posexplode(shingles("window", s, length - s)).alias("off", "token"))
+        named.filter((length >= shingle) if s == shingle else (length == s)).select("wid", F.posexplode(shingles("window", s, length - s)).alias("off", "token"))
         for s in sizes
     ]
     tokens = materialize(union(each), "tokens")
     texts = docs.select(*row_keys(key, text), words_of(F.col(text)).alias("words"))
-    # The outer form: for the inner one Spark infers a filter on the array and computes the words anew for each of its places.
-    told = [texts.filter(F.size("words") >= s).select("_k1", "_k2", shingles("words", s, F.size("words") - s).alias("tokens"), F.size("words").alias("n_words")) for s in sizes]
-    seen = [t.select("_k1", "_k2", "n_words", F.posexplode_outer("tokens").alias("pos", "token")) for t in told]
-    places = union([s.join(b, "token") for b in blocks(tokens.select("token").distinct(), "token", most_broadcast) for s in seen])
-    places = materialize(places.distinct(), "places")
-    rarity = places.groupBy("token").agg(F.count("*").alias("n"))
+    rarity = materialize(counts_of(texts, tokens, sizes, most_broadcast), "rarity")
     # The prefix: the rarest shingle of each window, unless one does not occur at all.
     ranked = tokens.join(rarity, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    prefix = ranked.groupBy("wid", "length").agg(F.min_by(F.struct("token", "off"), F.struct("n", "token", "off")).alias("p"), F.min("n").alias("n"), F.count("*").alias("n_tokens")).filter("n > 0")
-    prefix = materialize(prefix.select("wid", "length", "n_tokens", "p.token", "p.off"), "prefix")
+    prefix = ranked.groupBy("wid").agg(F.min_by(F.struct("token", "off"), F.struct("n", "token", "off")).alias("p"), F.min("n").alias("n")).filter("n > 0")
+    prefix = materialize(prefix.join(named, "wid").select("wid", "window", length.alias("length"), "p.token", "p.off"), "prefix")
     begin = F.col("pos") - F.col("off")
-    near = [places.join(b, "token").filter((begin >= 0) & (begin + F.col("length") <= F.col("n_words"))).select("_k1", "_k2", begin.alias("start"), "length", "wid", "n_tokens") for b in blocks(prefix, "token", most_broadcast)]
-    if not near:
-        return nothing, windows
-    near = materialize(union(near), "candidates")
-    # Exact containment: each of the window's shingles, at its own place.
-    spread = union([near.join(b, "wid").select("_k1", "_k2", "start", "length", near.wid, "n_tokens", (F.col("start") + F.col("off")).alias("pos"), "token") for b in blocks(tokens.select("wid", "off", "token"), "wid", most_broadcast)])
-    met = spread.join(places.select("_k1", "_k2", "pos", "token"), ["_k1", "_k2", "pos", "token"])
-    whole = met.groupBy("_k1", "_k2", "start", "length", "wid", "n_tokens").agg(F.count("*").alias("n")).filter("n = n_tokens")
-    return whole.select("_k1", "_k2", "start", "length", "wid"), windows
+    fits = (begin >= 0) & (begin + F.col("length") <= F.size("words"))
+    same = F.slice("words", F.greatest(begin, F.lit(0)) + 1, F.col("length")) == F.col("window")
+    met = [places_of(texts, s).join(b, "token").filter(fits & same).select("k1", "k2", begin.alias("start"), "length", "wid") for b in blocks(prefix, "token", max(1, most_broadcast // 5)) for s in sizes]
+    return union(met) if met else nothing, items
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, shingle: int = 3, share: int = 20, most_broadcast: int = 1_000_000) -> DataFrame:
-    """One row a document: (key, n_words, n_hit, n_items, items_sha256, contaminated), with _k1 and _k2 of the row.
+    """One row a document: (key, n_words, n_hit, n_items, items_sha256, contaminated).
 
     n_hit counts the document's words inside any occurrence of any window,
     n_items the items with an occurring window; contaminated where n_hit > 0
@@ -112,11 +114,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     words, have zeros and the digest of the empty string. Rows of equal key
     are judged by their own texts. Items without words match nothing, items
     of equal id count once, and a null id not at all. An empty benchmark hits
-    nothing. The benchmark is broadcast in blocks of most_broadcast shingles.
+    nothing. The benchmark is broadcast in blocks: of most_broadcast shingles
+    to count, of a fifth as many windows to match. Each block past the first
+    costs another pass over the documents.
     """
+    return judged(docs, benchmark, key, text, item, item_text, window, shingle, share, most_broadcast).drop("k1", "k2").withColumnRenamed("key", key)
+
+
+def judged(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str = "item_id", item_text: str = "text", window: int = 13, shingle: int = 3, share: int = 20, most_broadcast: int = 1_000_000) -> DataFrame:
+    """contamination()'s columns, the key's as `key`, with the row's two hashes as k1 and k2."""
     found, windows = occurrences(docs, benchmark, key, text, item, item_text, window, shingle, most_broadcast)
     hits = materialize(found.distinct(), "hits")
-    spans = hits.groupBy("_k1", "_k2").agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("spans"))
+    spans = hits.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("spans"))
     end = F.aggregate(
         "spans",
         F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).alias("end")),
@@ -125,21 +134,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
             F.greatest(acc["end"], x["start"] + x["length"]).alias("end"),
         ),
     )
-    items = hits.select("_k1", "_k2", "wid").distinct().join(windows.select("wid", "item"), "wid").groupBy("_k1", "_k2")
+    items = hits.select("k1", "k2", "wid").distinct().join(windows.select("wid", "item"), "wid").groupBy("k1", "k2")
     items = items.agg(F.array_sort(F.transform(F.collect_set("item"), lambda x: x.cast("string"))).alias("items"))
-    about = spans.select("_k1", "_k2", end["hit"].alias("n_hit")).join(items, ["_k1", "_k2"])
-    rows = docs.select(F.col(key), *row_keys(key, text), F.size(words_of(F.col(text))).cast("long").alias("n_words"))
+    about = spans.select("k1", "k2", end["hit"].alias("n_hit")).join(items, ["k1", "k2"])
+    rows = docs.select(F.col(key).alias("key"), *row_keys(key, text), F.size(words_of(F.col(text))).cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return rows.join(about, ["_k1", "_k2"], "left").select(
-        key, "n_words", n_hit.alias("n_hit"),
+    return rows.join(about, ["k1", "k2"], "left").select(
+        "key", "n_words", n_hit.alias("n_hit"),
         F.coalesce(F.when(F.col("items").isNotNull(), F.size("items").cast("long")), F.lit(0).cast("long")).alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
-        ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"), "_k1", "_k2",
+        ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"), "k1", "k2",
     )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **more) -> DataFrame:
-    """The rows of docs that are not contaminated, with all their columns."""
-    bad = contamination(docs, benchmark, key, text, **more).filter("contaminated").select("_k1", "_k2").distinct()
-    marked = docs.withColumns(dict(zip(("_k1", "_k2"), row_keys(key, text), strict=True)))
-    return marked.join(bad, ["_k1", "_k2"], "left_anti").drop("_k1", "_k2")
+    """The rows of docs that are not contaminated, with all their columns, whatever they are called.
+
+    Nulls, repeats and empty tables as in contamination().
+    """
+    bad = judged(docs, benchmark, key, text, **more).filter("contaminated").select("k1", "k2").distinct()
+    marked = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *row_keys(key, text))
+    return marked.join(bad, ["k1", "k2"], "left_anti").select("row.*")

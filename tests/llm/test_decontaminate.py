@@ -52,8 +52,9 @@ def test_against_brute_force(spark):
     want = brute(docs, items)
     assert rows(decontaminate.contamination(table, bench)) == want
     assert rows(decontaminate.contamination(table, bench, most_broadcast=40)) == want  # in blocks
+    table = table.withColumnsRenamed({"words": "k1", "n_hit": "_k2"}).withColumn("row", table.doc_id).withColumn("key", table.text)
     kept = decontaminate.decontaminate(table, bench)
-    assert kept.columns == table.columns
+    assert kept.columns == table.columns == ["doc_id", "text", "k1", "_k2", "row", "key"] and kept.first().k1 == "clash"
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == [w[0] for w in want if not w[5]]
 
 
