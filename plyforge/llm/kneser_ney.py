@@ -1,19 +1,24 @@
-"""A bigram language model with interpolated modified Kneser-Ney smoothing.
-
-Counting is two shuffles of pre-aggregated counts: words by their hash, then
-pairs of word ranks by context. A word's rank is its place in the sorted hash
-array. What a bucket merges, it writes as flat arrays:
-
-words-N.hash, .count   the sorted 64-bit hashes and their counts
-pairs-N.next, .count   the sorted ranks of what follows each context, and counts
-pairs-N.start          where each context's run begins
-pairs-N.follow         for each context, how many follow once, twice, more often
-after-N.kinds          for each word, how many contexts it follows
-
-Workers map these files into memory and look hashes and pairs up by binary
-search, so a model larger than a worker's memory works and is shared by all
-workers of a machine. A context that alone would fill a bucket is dealt over
-several by what follows it.
+"""An n-gram language model with interpolated modified Kneser-Ney smoothing; the order is a parameter, three unless said.
+
+Counting is one shuffle of pre-aggregated word counts by hash, one of n-grams of
+word ranks, and one for each lower order, whose counts are the numbers of
+distinct words that an n-gram follows. A word's rank is its place in the sorted
+hash array. What a bucket merges, it writes as one file of flat arrays:
+
+words-N    sorted 64-bit word hashes; counts
+grams-K-N  order K: sorted 64-bit hashes of contexts, where each context's run
+           begins, its total, how many words follow it once and twice; then
+           the runs: sorted ranks of the words that follow, and their counts
+after-N    for each word, how many words it follows
+
+Numbers are stored by the byte, those of 255 and more apart. Workers map these
+files into memory and look hashes and ranks up by binary search, so a model
+larger than a worker's memory works and is shared by all workers of a machine.
+
+An n-gram's bucket is that of its second word (of a pair its first), so a
+context's run and most of an n-gram's predecessors lie together. Words that
+alone would fill a bucket have several of their own, dealt by the rest of the
+context, and by the last word too where the context itself may be as frequent.
 """
 
 from __future__ import annotations
@@ -26,9 +31,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import batches_of, map_file, runs, scratch, split_words, text_column, write_file
+from .token_store import mix
 
 END = xxhash.xxh64_intdigest(b" ", 0)  # no word has a space
 
@@ -101,168 +107,288 @@ def batch_of(names: list[str], *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names)
 
 
-_maps: dict[str, np.ndarray] = {}
+def combine_rows(cols: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows, ordered by the first column, then the second and so on, and the sums of their counts."""
+    order = np.lexsort(cols[::-1])
+    cols = [c[order] for c in cols]
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+    starts = np.flatnonzero(new)
+    return [c[starts] for c in cols], np.add.reduceat(counts[order], starts) if len(starts) else counts
 
 
-def mapped(path: str, dtype: str) -> np.ndarray:
-    """This worker's map of a file; maps of other models are dropped when there are many."""
+def pack(cols: list[np.ndarray]) -> bytes:
+    """Columns of numbers of equal length in few bytes; the first one ascends."""
+    parts = [shrink(np.diff(c.astype(np.int64), prepend=0) if i == 0 else c) for i, c in enumerate(cols)]
+    return np.array([len(cols[0]), *map(len, parts)], "<u4").tobytes() + b"".join(parts)
+
+
+def unpack(raw: bytes, columns: int) -> list[np.ndarray]:
+    n, *sizes = np.frombuffer(raw, "<u4", columns + 1).tolist()
+    at, out = 4 * (columns + 1), []
+    for size in sizes:
+        out.append(grow(raw[at : at + size], n))
+        at += size
+    out[0] = np.cumsum(out[0])
+    return out
+
+
+def small_numbers(x: np.ndarray) -> list[np.ndarray]:
+    """By the byte; the places and values of those from 255 on follow."""
+    large = np.flatnonzero(x >= 255)
+    return [np.minimum(x, 255).astype(np.uint8), np.concatenate([large, x[large]]).astype("<u8")]
+
+
+def numbers_at(low: np.ndarray, large: np.ndarray, at: np.ndarray) -> np.ndarray:
+    out = low[at].astype(np.int64)
+    big = np.flatnonzero(out == 255)
+    if len(big):
+        half = len(large) // 2
+        out[big] = large[half + np.searchsorted(large[:half], at[big])]
+    return out
+
+
+def write_arrays(path: str, arrays: list[np.ndarray]) -> None:
+    """One file: the number of arrays, their sizes in bytes, and each array from a multiple of eight on."""
+    parts = [np.array([len(arrays), *(x.nbytes for x in arrays)], "<u8").tobytes()]
+    for x in arrays:
+        parts += [x.tobytes(), bytes(-x.nbytes % 8)]
+    write_file(path, parts)
+
+
+_maps: dict[str, list[np.ndarray]] = {}
+
+
+def arrays_of(path: str, *kinds: str) -> list[np.ndarray]:
+    """This worker's maps of a file's arrays; maps of other files are dropped when there are many."""
     if path not in _maps:
         if len(_maps) > 50_000:
             _maps.clear()
-        _maps[path] = map_file(path, dtype)
+        raw = map_file(path, np.uint8)
+        n = int(raw[:8].view("<u8")[0])
+        at, out = 8 * (n + 1), []
+        for size, kind in zip(raw[8:at].view("<u8").tolist(), kinds, strict=True):
+            out.append(raw[at : at + size].view(kind))
+            at += size + -size % 8
+        _maps[path] = out
     return _maps[path]
 
 
+def context_hash(cols: list[np.ndarray]) -> np.ndarray:
+    h = np.zeros(len(cols[0]), np.uint64)
+    for j, c in enumerate(cols):
+        h = mix(h ^ c.astype(np.uint64), j + 1)
+    return h
+
+
 @dataclass
 class Model:
     """Where the files are, and the numbers that scoring needs."""
 
     path: str
+    order: int
     buckets: int
     bases: list[int]  # rank of each word bucket's first word; the last is the number of distinct words
     n_tokens: int = 0
     n_docs: int = 0
-    hot: dict[int, tuple[int, int]] = field(default_factory=dict)  # context -> its first bucket of pairs and their number
-    follow: dict[int, np.ndarray] = field(default_factory=dict)  # of hot contexts
-    discounts: np.ndarray = field(default_factory=lambda: np.zeros(4))
-    kind_discounts: np.ndarray = field(default_factory=lambda: np.zeros(4))
-    n_pairs: int = 0
-    kinds: np.ndarray = field(default_factory=lambda: np.zeros(5))  # words by the number of contexts: 1, 2, 3 or more at 1..3
+    hot: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))  # sorted ranks of words with buckets of their own
+    first: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))  # of these buckets
+    parts: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    seen: np.ndarray = field(default_factory=lambda: np.zeros((1, 6)))  # by order, from one: how many n-grams have 0, 1, ... 4, more counts
+    discounts: np.ndarray = field(default_factory=lambda: np.zeros((1, 4)))
 
     @property
     def n_words(self) -> int:
         return self.bases[-1]
 
-    def first_context(self, bucket: int) -> int:
-        return -(-bucket * (self.n_words + 1) // self.buckets)
+    @property
+    def gram_buckets(self) -> int:
+        return self.buckets + int(self.parts.sum())
+
+    def words_file(self, b: int) -> list[np.ndarray]:
+        return arrays_of(f"{self.path}/words-{b:05d}", "<u8", "u1", "<u8")
+
+    def kinds_file(self, b: int) -> list[np.ndarray]:
+        return arrays_of(f"{self.path}/after-{b:05d}", "u1", "<u8")
+
+    def grams_file(self, k: int, b: int) -> list[np.ndarray]:
+        return arrays_of(f"{self.path}/grams-{k}-{b:05d}", "<u8", "<u4", "u1", "<u8", "u1", "<u8", "u1", "<u8", "<u4", "u1", "<u8")
 
     def ranks(self, hashes: np.ndarray) -> np.ndarray:
         """Ranks of sorted hashes, -1 of unknown ones."""
         out = np.full(len(hashes), -1, np.int64)
         edges = cut(hash_bucket(hashes, self.buckets), self.buckets)
         for b in np.flatnonzero(np.diff(edges)).tolist():
-            have = mapped(f"{self.path}/words-{b:05d}.hash", "<u8")
-            want = hashes[edges[b] : edges[b + 1]]
+            have, want = self.words_file(b)[0], hashes[edges[b] : edges[b + 1]]
             if len(have):
                 at = np.minimum(np.searchsorted(have, want), len(have) - 1)
                 out[edges[b] : edges[b + 1]] = np.where(have[at] == want, at + self.bases[b], -1)
         return out
 
-    def by_word(self, name: str, dtype: str, ranks: np.ndarray) -> np.ndarray:
-        """A words' array at sorted ranks; 0 at -1."""
-        out = np.zeros(len(ranks), np.int64)
+    def by_word(self, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of words and numbers of words that they follow, at sorted ranks."""
+        count, kinds = np.zeros(len(ranks), np.int64), np.zeros(len(ranks), np.int64)
         edges = np.searchsorted(ranks, self.bases)
         for b in np.flatnonzero(np.diff(edges)).tolist():
-            out[edges[b] : edges[b + 1]] = mapped(f"{self.path}/{name % b}", dtype)[ranks[edges[b] : edges[b + 1]] - self.bases[b]]
+            span = slice(edges[b], edges[b + 1])
+            at = ranks[span] - self.bases[b]
+            count[span], kinds[span] = numbers_at(*self.words_file(b)[1:], at), numbers_at(*self.kinds_file(b), at)
+        return count, kinds
+
+    def hot_place(self, ranks: np.ndarray) -> np.ndarray:
+        """Places among the hot words, -1 of others."""
+        if not len(self.hot):
+            return np.full(len(ranks), -1)
+        at = np.minimum(np.searchsorted(self.hot, ranks), len(self.hot) - 1)
+        return np.where(self.hot[at] == ranks, at, -1)
+
+    def split(self, context: list[np.ndarray]) -> np.ndarray:
+        """Which contexts' runs are dealt over all buckets of their hot word."""
+        own = self.hot_place(context[-1] if len(context) == 1 else context[1]) >= 0
+        return own if len(context) == 1 else own & (self.hot_place(context[0]) >= 0)
+
+    def bucket(self, context: list[np.ndarray], last: np.ndarray) -> np.ndarray:
+        owner = context[0] if len(context) == 1 else context[1]
+        out = owner * self.buckets // (self.n_words + 1)
+        at = self.hot_place(owner)
+        hot = np.flatnonzero(at >= 0)
+        if len(hot):
+            context, at = [c[hot] for c in context], at[hot]
+            rest = context_hash([context[0], *context[2:]]) if len(context) > 1 else np.zeros(len(hot), np.uint64)
+            rest = np.where(self.split(context), mix(rest ^ last[hot].astype(np.uint64), 11), mix(rest, 12))
+            out[hot] = self.first[at] + (rest % self.parts[at].astype(np.uint64)).astype(np.int64)
         return out
 
-    def pair_bucket(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Contexts by range; what follows a hot context by range over its own buckets."""
-        out = v * self.buckets // (self.n_words + 1)
-        for context, (first, count) in self.hot.items():
-            mine = v == context
-            if mine.any():
-                out[mine] = first + w[mine] * count // (self.n_words + 1)
-        return out
-
-    @property
-    def pair_buckets(self) -> int:
-        return self.buckets + sum(n for _, n in self.hot.values())
-
-    def pair_counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of sorted pair keys, 0 of unseen ones: a binary search in each context's run."""
-        out = np.zeros(len(keys), np.int64)
-        v, w = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        bucket = self.pair_bucket(v, w)
+    def runs_of(self, bucket: np.ndarray, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each context's run begins and ends in its bucket's file, and (contexts, 3): its total, and how many follow it once and twice."""
+        low, high, numbers = np.zeros(len(bucket), np.int64), np.zeros(len(bucket), np.int64), np.zeros((len(bucket), 3), np.int64)
+        order = np.lexsort((hashes, bucket))
+        edges = cut(bucket[order], self.gram_buckets)
+        for b in np.flatnonzero(np.diff(edges)).tolist():
+            at = order[edges[b] : edges[b + 1]]
+            have, start, *small, _, _, _ = self.grams_file(k, b)
+            if not len(have):
+                continue
+            place = np.minimum(np.searchsorted(have, hashes[at]), len(have) - 1)
+            hit = have[place] == hashes[at]
+            at, place = at[hit], place[hit]
+            low[at], high[at] = start[place], start[place + 1]
+            for j in range(3):
+                numbers[at, j] = numbers_at(small[2 * j], small[2 * j + 1], place)
+        return low, high, numbers
+
+    def counts_in(self, bucket: np.ndarray, low: np.ndarray, high: np.ndarray, words: np.ndarray, k: int) -> np.ndarray:
+        """Counts of words in runs, 0 of those that are not there: a binary search in each run."""
+        out, low, high = np.zeros(len(words), np.int64), low.copy(), high.copy()
         order = np.argsort(bucket, kind="stable")
-        edges = cut(bucket[order], self.pair_buckets)
+        edges = cut(bucket[order], self.gram_buckets)
         for b in np.flatnonzero(np.diff(edges)).tolist():
             at = order[edges[b] : edges[b + 1]]
-            after = mapped(f"{self.path}/pairs-{b:05d}.next", "<u4")
+            *_, after, small, large = self.grams_file(k, b)
             if not len(after):
                 continue
-            if b < self.buckets:
-                start = mapped(f"{self.path}/pairs-{b:05d}.start", "<i8")
-                row = v[at] - self.first_context(b)
-                low, high = start[row], start[row + 1]
-            else:
-                low, high = np.zeros(len(at), np.int64), np.full(len(at), len(after))
-            want, end = w[at], np.array(high)
-            low = np.array(low)
-            open_ = np.flatnonzero(low < high)
-            high = np.array(high)
+            want, a, z, end = words[at], low[at], high[at], high[at]
+            open_ = np.flatnonzero(a < z)
             while len(open_):
-                mid = (low[open_] + high[open_]) >> 1
+                mid = (a[open_] + z[open_]) >> 1
                 less = after[mid] < want[open_]
-                low[open_[less]] = mid[less] + 1
-                high[open_[~less]] = mid[~less]
-                open_ = open_[low[open_] < high[open_]]
-            safe = np.minimum(low, len(after) - 1)
-            hit = (low < end) & (after[safe] == want)
-            out[at[hit]] = mapped(f"{self.path}/pairs-{b:05d}.count", "<u4")[safe[hit]]
+                a[open_[less]] = mid[less] + 1
+                z[open_[~less]] = mid[~less]
+                open_ = open_[a[open_] < z[open_]]
+            safe = np.minimum(a, len(after) - 1)
+            hit = (a < end) & (after[safe] == want)
+            out[at[hit]] = numbers_at(small, large, safe[hit])
         return out
 
-    def followers(self, contexts: np.ndarray) -> np.ndarray:
-        """(contexts, 3): how many follow each sorted context once, twice and more often."""
-        out = np.zeros((len(contexts), 3), np.int64)
-        bucket = contexts * self.buckets // (self.n_words + 1)
-        edges = cut(bucket, self.buckets)
-        for b in np.flatnonzero(np.diff(edges)).tolist():
-            at = contexts[edges[b] : edges[b + 1]] - self.first_context(b)
-            out[edges[b] : edges[b + 1]] = mapped(f"{self.path}/pairs-{b:05d}.follow", "<u4").reshape(-1, 3)[at]
-        for context, numbers in self.follow.items():
-            out[contexts == context] = numbers
+    def raise_order(self, p: np.ndarray, cols: list[np.ndarray]) -> np.ndarray:
+        """Probabilities of the order of len(cols) words from those of the order below."""
+        k, d = len(cols), self.discounts[len(cols)]
+        at = np.flatnonzero(np.all([c >= 0 for c in cols[:-1]], axis=0))
+        cols = [c[at] for c in cols]
+        hashes, first, back = np.unique(context_hash(cols[:-1]), return_index=True, return_inverse=True)
+        context = [c[first] for c in cols[:-1]]
+        bucket, split = self.bucket(context, np.zeros(len(first), np.int64)), self.split(context)
+        bucket[split] = -1
+        low, high, numbers = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64), np.zeros((len(first), 4), np.int64)
+        one = np.flatnonzero(~split)
+        low[one], high[one], numbers[one, :3] = self.runs_of(bucket[one], hashes[one], k)
+        numbers[:, 3] = high - low
+        many = np.flatnonzero(split)
+        if len(many):  # the sums over all buckets of the hot word
+            own = self.hot_place((context[0] if k == 2 else context[1])[many])
+            n = self.parts[own]
+            which = np.repeat(np.arange(len(many)), n)
+            part = self.first[own][which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            a, z, found = self.runs_of(part, hashes[many][which], k)
+            for j, x in enumerate((*found.T, z - a)):
+                numbers[many, j] = np.bincount(which, x, len(many)).astype(np.int64)
+        total = numbers[:, 0][back]
+        seen = np.flatnonzero(total > 0)
+        at, back, total = at[seen], back[seen], total[seen]
+        cols = [c[seen] for c in cols]
+        known = np.flatnonzero(cols[-1] >= 0)
+        pairs, where, again = np.unique(back[known].astype(np.uint64) << np.uint64(32) | cols[-1][known].astype(np.uint64), return_index=True, return_inverse=True)
+        owner, word = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        b, a, z = bucket[owner], low[owner], high[owner]
+        apart = np.flatnonzero(b < 0)
+        if len(apart):
+            b[apart] = self.bucket([c[known][where[apart]] for c in cols[:-1]], word[apart])
+            a[apart], z[apart], _ = self.runs_of(b[apart], hashes[owner[apart]], k)
+        count = np.zeros(len(seen), np.int64)
+        count[known] = self.counts_in(b, a, z, word, k)[again]
+        ones, twos, all_ = numbers[:, 1], numbers[:, 2], numbers[:, 3]
+        free = (d[1] * ones + d[2] * twos + d[3] * (all_ - ones - twos))[back] / total
+        out = p.copy()
+        out[at] = np.maximum(count - d[np.minimum(count, 3)], 0) / total + free * p[at]
         return out
 
     def word_probability(self, kinds: np.ndarray) -> np.ndarray:
-        """The lower order: by the number of contexts that a word follows; 0 contexts stand for unknown words too."""
-        rest = 1.0
-        p = np.zeros(len(kinds))
-        if self.n_pairs:
-            rest = float(self.kind_discounts[1:4] @ self.kinds[1:4]) / self.n_pairs
-            p = np.maximum(kinds - self.kind_discounts[np.minimum(kinds, 3)], 0) / self.n_pairs
+        """The lowest order: by the number of words that a word follows; 0 stands for unknown words too."""
+        rest, p = 1.0, np.zeros(len(kinds))
+        n_pairs = float(self.seen[2][1:].sum()) if len(self.seen) > 2 else 0.0
+        if n_pairs:
+            d, n = self.discounts[1], self.seen[1]
+            rest = float(d[1] * n[1] + d[2] * n[2] + d[3] * n[3:].sum()) / n_pairs
+            p = np.maximum(kinds - d[np.minimum(kinds, 3)], 0) / n_pairs
         return p + rest / (self.n_words + 1)
 
+    def sequence(self, rank: np.ndarray, ends: np.ndarray, end_rank: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of all texts in a row, order - 1 begins before each and an end after it; and the places of words and ends."""
+        n, pad = np.diff(ends), self.order - 1
+        where = np.arange(len(rank)) + np.repeat(np.arange(len(n)) * (pad + 1) + pad, n)
+        out = np.full(len(rank) + len(n) * (pad + 1), self.n_words, np.int64)
+        out[where] = rank
+        last = np.cumsum(n + pad + 1) - 1
+        out[last] = end_rank
+        is_token = np.zeros(len(out), bool)
+        is_token[where] = is_token[last] = True
+        return out, np.flatnonzero(is_token)
+
     def score(self, texts: pa.Array) -> dict[str, np.ndarray]:
         """Numbers of words, known words, and both log10 probabilities of each text."""
         distinct, place, ends = tokens(texts)
         n = np.diff(ends)
         known = self.ranks(distinct)  # ascending with the hash, but for the -1
         safe = np.flatnonzero(known >= 0)
-        count, kinds = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
-        count[safe] = self.by_word("words-%05d.count", "<u8", known[safe])
-        kinds[safe] = self.by_word("after-%05d.kinds", "<u4", known[safe])
-        end_rank = int(self.ranks(np.array([END], np.uint64))[0])
-        end = np.array([end_rank])
-        end_count = int(self.by_word("words-%05d.count", "<u8", end)[0]) if end_rank >= 0 else 0
-        end_kinds = int(self.by_word("after-%05d.kinds", "<u4", end)[0]) if end_rank >= 0 else 0
-        # The token rows: every text's words and its end.
-        at_end = np.zeros(len(place) + len(n), bool)
-        at_end[ends[1:] + np.arange(len(n))] = True
-        rank, c, k = (np.empty(len(at_end), np.int64) for _ in range(3))
-        for out, words, last in ((rank, known, end_rank), (c, count, end_count), (k, kinds, end_kinds)):
-            out[~at_end] = words[place]
-            out[at_end] = last
-        begin = np.concatenate([[0], np.flatnonzero(at_end)[:-1] + 1]) if len(n) else np.empty(0, np.int64)
-        context = np.concatenate([[0], rank[:-1]]) if len(rank) else rank
-        context[begin] = self.n_words  # the begin of a text
-        context_count = np.concatenate([[0], c[:-1]]) if len(c) else c
-        context_count[begin] = self.n_docs
-        lower = self.word_probability(k)
-        p = lower.copy()
-        seen = np.flatnonzero((context >= 0) & (context_count > 0))
-        if len(seen):
-            which, back = np.unique(context[seen], return_inverse=True)
-            free = (self.followers(which) @ self.discounts[1:4])[back] / context_count[seen]
-            pairs = np.flatnonzero(rank[seen] >= 0)
-            keys = context[seen][pairs].astype(np.uint64) << np.uint64(32) | rank[seen][pairs].astype(np.uint64)
-            kept, again = np.unique(keys, return_inverse=True)
-            found = np.zeros(len(seen), np.int64)
-            found[pairs] = self.pair_counts(kept)[again]
-            p[seen] = np.maximum(found - self.discounts[np.minimum(found, 3)], 0) / context_count[seen] + free * lower[seen]
-        base = np.log10((c + 1) / (self.n_tokens + self.n_words + 1))
+        count, kinds = np.zeros(len(distinct) + 1, np.int64), np.zeros(len(distinct) + 1, np.int64)
+        count[safe], kinds[safe] = self.by_word(known[safe])
+        end = self.ranks(np.array([END], np.uint64))
+        if end[0] >= 0:
+            count[-1:], kinds[-1:] = self.by_word(end)
+        sequence, at = self.sequence(known[place], ends, int(end[0]))
+        # What each token is among the distinct words; the end is the last of them.
+        which = np.full(len(at), len(distinct))
+        is_word = np.ones(len(at), bool)
+        is_word[np.cumsum(n + 1) - 1] = False
+        which[is_word] = place
+        begin = np.cumsum(n + 1) - (n + 1)
+        p = self.word_probability(kinds)[which]
+        for k in range(2, self.order + 1):
+            p = self.raise_order(p, [sequence[at - (k - 1) + j] for j in range(k)])
+        base = np.log10((count[which] + 1) / (self.n_tokens + self.n_words + 1))
         add = lambda x: np.add.reduceat(x, begin) if len(begin) else np.empty(0)
-        return {"n_tokens": n + 1, "n_known": add((c > 0).astype(np.int64)), "base_score": add(base), "score": add(np.log10(p))}
+        return {"n_tokens": n + 1, "n_known": add((count[which] > 0).astype(np.int64)), "base_score": add(base), "score": add(np.log10(p))}
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -279,12 +405,16 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, text: str = "text", bucket_bytes: int = 24 << 20, path: str | None = None) -> Model:
+def train(docs: DataFrame, text: str = "text", order: int = 3, bucket_bytes: int = 16 << 20, path: str | None = None) -> Model:
     """Count all texts (nulls are empty ones, and count as texts) and write the model below path.
 
-    The driver gets a few numbers for each bucket and the hot contexts, of
-    which there are at most four a bucket.
+    There is a bucket for each bucket_bytes of text, and more for hot words: a
+    bucket holds about as many distinct n-grams as so much text has tokens. The
+    driver gets a few numbers for each bucket and the hot words, of which there
+    are four a bucket at most.
     """
+    if order < 2:
+        raise ValueError("the order is two at least")
     spark = docs.sparkSession
     path = path or scratch(spark, "ngrams")
     rows = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
@@ -317,145 +447,178 @@ def train(docs: DataFrame, text: str = "text", bucket_bytes: int = 24 << 20, pat
                 total.add(np.frombuffer(keys, np.uint64), grow(counts, len(keys) // 8))
         b = TaskContext.get().partitionId()
         keys, counts = total.take()
-        write_file(f"{path}/words-{b:05d}.hash", [keys.astype("<u8").tobytes()])
-        write_file(f"{path}/words-{b:05d}.count", [counts.astype("<u8").tobytes()])
-        # What could be a hot context is among the words whose count is over a quarter of a bucket's share; each bucket's few largest do.
-        top = np.sort(np.argsort(-counts, kind="stable")[:64]) if len(counts) else np.empty(0, np.int64)
-        yield batch_of(["bucket", "n", "total", "top", "top_counts"], [b], [len(keys)], [int(counts.sum())], pa.array([top.tolist()], pa.list_(pa.int64())), pa.array([counts[top].tolist()], pa.list_(pa.int64())))
+        write_arrays(f"{path}/words-{b:05d}", [keys.astype("<u8"), *small_numbers(counts)])
+        yield batch_of(["bucket", "n", "total"], [b], [len(keys)], [int(counts.sum())])
 
-    shuffled = rows.mapInArrow(words, "bucket int, keys binary, counts binary").repartitionById(buckets, "bucket")
+    nothing = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.unhex(F.lit("")).alias("keys"), F.unhex(F.lit("")).alias("counts"))
+    shuffled = rows.mapInArrow(words, "bucket int, keys binary, counts binary").unionByName(nothing).repartitionById(buckets, "bucket")
     with batches_of(spark):
-        made = {r.bucket: r for r in shuffled.mapInArrow(merge_words, "bucket long, n long, total long, top array<long>, top_counts array<long>").collect()}
-    bases = [0]
-    for b in range(buckets):
-        if b not in made:
-            for kind in ("hash", "count"):
-                write_file(f"{path}/words-{b:05d}.{kind}", [b""])
-        bases.append(bases[-1] + (made[b].n if b in made else 0))
+        made = {r.bucket: r for r in shuffled.mapInArrow(merge_words, "bucket long, n long, total long").collect()}
+    bases = np.concatenate([[0], np.cumsum([made[b].n for b in range(buckets)])]).tolist()
     if bases[-1] >= 1 << 32:
-        raise ValueError("more than 2 ** 32 distinct words: ranks no longer fit a pair's half")
-    model = Model(path, buckets, bases, sum(r.total for r in made.values()), n_docs)
-    share = max(1, model.n_tokens // buckets)
-    large = [(n_docs, model.n_words)] + [(c, bases[b] + i) for b, r in made.items() for i, c in zip(r.top, r.top_counts, strict=True)]
-    first = buckets
-    for count, context in sorted(large, reverse=True):
-        if 4 * min(count, model.n_words) > share:
-            parts = -(-2 * min(count, model.n_words) // share)
-            model.hot[context] = (first, parts)
-            first += parts
-    _count_pairs(rows, model)
+        raise ValueError("2 ** 32 distinct words or more: ranks no longer fit four bytes")
+    model = Model(path, order, buckets, bases, sum(r.total for r in made.values()), n_docs)
+    _find_hot(spark, model)
+    _count_grams(rows, model)
     return model
 
 
-def _count_pairs(rows: DataFrame, model: Model) -> None:
-    path, buckets, hot_first = model.path, model.buckets, {f + i: v for v, (f, n) in model.hot.items() for i in range(n)}
+def _find_hot(spark: SparkSession, model: Model) -> None:
+    """Words, and the begin of a text, with over a quarter of a bucket's share of the tokens."""
+    share = max(1, model.n_tokens // model.buckets)
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = Sum()
-        end = int(model.ranks(np.array([END], np.uint64))[0])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in batch.column(0).to_pylist():
+                low, large = model.words_file(b)[1:]
+                at = np.flatnonzero(low >= min(255, share // 4))
+                count = numbers_at(low, large, at)
+                at, count = at[4 * count > share], count[4 * count > share]
+                yield batch_of(["rank", "n"], at + model.bases[b], count)
 
-        def parts() -> Iterator[pa.RecordBatch]:
-            keys, counts = total.take()
-            v, w = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            bucket = model.pair_bucket(v, w)
-            order = np.argsort(bucket, kind="stable")
-            edges = cut(bucket[order], model.pair_buckets)
-            for b in np.flatnonzero(np.diff(edges)).tolist():
-                at = order[edges[b] : edges[b + 1]]
-                yield batch_of(["bucket", "n", "steps", "words", "counts"], np.array([b], np.int32), np.array([len(at)], np.int32), [shrink(np.diff(v[at], prepend=0))], [shrink(w[at])], [shrink(counts[at])])
+    found = [(r.rank, r.n) for r in spark.range(model.buckets).mapInArrow(run, "rank long, n long").collect()]
+    found += [(model.n_words, model.n_docs)] * (4 * model.n_docs > share)
+    found.sort()
+    model.hot = np.array([r for r, _ in found], np.int64)
+    model.parts = np.array([-(-2 * n // share) for _, n in found], np.int64)
+    model.first = model.buckets + np.cumsum(model.parts) - model.parts
+
+
+class Rows:
+    """Rows of ranks and their counts, combined whenever enough have gathered."""
+
+    def __init__(self, combine, most: int = 2_000_000):
+        self.combine, self.most, self.held, self.size = combine, most, [], 0
+
+    def add(self, cols: list[np.ndarray], counts: np.ndarray) -> bool:
+        """Whether what has been combined is still large."""
+        self.held.append((cols, counts))
+        self.size += len(counts)
+        if self.size < self.most:
+            return False
+        cols, counts = self.take()
+        self.held, self.size = [(cols, counts)], len(counts)
+        return self.size > self.most // 2
+
+    def take(self) -> tuple[list[np.ndarray], np.ndarray]:
+        held, self.held, self.size = self.held, [], 0
+        if not held:
+            return [], np.empty(0, np.int64)
+        return self.combine([np.concatenate(c) for c in zip(*(c for c, _ in held), strict=True)], np.concatenate([n for _, n in held]))
+
+
+def by_context(cols: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct n-grams ordered by their context's hash and the last word."""
+    kept, counts = combine_rows([context_hash(cols[:-1]), cols[-1], *cols[:-1]], counts)
+    return [*kept[2:], kept[1]], counts
+
+
+def by_owner(cols: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct n-grams ordered by the second word, then the others."""
+    if len(cols) < 3:
+        return combine_rows(cols, counts)
+    kept, counts = combine_rows([cols[1], cols[0], *cols[2:]], counts)
+    return [kept[1], kept[0], *kept[2:]], counts
 
+
+def _count_grams(rows: DataFrame, model: Model) -> None:
+    path, buckets, order, spark = model.path, model.buckets, model.order, rows.sparkSession
+
+    def parts_of(cols: list[np.ndarray], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """One row of packed columns for each bucket; of single words, the words' own buckets."""
+        if len(cols) == 1:
+            bucket = np.searchsorted(np.array(model.bases), cols[0], side="right") - 1
+        else:
+            bucket = model.bucket([c.astype(np.int64) for c in cols[:-1]], cols[-1])
+        at = np.argsort(bucket, kind="stable")
+        edges = cut(bucket[at], model.gram_buckets)
+        lead = [1, 0, *range(2, len(cols))] if len(cols) > 2 else list(range(len(cols)))
+        for b in np.flatnonzero(np.diff(edges)).tolist():
+            some = at[edges[b] : edges[b + 1]]
+            yield batch_of(["bucket", "data"], np.array([b], np.int32), [pack([*(cols[j][some] for j in lead), counts[some]])])
+
+    def read_rows(data: bytes, k: int) -> tuple[list[np.ndarray], np.ndarray]:
+        *cols, counts = unpack(data, k + 1)
+        cols = [c.astype(np.uint32) for c in cols]
+        return ([cols[1], cols[0], *cols[2:]] if k > 2 else cols), counts
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = Rows(by_owner)
+        end = int(model.ranks(np.array([END], np.uint64))[0])
         for batch in batches:
             texts = batch.column(0)
             for a, z in runs(texts):
                 distinct, place, ends = tokens(texts[a:z])
-                rank = model.ranks(distinct)[place]
-                last = ends[1:] + np.arange(len(ends) - 1)
-                after = np.empty(len(rank) + len(last), np.int64)
-                mask = np.ones(len(after), bool)
-                mask[last] = False
-                after[mask], after[last] = rank, end
-                before = np.concatenate([[model.n_words], after[:-1]])
-                before[last[:-1] + 1] = model.n_words
-                keys, counts = np.unique(before.astype(np.uint64) << np.uint64(32) | after.astype(np.uint64), return_counts=True)
-                if total.add(keys, counts):
-                    yield from parts()
-        yield from parts()
-
-    def merge_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, b = Sum(), TaskContext.get().partitionId()
-        for batch in batches:
-            for n, steps, w, counts in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
-                v = np.cumsum(grow(steps, n)).astype(np.uint64)
-                total.add(v << np.uint64(32) | grow(w, n).astype(np.uint64), grow(counts, n))
-        keys, counts = total.take()
-        w = (keys & np.uint64(0xFFFFFFFF)).astype("<u4")
-        write_file(f"{path}/pairs-{b:05d}.next", [w.tobytes()])
-        write_file(f"{path}/pairs-{b:05d}.count", [np.minimum(counts, 0xFFFFFFFF).astype("<u4").tobytes()])
-        if b < buckets:
-            first, stop = model.first_context(b), model.first_context(b + 1)
-            row = (keys >> np.uint64(32)).astype(np.int64) - first
-            write_file(f"{path}/pairs-{b:05d}.start", [np.searchsorted(row, np.arange(stop - first + 1)).astype("<i8").tobytes()])
-            follow = np.zeros((stop - first) * 3, np.int64)
-            if len(row):
-                follow += np.bincount(row * 3 + np.minimum(counts, 3) - 1, minlength=len(follow))
-            write_file(f"{path}/pairs-{b:05d}.follow", [follow.astype("<u4").tobytes()])
-        seen = np.bincount(np.minimum(counts, 5), minlength=6).tolist()
-        kinds, each = np.unique(w, return_counts=True)
-        kinds = kinds.astype(np.int64)
-        word_bucket = np.searchsorted(np.array(model.bases), kinds, side="right") - 1
-        edges = cut(word_bucket, buckets)
-        names = ["bucket", "source", "n", "seen", "steps", "counts"]
-        none = pa.array([None], pa.list_(pa.int64()))
-        yield batch_of(names, np.array([0], np.int32), np.array([b], np.int32), np.array([0], np.int32), pa.array([seen], pa.list_(pa.int64())), [b""], [b""])
-        for p in np.flatnonzero(np.diff(edges)).tolist():
-            span = slice(edges[p], edges[p + 1])
-            yield batch_of(names, np.array([p], np.int32), np.array([b], np.int32), np.array([edges[p + 1] - edges[p]], np.int32), none, [shrink(np.diff(kinds[span], prepend=model.bases[p]))], [shrink(each[span])])
+                sequence, at = model.sequence(model.ranks(distinct)[place], ends, end)
+                sequence = sequence.astype(np.uint32)
+                if total.add([sequence[at - (order - 1) + j] for j in range(order)], np.ones(len(at), np.int64)):
+                    yield from parts_of(*total.take())
+        cols, counts = total.take()
+        if cols:
+            yield from parts_of(cols, counts)
+
+    def merge(k: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, b = Rows(by_context, 3_000_000), TaskContext.get().partitionId()
+            for batch in batches:
+                for data in batch.column(1).to_pylist():
+                    if data:
+                        total.add(*read_rows(data, k))
+            cols, counts = total.take()
+            cols = cols or [np.empty(0, np.uint32)] * k
+            hashes = context_hash(cols[:-1])
+            start = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.empty(0, np.int64)
+            sums = [np.add.reduceat(x, start) if len(start) else np.empty(0, np.int64) for x in (counts, (counts == 1).astype(np.int64), (counts == 2).astype(np.int64))]
+            numbers = [x for n in sums for x in small_numbers(n)]
+            write_arrays(f"{path}/grams-{k}-{b:05d}", [hashes[start].astype("<u8"), np.append(start, len(hashes)).astype("<u4"), *numbers, cols[-1].astype("<u4"), *small_numbers(counts)])
+            if len(counts):
+                yield from parts_of(*by_owner(cols[1:], np.ones(len(counts), np.int64)))
+
+        return run
 
     def merge_kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = TaskContext.get().partitionId()
-        kinds, seen = np.zeros(model.bases[p + 1] - model.bases[p], np.int64), []
+        kinds = np.zeros(model.bases[p + 1] - model.bases[p], np.int64)
         for batch in batches:
-            for source, n, numbers, steps, counts in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
-                if numbers is not None:
-                    seen.append((source, numbers))
-                if n:
-                    kinds[np.cumsum(grow(steps, n))] += grow(counts, n)
-        write_file(f"{path}/after-{p:05d}.kinds", [kinds.astype("<u4").tobytes()])
-        yield batch_of(["bucket", "source", "numbers"], [p], [-1], pa.array([np.bincount(np.minimum(kinds, 5), minlength=6).tolist()], pa.list_(pa.int64())))
-        for source, numbers in seen:
-            yield batch_of(["bucket", "source", "numbers"], [p], [source], pa.array([numbers], pa.list_(pa.int64())))
-
-    shuffled = rows.mapInArrow(pairs, "bucket int, n int, steps binary, words binary, counts binary").repartitionById(model.pair_buckets, "bucket")
-    shuffled = shuffled.mapInArrow(merge_pairs, "bucket int, source int, n int, seen array<long>, steps binary, counts binary").repartitionById(buckets, "bucket")
-    with batches_of(rows.sparkSession):
-        found = shuffled.mapInArrow(merge_kinds, "bucket long, source long, numbers array<long>").collect()
-    done_pairs, done_words = {r.source for r in found}, {r.bucket for r in found}
-    for b in set(range(model.pair_buckets)) - done_pairs:
-        first, stop = (model.first_context(b), model.first_context(b + 1)) if b < buckets else (0, 0)
-        for name, data in (("next", b""), ("count", b""), ("start", bytes(8 * (stop - first + 1))), ("follow", bytes(12 * (stop - first)))):
-            write_file(f"{path}/pairs-{b:05d}.{name}", [data])
-    for p in set(range(buckets)) - done_words:
-        write_file(f"{path}/after-{p:05d}.kinds", [bytes(4 * (model.bases[p + 1] - model.bases[p]))])
-    pair_n, kind_n = np.zeros(6), np.zeros(6)
-    for r in {(r.bucket, r.source): r for r in found}.values():
-        numbers = np.array(r.numbers)
-        if r.source < 0:
-            kind_n += numbers
-            continue
-        pair_n += numbers
-        if r.source in hot_first:
-            v = hot_first[r.source]
-            model.follow[v] = model.follow.get(v, np.zeros(3, np.int64)) + np.array([numbers[1], numbers[2], numbers[3:].sum()])
-    model.n_pairs = int(pair_n[1:].sum())
-    model.discounts, model.kind_discounts = discounts(pair_n), discounts(kind_n)
-    model.kinds = np.array([0, kind_n[1], kind_n[2], kind_n[3:].sum(), 0])
+            for data in batch.column(1).to_pylist():
+                if data:
+                    words, counts = unpack(data, 2)
+                    kinds[words - model.bases[p]] += counts  # distinct words within one row
+        write_arrays(f"{path}/after-{p:05d}", small_numbers(kinds))
+        yield batch_of(["bucket"], [p])
+
+    def dealt(df: DataFrame, n: int) -> DataFrame:
+        """By bucket, with a row for each bucket, so that every task runs and writes its file."""
+        nothing = spark.range(n).select(F.col("id").cast("int").alias("bucket"), F.unhex(F.lit("")).alias("data"))
+        return df.unionByName(nothing).repartitionById(n, "bucket")
+
+    shape = "bucket int, data binary"
+    df = rows.mapInArrow(grams, shape)
+    for k in range(order, 1, -1):
+        df = dealt(df, model.gram_buckets).mapInArrow(merge(k), shape)
+    with batches_of(spark):
+        dealt(df, buckets).mapInArrow(merge_kinds, "bucket long").collect()
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in batch.column(0).to_pylist():
+                found = [(k, model.grams_file(k, b)[-2]) for k in range(2, order + 1)] + ([(1, model.kinds_file(b)[0])] if b < buckets else [])
+                for k, low in found:
+                    yield batch_of(["k", *"abcdef"], [k], *[[int(n)] for n in np.bincount(np.minimum(low, 5), minlength=6)])
+
+    each = spark.range(model.gram_buckets).mapInArrow(numbers, "k long, a long, b long, c long, d long, e long, f long")
+    model.seen, model.discounts = np.zeros((order + 1, 6)), np.zeros((order + 1, 4))
+    for r in each.groupBy("k").agg(*[F.sum(c).alias(c) for c in "abcdef"]).collect():
+        model.seen[r.k] = r[1:]
+        model.discounts[r.k] = discounts(model.seen[r.k])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with n_tokens, n_known, base_score and score, replacing columns of these names.
 
     Whole texts are scored; a null text is an empty one, whose only token is
-    the end. perplexity is 10 ** (-score / n_tokens).
+    the end. perplexity is 10 ** (-score / n_tokens). Equal texts have equal
+    scores, whatever their keys; an empty table stays empty.
     """
     added = ["n_tokens", "n_known", "base_score", "score"]
     docs = docs.drop(*added)
@@ -474,9 +637,9 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def train_and_score(docs: DataFrame, known: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+def train_and_score(docs: DataFrame, known: Column, key: str = "doc_id", text: str = "text", order: int = 3) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of all rows, learning from those where known holds."""
-    model = train(docs.filter(known), text)
+    model = train(docs.filter(known), text, order)
     kept = docs.select(F.col(key).alias("key"), (~known).alias("held_out"), F.col(text).cast("string").alias("text"))
     scored = score(kept, model).drop("text").withColumn("train_tokens", F.lit(model.n_tokens).cast("long"))
     return scored.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -19,64 +19,80 @@ def words(text):
     return out + [word] * bool(word)
 
 
-def brute(train, texts):
+def estimates(counts):
+    """Chen and Goodman's three discounts, written out; half a count where their numbers are lacking."""
+    n = [sum(1 for x in counts if x == k) for k in range(5)]
+    out = [0.0, 0.5, 0.5, 0.5]
+    for k in (1, 2, 3):
+        if n[k] and n[1]:
+            out[k] = min(max(k - (k + 1) * n[1] / (n[1] + 2 * n[2]) * n[k + 1] / n[k], 0.0), float(k)) or 0.5
+    return out
+
+
+def brute(train, texts, order):
     """Textbook formulas on dictionaries."""
-    uni, big = Counter(), Counter()
-    for t in train:
-        seq = [None, *words(t), "</s>"]
-        uni.update(seq[1:])
-        big.update(zip(seq, seq[1:]))
-    total, distinct = sum(uni.values()), len(uni)
-    follow, kinds, context = defaultdict(Counter), Counter(), Counter()
-    for (v, w), c in big.items():
-        follow[v][min(c, 3)] += 1
-        kinds[w] += 1
-        context[v] += c
+    uni, top = Counter(), Counter()
 
-    def discount(numbers):
-        n = [0] + [sum(1 for x in numbers if x == k) for k in (1, 2, 3, 4)]
-        return kneser_ney.discounts(np.array(n, float))
+    def grams(t, k):
+        seq = [None] * (order - 1) + words(t) + ["</s>"]
+        return [tuple(seq[i - k + 1 : i + 1]) for i in range(order - 1, len(seq))]
 
-    d, e = discount(big.values()), discount(kinds.values())
-    rest = sum(e[min(k, 3)] for k in kinds.values()) / len(big) if big else 1
+    for t in train:
+        uni.update(words(t) + ["</s>"])
+        top.update(grams(t, order))
+    levels = {order: top}
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    d = {k: estimates(levels[k].values()) for k in levels}
+    after = {k: defaultdict(list) for k in levels}
+    for k, have in levels.items():
+        for g, c in have.items():
+            after[k][g[:-1]].append(c)
+    total, distinct = sum(uni.values()), len(uni)
 
-    def lower(w):
-        return (max(kinds[w] - e[min(kinds[w], 3)], 0) / len(big) if big else 0) + rest / (distinct + 1)
+    def probability(g):
+        k = len(g)
+        lower = probability(g[1:]) if k > 1 else 1 / (distinct + 1)
+        seen = after[k].get(g[:-1], [])
+        if not seen:
+            return lower
+        c = levels[k].get(g, 0)
+        return (max(c - d[k][min(c, 3)], 0) + sum(d[k][min(x, 3)] for x in seen) * lower) / sum(seen)
 
     out = []
     for t in texts:
-        seq = [None, *words(t), "</s>"]
-        score = 0
-        for v, w in zip(seq, seq[1:]):
-            p = lower(w)
-            if context[v]:
-                c = big[v, w]
-                p = max(c - d[min(c, 3)], 0) / context[v] + sum(d[k] * follow[v][k] for k in (1, 2, 3)) / context[v] * p
-            score += math.log10(p)
-        out.append((len(seq) - 1, sum(uni[w] > 0 for w in seq[1:]), total, sum(math.log10((uni[w] + 1) / (total + distinct + 1)) for w in seq[1:]), score))
-    return out, sum(lower(w) for w in uni) + rest / (distinct + 1)
-
-
-@pytest.mark.parametrize("bucket_bytes", [24 << 20, 500])
-def test_against_brute_force(spark, bucket_bytes):
+        seq = words(t) + ["</s>"]
+        base = sum(math.log10((uni[w] + 1) / (total + distinct + 1)) for w in seq)
+        out.append((len(seq), sum(uni[w] > 0 for w in seq), total, base, sum(math.log10(probability(g)) for g in grams(t, order))))
+    return out, sum(probability((w,)) for w in [*uni, "no such word"])
+
+
+@pytest.mark.parametrize(("order", "bucket_bytes"), [(3, 24 << 20), (3, 4000), (2, 4000), (4, 6000)])
+def test_against_brute_force(spark, order, bucket_bytes):
     rng = np.random.default_rng(2)
     vocabulary = [f"w{i}" for i in range(40)] + ["É", "Zebra", "the"]
     weight = 1 / np.arange(1, len(vocabulary) + 1)
     texts = [" ".join(rng.choice(vocabulary, rng.integers(0, 60), p=weight / weight.sum())) for _ in range(80)]
-    texts += [None, "", " \t\r\n", "A a\x0bA a", "unknown Unknown", "the " * 20_000]
+    texts += [None, "", " \t\r\n", "A a\x0bA a", "unknown Unknown", "the " * 3000]
     rows = [(i, t, "clash") for i, t in enumerate(texts)] + [(0, texts[0], "x"), (None, "the w1", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string").repartition(3)
     known = docs.doc_id.isNull() | (docs.doc_id % 7 != 2)
-    model = kneser_ney.train(docs.filter(known), bucket_bytes=bucket_bytes)
-    assert bool(model.hot) == (bucket_bytes == 500)
+    model = kneser_ney.train(docs.filter(known), order=order, bucket_bytes=bucket_bytes)
+    assert (len(model.hot) > 1) == (bucket_bytes < 10_000)
     got = sorted(((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score) for r in kneser_ney.score(docs, model).collect()))
-    want, total = brute([r[1] for r in rows if r[0] is None or r[0] % 7 != 2], [r[1] for r in rows])
+    want, total = brute([r[1] for r in rows if r[0] is None or r[0] % 7 != 2], [r[1] for r in rows], order)
     assert abs(total - 1) < 1e-9 and model.n_tokens == want[0][2]
     want = sorted((-1 if r[0] is None else r[0], n, k, b, s) for r, (n, k, _, b, s) in zip(rows, want))
     for g, w in zip(got, want, strict=True):
         assert g[:3] == w[:3] and np.allclose(g[3:], w[3:], rtol=1e-9), (g, w)
 
 
+def test_numbers_of_255_and_more(spark):
+    x = np.array([0, 254, 255, 256, 3, 1 << 40])
+    low, large = kneser_ney.small_numbers(x)
+    assert kneser_ney.numbers_at(low, large, np.array([5, 0, 2, 3, 1, 4])).tolist() == [1 << 40, 0, 255, 256, 254, 3]
+
+
 def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([(2, "a b"), (9, None)], "doc_id long, text string")
     out = kneser_ney.train_and_score(docs, docs.doc_id < 0).collect()
