@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -96,38 +96,41 @@ def triangle_distance(p: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray
     return np.where(inside, plane, np.minimum(np.minimum(edge(a, b), edge(b, c)), edge(c, a)))
 
 
-def surface_distance(points: DataFrame, triangles: DataFrame, point_id: str = "vid", most_triangles: int = 200_000) -> DataFrame:
+def surface_distance(points: DataFrame, triangles: DataFrame, point_id: str = "vid", most_rounds: int = 60) -> DataFrame:
     """(point_id, distance) of points (x, y, z) to the nearest of the triangles (ax ... cz).
 
-    Triangles of one reference mesh are a stated, small side: they are counted
-    and, up to most_triangles, shipped to the tasks; beyond it they are dealt in
-    blocks of that many, each a pass over the points, and the least counts.
+    An equi-join on grid cells: a triangle goes to the cells that its box reaches when grown by the cells' width, a point
+    to its own. What is found within the width is final; for the points left, the width doubles. Points and triangles
+    without finite coordinates take no part; no triangle at all is an error.
     """
     cols = [f"{v}{x}" for v in "abc" for x in "xyz"]
-    n = triangles.count()
+    finite = lambda names: reduce(lambda p, q: p & q, [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in names])
+    low, high = ({x: f(*[F.col(f"{v}{x}") for v in "abc"]) for x in "xyz"} for f in (F.least, F.greatest))
+    rows = triangles.select(*[F.col(c).cast("double").alias(c) for c in cols]).filter(finite(cols))
+    side = F.greatest(*[high[x] - low[x] for x in "xyz"])
+    n, mean, most = rows.agg(F.count("*"), F.avg(side), F.max(side)).first()
     if not n:
         raise ValueError("no triangles")
-    parts = -(-n // most_triangles)
-    rows = triangles.select(*cols) if parts < 2 else triangles.select(*cols).withColumn("_b", F.pmod(F.xxhash64(*cols), F.lit(parts)))
-    out = None
-    for i in range(parts):
-        held = (rows if parts < 2 else rows.filter(F.col("_b") == i).drop("_b")).toPandas().to_numpy(float).reshape(-1, 3, 3)
-        if not len(held):
-            continue
-
-        def run(batches: Iterator[pd.DataFrame], t: np.ndarray = held) -> Iterator[pd.DataFrame]:
-            low, high = t.min(axis=1), t.max(axis=1)
-            for batch in batches:
-                xyz, best = batch[["x", "y", "z"]].to_numpy(float), []
-                for p in xyz:
-                    gap = np.linalg.norm(np.maximum(np.maximum(low - p, p - high), 0), axis=1)
-                    near = int(gap.argmin())
-                    bound = triangle_distance(p[None], *(t[near : near + 1, k] for k in range(3)))[0]
-                    some = t[gap <= bound]
-                    best.append(triangle_distance(np.broadcast_to(p, (len(some), 3)), some[:, 0], some[:, 1], some[:, 2]).min())
-                yield pd.DataFrame({point_id: batch[point_id], "distance": np.array(best, float)})
-
-        kind = points.schema[point_id].dataType.simpleString()
-        each = points.select(point_id, "x", "y", "z").mapInPandas(run, f"{point_id} {kind}, distance double")
-        out = each if out is None else out.unionByName(each)
-    return out if parts < 2 else out.groupBy(point_id).agg(F.min("distance").alias("distance"))
+    width = max(mean, most / 16) or 1.0
+
+    @F.pandas_udf("double")
+    def distance(*xyz: pd.Series) -> pd.Series:
+        p, a, b, c = (np.stack([v.to_numpy(float) for v in xyz[k : k + 3]], axis=1) for k in (0, 3, 6, 9))
+        return pd.Series(triangle_distance(p, a, b, c) if len(p) else np.empty(0))
+
+    cell = lambda c: F.floor(c / width).cast("long")
+    todo = written(points.select(F.col(point_id).alias("_p"), *[F.col(x).cast("double").alias(x) for x in "xyz"]).filter(finite("xyz")))
+    found = [todo.select("_p", F.lit(0.0).alias("distance")).limit(0)]
+    for _ in range(most_rounds):
+        if todo.isEmpty():
+            break
+        reach = rows
+        for x in "xyz":
+            reach = reach.withColumn(f"_c{x}", F.explode(F.sequence(cell(low[x] - width), cell(high[x] + width))))
+        near = todo.select("*", *[cell(F.col(x)).alias(f"_c{x}") for x in "xyz"]).join(reach, [f"_c{x}" for x in "xyz"])
+        best = near.select("_p", distance(*"xyz", *cols).alias("distance")).filter(F.col("distance") <= width)
+        best = written(best.groupBy("_p").agg(F.min("distance").alias("distance")))
+        found.append(best)
+        todo = written(todo.join(best.select("_p"), "_p", "left_anti"))
+        width *= 2
+    return reduce(DataFrame.unionByName, found).withColumnRenamed("_p", point_id)

@@ -139,6 +139,11 @@ def height_errors(planned: DataFrame, measured: DataFrame, build: str = "build_i
     return measured.select(build, order, "z").join(p, [build, order]).select(build, order, F.round(F.col("z") - F.col("_p"), 6).alias("error"))
 
 
+def error_stats(errors: DataFrame, build: str = "build_id") -> DataFrame:
+    """(build, n, mean_abs, max_abs) of the height errors."""
+    return errors.groupBy(build).agg(F.count("*").alias("n"), F.avg(F.abs("error")).alias("mean_abs"), F.max(F.abs("error")).alias("max_abs"))
+
+
 def with_overrides(rows: DataFrame, overrides: DataFrame, keys: list[str], defaults: dict[str, object]) -> DataFrame:
     """Parameters of each row: its override's, as a whole, or else the defaults. overrides has one row a key."""
     names_ = list(defaults)

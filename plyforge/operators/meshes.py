@@ -58,6 +58,69 @@ def voxel_faces(voxels: DataFrame, volume: str = "volume") -> DataFrame:
     return faces.select(volume, F.explode(both).alias("t")).select(volume, "t.*")
 
 
+def cell_loops(mask: int) -> list[list[tuple[int, int]]]:
+    """Where the surface crosses a cell of eight corners (bit x + 2 y + 4 z of the mask is set inside): loops of crossed
+    edges, each a pair of corners.
+
+    On each side of the cell, cut off every run of inside corners by a line from the edge that leaves it to the edge that
+    enters it; where two opposite corners are inside, each is cut off alone. The neighbouring cell cuts the shared side
+    alike, so the surface is closed. Lines of all sides chain into loops.
+    """
+    onward = {}
+    for axis in range(3):
+        u, v = 1 << (axis + 1) % 3, 1 << (axis + 2) % 3
+        for far in (0, 1):
+            side = [far << axis, far << axis | u, far << axis | u | v, far << axis | v][:: 1 if far else -1]
+            inside = [mask >> c & 1 for c in side]
+            for i in range(4):
+                if inside[i] and not inside[i - 1]:
+                    j = i
+                    while inside[(j + 1) % 4]:
+                        j += 1
+                    edge = lambda p, q: (min(p, q), max(p, q))
+                    onward[edge(side[j % 4], side[(j + 1) % 4])] = edge(side[i - 1], side[i])
+    loops = []
+    while onward:
+        loop = [next(iter(onward))]
+        while onward[loop[-1]] != loop[0]:
+            loop.append(onward.pop(loop[-1]))
+        onward.pop(loop[-1])
+        loops.append(loop)
+    return loops
+
+
+def marching_cubes(voxels: DataFrame, volume: str = "volume", step: int = 1) -> DataFrame:
+    """(volume, ax ... cz): the triangles between inside and outside voxels' centres, wound outward.
+
+    Vertices are the middles of lattice edges whose ends differ, as in isosurface_vertices. Each voxel is sent to the
+    eight cells that it is a corner of; a cell's corners make a mask, whose triangles come from a table of 254 rows made
+    by rule. step: only every step-th voxel along each axis is looked at. Outside the given voxels all is empty.
+    """
+    spark = voxels.sparkSession
+    middle = lambda e: tuple(((e[0] >> i & 1) + (e[1] >> i & 1)) / 2 for i in range(3))
+    rows = []
+    for mask in range(1, 255):
+        found = [(loop[0], loop[i + 1], loop[i]) for loop in cell_loops(mask) for i in range(1, len(loop) - 1)]
+        rows.append((mask, [[x for e in t for x in middle(e)] for t in found]))
+    table = F.broadcast(spark.createDataFrame(rows, "mask int, found array<array<double>>"))
+    some = voxels.filter("inside")
+    if step > 1:
+        some = some.filter(" and ".join(f"pmod({a}, {step}) = 0" for a in "xyz")).withColumns({a: (F.col(a) / step).cast("int") for a in "xyz"})
+    corners = F.array(*[F.struct(*[F.lit(c >> i & 1).alias(a) for i, a in enumerate("xyz")], F.lit(1 << c).alias("bit")) for c in range(8)])
+    sent = some.select(volume, *"xyz").distinct().withColumn("c", F.explode(corners))
+    cells = sent.groupBy(volume, *[(F.col(a) - F.col(f"c.{a}")).alias(a) for a in "xyz"]).agg(F.sum("c.bit").cast("int").alias("mask"))
+    each = cells.join(table, "mask").select(volume, *"xyz", F.explode("found").alias("t"))
+    return each.select(volume, *[((F.col(a) + F.col("t")[3 * k + i]) * step).alias(f"{v}{a}") for k, v in enumerate("abc") for i, a in enumerate("xyz")])
+
+
+def open_edges(tris: DataFrame, mesh: str = "mesh") -> DataFrame:
+    """(mesh, open_edges): directed edges that are not met by as many in the opposite direction; 0 for a closed surface."""
+    point = lambda v: F.struct(*[F.col(f"{v}{x}").alias(x) for x in "xyz"])
+    ways = F.array(*[F.struct(F.least(point(p), point(q)).alias("p"), F.greatest(point(p), point(q)).alias("q"), F.when(point(p) < point(q), 1).otherwise(-1).alias("way")) for p, q in ("ab", "bc", "ca")])
+    each = tris.select(mesh, F.explode(ways).alias("e")).groupBy(mesh, "e.p", "e.q").agg(F.sum("e.way").alias("way"))
+    return each.groupBy(mesh).agg(F.sum(F.abs("way")).alias("open_edges"))
+
+
 def triangles(vertices: DataFrame, faces: DataFrame, mesh: str = "mesh") -> DataFrame:
     """(mesh, fid, ax ... cz) of faces (mesh, fid, a, b, c) over vertices (mesh, vid, x, y, z)."""
     out = faces
@@ -97,7 +160,8 @@ def plane_sections(tris: DataFrame, heights: DataFrame, mesh: str = "mesh", cell
 
     heights: (height_idx, z). A range join made an equi-join: triangles go to
     the z cells that they span, heights to their own. A corner on the plane
-    counts as above it.
+    counts as above it. Segments run with the solid on their left, if the
+    triangles are wound outward.
     """
     low, high = F.least("az", "bz", "cz"), F.greatest("az", "bz", "cz")
     cells = tris.withColumn("_c", F.explode(F.sequence(F.floor(low / cell), F.floor(high / cell))))
@@ -110,13 +174,18 @@ def plane_sections(tris: DataFrame, heights: DataFrame, mesh: str = "mesh", cell
 
     ends = F.array_compact(F.array(crossing("a", "b"), crossing("b", "c"), crossing("c", "a")))
     rows = cut.withColumn("e", ends).filter(F.size("e") == 2)
+    n = _cross([F.col(f"b{x}") - F.col(f"a{x}") for x in "xyz"], [F.col(f"c{x}") - F.col(f"a{x}") for x in "xyz"])
+    run = {x: F.col("e")[1][x] - F.col("e")[0][x] for x in "xy"}
+    rows = rows.withColumn("e", F.when(run["y"] * n[0] - run["x"] * n[1] < 0, F.reverse("e")).otherwise(F.col("e")))
     return rows.select(mesh, "height_idx", *[F.col("e")[i][x].alias(f"{x}{i}") for i in (0, 1) for x in "xy"])
 
 
 def section_rings(cuts: DataFrame, mesh: str = "mesh", digits: int = 6) -> DataFrame:
     """(mesh, height_idx, ring, n_points, area, perimeter, points): sections' segments chained into rings.
 
-    One task holds one section of one mesh. Open chains have area 0.
+    One task holds one section of one mesh. Chains follow the segments' direction
+    where they can. A ring's area is negative where it runs clockwise, that is,
+    around a hole of a mesh wound outward. Open chains have area 0.
     """
     kind = cuts.schema[mesh].dataType.simpleString()
 
@@ -133,7 +202,8 @@ def section_rings(cuts: DataFrame, mesh: str = "mesh", digits: int = 6) -> DataF
             used[i] = True
             chain = list(ends[i])
             while chain[-1] != chain[0]:
-                onward = next((k for k in at[chain[-1]] if not used[k]), None)
+                free = [k for k in at[chain[-1]] if not used[k]]
+                onward = next((k for k in free if ends[k][0] == chain[-1]), free[0] if free else None)
                 if onward is None:
                     break
                 used[onward] = True
@@ -141,7 +211,7 @@ def section_rings(cuts: DataFrame, mesh: str = "mesh", digits: int = 6) -> DataF
                 chain.append(b if a == chain[-1] else a)
             closed = chain[-1] == chain[0]
             p = np.array(chain)
-            area = abs(float((p[:-1, 0] * p[1:, 1] - p[1:, 0] * p[:-1, 1]).sum())) / 2 if closed else 0.0
+            area = float((p[:-1, 0] * p[1:, 1] - p[1:, 0] * p[:-1, 1]).sum()) / 2 if closed else 0.0
             out.append((len(out), len(chain) - closed, area, float(np.linalg.norm(np.diff(p, axis=0), axis=1).sum()), [{"x": x, "y": y} for x, y in (chain[:-1] if closed else chain)]))
         rows = pd.DataFrame(out, columns=["ring", "n_points", "area", "perimeter", "points"])
         rows.insert(0, mesh, pdf[mesh].iloc[0])
@@ -151,10 +221,16 @@ def section_rings(cuts: DataFrame, mesh: str = "mesh", digits: int = 6) -> DataF
     return cuts.groupBy(mesh, "height_idx").applyInPandas(run, f"{mesh} {kind}, height_idx {cuts.schema['height_idx'].dataType.simpleString()}, ring int, n_points int, area double, perimeter double, points array<struct<x: double, y: double>>")
 
 
+def section_areas(cuts: DataFrame, mesh: str = "mesh") -> DataFrame:
+    """(mesh, height_idx, area): sections' areas without holes, of meshes wound outward and closed; no ring is chained for it."""
+    twice = F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0")
+    return cuts.groupBy(mesh, "height_idx").agg((F.abs(F.sum(twice)) / 2).alias("area"))
+
+
 def section_contour(rings: DataFrame, mesh: str = "mesh") -> DataFrame:
-    """One row a section: area and perimeter sums and the ring of the most points, the first on ties."""
+    """One row a section: its area without holes, the perimeters' sum and the ring of the most points, the first on ties."""
     best = F.max_by("points", F.struct("n_points", -F.col("ring")))
-    return rings.groupBy(mesh, "height_idx").agg(F.round(F.sum("area"), 6).alias("area"), F.round(F.sum("perimeter"), 4).alias("perimeter"), best.alias("points"))
+    return rings.groupBy(mesh, "height_idx").agg(F.round(F.abs(F.sum("area")), 6).alias("area"), F.round(F.sum("perimeter"), 4).alias("perimeter"), best.alias("points"))
 
 
 def interpolated_z(vertices: DataFrame, heights: DataFrame, index: str = "z") -> DataFrame:

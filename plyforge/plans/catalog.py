@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plyforge.functions import geometry, names
-from plyforge.operators import compare, layers, meshes, pixels, register, score, segment, toolpath
+from plyforge.operators import calibrate, compare, layers, meshes, pixels, register, score, segment, toolpath
 
 from . import views
 from .views import COMMANDS, LAYERS, PIXELS, POINTS, POSITIONS, TOOL_LAYERS, VOXELS, table
@@ -100,18 +100,18 @@ def layer_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layers.layer_images(part_files(spark, sf_dir)).withColumn("z_height", F.round("z_height", 6))
 
 
-@query(f"WITH {IMAGES}, t AS (SELECT l_suppkey % 50 AS build_id, CAST(max(l_quantity) AS DOUBLE) AS total FROM lineitem WHERE l_suppkey % 50 < 40 GROUP BY 1), r AS (SELECT images.*, total, count(*) OVER (PARTITION BY images.build_id) AS n, row_number() OVER (PARTITION BY images.build_id ORDER BY layer_number) - 1 AS place FROM images LEFT JOIN t USING (build_id)) SELECT build_id, layer_number, round(CASE WHEN total > 0 AND n > 1 AND abs(total / greatest(n - 1, 1) - CAST(0.2 AS DOUBLE)) > 0.001 THEN place * (total / greatest(n - 1, 1)) ELSE z_height END, 6) AS z_height FROM r")
+@query(f"WITH {IMAGES}, t AS (SELECT l_suppkey % 50 AS build_id, CAST(max(l_quantity) AS DOUBLE) AS total FROM lineitem GROUP BY 1), r AS (SELECT images.*, total, count(*) OVER (PARTITION BY images.build_id) AS n, row_number() OVER (PARTITION BY images.build_id ORDER BY layer_number) - 1 AS place FROM images LEFT JOIN t USING (build_id)) SELECT build_id, layer_number, round(CASE WHEN total > 0 AND n > 1 AND abs(total / greatest(n - 1, 1) - CAST(0.2 AS DOUBLE)) > 0.001 THEN place * (total / greatest(n - 1, 1)) ELSE z_height END, 6) AS z_height FROM r")
 def respaced_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = table(spark, sf_dir, "lineitem").filter("l_suppkey % 50 < 40").groupBy((F.col("l_suppkey") % 50).alias("build_id")).agg(F.max("l_quantity").alias("total_height"))
+    totals = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 50).alias("build_id")).agg(F.max("l_quantity").alias("total_height"))
     rows = layers.respace(layers.layer_images(part_files(spark, sf_dir)), totals, 0.2)
     return rows.select("build_id", "layer_number", F.round("z_height", 6).alias("z_height"))
 
 
-PLANNED = "planned AS (SELECT user_id AS build_id, CAST(day(ts) - 1 AS INTEGER) AS layer_idx, round(avg(value) / 100, 6) AS z FROM events WHERE event_id % 3 = 0 GROUP BY user_id, day(ts))"
+PLANNED = "planned AS (SELECT user_id AS build_id, CAST(day(ts) - 1 AS INTEGER) AS layer_idx, round(avg(value) / 100, 6) AS z FROM events GROUP BY user_id, day(ts))"
 
 
 def planned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").filter("event_id % 3 = 0")
+    e = table(spark, sf_dir, "events")
     return e.groupBy(F.col("user_id").alias("build_id"), (F.dayofmonth("ts") - 1).alias("layer_idx")).agg(F.round(F.avg("value") / 100, 6).alias("z"))
 
 
@@ -120,9 +120,9 @@ def height_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layers.height_errors(planned(spark, sf_dir), views.layers(spark, sf_dir))
 
 
-@query(f"WITH {LAYERS}, o AS (SELECT DISTINCT user_id AS build_id, CAST(user_id % 7 + 3 AS INTEGER) AS kernel, user_id % 2 = 0 AS invert FROM events WHERE user_id % 4 = 1) SELECT l.build_id, l.layer_idx, coalesce(kernel, 5) AS kernel, coalesce(invert, false) AS invert FROM layers l LEFT JOIN o USING (build_id)")
+@query(f"WITH {LAYERS}, o AS (SELECT DISTINCT user_id AS build_id, CAST(user_id % 7 + 3 AS INTEGER) AS kernel, user_id % 2 = 0 AS invert FROM events) SELECT l.build_id, l.layer_idx, coalesce(kernel, 5) AS kernel, coalesce(invert, false) AS invert FROM layers l LEFT JOIN o USING (build_id)")
 def override_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "events").filter("user_id % 4 = 1").select(F.col("user_id").alias("build_id"), (F.col("user_id") % 7 + 3).cast("int").alias("kernel"), (F.col("user_id") % 2 == 0).alias("invert")).distinct()
+    o = table(spark, sf_dir, "events").select(F.col("user_id").alias("build_id"), (F.col("user_id") % 7 + 3).cast("int").alias("kernel"), (F.col("user_id") % 2 == 0).alias("invert")).distinct()
     rows = views.layers(spark, sf_dir).select("build_id", "layer_idx")
     return layers.with_overrides(rows, o, ["build_id"], {"kernel": 5, "invert": False})
 
@@ -182,6 +182,45 @@ def nearest_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("distance", F.round("distance", 6))
 
 
+@query(f"""WITH {POINTS}, {VOXELS}, i AS (SELECT * FROM voxels WHERE inside), e AS (SELECT volume, 0 AS axis, unnest([x - CAST(0.5 AS DOUBLE), x + CAST(0.5 AS DOUBLE)]) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z FROM i
+    UNION ALL SELECT volume, 1, x, unnest([y - CAST(0.5 AS DOUBLE), y + CAST(0.5 AS DOUBLE)]), z FROM i UNION ALL SELECT volume, 2, x, y, unnest([z - CAST(0.5 AS DOUBLE), z + CAST(0.5 AS DOUBLE)]) FROM i),
+    s AS (SELECT volume, axis, x, y, z FROM e GROUP BY ALL HAVING count(*) = 1), p AS (SELECT vec_id * 32 + k AS vid, vec_id, x * 6 + CAST(1.5 AS DOUBLE) AS x, y * 6 + CAST(1.5 AS DOUBLE) AS y, k / CAST(8 AS DOUBLE) AS z FROM points),
+    d AS (SELECT vid, greatest(abs(p.x - s.x) - CASE axis WHEN 0 THEN 0 ELSE CAST(0.5 AS DOUBLE) END, 0) AS dx, greatest(abs(p.y - s.y) - CASE axis WHEN 1 THEN 0 ELSE CAST(0.5 AS DOUBLE) END, 0) AS dy, greatest(abs(p.z - s.z) - CASE axis WHEN 2 THEN 0 ELSE CAST(0.5 AS DOUBLE) END, 0) AS dz FROM p JOIN s ON s.volume = p.vec_id)
+    SELECT vid, round(min(sqrt(dx * dx + dy * dy + dz * dz)), 6) AS distance FROM d GROUP BY vid""")
+def surface_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cloud for each polygon and a surface for each volume, both far apart along x, so that a point's own surface is nearest."""
+    apart = F.col("vec_id") * 1000
+    points = views.polygons(spark, sf_dir).select("vec_id", F.posexplode("points").alias("k", "p"))
+    points = points.select((F.col("vec_id") * 32 + F.col("k")).alias("vid"), (F.col("p.x") * 6 + 1.5 + apart).alias("x"), (F.col("p.y") * 6 + 1.5).alias("y"), (F.col("k") / 8).alias("z"))
+    tris = meshes.voxel_faces(views.voxels(spark, sf_dir)).withColumns({f"{v}x": F.col(f"{v}x") + F.col("volume") * 1000 for v in "abc"})
+    return compare.surface_distance(points, tris).withColumn("distance", F.round("distance", 6))
+
+
+@query(f"WITH {POINTS}, n AS (SELECT k, x, y, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM points WINDOW w AS (PARTITION BY vec_id ORDER BY k)) SELECT round(2.5 / avg(sqrt((nx - x) ** 2 + (ny - y) ** 2)), 9) AS scale_mm_per_px FROM n WHERE nx IS NOT NULL AND (k + 1) % 8 <> 0")
+def corner_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = views.polygons(spark, sf_dir).select(F.col("vec_id").alias("image"), F.posexplode("points").alias("idx", "p"))
+    found = calibrate.corner_scale(p.select("image", "idx", "p.x", "p.y"), 8, 2.5)
+    return found.withColumn("scale_mm_per_px", F.round("scale_mm_per_px", 9))
+
+
+LENS = "{c} * (CAST(1 AS DOUBLE) + r * (CAST(0.2 AS DOUBLE) + r * CAST(-0.05 AS DOUBLE)))"
+
+
+@query(f"""WITH {PIXELS}, n AS (SELECT *, (x - CAST(3.5 AS DOUBLE)) / 8 AS a, (y - CAST(3.5 AS DOUBLE)) / 8 AS b FROM pixels), l AS (SELECT *, a * a + b * b AS r FROM n),
+    d AS (SELECT image, y, x, ({LENS.format(c='a')} + CAST(0.02 AS DOUBLE) * a * b + CAST(-0.03 AS DOUBLE) * (r + 2 * a * a)) * 8 + CAST(3.5 AS DOUBLE) AS px, ({LENS.format(c='b')} + CAST(0.01 AS DOUBLE) * (r + 2 * b * b) + CAST(-0.06 AS DOUBLE) * a * b) * 8 + CAST(3.5 AS DOUBLE) AS py FROM l),
+    c AS (SELECT d.*, i, j, CAST(floor(px) AS INTEGER) + i AS sx, CAST(floor(py) AS INTEGER) + j AS sy, (CASE i WHEN 1 THEN px - floor(px) ELSE 1 - (px - floor(px)) END) * (CASE j WHEN 1 THEN py - floor(py) ELSE 1 - (py - floor(py)) END) AS w FROM d CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS o(i, j))
+    SELECT c.image, c.y, c.x, round(sum(w * coalesce(v, 0)), 4) AS v FROM c LEFT JOIN pixels p ON p.image = c.image AND p.x = sx AND p.y = sy GROUP BY 1, 2, 3""")
+def undistort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = calibrate.undistort(views.pixels(spark, sf_dir), [[8.0, 0.0, 3.5], [0.0, 8.0, 3.5], [0.0, 0.0, 1.0]], [0.2, -0.05, 0.01, -0.03])
+    return out.withColumn("v", F.round("v", 4) + 0.0)
+
+
+@query(f"WITH {LAYERS}, {PLANNED}, e AS (SELECT l.build_id, abs(round(l.z - p.z, 6)) AS e FROM layers l JOIN planned p ON p.build_id = l.build_id AND p.layer_idx = l.layer_idx) SELECT build_id, count(*) AS n, round(avg(e), 6) AS mean_abs, round(max(e), 6) AS max_abs FROM e GROUP BY build_id")
+def height_error_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = layers.error_stats(layers.height_errors(planned(spark, sf_dir), views.layers(spark, sf_dir)))
+    return stats.select("build_id", "n", F.round("mean_abs", 6).alias("mean_abs"), F.round("max_abs", 6).alias("max_abs"))
+
+
 @query(f"WITH {LAGGED}, {PLANNED}, e AS (SELECT l.build_id, avg(CASE WHEN abs(round(l.z - p.z, 6)) <= CAST(0.2 AS DOUBLE) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) * 100 AS layer FROM layers l JOIN planned p ON p.build_id = l.build_id AND p.layer_idx = l.layer_idx GROUP BY 1), a AS (SELECT build_id, greatest(CAST(0 AS DOUBLE), 100 - sum(CASE severity WHEN 'critical' THEN 15 WHEN 'warning' THEN 5 WHEN 'info' THEN 1 ELSE 0 END)) AS anomaly FROM anomalies GROUP BY 1), d AS (SELECT user_id AS build_id, round(avg(CASE WHEN value <= 30 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) * 100, 2) AS dimensional FROM events GROUP BY 1), n AS (SELECT build_id, count(*) AS n FROM layers GROUP BY 1), s AS (SELECT n.build_id, coalesce(dimensional, 100) * CAST(0.35 AS DOUBLE) + coalesce(layer, 100) * CAST(0.25 AS DOUBLE) + coalesce(anomaly, 100) * CAST(0.25 AS DOUBLE) + least(CAST(100 AS DOUBLE), n / CAST(30 AS DOUBLE) * 100) * CAST(0.15 AS DOUBLE) AS score FROM n LEFT JOIN e USING (build_id) LEFT JOIN a USING (build_id) LEFT JOIN d USING (build_id)) SELECT build_id, round(score, 4) AS score, CASE WHEN score >= 85 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 50 THEN 'C' WHEN score >= 30 THEN 'D' ELSE 'F' END AS grade FROM s")
 def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = views.layers(spark, sf_dir)
@@ -283,9 +322,42 @@ def isosurface_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
 SIDES = f"{VOXELS}, i AS (SELECT * FROM voxels WHERE inside), e AS (SELECT volume, 0 AS axis, unnest([2 * x - 1, 2 * x + 1]) AS x, 2 * y AS y, 2 * z AS z FROM i UNION ALL SELECT volume, 1, 2 * x, unnest([2 * y - 1, 2 * y + 1]), 2 * z FROM i UNION ALL SELECT volume, 2, 2 * x, 2 * y, unnest([2 * z - 1, 2 * z + 1]) FROM i), sides AS (SELECT volume, axis, x, y, z FROM e GROUP BY ALL HAVING count(*) = 1)"
 
 
-@query(f"WITH {SIDES} SELECT volume AS mesh, CAST(count(*) AS DOUBLE) AS area, 2 * count(*) AS n_faces, min(x - CASE WHEN axis = 0 THEN 0 ELSE 1 END) / 2 AS min_x, max(z + CASE WHEN axis = 2 THEN 0 ELSE 1 END) / 2 AS max_z FROM sides GROUP BY volume")
+CORNERS = ", ".join(f"(0, 0, {u}, {v}), (1, {u}, 0, {v}), (2, {u}, {v}, 0)" for u in (-1, 1) for v in (-1, 1))
+
+
+@query(f"""WITH {SIDES}, nook(axis, dx, dy, dz) AS (VALUES {CORNERS}), corner AS (SELECT DISTINCT volume, x + dx AS x, y + dy AS y, z + dz AS z FROM sides JOIN nook USING (axis)),
+    n AS (SELECT volume, count(*) AS n_vertices FROM corner GROUP BY 1), half(axis, ax, ay, az) AS (VALUES {", ".join(f"({a}, {', '.join(str(s if i == b else 0) for i in range(3))})" for a in range(3) for b in range(3) if b != a for s in (-1, 1))}),
+    crowd AS (SELECT volume, x + ax AS x, y + ay AS y, z + az AS z, count(*) AS faces FROM sides JOIN half USING (axis) GROUP BY 1, 2, 3, 4), c AS (SELECT volume, bool_and(faces = 2) AS watertight FROM crowd GROUP BY 1),
+    solid AS (SELECT volume, CAST(count(*) AS DOUBLE) AS volume_, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM voxels WHERE inside GROUP BY 1),
+    b AS (SELECT volume, CAST(count(*) AS DOUBLE) AS area, 2 * count(*) AS n_faces, min(x - CASE WHEN axis = 0 THEN 0 ELSE 1 END) / 2 AS min_x, max(z + CASE WHEN axis = 2 THEN 0 ELSE 1 END) / 2 AS max_z FROM sides GROUP BY 1)
+    SELECT volume AS mesh, area, n_faces, n_vertices, watertight, CASE WHEN watertight THEN volume_ ELSE 0 END AS volume, CASE WHEN watertight THEN round(cx, 6) END AS center_x, CASE WHEN watertight THEN round(cz, 6) END AS center_z, min_x, max_z
+    FROM b JOIN n USING (volume) JOIN c USING (volume) JOIN solid USING (volume)""")
 def mesh_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return meshes.mesh_info(meshes.voxel_faces(views.voxels(spark, sf_dir)).withColumnRenamed("volume", "mesh")).select("mesh", "area", "n_faces", "min_x", "max_z")
+    info = meshes.mesh_info(meshes.voxel_faces(views.voxels(spark, sf_dir)).withColumnRenamed("volume", "mesh"))
+    return info.select("mesh", "area", "n_faces", "n_vertices", "watertight", F.round("volume", 6).alias("volume"), *[(F.round(f"center_{x}", 6) + 0.0).alias(f"center_{x}") for x in "xz"], "min_x", "max_z")
+
+
+@query(f"WITH {VOXELS} SELECT volume, z AS height_idx, CAST(count(*) AS DOUBLE) AS area FROM voxels WHERE inside GROUP BY 1, 2")
+def mesh_section_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heights = spark.range(4).select(F.col("id").cast("int").alias("height_idx"), (F.col("id") + 0.25).alias("z"))
+    cuts = meshes.plane_sections(meshes.voxel_faces(views.voxels(spark, sf_dir)), heights, "volume")
+    return meshes.section_areas(cuts, "volume").withColumn("area", F.round("area", 6))
+
+
+@query(f"WITH {VOXELS} SELECT volume, z AS height_idx, CAST(count(*) AS DOUBLE) AS area FROM voxels WHERE inside GROUP BY 1, 2")
+def mesh_section_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same areas from chained rings, holes taken off."""
+    heights = spark.range(4).select(F.col("id").cast("int").alias("height_idx"), (F.col("id") + 0.25).alias("z"))
+    cuts = meshes.plane_sections(meshes.voxel_faces(views.voxels(spark, sf_dir)), heights, "volume")
+    return meshes.section_contour(meshes.section_rings(cuts, "volume"), "volume").select("volume", "height_idx", "area")
+
+
+@query(f"""WITH {VOXELS}, i AS (SELECT * FROM voxels WHERE inside), e AS (SELECT volume, 0 AS axis, unnest([x, x - 1]) AS x, y, z FROM i UNION ALL SELECT volume, 1, x, unnest([y, y - 1]), z FROM i UNION ALL SELECT volume, 2, x, y, unnest([z, z - 1]) FROM i),
+    v AS (SELECT volume, axis, x, y, z FROM e GROUP BY ALL HAVING count(*) = 1)
+    SELECT volume AS mesh, count(*) AS n_vertices, min(x + CASE axis WHEN 0 THEN CAST(0.5 AS DOUBLE) ELSE 0 END) AS min_x, max(z + CASE axis WHEN 2 THEN CAST(0.5 AS DOUBLE) ELSE 0 END) AS max_z, CAST(0 AS BIGINT) AS open_edges FROM v GROUP BY 1""")
+def marching_cubes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tris = meshes.marching_cubes(views.voxels(spark, sf_dir)).withColumnRenamed("volume", "mesh")
+    return meshes.mesh_info(tris).select("mesh", "n_vertices", "min_x", "max_z").join(meshes.open_edges(tris), "mesh")
 
 
 @query(f"WITH {SIDES} SELECT volume, CAST(z / 2 AS INTEGER) AS height_idx, 2 * count(*) AS n_segments, CAST(count(*) AS DOUBLE) AS length FROM sides WHERE axis <> 2 GROUP BY 1, 2")

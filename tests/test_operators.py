@@ -131,6 +131,35 @@ def test_phantom_surface(spark):
     assert [(r.height_idx, r.area) for r in cut] == [(0, v.filter("inside and z = 0").count())]
 
 
+def test_areas_without_holes(spark):
+    ring = [(0, z, y, x, not (1 <= x <= 2 and 1 <= y <= 2)) for z in range(2) for y in range(4) for x in range(4)]
+    corners = [(1, 0, y, x, x == y) for y in range(3) for x in range(3)]  # touch at corners only
+    v = spark.createDataFrame(ring + corners, "volume int, z int, y int, x int, inside boolean")
+    cuts = meshes.plane_sections(meshes.voxel_faces(v), spark.createDataFrame([(0, 0.25)], "height_idx int, z double"), "volume")
+    assert {r.volume: round(r.area, 9) for r in meshes.section_areas(cuts, "volume").collect()} == {0: 12.0, 1: 3.0}
+    rings = meshes.section_rings(cuts, "volume")
+    assert {r.volume: r.area for r in meshes.section_contour(rings, "volume").collect()} == {0: 12.0, 1: 3.0}
+    assert sorted(r.area for r in rings.filter("volume = 0").collect()) == [-4.0, 16.0]
+
+
+def test_marching_cubes(spark):
+    """Every mask gives closed loops over its crossed edges; a sphere phantom gives one closed surface of about its volume."""
+    for mask in range(1, 255):
+        crossed = {(a, b) for a in range(8) for b in range(a + 1, 8) if (a ^ b).bit_count() == 1 and (mask >> a & 1) != (mask >> b & 1)}
+        loops = meshes.cell_loops(mask)
+        assert sorted(e for loop in loops for e in loop) == sorted(crossed) and all(len(loop) >= 3 for loop in loops)
+    v = meshes.sphere_phantom(spark, 20, 15.0)
+    for step, least in ((1, 14_100 * 0.97), (4, 14_100 * 0.8)):
+        tris = meshes.marching_cubes(v, step=step).withColumnRenamed("volume", "mesh").cache()
+        info = meshes.mesh_info(tris).first()
+        assert meshes.open_edges(tris).first().open_edges == 0 and info.watertight
+        assert info.n_vertices - info.n_edges + info.n_faces == 2 and least < info.volume < 14_137 * (1.02 if step == 1 else 1.12)
+        signed = tris.selectExpr('ax * (by * cz - bz * cy) + ay * (bz * cx - bx * cz) + az * (bx * cy - by * cx) AS v').agg(F.sum('v')).first()[0] / 6
+        assert abs(signed - info.volume) < 1e-6  # wound outward
+        assert (info.min_x, info.max_z) == ((-14.5, 14.5) if step == 1 else (-14.0, 14.0))
+    assert meshes.marching_cubes(v.limit(0)).count() == 0
+
+
 def test_interpolated_heights(spark):
     v = spark.createDataFrame([(0.5,), (-0.5,), (1.0,), (2.5,)], "z double")
     h = spark.createDataFrame([(0, 0.0), (1, 1.0), (2, 4.0)], "slice int, height double")
