@@ -7,8 +7,9 @@ hash array. What a bucket merges, it writes as one file of flat arrays:
 
 words-N    sorted 64-bit word hashes; counts
 grams-K-N  order K: sorted 64-bit hashes of contexts, where each context's run
-           begins, its total, how many words follow it once and twice; then
-           the runs: sorted ranks of the words that follow, and their counts
+           begins, and of long runs the total and how many words follow once
+           and twice; then the runs: sorted ranks of the words that follow,
+           and their counts
 after-N    for each word, how many words it follows
 
 Numbers are stored by the byte, those of 255 and more apart. Workers map these
@@ -25,18 +26,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import batches_of, map_file, runs, scratch, split_words, text_column, write_file
+from .common import batches_of, gather, map_file, runs, scratch, text_column, utf8, write_file
 from .token_store import mix
 
-END = xxhash.xxh64_intdigest(b" ", 0)  # no word has a space
+#: The hash of the end of a text, an empty word.
+END = int(mix(np.zeros(1, np.uint64), 5)[0])
+STEP = 1 << 20  # bytes hashed at a time
 
 
 def combine(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,14 +65,48 @@ def grow(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(size, n).T.copy().view(f"<u{size}").reshape(-1).astype(np.int64)
 
 
+@lru_cache(1)
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2 ** 64."""
+    odd = 0x9E3779B97F4A7C15
+    return tuple(np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(STEP - 1, x, np.uint64)])) for x in (odd, pow(odd, -1, 1 << 64)))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words data[start:end]: a polynomial of the bytes, from running sums, and a finaliser."""
+    out, k = np.empty(len(starts), np.uint64), 0
+    up, down = powers()
+    while k < len(starts):
+        a = int(starts[k])
+        stop = int(np.searchsorted(ends, a + STEP, side="right"))
+        if stop == k:  # a word longer than a step: its digest by the library
+            out[k] = xxhash.xxh64_intdigest(data[a : ends[k]].tobytes(), 0)
+            k += 1
+            continue
+        z = int(ends[stop - 1])
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data[a:z].astype(np.uint64) + np.uint64(1)) * up[: z - a])])
+        out[k:stop] = (sums[ends[k:stop] - a] - sums[starts[k:stop] - a]) * down[starts[k:stop] - a]
+        k = stop
+    return mix(out ^ (ends - starts).astype(np.uint64), 5)
+
+
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct word hashes (sorted), each word's place among them, and n + 1 offsets of the texts' words."""
-    words, ends = split_words(pc.ascii_lower(texts))
-    coded = words.dictionary_encode()
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(w, 0) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    distinct, place = np.unique(hashes, return_inverse=True)
-    return distinct, place[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.empty(0, np.int64), ends
+    """Distinct word hashes (sorted), each word's place among them, and n + 1 offsets of the texts' words.
+
+    Words are runs of bytes outside 0x20 and 0x09-0x0D, A-Z lower-cased.
+    """
+    data, cuts = utf8(texts)
+    data = data + np.where((data >= 65) & (data <= 90), np.uint8(32), np.uint8(0))
+    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    begin, stop = inside.copy(), inside.copy()
+    begin[1:] &= ~inside[:-1]
+    stop[:-1] &= ~inside[1:]
+    edges = cuts[(cuts > 0) & (cuts < len(data))]
+    begin[edges] = inside[edges]
+    stop[edges - 1] = inside[edges - 1]
+    starts, ends = np.flatnonzero(begin), np.flatnonzero(stop) + 1
+    distinct, place = np.unique(word_hashes(data, starts, ends), return_inverse=True)
+    return distinct, place, np.searchsorted(starts, cuts).astype(np.int64)
 
 
 class Sum:
@@ -107,48 +145,84 @@ def batch_of(names: list[str], *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names)
 
 
-def combine_rows(cols: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows, ordered by the first column, then the second and so on, and the sums of their counts."""
-    order = np.lexsort(cols[::-1])
-    cols = [c[order] for c in cols]
+def combine_rows(keys: list[np.ndarray], cols: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Rows of distinct keys, ordered by the first key, then the second and so on, and the sums of their counts."""
+    order = np.lexsort(keys[::-1])
     new = np.ones(len(order), bool)
     if len(order):
-        new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+        keys = [k[order] for k in keys]
+        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
     starts = np.flatnonzero(new)
-    return [c[starts] for c in cols], np.add.reduceat(counts[order], starts) if len(starts) else counts
+    return [c[order[starts]] for c in cols], np.add.reduceat(counts[order], starts) if len(starts) else counts
 
 
 def pack(cols: list[np.ndarray]) -> bytes:
-    """Columns of numbers of equal length in few bytes; the first one ascends."""
-    parts = [shrink(np.diff(c.astype(np.int64), prepend=0) if i == 0 else c) for i, c in enumerate(cols)]
-    return np.array([len(cols[0]), *map(len, parts)], "<u4").tobytes() + b"".join(parts)
+    """Rows of numbers, ordered by the columns, in few bytes: a column holds differences while those before it stay the same."""
+    same, parts = np.zeros(len(cols[0]), bool), []
+    same[1:] = True
+    for c in cols[:-1]:
+        c = c.astype(np.int64)
+        step = np.diff(c, prepend=0)
+        parts.append(shrink(np.where(same, step, c)))
+        same &= step == 0
+    parts.append(shrink(cols[-1]))
+    raw = np.array([len(cols[0]), *map(len, parts)], "<u4").tobytes() + b"".join(parts)
+    return zstandard.compress(raw, 1)
 
 
 def unpack(raw: bytes, columns: int) -> list[np.ndarray]:
+    raw = zstandard.decompress(raw)
     n, *sizes = np.frombuffer(raw, "<u4", columns + 1).tolist()
     at, out = 4 * (columns + 1), []
-    for size in sizes:
-        out.append(grow(raw[at : at + size], n))
+    fresh = np.zeros(n, bool)  # where a column starts anew
+    fresh[:1] = True
+    for j, size in enumerate(sizes):
+        x = grow(raw[at : at + size], n)
         at += size
-    out[0] = np.cumsum(out[0])
+        if j < columns - 1:
+            sums = np.cumsum(x)
+            begin = np.flatnonzero(fresh)
+            x = sums - np.repeat(sums[begin] - x[begin], np.diff(np.append(begin, n)))
+            fresh[1:] |= x[1:] != x[:-1]
+        out.append(x)
     return out
 
 
-def small_numbers(x: np.ndarray) -> list[np.ndarray]:
-    """By the byte; the places and values of those from 255 on follow."""
-    large = np.flatnonzero(x >= 255)
-    return [np.minimum(x, 255).astype(np.uint8), np.concatenate([large, x[large]]).astype("<u8")]
+def small_numbers(x: np.ndarray, kind: str = "<u1") -> list[np.ndarray]:
+    """By the byte (or two); the places and values of those that don't fit follow."""
+    most = np.iinfo(kind).max
+    large = np.flatnonzero(x >= most)
+    return [np.minimum(x, most).astype(kind), np.concatenate([large, x[large]]).astype("<u8")]
 
 
 def numbers_at(low: np.ndarray, large: np.ndarray, at: np.ndarray) -> np.ndarray:
     out = low[at].astype(np.int64)
-    big = np.flatnonzero(out == 255)
-    if len(big):
+    if len(large):
+        big = np.flatnonzero(out == np.iinfo(low.dtype).max)
         half = len(large) // 2
         out[big] = large[half + np.searchsorted(large[:half], at[big])]
     return out
 
 
+def run_starts(start: np.ndarray) -> list[np.ndarray]:
+    """Ascending numbers: every 64th in full, and the others by what they exceed it."""
+    base = start[::64]
+    return [base.astype("<u8"), *small_numbers(start - np.repeat(base, 64)[: len(start)], "<u2")]
+
+
+def starts_at(base: np.ndarray, low: np.ndarray, large: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return base[at >> 6].astype(np.int64) + numbers_at(low, large, at)
+
+
+LONG = 16  # runs beyond it have their sums stored
+
+
+def by_bucket(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order by bucket, and where each bucket begins in it."""
+    order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")  # short numbers sort much faster
+    return order, cut(bucket[order], buckets)
+
+
 def write_arrays(path: str, arrays: list[np.ndarray]) -> None:
     """One file: the number of arrays, their sizes in bytes, and each array from a multiple of eight on."""
     parts = [np.array([len(arrays), *(x.nbytes for x in arrays)], "<u8").tobytes()]
@@ -165,7 +239,7 @@ def arrays_of(path: str, *kinds: str) -> list[np.ndarray]:
     if path not in _maps:
         if len(_maps) > 50_000:
             _maps.clear()
-        raw = map_file(path, np.uint8)
+        raw = np.asarray(map_file(path, np.uint8))
         n = int(raw[:8].view("<u8")[0])
         at, out = 8 * (n + 1), []
         for size, kind in zip(raw[8:at].view("<u8").tolist(), kinds, strict=True):
@@ -213,7 +287,8 @@ class Model:
         return arrays_of(f"{self.path}/after-{b:05d}", "u1", "<u8")
 
     def grams_file(self, k: int, b: int) -> list[np.ndarray]:
-        return arrays_of(f"{self.path}/grams-{k}-{b:05d}", "<u8", "<u4", "u1", "<u8", "u1", "<u8", "u1", "<u8", "<u4", "u1", "<u8")
+        """Contexts; their runs' starts (three arrays); contexts of long runs and (3 each) their sums; words; counts (two arrays)."""
+        return arrays_of(f"{self.path}/grams-{k}-{b:05d}", "<u8", "<u8", "<u2", "<u8", "<u4", "<u8", "<u4", "u1", "<u8")
 
     def ranks(self, hashes: np.ndarray) -> np.ndarray:
         """Ranks of sorted hashes, -1 of unknown ones."""
@@ -263,33 +338,46 @@ class Model:
     def runs_of(self, bucket: np.ndarray, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where each context's run begins and ends in its bucket's file, and (contexts, 3): its total, and how many follow it once and twice."""
         low, high, numbers = np.zeros(len(bucket), np.int64), np.zeros(len(bucket), np.int64), np.zeros((len(bucket), 3), np.int64)
-        order = np.lexsort((hashes, bucket))
-        edges = cut(bucket[order], self.gram_buckets)
+        order, edges = by_bucket(bucket, self.gram_buckets)
         for b in np.flatnonzero(np.diff(edges)).tolist():
             at = order[edges[b] : edges[b + 1]]
-            have, start, *small, _, _, _ = self.grams_file(k, b)
+            have, base, small, large, long, sums, _, one, more = self.grams_file(k, b)
             if not len(have):
                 continue
-            place = np.minimum(np.searchsorted(have, hashes[at]), len(have) - 1)
-            hit = have[place] == hashes[at]
+            want = hashes[at]
+            place = np.minimum(np.searchsorted(have, want), len(have) - 1)
+            hit = np.flatnonzero(have[place] == want)
+            if not len(hit):
+                continue
             at, place = at[hit], place[hit]
-            low[at], high[at] = start[place], start[place + 1]
-            for j in range(3):
-                numbers[at, j] = numbers_at(small[2 * j], small[2 * j + 1], place)
+            a, z = starts_at(base, small, large, place), starts_at(base, small, large, place + 1)
+            low[at], high[at] = a, z
+            n = z - a
+            short = np.flatnonzero(n <= LONG)
+            if len(short):
+                counts = numbers_at(one, more, gather(a[short], n[short]))
+                first = np.cumsum(n[short]) - n[short]
+                for j, x in enumerate((counts, counts == 1, counts == 2)):
+                    numbers[at[short], j] = np.add.reduceat(x, first, dtype=np.int64)
+            rest = np.flatnonzero(n > LONG)
+            if len(rest):
+                numbers[at[rest]] = sums.reshape(-1, 3)[np.searchsorted(long, place[rest])]
         return low, high, numbers
 
     def counts_in(self, bucket: np.ndarray, low: np.ndarray, high: np.ndarray, words: np.ndarray, k: int) -> np.ndarray:
         """Counts of words in runs, 0 of those that are not there: a binary search in each run."""
-        out, low, high = np.zeros(len(words), np.int64), low.copy(), high.copy()
-        order = np.argsort(bucket, kind="stable")
-        edges = cut(bucket[order], self.gram_buckets)
+        out = np.zeros(len(words), np.int64)
+        order, edges = by_bucket(bucket, self.gram_buckets)
         for b in np.flatnonzero(np.diff(edges)).tolist():
             at = order[edges[b] : edges[b + 1]]
             *_, after, small, large = self.grams_file(k, b)
             if not len(after):
                 continue
+            at = at[low[at] < high[at]]
             want, a, z, end = words[at], low[at], high[at], high[at]
-            open_ = np.flatnonzero(a < z)
+            alone = z - a == 1
+            open_ = np.flatnonzero(~alone)
+            a[alone & (after[np.minimum(a, len(after) - 1)] < want)] += 1
             while len(open_):
                 mid = (a[open_] + z[open_]) >> 1
                 less = after[mid] < want[open_]
@@ -301,42 +389,46 @@ class Model:
             out[at[hit]] = numbers_at(small, large, safe[hit])
         return out
 
-    def raise_order(self, p: np.ndarray, cols: list[np.ndarray]) -> np.ndarray:
-        """Probabilities of the order of len(cols) words from those of the order below."""
+    def raise_order(self, p: np.ndarray, cols: list[np.ndarray], which: np.ndarray | None = None, contexts: np.ndarray | None = None) -> np.ndarray:
+        """Probabilities of the order of len(cols) words from those of the order below. For pairs, which of the contexts each has."""
         k, d = len(cols), self.discounts[len(cols)]
         at = np.flatnonzero(np.all([c >= 0 for c in cols[:-1]], axis=0))
         cols = [c[at] for c in cols]
-        hashes, first, back = np.unique(context_hash(cols[:-1]), return_index=True, return_inverse=True)
-        context = [c[first] for c in cols[:-1]]
-        bucket, split = self.bucket(context, np.zeros(len(first), np.int64)), self.split(context)
+        if contexts is not None:
+            context, back = [np.maximum(contexts, 0)], which[at]
+        else:  # longer contexts hardly repeat
+            context, back = cols[:-1], np.arange(len(at))
+        hashes = context_hash(context)
+        bucket, split = self.bucket(context, np.zeros(len(hashes), np.int64)), self.split(context)
         bucket[split] = -1
-        low, high, numbers = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64), np.zeros((len(first), 4), np.int64)
+        low, high, numbers = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64), np.zeros((len(hashes), 4), np.int64)
         one = np.flatnonzero(~split)
         low[one], high[one], numbers[one, :3] = self.runs_of(bucket[one], hashes[one], k)
         numbers[:, 3] = high - low
         many = np.flatnonzero(split)
         if len(many):  # the sums over all buckets of the hot word
-            own = self.hot_place((context[0] if k == 2 else context[1])[many])
+            _, first, again = np.unique(hashes[many], return_index=True, return_inverse=True)
+            some = many[first]
+            own = self.hot_place((context[0] if k == 2 else context[1])[some])
             n = self.parts[own]
-            which = np.repeat(np.arange(len(many)), n)
-            part = self.first[own][which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            a, z, found = self.runs_of(part, hashes[many][which], k)
+            owner = np.repeat(np.arange(len(some)), n)
+            part = self.first[own][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+            a, z, found = self.runs_of(part, hashes[some][owner], k)
             for j, x in enumerate((*found.T, z - a)):
-                numbers[many, j] = np.bincount(which, x, len(many)).astype(np.int64)
+                numbers[many, j] = np.bincount(owner, x, len(some)).astype(np.int64)[again]
         total = numbers[:, 0][back]
         seen = np.flatnonzero(total > 0)
         at, back, total = at[seen], back[seen], total[seen]
         cols = [c[seen] for c in cols]
         known = np.flatnonzero(cols[-1] >= 0)
-        pairs, where, again = np.unique(back[known].astype(np.uint64) << np.uint64(32) | cols[-1][known].astype(np.uint64), return_index=True, return_inverse=True)
-        owner, word = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        owner, word = back[known], cols[-1][known]
         b, a, z = bucket[owner], low[owner], high[owner]
         apart = np.flatnonzero(b < 0)
         if len(apart):
-            b[apart] = self.bucket([c[known][where[apart]] for c in cols[:-1]], word[apart])
+            b[apart] = self.bucket([c[known[apart]] for c in cols[:-1]], word[apart])
             a[apart], z[apart], _ = self.runs_of(b[apart], hashes[owner[apart]], k)
         count = np.zeros(len(seen), np.int64)
-        count[known] = self.counts_in(b, a, z, word, k)[again]
+        count[known] = self.counts_in(b, a, z, word, k)
         ones, twos, all_ = numbers[:, 1], numbers[:, 2], numbers[:, 3]
         free = (d[1] * ones + d[2] * twos + d[3] * (all_ - ones - twos))[back] / total
         out = p.copy()
@@ -384,8 +476,13 @@ class Model:
         which[is_word] = place
         begin = np.cumsum(n + 1) - (n + 1)
         p = self.word_probability(kinds)[which]
+        # A token's context of one word is the token before it, or the begin of the text.
+        before = np.concatenate([[0], which[:-1]])
+        before[begin] = len(distinct) + 1
+        contexts = np.concatenate([known, end, [self.n_words]])
         for k in range(2, self.order + 1):
-            p = self.raise_order(p, [sequence[at - (k - 1) + j] for j in range(k)])
+            pair = (before, contexts) if k == 2 else ()
+            p = self.raise_order(p, [sequence[at - (k - 1) + j] for j in range(k)], *pair)
         base = np.log10((count[which] + 1) / (self.n_tokens + self.n_words + 1))
         add = lambda x: np.add.reduceat(x, begin) if len(begin) else np.empty(0)
         return {"n_tokens": n + 1, "n_known": add((count[which] > 0).astype(np.int64)), "base_score": add(base), "score": add(np.log10(p))}
@@ -429,7 +526,7 @@ def train(docs: DataFrame, text: str = "text", order: int = 3, bucket_bytes: int
             edges = cut(hash_bucket(keys, buckets), buckets)
             for b in np.flatnonzero(np.diff(edges)).tolist():
                 span = slice(edges[b], edges[b + 1])
-                yield batch_of(["bucket", "keys", "counts"], np.array([b], np.int32), [keys[span].tobytes()], [shrink(counts[span])])
+                yield batch_of(["bucket", "keys", "counts"], np.array([b], np.int32), [keys[span].tobytes()], [zstandard.compress(shrink(counts[span]), 1)])
 
         for batch in batches:
             texts = batch.column(0)
@@ -444,7 +541,8 @@ def train(docs: DataFrame, text: str = "text", order: int = 3, bucket_bytes: int
         total = Sum()
         for batch in batches:
             for keys, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                total.add(np.frombuffer(keys, np.uint64), grow(counts, len(keys) // 8))
+                if keys:
+                    total.add(np.frombuffer(keys, np.uint64), grow(zstandard.decompress(counts), len(keys) // 8))
         b = TaskContext.get().partitionId()
         keys, counts = total.take()
         write_arrays(f"{path}/words-{b:05d}", [keys.astype("<u8"), *small_numbers(counts)])
@@ -509,16 +607,14 @@ class Rows:
 
 def by_context(cols: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct n-grams ordered by their context's hash and the last word."""
-    kept, counts = combine_rows([context_hash(cols[:-1]), cols[-1], *cols[:-1]], counts)
-    return [*kept[2:], kept[1]], counts
+    return combine_rows([context_hash(cols[:-1]), cols[-1]], cols, counts)
 
 
 def by_owner(cols: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct n-grams ordered by the second word, then the others."""
-    if len(cols) < 3:
-        return combine_rows(cols, counts)
-    kept, counts = combine_rows([cols[1], cols[0], *cols[2:]], counts)
-    return [kept[1], kept[0], *kept[2:]], counts
+    """Distinct n-grams ordered by the second word, the first and the others; two words to a sort key."""
+    keys = [cols[1], cols[0], *cols[2:]] if len(cols) > 2 else cols
+    pairs = [keys[i].astype(np.uint64) << np.uint64(32) | keys[i + 1].astype(np.uint64) if i + 1 < len(keys) else keys[i] for i in range(0, len(keys), 2)]
+    return combine_rows(pairs, cols, counts)
 
 
 def _count_grams(rows: DataFrame, model: Model) -> None:
@@ -530,8 +626,7 @@ def _count_grams(rows: DataFrame, model: Model) -> None:
             bucket = np.searchsorted(np.array(model.bases), cols[0], side="right") - 1
         else:
             bucket = model.bucket([c.astype(np.int64) for c in cols[:-1]], cols[-1])
-        at = np.argsort(bucket, kind="stable")
-        edges = cut(bucket[at], model.gram_buckets)
+        at, edges = by_bucket(bucket, model.gram_buckets)
         lead = [1, 0, *range(2, len(cols))] if len(cols) > 2 else list(range(len(cols)))
         for b in np.flatnonzero(np.diff(edges)).tolist():
             some = at[edges[b] : edges[b + 1]]
@@ -569,8 +664,9 @@ def _count_grams(rows: DataFrame, model: Model) -> None:
             hashes = context_hash(cols[:-1])
             start = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.empty(0, np.int64)
             sums = [np.add.reduceat(x, start) if len(start) else np.empty(0, np.int64) for x in (counts, (counts == 1).astype(np.int64), (counts == 2).astype(np.int64))]
-            numbers = [x for n in sums for x in small_numbers(n)]
-            write_arrays(f"{path}/grams-{k}-{b:05d}", [hashes[start].astype("<u8"), np.append(start, len(hashes)).astype("<u4"), *numbers, cols[-1].astype("<u4"), *small_numbers(counts)])
+            long = np.flatnonzero(np.diff(np.append(start, len(hashes))) > LONG)
+            sums = np.stack(sums, axis=1)[long]
+            write_arrays(f"{path}/grams-{k}-{b:05d}", [hashes[start].astype("<u8"), *run_starts(np.append(start, len(hashes))), long.astype("<u4"), sums.astype("<u8"), cols[-1].astype("<u4"), *small_numbers(counts)])
             if len(counts):
                 yield from parts_of(*by_owner(cols[1:], np.ones(len(counts), np.int64)))
 
