@@ -4,13 +4,18 @@ The decoder reads prefix codes (simple, normal, and groups chosen by an entropy
 image), literals, back-references and the colour cache, and inverts the
 predictor, cross-colour, subtract-green and palette transforms; it gives a pixel
 array. Images whose only varying channel is green, as byte payloads are stored,
-take a vectorised path: the code word at every bit position is looked up at
-once and the chain of positions is followed.
+take a shorter path: the code word at every bit position is looked up at once
+and the chain of positions is followed, up to the next back-reference.
+
+A payload is written by prefix codes of its own, with back-references to what
+occurred before, or, where it has few colours and a count of the bits says so,
+over a packed palette.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,6 +29,8 @@ from .common import runs, text_column
 #: Fixed values of the format: the order in which code length code lengths are stored.
 CODE_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 MOST_ROWS = 16_384
+#: The longest code word of a payload, of the 15 bits that the format allows: readers make tables of that many bits.
+MOST_BITS = 12
 
 
 LENGTH_CODES = 24
@@ -42,8 +49,6 @@ def neighbours() -> list[tuple[int, int]]:
 
 def code_lengths(weights: list[float], most: int = 15) -> list[int]:
     """Huffman code lengths, at most `most`, of the symbols with a weight over 0."""
-    import heapq
-
     used = [i for i, w in enumerate(weights) if w > 0]
     out = [0] * len(weights)
     if len(used) < 2:
@@ -52,35 +57,45 @@ def code_lengths(weights: list[float], most: int = 15) -> list[int]:
         return out
     floor = 0.0
     while True:
-        heap = [(max(weights[i], floor), i, (i,)) for i in used]
+        heap = [(max(weights[i], floor), k) for k, i in enumerate(used)]
         heapq.heapify(heap)
-        depth = dict.fromkeys(used, 0)
-        tie = len(weights)
+        parent, tie = [0] * (2 * len(used) - 1), len(used)
         while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for i in a[2] + b[2]:
-                depth[i] += 1
-            heapq.heappush(heap, (a[0] + b[0], tie, a[2] + b[2]))
+            a = heapq.heappop(heap)
+            b = heap[0]
+            parent[a[1]] = parent[b[1]] = tie
+            heapq.heapreplace(heap, (a[0] + b[0], tie))
             tie += 1
-        if max(depth.values()) <= most:
-            for i, d in depth.items():
-                out[i] = d
+        depth = [0] * len(parent)
+        for k in range(len(parent) - 2, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        if max(depth) <= most:
+            for k, i in enumerate(used):
+                out[i] = depth[k]
             return out
         floor = max(2 * floor, sum(weights) / (1 << (most + 1)))
 
 
+@lru_cache(1)
+def reversed_words() -> np.ndarray:
+    """Every number below 2 ** 15 with its 15 bits reversed."""
+    n = np.arange(1 << 15)
+    return sum(((n >> k) & 1) << (14 - k) for k in range(15))
+
+
 def canonical(lengths: list[int]) -> list[int]:
     """Code words of the lengths, bits reversed as the stream stores them; a lone symbol has none."""
-    code, out = 0, [0] * len(lengths)
-    if sum(n > 0 for n in lengths) < 2:
-        return out
-    for n in range(1, 16):
-        for s, have in enumerate(lengths):
-            if have == n:
-                out[s] = int(format(code, f"0{n}b")[::-1], 2)
-                code += 1
-        code <<= 1
-    return out
+    n = np.asarray(lengths, np.int64)
+    out = np.zeros(len(n), np.int64)
+    used = np.flatnonzero(n)
+    if len(used) < 2:
+        return out.tolist()
+    used = used[np.argsort(n[used], kind="stable")]
+    size = n[used]
+    space = 1 << (15 - size)  # a word of n bits takes 2 ** (15 - n) of the words of 15 bits
+    code = (np.cumsum(space) - space) >> (15 - size)
+    out[used] = reversed_words()[code] >> (15 - size)
+    return out.tolist()
 
 
 class Code:
@@ -99,10 +114,11 @@ class Code:
         if sum(1 << (15 - n) for n in lengths if n) != 1 << 15:
             raise ValueError("a prefix code that is not complete")
         self.symbol, self.length = np.zeros(1 << self.width, np.int64), np.zeros(1 << self.width, np.int64)
-        for s, (n, word) in enumerate(zip(lengths, canonical(lengths), strict=True)):
-            if n:
-                self.symbol[word :: 1 << n] = s
-                self.length[word :: 1 << n] = n
+        words = canonical(lengths)
+        for s in used:
+            n = lengths[s]
+            self.symbol[words[s] :: 1 << n] = s
+            self.length[words[s] :: 1 << n] = n
 
     def read(self, bits: Bits) -> int:
         at = bits.peek(self.width)
@@ -114,8 +130,7 @@ class Bits:
     """Reads a stream from the lowest bit of each byte up."""
 
     def __init__(self, data: bytes):
-        self.value, self.at, self.end = int.from_bytes(data, "little"), 0, 8 * len(data)
-        self.data = data
+        self.at, self.end, self.data = 0, 8 * len(data), data
 
     def peek(self, n: int) -> int:
         i = self.at >> 3
@@ -157,8 +172,16 @@ def read_code(bits: Bits, symbols: int) -> Code:
     first = [0] * 19
     for i in range(4 + bits.read(4)):
         first[CODE_ORDER[i]] = bits.read(3)
+    if first == [4] * 16 + [0] * 3 and not bits.read(1):  # four bits each
+        raw = np.frombuffer(bits.data[bits.at >> 3 : (bits.at >> 3) + 2 * symbols // 4 + 2], np.uint8)
+        at = (bits.at & 7) + np.arange(4 * symbols)
+        if at[-1] >= 8 * len(raw):
+            raise ValueError("the stream ends early")
+        each = (raw[at >> 3] >> (at & 7)) & 1
+        bits.at += 4 * symbols
+        return Code((each.reshape(-1, 4) @ np.array([8, 4, 2, 1])).tolist())
     inner = code_of(tuple(first))
-    left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else symbols
+    left = symbols if first == [4] * 16 + [0] * 3 else 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else symbols
     s, before = 0, 8
     while s < symbols and left:
         left -= 1
@@ -191,8 +214,9 @@ def write_code(out: Writer, lengths: list[int]) -> None:
     for s in CODE_ORDER:
         out.write(4 if s < 16 else 0, 3)
     out.write(0, 1)
-    for n in lengths:
-        out.write(int(format(n, "04b")[::-1], 2), 4)
+    n = np.asarray(lengths, np.uint8)
+    each = np.stack([n >> 3 & 1, n >> 2 & 1, n >> 1 & 1, n & 1], axis=1).reshape(-1)
+    out.write(int.from_bytes(np.packbits(each, bitorder="little").tobytes(), "little"), 4 * len(n))
 
 
 def prefix_value(value: int) -> tuple[int, int, int]:
@@ -242,7 +266,7 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     sizes = (ALPHABETS[0] + (1 << cache_bits if cache_bits else 0), *ALPHABETS[1:])
     groups = [[read_code(bits, n) for n in sizes] for _ in range(max(group_of) + 1 if group_of else 1)]
     total = width * height
-    if len(groups) == 1 and not cache_bits and all(c.only is not None for c in groups[0][1:]):
+    if len(groups) == 1 and not cache_bits and all(c.only is not None for c in groups[0][1:4]):
         return green_only(bits, groups[0], width, total)
     out, cache, done = [0] * total, [0] * (1 << cache_bits), 0
     while done < total:
@@ -271,70 +295,67 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-STEP_BITS = 16
-
-
-@lru_cache(16)
-def literal_runs(lengths: tuple[int, ...]) -> list[tuple[bytes, int, int]]:
-    """For each 16 bits: the literals that they hold whole, those words' bits, and the literals' count."""
-    code = Code(list(lengths))
-    out = []
-    symbol, length, mask = code.symbol.tolist(), code.length.tolist(), (1 << code.width) - 1
-    for v in range(1 << STEP_BITS):
-        at, found = 0, []
-        while True:
-            n = length[(v >> at) & mask]
-            s = symbol[(v >> at) & mask]
-            if at + n > STEP_BITS or s > 255 or len(found) == 8:
-                break
-            found.append(s)
-            at += n
-        out.append((bytes(found), at, len(found)))
-    return out
+class Chain:
+    """Literals of a prefix code from a bit position on: code words at all positions of a stretch, then from each word's end to the next."""
+
+    def __init__(self, code: Code, data: bytes, stretch: int = 1 << 17):
+        raw = np.frombuffer(data + bytes(8), np.uint8).astype(np.int32)
+        self.window = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
+        self.symbol, self.mask, self.stretch, self.from_, self.lengths = code.symbol, (1 << code.width) - 1, stretch, 0, b""
+        self.step = np.where(code.symbol < 256, code.length, 0).astype(np.uint8)  # 0 ends a chain
+
+    def literals(self, at: int, end: int, most: int) -> tuple[bytes, int]:
+        """At most so many literals, and the position after them; none where another symbol, or the end, comes next."""
+        if not self.from_ <= at < self.from_ + len(self.lengths) - 80:
+            p = np.arange(at, max(at, min(at + self.stretch, end)))
+            self.words = (self.window[p >> 3] >> (p & 7)) & self.mask
+            self.from_, self.lengths = at, self.step[self.words].tobytes() + bytes(16)
+        lengths, p, found = self.lengths, at - self.from_, []
+        add = found.append
+        while n := lengths[p]:
+            add(p)
+            p += n
+        if len(found) > most:
+            p, found = found[most], found[:most]
+        return self.symbol[self.words[found]].astype(np.uint8).tobytes(), p + self.from_
 
 
 def green_only(bits: Bits, codes: list[Code], width: int, total: int) -> np.ndarray:
-    """An image whose pixels differ in green only, without a cache: several literals a step."""
-    red, blue, alpha, distance = (c.only for c in codes[1:])
+    """An image whose pixels differ in green only, without a cache: many literals a step, back-references one by one."""
+    red, blue, alpha = (c.only for c in codes[1:4])
     base = alpha << 24 | red << 16 | blue
-    green = codes[0]
+    green, distance = codes[0], codes[4]
     if green.only is not None:
         if green.only > 255:
             raise ValueError("a back-reference leaves the image")
         return np.full(total, base | green.only << 8, np.int64)
-    step = literal_runs(tuple(green.lengths))
-    raw = np.frombuffer(bits.data + bytes(4), np.uint8).astype(np.int64)
-    window = (raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16).tolist()
-    out, done, at, end = [], 0, bits.at, bits.end
-    while done < total:
-        got, n, count = step[(window[at >> 3] >> (at & 7)) & 0xFFFF]
-        if n and done + count <= total:
-            out.append(got)
-            done += count
-            at += n
-            if at > end:
-                break
+    out, at, end = bytearray(), bits.at, bits.end
+    chain = Chain(green, bits.data)
+    while len(out) < total:
+        got, after = chain.literals(at, end, total - len(out))
+        if got:
+            out += got
+            at = after
             continue
         bits.at = at
         s = green.read(bits)
+        at = bits.at
+        if at > end + 16:
+            break
         if s < 256:
-            out.append(bytes([s]))
-            done, at = done + 1, bits.at
+            out.append(s)
             continue
         length = read_value(bits, s - 256)
-        back = distance_of(read_value(bits, distance), width)
+        back = distance_of(read_value(bits, distance.read(bits)), width)
         at = bits.at
-        if back > done:
+        if back > len(out) or len(out) + length > total:
             raise ValueError("a back-reference leaves the image")
-        out = [b"".join(out)]
-        tail = out[0][done - back :] if back <= length else out[0][done - back : done - back + length]
-        out.append((tail * -(-length // len(tail)))[:length])
-        done += length
-    plain = b"".join(out)
-    if len(plain) < total or at > end + 16:
+        tail = bytes(out[-back:]) if back <= length else bytes(out[len(out) - back : len(out) - back + length])
+        out += (tail * -(-length // len(tail)))[:length]
+    if len(out) < total or at > end + 16:
         raise ValueError("the stream ends early")
     bits.at = at
-    return base | np.frombuffer(plain, np.uint8, total).astype(np.int64) << 8
+    return base | np.frombuffer(bytes(out), np.uint8, total).astype(np.int64) << 8
 
 
 def split(argb: np.ndarray) -> list[np.ndarray]:
@@ -587,29 +608,102 @@ def encode(argb: np.ndarray, transforms: tuple[str, ...] = (), cache_bits: int =
 # ---- byte payloads
 
 
-@lru_cache(1)
-def payload_code() -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Words and lengths of the one code of all payloads, and the bits before the pixels.
+def repeats(data: np.ndarray, least: int = 16, window: int = 8) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of stretches that occurred before, in order and apart: runs of windows whose last occurrence lies equally far back."""
+    if len(data) < 2 * window:
+        return []
+    w = np.lib.stride_tricks.sliding_window_view(data, window).copy().view("<u8").reshape(-1)
+    order = np.argsort(w, kind="stable")
+    again = np.flatnonzero(w[order[1:]] == w[order[:-1]]) + 1
+    if not len(again):
+        return []
+    back = np.zeros(len(w), np.int64)
+    back[order[again]] = order[again] - order[again - 1]
+    edge = np.flatnonzero(np.concatenate([[True], back[1:] != back[:-1]]))
+    n = np.diff(np.append(edge, len(back)))
+    out, done = [], 0
+    for a, size in zip(edge[back[edge] > 0].tolist(), n[back[edge] > 0].tolist(), strict=True):
+        start, stop = max(a, done), a + size + window - 1
+        if stop - start >= least:
+            out.append((start, stop - start, int(back[a])))
+            done = stop
+    return out
 
-    Weights by rule: letters by their rank in European text, capitals and
-    signs less, bytes of longer characters about as common letters.
-    """
-    weight = [0.1] * 32 + [0.5] * 96 + [0.3] * 32 + [1.5] * 32 + [0.2] * 64
-    for rank, c in enumerate(b"eatnoirshdlucmpgfbwvykzjxq"):
-        weight[c], weight[c - 32] = 90 * 0.88**rank, 2 + 6 * 0.88**rank
-    weight[ord(" ")], weight[ord("\n")], weight[ord("|")], weight[0xC3] = 150, 8, 6, 12
-    for c in b".,":
-        weight[c] = 12
-    for c in b"0123456789":
-        weight[c] = 3
-    lengths = code_lengths(weight + [0.2] * LENGTH_CODES)
-    out = Writer()
-    for value, n in ((0, 1), (0, 1), (0, 1)):  # no transform, no cache, one code group
-        out.write(value, n)
-    write_code(out, lengths)
-    for only in (0, 0, 255, 1):  # red, blue, alpha; the pixel to the left has distance code 2, prefix 1
-        write_code(out, [int(s == only) for s in range(256 if only != 1 else 40)])
-    return np.array(canonical(lengths), np.int64), np.array(lengths, np.int64), out.value, out.at
+
+@lru_cache(8)
+def short_distances(width: int) -> dict[int, int]:
+    return {distance_of(k, width): k for k in range(120, 0, -1)}
+
+
+def references(found: list[tuple[int, int, int]], width: int) -> list[tuple[int, int, tuple, tuple]]:
+    """Place, length, and the prefix values of length and distance; lengths over 4096 become several."""
+    short, out = short_distances(width), []
+    for place, length, back in found:
+        distance = prefix_value(short.get(back, back + 120))
+        while length:
+            n = min(length, 4096)
+            out.append((place, n, prefix_value(n), distance))
+            place, length = place + n, length - n
+    return out
+
+
+def own_counts(data: np.ndarray, refs: list) -> tuple[np.ndarray, np.ndarray, int]:
+    """How often each symbol and each distance prefix occurs, and the references' extra bits."""
+    literal = np.ones(len(data), bool)
+    counts, distances, extra = np.zeros(256 + LENGTH_CODES, np.int64), np.zeros(40, np.int64), 0
+    for place, n, length, distance in refs:
+        literal[place : place + n] = False
+        counts[256 + length[0]] += 1
+        distances[distance[0]] += 1
+        extra += length[1] + distance[1]
+    counts[:256] += np.bincount(data[literal], minlength=256)
+    return counts, distances, extra
+
+
+def own_bits(counts: np.ndarray, distances: np.ndarray, extra: int) -> float:
+    """About how many bits a code of its own takes: the entropy, the extra bits and the code lengths."""
+    total = 0.0
+    for c in (counts, distances):
+        c = c[c > 0].astype(float)
+        total += float((c * np.log2(c.sum() / c)).sum()) if len(c) else 0.0
+    return total * 1.01 + extra + 4 * (len(counts) + (len(distances) if (distances > 0).sum() > 2 else 4)) + 120
+
+
+def pack_bits(values: np.ndarray, sizes: np.ndarray, head: int, head_bits: int) -> np.ndarray:
+    """A stream's bytes: the head's bits, then each value in its number of bits (25 at most)."""
+    start = head_bits + np.cumsum(sizes) - sizes
+    total = int(start[-1] + sizes[-1]) if len(sizes) else head_bits
+    spread, byte = values.astype(np.int64) << (start & 7), start >> 3
+    stream = np.zeros((total >> 3) + 4, np.int64)
+    for k in range(4):  # no two words share a bit, so sums are unions
+        part = (spread >> (8 * k)) & 255
+        stream += np.bincount(byte + k, part, len(stream))[: len(stream)].astype(np.int64)
+    raw = np.frombuffer(head.to_bytes(-(-head_bits // 8), "little"), np.uint8)
+    stream[: len(raw)] += raw
+    return stream[: -(-total // 8)].astype(np.uint8)
+
+
+def write_own(out: Writer, data: np.ndarray, refs: list, counts: np.ndarray, distances: np.ndarray) -> bytes:
+    """The image's data by codes of its own, after what the writer has."""
+    for _ in range(3):  # no more transforms, no cache, one code group
+        out.write(0, 1)
+    if not distances.any():
+        distances[0] = 1
+    used = [code_lengths(c.tolist(), MOST_BITS) for c in (counts, distances)]
+    write_code(out, used[0])
+    for only in (0, 0, 255):
+        write_code(out, [int(s == only) for s in range(256)])
+    write_code(out, used[1])
+    (word, size), (far_word, far_size) = ((np.array(canonical(n), np.int64), np.array(n if sum(map(bool, n)) > 1 else [0] * len(n), np.int64)) for n in used)
+    values, sizes, done = [], [], 0
+    for place, n, length, distance in refs:
+        plain = data[done:place]
+        values += [word[plain], [word[256 + length[0]], length[2], far_word[distance[0]], distance[2]]]
+        sizes += [size[plain], [size[256 + length[0]], length[1], far_size[distance[0]], distance[1]]]
+        done = place + n
+    values.append(word[data[done:]])
+    sizes.append(size[data[done:]])
+    return pack_bits(np.concatenate(values).astype(np.int64), np.concatenate(sizes).astype(np.int64), out.value, out.at).tobytes()
 
 
 def payload(text: bytes, width: int = 576) -> np.ndarray:
@@ -627,33 +721,24 @@ def encode_payload(data: np.ndarray, width: int = 576) -> bytes:
 
 
 def _encode_part(data: np.ndarray, width: int) -> bytes:
-    words, lengths, head, head_bits = payload_code()
-    run = 0  # at the end
-    last = np.flatnonzero(data != data[-1])
-    run = len(data) - 1 - int(last[-1]) if len(last) else len(data)
-    body = data if run < 5 else data[: len(data) - run + 1]
-    word, size = words[body], lengths[body]
-    left = run - 1 if run >= 5 else 0
-    more: list[tuple[int, int]] = []
-    while left:
-        n = min(left, 4096)
-        prefix, extra, value = prefix_value(n)
-        more += [(int(words[256 + prefix]), int(lengths[256 + prefix])), (value, extra)]
-        left -= n
-    if more:
-        word = np.concatenate([word, [w for w, _ in more]])
-        size = np.concatenate([size, [n for _, n in more]])
-    start = 32 + head_bits + np.cumsum(size) - size
-    total = int(start[-1] + size[-1])
-    spread, byte = word << (start & 7), start >> 3
-    stream = np.zeros((total >> 3) + 4, np.int64)
-    for k in range(4):  # no two words share a bit, so sums are unions
-        part = (spread >> (8 * k)) & 255
-        stream[: len(stream)] += np.bincount(byte + k, part, len(stream))[: len(stream)].astype(np.int64)
-    front = (width - 1) | (len(data) // width - 1) << 14 | head << 32
-    raw = np.frombuffer(front.to_bytes(-(-(32 + head_bits) // 8), "little"), np.uint8)
-    stream[: len(raw)] += raw
-    return riff(stream[: -(-total // 8)].astype(np.uint8).tobytes())
+    refs = references(repeats(data), width)
+    counts, distances, extra = own_counts(data, refs)
+    out = Writer()
+    out.write((width - 1) | (len(data) // width - 1) << 14, 32)
+    colours = np.flatnonzero(np.bincount(data, minlength=256))
+    if len(colours) <= 16:
+        bits = palette_bits(len(colours))
+        index = np.searchsorted(colours, data).reshape(-1, div_up(width, bits), 1 << bits)
+        packed = (index << ((8 >> bits) * np.arange(1 << bits))).sum(axis=2).astype(np.uint8).reshape(-1)
+        packed_refs = references(repeats(packed), div_up(width, bits))
+        of_packed = own_counts(packed, packed_refs)
+        if own_bits(*of_packed) + 16 * len(colours) + 100 < own_bits(counts, distances, extra):
+            out.write(1, 1)
+            out.write(3, 2)
+            out.write(len(colours) - 1, 8)
+            write_image(out, delta_table(join(255, 0, colours, 0), -1), len(colours), False)
+            data, refs, (counts, distances, _) = packed, packed_refs, of_packed
+    return riff(write_own(out, data, refs, counts, distances))
 
 
 def decode_payload(data: bytes) -> np.ndarray:
@@ -667,7 +752,12 @@ def decode_payload(data: bytes) -> np.ndarray:
 
 
 def store(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 576) -> DataFrame:
-    """(key, n_bytes, media): each whole text's payload as lossless WebP. A null text is an empty one."""
+    """(key, n_bytes, media): each whole text's payload as lossless WebP.
+
+    A null text is an empty one; equal texts give equal media; rows of null or
+    repeated keys give a row each; an empty table gives none. Other columns are
+    not carried.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -683,7 +773,11 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
 
 
 def read(media: DataFrame, key: str = "doc_id", with_pixels: bool = False) -> DataFrame:
-    """Decode stored media: payload digests, a feature of the samples and, if wanted, the samples themselves."""
+    """Decode stored media (key, n_bytes, media): payload digests, a feature of the samples and, if wanted, the samples themselves.
+
+    A row each, also of null or repeated keys; an empty table gives none, and a
+    file that is no lossless WebP is an error.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
