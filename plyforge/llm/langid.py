@@ -192,21 +192,27 @@ def hashed_tail(tail: np.ndarray, n: int, dims: int) -> np.ndarray:
     return hashed_ngrams(tail.reshape(-1), dims)[n - 1].reshape(-1, 4)[:, 0]
 
 
-def sample_labelled(docs: DataFrame, text: str, lang: str, known: Column, per_language: int) -> tuple[list[str], list[str]]:
-    """At most about per_language rows of each language, by a hash of the text; equal texts count once a task."""
-    rows = docs.filter(known & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"))
-    counts = {r[0]: r[1] for r in rows.groupBy("l").count().collect()}
-    share = F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, min(1.0, per_language / n))]) if counts else None
-    if share is None:
+def sample_labelled(docs: DataFrame, text: str, lang: str, known: Column, per_language: int, most_bytes: int) -> tuple[list[str], list[str]]:
+    """About per_language distinct texts of each language, and of about most_bytes in all, by a hash of the text.
+
+    Only hashes and lengths are shuffled to count distinct texts, so copies
+    neither use up a language's share nor reach the driver twice.
+    """
+    rows = docs.filter(known & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(text).alias("h"))
+    distinct = rows.groupBy("l", "h").agg(F.max(F.octet_length("t").cast("long")).alias("b"))
+    counts = {r.l: (r.n, r.b) for r in distinct.groupBy("l").agg(F.count("*").alias("n"), F.sum("b").alias("b")).collect()}
+    if not counts:
         return [], []
-    drawn = rows.filter(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < share[F.col("l")] * (1 << 20))
-    got = sorted({(r.l, r.t) for r in drawn.collect()})
+    share = {l: min(1.0, per_language / n, most_bytes / len(counts) / max(b, 1)) for l, (n, b) in counts.items()}
+    by_lang = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
+    drawn = rows.filter(F.pmod("h", F.lit(1 << 20)) < by_lang[F.col("l")] * (1 << 20))
+    got = sorted({(r.l, r.t) for r in drawn.groupBy("l", "h").agg(F.first("t").alias("t")).collect()})
     return [t for _, t in got], [l for l, _ in got]
 
 
-def fit(docs: DataFrame, known: Column, text: str = "text", lang: str = "lang", per_language: int = 600, dims: int = 4096) -> LanguageModel:
-    """Learn from the rows where `known` holds. per_language bounds the rows that reach the driver."""
-    return LanguageModel.fit(*sample_labelled(docs, text, lang, known, per_language), dims)
+def fit(docs: DataFrame, known: Column, text: str = "text", lang: str = "lang", per_language: int = 600, most_bytes: int = 64_000_000, dims: int = 4096) -> LanguageModel:
+    """Learn from the rows where `known` holds. per_language and most_bytes bound the texts that reach the driver."""
+    return LanguageModel.fit(*sample_labelled(docs, text, lang, known, per_language, most_bytes), dims)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:

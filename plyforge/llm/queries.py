@@ -26,10 +26,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def warc_rows(captures: DataFrame) -> DataFrame:
     """The digest columns of assembled captures, with the request and metadata that they met."""
-    original = F.regexp_extract("response.refers_to", "<urn:page:(-?[0-9]+)>", 1)
     return captures.select(
         F.col("response.page_id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
-        "record_type", F.when(original != "", original.cast("long")).alias("refers_to"),
+        "record_type", F.col("refers_to_page").alias("refers_to"),
         "n_requests", "n_metadata",
     )
 

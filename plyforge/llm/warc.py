@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import materialize, open_fs
+from .common import batches_of, join_by_key, materialize, open_fs, runs
 
 DATE = "2024-01-01T00:00:00Z"
 TYPES = ("response", "revisit", "request", "metadata")
@@ -40,8 +40,8 @@ def one_line(text: str | None) -> str:
     return " ".join((text or "").split())
 
 
-def capture(name: str, page: str, url: str, payload: bytes, refers: str | None) -> list[bytes]:
-    """The records of one capture. name: unique; refers: the original's page, for a revisit."""
+def capture(name: str, page: str, url: str, payload: bytes, refers: tuple[str, int] | None) -> list[bytes]:
+    """The records of one capture. name: unique; refers: the original's record and page, for a revisit."""
     digest = "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
     host = url.split("/")[2] if url.count("/") > 1 else ""
     common = [("WARC-Target-URI", url), ("WARC-Date", DATE)]
@@ -52,7 +52,7 @@ def capture(name: str, page: str, url: str, payload: bytes, refers: str | None)
     if refers is None:
         block = status + f"Content-Length: {len(payload)}\r\n\r\n".encode() + payload
     else:
-        main += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", refers), ("X-Payload-Bytes", str(len(payload)))]
+        main += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", refers[0]), ("X-Refers-To-Page", str(refers[1])), ("X-Payload-Bytes", str(len(payload)))]
         block = status + b"\r\n"
     main.append(("Content-Type", "application/http; msgtype=response"))
     request = [("WARC-Type", "request"), ("WARC-Record-ID", record_id("request", name)), ("WARC-Concurrent-To", own), *common, ("Content-Type", "application/http; msgtype=request")]
@@ -61,26 +61,34 @@ def capture(name: str, page: str, url: str, payload: bytes, refers: str | None)
     return [record(main, block), record(request, get), record(about, f"page: {page}\r\nfetchTimeMs: 1\r\n".encode())]
 
 
-def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 1000) -> list[str]:
+def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 1000, most_broadcast: int = 500_000) -> list[str]:
     """Write all pages as archives below path; returns the files' paths.
 
     Of pages with equal payloads of at least least_bytes, that with the
-    largest key is the response and others are revisits of it; rows that share
-    the largest key are responses. A null html is an empty payload, a null url
-    an empty one, a null key never the original of another. Pages meet their
-    original by a join on the payload's digest, which Spark splits where one
-    payload fills it.
+    largest key is the response and others are revisits of its record; rows
+    that share the largest key are responses. A null html is an empty payload,
+    a null url an empty one, a null key never the original of another; no pages
+    give no files. Originals are found from keys and digests alone. Up to
+    most_broadcast payloads that occur twice (counted) are broadcast to the
+    pages, so that no payload is shuffled; beyond it pages meet their original
+    by a join on the digest, which Spark splits where one payload fills it.
     """
     spark = pages.sparkSession
     payload = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
     rows = pages.select(F.col(key).cast("long").alias("page"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("size", F.octet_length("payload")).withColumn("row", F.monotonically_increasing_id())
     digest = F.when((F.col("size") >= least_bytes) & F.col("page").isNotNull(), F.sha1("payload"))
-    slim = pages.select(F.col(key).cast("long").alias("page"), payload.alias("payload")).withColumn("size", F.octet_length("payload"))
-    originals = slim.select(digest.alias("digest"), "page").filter("digest is not null").groupBy("digest").agg(F.max("page").alias("original"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    each = rows.select(digest.alias("digest"), "page").filter("digest is not null").groupBy("digest", "page").agg(F.count("*").alias("n"))
+    originals = each.groupBy("digest").agg(F.max(F.struct("page", F.col("n").alias("same"))).alias("original"), F.sum("n").alias("n"))
+    originals = materialize(originals.filter("n > 1").drop("n"), "originals")
     # Rows without a digest get keys of their own, so that they don't meet in one task.
     keyed = rows.withColumn("digest", F.coalesce(digest, F.concat(F.lit("-"), F.col("row"))))
-    joined = keyed.join(originals, "digest", "left").select("row", "page", "url", "payload", F.when(F.col("original") != F.col("page"), F.col("original")).alias("original"))
+    joined = keyed.join(F.broadcast(originals) if originals.count() <= most_broadcast else originals, "digest", "left")
+    # An original has a name that its revisits know; rows that repeat it are told apart by their place.
+    known = F.when(F.col("original.same") == 1, F.concat_ws(":", "original.page", "digest"))
+    revisit = F.coalesce(F.col("original.page") != F.col("page"), F.lit(False))
+    name = F.coalesce(F.when(~revisit, known), F.concat(F.coalesce(F.col("page").cast("string"), F.lit("none")), F.lit("-"), F.col("row")))
+    joined = joined.select(name.alias("name"), "page", "url", "payload", F.when(revisit, F.col("original.page")).alias("original"), F.when(revisit, F.coalesce(known, F.lit("repeated"))).alias("known"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = f"{path}/part-{TaskContext.get().partitionId():05d}.warc.gz"
@@ -88,10 +96,10 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
         store.create_dir(to.rpartition("/")[0], recursive=True)
         part, n = f"{to}.{uuid.uuid4().hex[:8]}.part", 0
         with store.open_output_stream(part, compression=None) as out:
-            for batch in batches:
-                for row, page, link, body, original in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    refers = None if original is None else f"<urn:page:{original}>"
-                    out.write(b"".join(capture(f"{page}-{row}", "" if page is None else str(page), one_line(link), body, refers)))
+            for batch, a, z in ((x, a, z) for x in batches for a, z in runs(x.column(3))):
+                for own, page, link, body, original, known_as in zip(*(c[a:z].to_pylist() for c in batch.columns), strict=True):
+                    refers = None if original is None else (record_id("response", known_as), original)
+                    out.write(b"".join(capture(own, "" if page is None else str(page), one_line(link), body, refers)))
                     n += 1
         if n:
             store.move(part, to)
@@ -99,7 +107,8 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
         else:
             store.delete_file(part)
 
-    return sorted({r[0] for r in joined.mapInArrow(run, "file string").collect()})
+    with batches_of(spark, 1000):
+        return sorted({r[0] for r in joined.mapInArrow(run, "file string").collect()})
 
 
 def members(source) -> Iterator[bytes]:
@@ -132,11 +141,15 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[:size]
 
 
-SCHEMA = "file string, at long, type string, id string, concurrent_to string, refers_to string, uri string, page_id long, declared_digest string, payload_bytes long, payload_digest string, payload binary"
+SCHEMA = "file string, at long, type string, id string, concurrent_to string, refers_to string, declared_page long, uri string, page_id long, declared_digest string, payload_bytes long, payload_digest string, payload binary"
 
 
 def read(spark: SparkSession, files: list[str], with_payload: bool = False) -> DataFrame:
-    """One row a record. Digests are of what the archive holds; a revisit's are the declared ones."""
+    """One row a record. Digests are of what the archive holds; a revisit's are the declared ones.
+
+    Headers that a record lacks are null; no files give no rows; a file that
+    ends within a record, or holds something else, is an error.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in SCHEMA.split(", ")]
@@ -154,7 +167,7 @@ def read(spark: SparkSession, files: list[str], with_payload: bool = False) -> D
                             digest, n = hashlib.sha1(body).hexdigest(), len(body)
                         elif kind == "revisit":
                             digest, n = base64.b32decode(h["warc-payload-digest"].removeprefix("sha1:")).hex(), int(h["x-payload-bytes"])
-                        rows.append((file, at, kind, h.get("warc-record-id"), h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), int(page) if page else None, h.get("warc-payload-digest"), n, digest, body if with_payload else None))
+                        rows.append((file, at, kind, h.get("warc-record-id"), h.get("warc-concurrent-to"), h.get("warc-refers-to"), int(h["x-refers-to-page"]) if "x-refers-to-page" in h else None, h.get("warc-target-uri"), int(page) if page else None, h.get("warc-payload-digest"), n, digest, body if with_payload else None))
                         size += len(body or b"") if with_payload else 0
                         if len(rows) == 5000 or size > 8 << 20:
                             yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], ARROW)
@@ -174,7 +187,9 @@ def assemble(records: DataFrame) -> DataFrame:
 
     A record belongs to the response that its concurrent-to identifier names,
     or to that of the record so named (metadata often names the request).
-    Where several requests or metadata records name one response, the first by
+    A revisit's refers_to is a record; refers_to_page is that record's page, or
+    the declared page where the archives lack the record (or have it several
+    times, from repeated rows). Where several requests or metadata records name one response, the first by
     file and place is shown and n_requests and n_metadata count them; captures
     without them have nulls. Records that reach no response are left out.
     records: as read() gives them; it is used several times, so pass a written table.
@@ -191,13 +206,17 @@ def assemble(records: DataFrame) -> DataFrame:
         return F.min_by(F.when(F.col("type") == kind, fields), F.when(F.col("type") == kind, F.struct("file", "at")))
 
     side = rooted.groupBy("root").agg(of("request").alias("request"), of("metadata").alias("metadata"), F.count_if(F.col("type") == "request").alias("n_requests"), F.count_if(F.col("type") == "metadata").alias("n_metadata"))
-    rows = main.select(F.col("id").alias("capture_id"), F.col("type").alias("record_type"), fields.alias("response"))
+    revisits = main.filter("refers_to is not null").select("id", "refers_to")
+    named = revisits.groupBy("refers_to").agg(F.count("*").alias("n")).join(main.select(F.col("id").alias("refers_to"), F.col("page_id").alias("refers_to_page")), "refers_to")
+    pages = join_by_key(revisits, named, "refers_to", "n", revisits.count()).select("id", "refers_to_page")
+    main = main.join(pages, "id", "left")
+    rows = main.select(F.col("id").alias("capture_id"), F.col("type").alias("record_type"), fields.alias("response"), F.coalesce("refers_to_page", "declared_page").alias("refers_to_page"))
     joined = rows.join(side, rows.capture_id == side.root, "left").drop("root")
     return joined.withColumns({"n_requests": F.coalesce("n_requests", F.lit(0)), "n_metadata": F.coalesce("n_metadata", F.lit(0))})
 
 
-def captures(pages: DataFrame, path: str) -> DataFrame:
-    """Write pages as archives, read them back and assemble the transactions."""
+def captures(pages: DataFrame, path: str, **more) -> DataFrame:
+    """Write pages as archives (with write()'s parameters), read them back and assemble the transactions."""
     spark = pages.sparkSession
-    files = write(pages, path)
+    files = write(pages, path, **more)
     return assemble(materialize(read(spark, files), "records"))

@@ -37,3 +37,12 @@ def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert langid.identify(docs, langid.fit(docs, known=docs.doc_id >= 0)).collect()[0].lang_pred == "und"
     assert langid.identify(docs.limit(0), langid.fit(docs.limit(0), known=docs.doc_id >= 0)).count() == 0
+
+
+def test_copies_leave_the_others_their_share(spark):
+    rows = [(f"copied text number {i % 2}", "en") for i in range(400)] + [(f"own words {i} of a text", "en") for i in range(50)] + [(f"eigene wörter {i}", "de") for i in range(30)] + [("x", None), (None, "en")]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    texts, langs = langid.sample_labelled(docs, "text", "lang", docs.lang.isNotNull(), 60, 10**9)
+    assert len(set(texts)) == len(texts) == 82 and langs.count("de") == 30
+    few, _ = langid.sample_labelled(docs, "text", "lang", docs.lang.isNotNull(), 60, 600)
+    assert 0 < len(few) < 60

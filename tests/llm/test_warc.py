@@ -17,12 +17,18 @@ def test_query_against_brute_force(spark):
         want.append((-1 if page is None else page, len(raw), hashlib.sha1(raw).hexdigest(), "response" if first == page else "revisit", -1 if first == page else first))
     assert got == sorted(want)
     shown = out.collect()
+    ids = {r.capture_id: r.response.page_id for r in shown}
+    revisits = [r for r in shown if r.record_type == "revisit"]
+    assert all(ids[r.response.refers_to] == 9 for r in revisits if r.refers_to_page == 9)  # a record's own id
+    assert all(r.response.refers_to not in ids for r in revisits if r.refers_to_page == 8)  # two rows have this page and payload
+    joined = warc.captures(pages, common.scratch(spark, "warc"), most_broadcast=0)
+    assert got == sorted(tuple(r) for r in queries.warc_rows(joined).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").fillna(-1, ["page_id", "refers_to"]).collect())
     assert all(r.n_requests == r.n_metadata == 1 and r.request.uri == r.response.uri and r.metadata is not None for r in shown)
 
 
 def test_assembly_edges(spark):
     def row(at, kind, own, to):
-        return ("f", at, kind, own, to, None, "u", 1, None, 1, "d")
+        return ("f", at, kind, own, to, None, None, "u", 1, None, 1, "d")
 
     schema = warc.SCHEMA.replace(", payload binary", "")
     rows = [row(0, "response", "r1", None), row(1, "request", "q1", "r1"), row(2, "request", "q0", "r1"), row(3, "metadata", "m1", "q1"), row(4, "response", "r2", None), row(5, "request", "lost", "nowhere"), row(6, "metadata", "none", None)]
