@@ -108,9 +108,14 @@ def labels(mask: np.ndarray, diagonal: bool = True) -> tuple[np.ndarray, int]:
 
     for y in range(on.shape[0]):
         edge = np.flatnonzero(np.diff(np.concatenate([[0], on[y].astype(np.int8), [0]])))
-        here = []
+        here, at = [], 0
         for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-            touching = [n for c, d, n in above if c < b + reach and d > a - reach]
+            while at < len(above) and above[at][1] <= a - reach:  # runs of both rows go from left to right
+                at += 1
+            touching, k = [], at
+            while k < len(above) and above[k][0] < b + reach:
+                touching.append(above[k][2])
+                k += 1
             if touching:
                 n = min(root(t) for t in touching)
                 for t in touching:
@@ -193,29 +198,40 @@ def simplified(points: np.ndarray, epsilon: float) -> np.ndarray:
     return points[sorted(keep)]
 
 
+def boxes(part: np.ndarray, n: int) -> list[tuple[int, int, int, int, int, int]]:
+    """(top, bottom, left, right, y, x) of each label 1 ... n: its box, ends excluded, and its first pixel in scan order."""
+    if not n:
+        return []
+    y, x = np.nonzero(part)
+    order = np.argsort(part[y, x], kind="stable")
+    y, x = y[order], x[order]
+    first = np.searchsorted(part[y, x], np.arange(1, n + 1))
+    ends = (np.minimum.reduceat(y, first), np.maximum.reduceat(y, first) + 1, np.minimum.reduceat(x, first), np.maximum.reduceat(x, first) + 1, y[first], x[first])
+    return list(zip(*(e.tolist() for e in ends), strict=True))
+
+
 def outlines(mask: np.ndarray) -> list[tuple[np.ndarray, list[np.ndarray]]]:
     """Each component's outer border and its holes' borders.
 
     A hole is a component of empty pixels (without diagonals) that does not
     reach the image's edge; its border runs over the full pixels around it and
-    belongs to the component that surrounds it.
+    belongs to the component that surrounds it. Each is looked at in its own
+    box, so an image of many specks costs no more than their boxes.
     """
     part, n = labels(mask)
     empty, m = labels(255 * (mask == 0).astype(np.uint8), diagonal=False)
     out = []
-    for i in range(1, n + 1):
-        y, x = np.argwhere(part == i)[0]
-        out.append((border(part == i, (int(y), int(x))), []))
-    edge = set(np.concatenate([empty[0], empty[-1], empty[:, 0], empty[:, -1]]).tolist())
-    for j in range(1, m + 1):
-        if j in edge:
+    for i, (top, bottom, left, right, y, x) in enumerate(boxes(part, n), 1):
+        out.append((border(part[top:bottom, left:right] == i, (y - top, x - left)) + (left, top), []))
+    height, width = mask.shape
+    for j, (top, bottom, left, right, y, x) in enumerate(boxes(empty, m), 1):
+        if not top or not left or bottom == height or right == width:
             continue
-        hole = empty == j
-        ring = _extreme(hole.astype(np.uint8), [(0, 0), *((dy, dx) for dy, dx in AROUND if not dy or not dx)], np.maximum, 0).astype(bool) & ~hole
-        y, x = np.argwhere(hole)[0]
-        owner = int(part[y - 1, x])
-        y, x = np.argwhere(ring & (part == owner))[0]
-        out[owner - 1][1].append(border(ring & (part == owner), (int(y), int(x))))
+        span = np.s_[top - 1 : bottom + 1, left - 1 : right + 1]
+        hole, owner = empty[span] == j, int(part[y - 1, x])
+        ring = _extreme(hole.astype(np.uint8), [(0, 0), *((dy, dx) for dy, dx in AROUND if not dy or not dx)], np.maximum, 0).astype(bool) & (part[span] == owner)
+        first = np.argwhere(ring)[0]
+        out[owner - 1][1].append(border(ring, (int(first[0]), int(first[1]))) + (left - 1, top - 1))
     return out
 
 
@@ -223,11 +239,10 @@ def without_small(mask: np.ndarray, least: float) -> np.ndarray:
     """Components whose outer border encloses `least` or more, filled; the rest goes."""
     out = np.zeros_like(mask)
     part, n = labels(mask)
-    for i in range(1, n + 1):
-        mine = part == i
-        y, x = np.argwhere(mine)[0]
-        if closed_area(border(mine, (int(y), int(x)))) < least:
+    for i, (top, bottom, left, right, y, x) in enumerate(boxes(part, n), 1):
+        mine = part[top:bottom, left:right] == i
+        if closed_area(border(mine, (y - top, x - left))) < least:
             continue
-        outside, k = labels(255 * (np.pad(mine, 1) == 0).astype(np.uint8), diagonal=False)
-        out[(outside != outside[0, 0])[1:-1, 1:-1]] = 255
+        outside, _ = labels(255 * (np.pad(mine, 1) == 0).astype(np.uint8), diagonal=False)
+        out[top:bottom, left:right][(outside != outside[0, 0])[1:-1, 1:-1]] = 255
     return out

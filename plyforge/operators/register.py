@@ -95,17 +95,21 @@ def sample(points: DataFrame, key: str, n: int | None) -> DataFrame:
     return points if n is None else points.orderBy(F.xxhash64(key), key).limit(n)
 
 
-def align_from_starts(source: DataFrame, target: DataFrame, step_degrees: int = 15, most: int = 50, subsample: int | None = 5000, key: str = "vid", tolerance: float = 0.001, constrain_z: bool = False) -> DataFrame:
+def align_from_starts(source: DataFrame, target: DataFrame, step_degrees: int = 15, most: int = 50, subsample: int | None = 5000, key: str = "vid", tolerance: float = 0.001, constrain_z: bool = False, most_target: int = 5_000_000) -> DataFrame:
     """(angle, error, iterations, converged, matrix) of a closest-point run from each rotation about the source's centre.
 
     One start is one task. Source points are a sample of at most subsample
-    rows; the target, a reference mesh's vertices, is held in full.
+    rows; the target, a reference mesh's vertices, is counted and broadcast in
+    full (24 bytes a point); one of over most_target points is refused.
     """
     spark = source.sparkSession
+    if (n := target.count()) > most_target:
+        raise ValueError(f"the target has {n} points, over most_target = {most_target}")
     src = sample(source, key, subsample).select("x", "y", "z").toPandas().to_numpy(float)
     dst = target.select("x", "y", "z").toPandas().to_numpy(float)
     if not len(src) or not len(dst):
         raise ValueError("both clouds need points")
+    held = spark.sparkContext.broadcast(dst)
     center = np.array(source.agg(F.avg("x"), F.avg("y"), F.avg("z")).first(), float)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,7 +120,7 @@ def align_from_starts(source: DataFrame, target: DataFrame, step_degrees: int =
                 start = np.eye(4)
                 start[:2, :2] = [[c, -s], [s, c]]
                 start[:3, 3] = center - start[:3, :3] @ center
-                m, errors, settled = icp(moved(src, start), dst, most, tolerance, constrain_z)
+                m, errors, settled = icp(moved(src, start), held.value, most, tolerance, constrain_z)
                 rows.append((degrees, errors[-1], len(errors) - 1, settled, (m @ start).tolist()))
             yield pd.DataFrame(rows, columns=["angle", "error", "iterations", "converged", "matrix"])
 

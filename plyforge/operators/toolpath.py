@@ -5,6 +5,9 @@ A program's lines are numbered, so every step is a window over (file, line).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 AXES = ("X", "Y", "Z", "E", "F")
@@ -57,18 +60,27 @@ def layers(gated: DataFrame, epsilon: float = 0.005, file: str = "file", line: s
     """(file, layer_idx, z, height): gated heights that leave the last kept one by more than epsilon.
 
     What counts is the distance to the last kept height, so this is an ordered
-    fold over a file's gated moves (hops included; they are not sorted). Its
-    state is the list of kept heights of one file.
+    fold over a file's gated moves (hops included; they are not sorted). Tasks
+    get whole files sorted by line, in batches, and keep the last height alone.
     """
-    steps = gated.filter("z_gate").groupBy(file).agg(F.array_sort(F.collect_list(F.struct(F.col(line).alias("l"), F.round("pos_z", 4).alias("z")))).alias("steps"))
-    keep = F.aggregate(
-        "steps",
-        F.array().cast("array<double>"),
-        lambda kept, s: F.when((F.size(kept) == 0) | (F.abs(s["z"] - F.try_element_at(kept, F.lit(-1))) > epsilon), F.concat(kept, F.array(s["z"]))).otherwise(kept),
-    )
-    rows = steps.select(file, F.posexplode(keep).alias("layer_idx", "z"))
-    before = F.lag("z").over(Window.partitionBy(file).orderBy("layer_idx"))
-    return rows.withColumn("height", F.round(F.col("z") - before, 4))
+    steps = gated.filter("z_gate and pos_z is not null").select(F.col(file).alias("_f"), F.col(line).alias("_l"), F.round("pos_z", 4).alias("z"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept, n = object(), None, 0
+        for batch in batches:
+            rows: list[list] = [[], [], [], []]
+            for i, (name, z) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if name != now:
+                    now, kept, n = name, None, 0
+                if kept is None or abs(z - kept) > epsilon:
+                    for column, v in zip(rows, (i, n, z, kept), strict=True):
+                        column.append(v)
+                    kept, n = z, n + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.float64()), pa.array(rows[3], pa.float64())], ["f", "layer_idx", "z", "before"])
+
+    kind = gated.schema[file].dataType.simpleString()
+    rows = steps.repartition("_f").sortWithinPartitions("_f", "_l").mapInArrow(run, f"f {kind}, layer_idx int, z double, before double")
+    return rows.select(F.col("f").alias(file), "layer_idx", "z", F.round(F.col("z") - F.col("before"), 4).alias("height"))
 
 
 def segments(gated: DataFrame, file: str = "file", line: str = "line_no") -> DataFrame:

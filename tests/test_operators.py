@@ -355,3 +355,37 @@ def test_registered_queries_run_and_have_stable_names(spark):
     assert set(catalog.ORACLES) <= set(catalog.QUERIES) and len(catalog.QUERIES) >= 30
     out = catalog.QUERIES["contours"](spark, "/root/testdata/sf0.001").toPandas()
     assert len(out) and (out["area_mm2"] >= 0).all() and out["confidence"].between(0, 1).all()
+
+
+def test_specks_and_holes_by_brute_force():
+    """Boxes change nothing: every component's and hole's border, against whole-image comparisons."""
+    rng = np.random.default_rng(9)
+    mask = (255 * (rng.random((40, 50)) < 0.55)).astype(np.uint8)
+    part, n = images.labels(mask)
+    empty, m = images.labels(255 * (mask == 0).astype(np.uint8), diagonal=False)
+    found = images.outlines(mask)
+    assert len(found) == n
+    edge = set(np.concatenate([empty[0], empty[-1], empty[:, 0], empty[:, -1]]).tolist())
+    assert sum(len(holes) for _, holes in found) == len(set(range(1, m + 1)) - edge)
+    for i, (outer, holes) in enumerate(found, 1):
+        y, x = np.argwhere(part == i)[0]
+        assert (outer == images.border(part == i, (int(y), int(x)))).all()
+        assert all((part[y.astype(int), x.astype(int)] == i).all() for x, y in (h.T for h in holes))
+    seen = {}
+    for y, x in np.argwhere(mask > 0).tolist():  # flood fill
+        if (y, x) in seen:
+            continue
+        todo, name = [(y, x)], len(set(seen.values()))
+        while todo:
+            p = todo.pop()
+            if p in seen or not (0 <= p[0] < 40 and 0 <= p[1] < 50) or not mask[p]:
+                continue
+            seen[p] = name
+            todo += [(p[0] + a, p[1] + b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+    assert len(set(seen.values())) == n and len({(seen[p], int(part[p])) for p in seen}) == n
+
+
+def test_a_large_target_is_refused(spark):
+    points = spark.range(4).selectExpr("id as vid", "cast(id as double) x", "cast(id % 2 as double) y", "0.0D z")
+    with pytest.raises(ValueError, match="most_target"):
+        register.align_from_starts(points, points, most_target=3)
