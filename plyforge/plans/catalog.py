@@ -373,10 +373,28 @@ def mean_thickness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layers.mean_thickness(views.layers(spark, sf_dir)).withColumn("thickness", F.round("thickness", 6))
 
 
-@query()
+# A border through pixel centres encloses a whole unit square where all of its four corners are in the filled set, and half
+# of one where three are; it runs along a square's side, over its diagonal, or twice over the diagonal between two corners.
+FLOODED = f"""WITH RECURSIVE {PIXELS}, on_ AS (SELECT image, y, x, y * 8 + x AS p FROM pixels WHERE v > 127), off_ AS (SELECT image, y, x, y * 8 + x AS p FROM pixels WHERE v <= 127),
+    reach(image, root, p, y, x) AS (SELECT image, p, p, y, x FROM on_ UNION SELECT r.image, r.root, q.p, q.y, q.x FROM reach r JOIN on_ q ON q.image = r.image AND abs(q.y - r.y) <= 1 AND abs(q.x - r.x) <= 1),
+    part AS (SELECT image, y, x, min(root) AS part FROM reach GROUP BY 1, 2, 3),
+    gap(image, root, p, y, x) AS (SELECT image, p, p, y, x FROM off_ UNION SELECT r.image, r.root, q.p, q.y, q.x FROM gap r JOIN off_ q ON q.image = r.image AND abs(q.y - r.y) + abs(q.x - r.x) = 1),
+    hollow AS (SELECT image, y, x, min(root) AS hole FROM gap GROUP BY 1, 2, 3),
+    hole AS (SELECT h.image, h.hole, any_value(part) AS owner FROM (SELECT image, hole FROM hollow GROUP BY 1, 2 HAVING min(least(y, x)) > 0 AND max(greatest(y, x)) < 7) h JOIN part q ON q.image = h.image AND q.y = h.hole // 8 - 1 AND q.x = h.hole % 8 GROUP BY 1, 2),
+    sets AS (SELECT image, 0 AS kind, part AS id, y, x FROM part UNION SELECT h.image, 1, h.hole, q.y, q.x FROM hole h JOIN hollow e ON e.image = h.image AND e.hole = h.hole JOIN part q ON q.image = h.image AND q.part = h.owner AND abs(q.y - e.y) + abs(q.x - e.x) = 1),
+    outside(image, kind, id, y, x) AS (SELECT DISTINCT image, kind, id, -1, -1 FROM sets UNION SELECT o.image, o.kind, o.id, o.y + dy, o.x + dx FROM outside o CROSS JOIN (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) AS d(dy, dx)
+        LEFT JOIN sets q ON q.image = o.image AND q.kind = o.kind AND q.id = o.id AND q.y = o.y + dy AND q.x = o.x + dx WHERE q.id IS NULL AND o.y + dy BETWEEN -1 AND 8 AND o.x + dx BETWEEN -1 AND 8),
+    filled AS (SELECT s.image, s.kind, s.id, CAST(c.y AS INTEGER) AS y, CAST(g.x AS INTEGER) AS x FROM (SELECT DISTINCT image, kind, id FROM sets) s CROSS JOIN range(8) AS c(y) CROSS JOIN range(8) AS g(x) LEFT JOIN outside o ON o.image = s.image AND o.kind = s.kind AND o.id = s.id AND o.y = c.y AND o.x = g.x WHERE o.id IS NULL),
+    squares AS (SELECT image, kind, id, f.y + dy AS wy, f.x + dx AS wx, count(*) AS n, count(DISTINCT f.y) = 2 AND count(DISTINCT f.x) = 2 AS slant FROM filled f CROSS JOIN (VALUES (0, 0), (0, -1), (-1, 0), (-1, -1)) AS d(dy, dx) GROUP BY 1, 2, 3, 4, 5),
+    traced AS (SELECT image, kind, id, sum(CASE n WHEN 4 THEN CAST(1 AS DOUBLE) WHEN 3 THEN CAST(0.5 AS DOUBLE) ELSE 0 END) AS area, sum(CASE WHEN n = 3 THEN sqrt(CAST(2 AS DOUBLE)) WHEN n = 2 AND slant THEN 2 * sqrt(CAST(2 AS DOUBLE)) WHEN n = 2 THEN CAST(1 AS DOUBLE) ELSE 0 END) AS length FROM squares GROUP BY 1, 2, 3),
+    holes AS (SELECT h.image, h.owner, count(*) AS n, sum(t.area) AS area FROM hole h JOIN traced t ON t.image = h.image AND t.kind = 1 AND t.id = h.hole GROUP BY 1, 2)"""
+
+
+@query(f"""{FLOODED} SELECT t.image, CAST(row_number() OVER (PARTITION BY t.image ORDER BY t.id) - 1 AS INTEGER) AS contour_idx, CAST(coalesce(h.n, 0) AS INTEGER) AS n_holes, round(t.area - coalesce(h.area, 0), 6) AS area_mm2, round(length, 6) AS perimeter_mm
+    FROM traced t LEFT JOIN holes h ON h.image = t.image AND h.owner = t.id WHERE t.kind = 0 AND t.area >= 1""")
 def contours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outlines of the 8 x 8 masks, by the numpy border follower; tests hold it against known shapes."""
+    """Outlines of the 8 x 8 masks, by the numpy border follower."""
     p = views.pixels(spark, sf_dir).groupBy("image").agg(F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("p"))
     mask = F.unhex(F.array_join(F.transform("p", lambda q: F.when(q["v"] > 127, "FF").otherwise("00")), ""))
     found = segment.contours(p.select("image", F.lit(8).alias("height"), F.lit(8).alias("width"), mask.alias("mask")))
-    return found.select("image", "contour_idx", F.size("outer").alias("n_points"), F.size("inners").alias("n_holes"), F.round("area_mm2", 6).alias("area_mm2"), F.round("perimeter_mm", 6).alias("perimeter_mm"), F.round("confidence", 6).alias("confidence"))
+    return found.select("image", "contour_idx", F.size("inners").alias("n_holes"), F.round("area_mm2", 6).alias("area_mm2"), F.round("perimeter_mm", 6).alias("perimeter_mm"))
