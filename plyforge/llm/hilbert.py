@@ -8,6 +8,7 @@ every dimension and a reader skips most files for a filter on any of them.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,7 +59,7 @@ def with_hilbert(df: DataFrame, dims: dict[str, Column], bits: int = 5, out: str
         raise ValueError("bits * dimensions must be at most 62")
     parts = [i / (1 << bits) for i in range(1, 1 << bits)]
     cuts = df.agg(*[F.percentile_approx(c.cast("double"), parts, accuracy).alias(n) for n, c in dims.items()]).first()
-    cuts = [np.unique(np.array(cuts[n] or [], float)) for n in dims]
+    cuts = [np.sort(np.array(cuts[n] or [], float)) for n in dims]  # a value that fills several shares spans their cells, so few values still use the upper bits
 
     @F.pandas_udf("long")
     def index(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
@@ -75,16 +76,17 @@ def positions(df: DataFrame, order: list[str], parts: int) -> tuple[DataFrame, i
     Rows are dealt by range and sorted within their partitions; only the row
     count of each partition comes to the driver.
     """
+    m, p, i, begin = (f"_{uuid.uuid4().hex}" for _ in range(4))  # names that no input has
     ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    table = materialize(ranged.withColumn("_m", F.monotonically_increasing_id()), "ranked")
-    table = table.withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND((1 << 33) - 1))
-    counts = sorted((r[0], r[1]) for r in table.groupBy("_p").count().collect())
+    table = materialize(ranged.withColumn(m, F.monotonically_increasing_id()), "ranked")
+    table = table.withColumn(p, F.shiftright(m, 33)).withColumn(i, F.col(m).bitwiseAND((1 << 33) - 1))
+    counts = sorted((r[0], r[1]) for r in table.groupBy(p).count().collect())
     starts, total = [], 0
-    for p, n in counts:
-        starts.append((p, total))
+    for number, n in counts:
+        starts.append((number, total))
         total += n
-    begin = small(df.sparkSession, starts, "_p long, _begin long")
-    return table.join(F.broadcast(begin), "_p").withColumn("position", F.col("_begin") + F.col("_i")).drop("_m", "_p", "_i", "_begin"), total
+    begins = small(df.sparkSession, starts, f"{p} long, {begin} long")
+    return table.join(F.broadcast(begins), p).withColumn("position", F.col(begin) + F.col(i)).drop(m, p, i, begin), total
 
 
 def hilbert_shards(df: DataFrame, dims: dict[str, Column], key: str, shards: int = 8, bits: int = 5, parts: int | None = None) -> DataFrame:
@@ -95,15 +97,16 @@ def hilbert_shards(df: DataFrame, dims: dict[str, Column], key: str, shards: int
     next one. Rows of equal index are ordered by a hash of all columns and the
     key; rows equal in all columns are interchangeable. An empty table gives an
     empty result; null keys sort first. Columns of the input named hilbert,
-    shard, slot or position are replaced.
+    shard, slot or position are replaced; all others stay.
     """
-    df = df.drop("hilbert", "shard", "slot", "position", "_tie", "_row")
+    df = df.drop("hilbert", "shard", "slot", "position")
     parts = parts or max(df.rdd.getNumPartitions(), 1)
-    tied = with_hilbert(df, dims, bits).withColumn("_tie", F.xxhash64(*df.columns)).withColumn("_row", F.monotonically_increasing_id())
-    placed, n = positions(tied, ["hilbert", "_tie", key, "_row"], parts)
+    tie, row = (f"_{uuid.uuid4().hex}" for _ in range(2))
+    tied = with_hilbert(df, dims, bits).withColumn(tie, F.xxhash64(*df.columns)).withColumn(row, F.monotonically_increasing_id())
+    placed, n = positions(tied, ["hilbert", tie, key, row], parts)
     shard = F.expr(f"int(position * {shards} div {max(n, 1)})")
     first = F.expr(f"(shard * {max(n, 1)}L + {shards - 1}) div {shards}")
-    return placed.withColumn("shard", shard).withColumn("slot", F.col("position") - first).drop("position", "_tie", "_row")
+    return placed.withColumn("shard", shard).withColumn("slot", F.col("position") - first).drop("position", tie, row)
 
 
 def write_shards(df: DataFrame, path: str, shards: int = 8) -> None:

@@ -56,3 +56,17 @@ def test_text_rank_orders_strings(spark):
     words = ["", "a", "ab", "abc", "b", "de", "en", "é", "日本"]
     got = [r.r for r in spark.createDataFrame([(w,) for w in words], "w string").select(hilbert.text_rank(F.col("w")).alias("r")).collect()]
     assert got == sorted(got)
+
+
+def test_filters_skip_shards(spark):
+    """Few values or many: a filter on any dimension leaves a good part of the shards unread; and odd column names stay."""
+    rng = np.random.default_rng(3)
+    rows = [(i, ["de", "en", "es", "fr"][int(rng.integers(4))], int(rng.integers(1, 5000)), 1, 2) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, size long, _m int, _p int").repartition(4)
+    dims = {"lang": hilbert.text_rank(F.col("lang")), "size": F.col("size")}
+    out = hilbert.hilbert_shards(df, dims, "doc_id", 16)
+    assert {"_m", "_p"} <= set(out.columns)
+    bounds = hilbert.shard_bounds(out, ["lang", "size"]).collect()
+    skipped = lambda lo, hi, c: np.mean([r[f"max_{c}"] < lo or r[f"min_{c}"] > hi for r in bounds])
+    assert min(skipped(x, x, "lang") for x in ("de", "fr")) >= 0.6 and min(skipped(x, x, "lang") for x in ("en", "es")) >= 0.3
+    assert all(skipped(a, a + 300, "size") >= 0.5 for a in range(100, 4700, 500))

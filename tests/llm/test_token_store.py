@@ -112,3 +112,20 @@ def test_packing(spark):
         assert x["offset"].tolist() == np.concatenate([[0], np.cumsum(x["length"])[:-1]]).tolist() and x["length"].sum() <= 1024
     assert got["sequence_id"].nunique() <= -(-got["length"].sum() // 1024) + 1
     assert pack_documents(docs.limit(0), public_tokenizers.path("byte_bpe_50k.json")).collect() == []
+
+
+def test_packing_in_many_groups(spark):
+    """The second pass packs what lay loose again: every piece once, no overlap, few sequences."""
+    from plyforge.llm.packing import pack
+
+    rng = np.random.default_rng(12)
+    rows = [(i, 0, 0, int(n), 0) for i, n in enumerate(rng.choice([1000, 700, 600, 500, 30, 5], 700))]
+    items = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(5)
+    one, many = (pack(items, len(rows), group_items=n).toPandas() for n in (32_768, 40))
+    for got in (one, many):
+        assert sorted(zip(got.doc_id, got.length)) == [(r[0], r[3]) for r in rows]
+        for _, x in got.groupby("sequence_id"):
+            x = x.sort_values("offset")
+            assert x["offset"].tolist() == np.concatenate([[0], np.cumsum(x["length"])[:-1]]).tolist() and x["length"].sum() <= 1024
+    least = -(-sum(r[3] for r in rows) // 1024)
+    assert one.sequence_id.nunique() <= many.sequence_id.nunique() <= one.sequence_id.nunique() * 1.05 + 2 and many.sequence_id.nunique() >= least
