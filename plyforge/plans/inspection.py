@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from plyforge.functions import geometry
@@ -34,12 +37,28 @@ class Inspection:
     error: str | None = None
 
 
-def mask_voxels(masks: DataFrame, build: str = "build_id") -> DataFrame:
-    """(volume, z, y, x, inside) of masks; z is the slice's place by height."""
-    at = F.row_number().over(Window.partitionBy(build).orderBy("z_height")) - 1
-    rows = masks.select(F.col(build).alias("volume"), at.alias("z"), "width", F.explode(F.transform(F.sequence(F.lit(1), F.length("mask")), lambda i: F.struct((i - 1).alias("i"), F.substring("mask", i, F.lit(1)).alias("b")))).alias("p"))
-    on = rows.filter(F.col("p.b") != F.lit(bytes([0])))
-    return on.select("volume", "z", F.expr("cast(p.i div width as int)").alias("y"), (F.col("p.i") % F.col("width")).alias("x"), F.lit(True).alias("inside"))
+def slices(masks: DataFrame, build: str = "build_id") -> DataFrame:
+    """(build, z_height, layer_number, slice): each mask's place by height; no pixel is read for it."""
+    place = F.row_number().over(Window.partitionBy(build).orderBy("z_height", "layer_number")) - 1
+    return masks.select(build, "z_height", "layer_number").withColumn("slice", place)
+
+
+def mask_voxels(masks: DataFrame, build: str = "build_id", most: int = 500_000) -> DataFrame:
+    """(volume, z, y, x, inside) of the masks' full pixels; z is the slice's place by height. Tasks emit at most `most` pixels at a time."""
+    held = masks.select(F.col(build).alias("volume"), "z_height", "layer_number", "width", "mask")
+    kinds = {f.name: f.dataType.simpleString() for f in held.schema}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                on = np.flatnonzero(np.frombuffer(row.mask, np.uint8))
+                for k in range(0, len(on), most):
+                    some = on[k : k + most]
+                    yield pd.DataFrame({"volume": row.volume, "z_height": row.z_height, "layer_number": row.layer_number, "y": some // row.width, "x": some % row.width}, index=range(len(some)))
+
+    on = held.mapInPandas(run, f"volume {kinds['volume']}, z_height {kinds['z_height']}, layer_number {kinds['layer_number']}, y int, x int")
+    places = slices(masks, build).withColumnRenamed(build, "volume")
+    return on.join(places, ["volume", "z_height", "layer_number"]).select("volume", F.col("slice").alias("z"), "y", "x", F.lit(True).alias("inside"))
 
 
 def run(spark: SparkSession, settings: BuildSettings, progress: Callable[[float, str], None] | None = None) -> Inspection:
@@ -87,7 +106,7 @@ def run(spark: SparkSession, settings: BuildSettings, progress: Callable[[float,
         if n_images < 2:
             raise ValueError("a surface needs two images")
         voxels = written(mask_voxels(t["masks"]))
-        heights = t["masks"].select((F.row_number().over(Window.partitionBy("build_id").orderBy("z_height")) - 1).alias("slice"), F.col("z_height").alias("height"))
+        heights = slices(t["masks"]).select("slice", F.col("z_height").alias("height"))
         vertices = meshes.interpolated_z(meshes.isosurface_vertices(voxels), heights)
         t["vertices"] = written(vertices.select(F.xxhash64("x", "y", "z").alias("vid"), *[(F.col(a) * out.scale).alias(a) for a in "xy"], "z"))
         t["surface"] = meshes.voxel_faces(voxels)
@@ -102,7 +121,7 @@ def run(spark: SparkSession, settings: BuildSettings, progress: Callable[[float,
             parts = parts.crossJoin(F.broadcast(score.anomaly_score(t["anomalies"]))).withColumns({"layer": F.lit(100.0), "n_processed": F.lit(n_contours), "n_expected": F.lit(expected or n_images)})
             t["quality"] = score.quality(parts, settings.weights)
         tell(100, "done")
-    except Exception as e:  # told, as the tables so far are of use
+    except (ValueError, OSError, PySparkException) as e:  # bad or missing input is told, as the tables so far are of use
         out.error = f"{type(e).__name__}: {e}"
         tell(100, out.error)
     return out
