@@ -28,6 +28,14 @@ class BuildSettings:
     weights: dict[str, float] | None = None
 
 
+def of_project(project: dict, scale_mm_per_px: float = 1.0) -> BuildSettings:
+    """Settings of a build from a project's fields."""
+    return BuildSettings(
+        images_dir=project["images_dir"], mesh_file=project["stl_file"], toolpath_file=project["gcode_file"], calibration_profile=project["calibration_profile"],
+        scale_mm_per_px=scale_mm_per_px, layer_height_mm=project["layer_height_mm"], tolerance_mm=project["tolerance_mm"],
+    )
+
+
 @dataclass
 class Inspection:
     """Named tables, the settings that were derived, and the error that ended it, if one did."""

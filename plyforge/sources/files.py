@@ -161,7 +161,18 @@ PROFILE = StructType(
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
     """Calibration profiles, one JSON file each."""
-    return spark.read.schema(PROFILE).json(path, multiLine=True)
+    return spark.read.schema(PROFILE).json(path, multiLine=True).select(PROFILE.names)
+
+
+def write_profiles(profiles: DataFrame, path: str) -> None:
+    """One JSON file a profile below path, in a folder of its name; of profiles of one name any one. Existing ones of other names stay."""
+    named = profiles.select(PROFILE.names).filter("name is not null").dropDuplicates(["name"])
+    named.withColumn("profile", F.col("name")).repartition("profile").write.mode("append").partitionBy("profile").json(path)
+
+
+def list_profiles(spark: SparkSession, path: str) -> DataFrame:
+    """(name, scale_mm_per_pixel) of the profiles below path, by name."""
+    return read_profiles(spark, path).select("name", "scale_mm_per_pixel").distinct().orderBy("name")
 
 
 #: Settings that take part in results.
@@ -198,3 +209,34 @@ def setting(settings: dict, name: str, default=None):
             return default
         settings = settings[part]
     return settings
+
+
+def with_setting(settings: dict, name: str, value) -> dict:
+    """A copy with the value set at its dotted name; what is missing, or no section, on the way becomes one."""
+    out = copy.deepcopy(settings)
+    *way, last = name.split(".")
+    at = out
+    for part in way:
+        if not isinstance(at.get(part), dict):
+            at[part] = {}
+        at = at[part]
+    at[last] = copy.deepcopy(value)
+    return out
+
+
+#: A project's fields and what they are at first.
+PROJECT = {"name": "", "images_dir": "", "stl_file": "", "gcode_file": "", "calibration_profile": "", "layer_height_mm": 0.2, "tolerance_mm": 0.2, "processed": False, "results": {}}
+
+
+def load_project(folder: str, file: str = "project.json") -> dict:
+    """A folder's project over the defaults; a missing or broken file gives these, named like the folder."""
+    base = PROJECT | {"name": os.path.basename(os.path.abspath(folder))}
+    try:
+        with open(os.path.join(folder, file), encoding="utf-8") as f:
+            return copy.deepcopy(base) | json.load(f)
+    except (OSError, ValueError):
+        return copy.deepcopy(base)
+
+
+def save_project(folder: str, project: dict, file: str = "project.json") -> None:
+    save_settings(os.path.join(folder, file), project)

@@ -389,3 +389,18 @@ def test_a_large_target_is_refused(spark):
     points = spark.range(4).selectExpr("id as vid", "cast(id as double) x", "cast(id % 2 as double) y", "0.0D z")
     with pytest.raises(ValueError, match="most_target"):
         register.align_from_starts(points, points, most_target=3)
+
+
+def test_profiles_projects_and_dotted_names(spark, tmp_path):
+    rows = [("a", 0.05, [[1.0, 0.0, 2.0], [0.0, 1.0, 3.0], [0.0, 0.0, 1.0]], [0.1, 0.2], [640, 480], [0.0, 0.0], 0.5, "n"), ("b", 0.1, None, None, None, None, None, None), ("b", 0.1, None, None, None, None, None, None), (None, 1.0, None, None, None, None, None, None)]
+    files.write_profiles(spark.createDataFrame(rows, files.PROFILE), str(tmp_path / "profiles"))
+    files.write_profiles(spark.createDataFrame([("c d", 0.2, *[None] * 6)], files.PROFILE), str(tmp_path / "profiles"))
+    assert sorted((r.name, r.scale_mm_per_pixel, r.image_size) for r in files.read_profiles(spark, str(tmp_path / "profiles")).collect()) == [("a", 0.05, [640, 480]), ("b", 0.1, None), ("c d", 0.2, None)]
+    assert [r.name for r in files.list_profiles(spark, str(tmp_path / "profiles")).collect()] == ["a", "b", "c d"]
+    assert files.with_setting({"a": {"b": 1}, "x": 2}, "a.c.d", 3) == {"a": {"b": 1, "c": {"d": 3}}, "x": 2} and files.with_setting({"x": 2}, "x.y", 1) == {"x": {"y": 1}}
+    folder = str(tmp_path / "part7")
+    project = files.load_project(folder)
+    assert project["name"] == "part7" and project["layer_height_mm"] == 0.2
+    files.save_project(folder, project | {"images_dir": "/i", "tolerance_mm": 0.3})
+    settings = inspection.of_project(files.load_project(folder), 0.05)
+    assert (settings.images_dir, settings.tolerance_mm, settings.scale_mm_per_px) == ("/i", 0.3, 0.05)
