@@ -70,3 +70,21 @@ def test_filters_skip_shards(spark):
     skipped = lambda lo, hi, c: np.mean([r[f"max_{c}"] < lo or r[f"min_{c}"] > hi for r in bounds])
     assert min(skipped(x, x, "lang") for x in ("de", "fr")) >= 0.6 and min(skipped(x, x, "lang") for x in ("en", "es")) >= 0.3
     assert all(skipped(a, a + 300, "size") >= 0.5 for a in range(100, 4700, 500))
+
+
+def test_query_columns(spark, tmp_path):
+    """Size, checksum, law and slots of the registered query, against Python."""
+    import zlib
+
+    from plyforge.llm import queries
+
+    texts = ["plain", "É ü 日本", "", None, "plain", "x" * 3000, "a\nb"] * 5
+    rows = [(i, t, "en" if i % 2 else None, f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op7_hilbert_shards(spark, str(tmp_path)).collect()}
+    for i, t, *_ in rows:
+        raw = (t or "").encode()
+        assert (got[i].size, got[i].text_crc32, got[i].law, got[i].grown_shard) == (len(raw) + 1, zlib.crc32(raw), "rows", None)
+    counts = Counter(r.shard for r in got.values())
+    assert set(counts) == set(range(8)) and max(counts.values()) - min(counts.values()) <= 1
+    assert all(sorted(r.slot for r in got.values() if r.shard == s) == list(range(n)) for s, n in counts.items())
