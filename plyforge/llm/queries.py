@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import compress_quality, decontaminate, hilbert, kneser_ney, langid, packing, simhash, token_store, warc, webp
+from . import compress_quality, decontaminate, hilbert, kneser_ney, langid, packing, simhash, token_store, warc, webp, whitening
 from .common import materialize, scratch
 
 
@@ -95,7 +95,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_kneser_ney, op3_decontamination, op4_compression_quality, op5_simhash_near_dedup, op6_lossless_webp, op7_hilbert_shards, op8_language_id, op9_token_store, op10_best_fit_packing)}
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable embedding on the 32 leading components, at unit variance."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_kneser_ney, op3_decontamination, op4_compression_quality, op5_simhash_near_dedup, op6_lossless_webp, op7_hilbert_shards, op8_language_id, op9_token_store, op10_best_fit_packing, op13_embedding_whitening)}
 ORACLES: dict[str, str] = {
     "op1_warc_transactions": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS size FROM pages),
