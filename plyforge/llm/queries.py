@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import compress_quality, decontaminate, hilbert, kneser_ney, langid, packing, simhash, token_store, warc, webp, whitening
+from . import compress_quality, decontaminate, hilbert, kneser_ney, langid, licenses, packing, simhash, token_store, warc, webp, whitening
 from .common import materialize, scratch
 
 
@@ -95,13 +95,44 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license phrases of every document, and the labels of templates that a block of it holds."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every usable embedding on the 32 leading components, at unit variance."""
     return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_kneser_ney, op3_decontamination, op4_compression_quality, op5_simhash_near_dedup, op6_lossless_webp, op7_hilbert_shards, op8_language_id, op9_token_store, op10_best_fit_packing, op13_embedding_whitening)}
+QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_kneser_ney, op3_decontamination, op4_compression_quality, op5_simhash_near_dedup, op6_lossless_webp, op7_hilbert_shards, op8_language_id, op9_token_store, op10_best_fit_packing, op12_license_scan, op13_embedding_whitening)}
+
+#: Lower-cased words of a text in DuckDB.
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def listed(rows: list[tuple[str, str]]) -> str:
+    """(id, label, text) rows of a VALUES list."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    return ", ".join(f"({i}, {quote(label)}, {quote(text)})" for i, (label, text) in enumerate(rows))
+
+
 ORACLES: dict[str, str] = {
+    "op12_license_scan": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+             t AS (SELECT id, label, len(w) AS l, list_distinct(w) AS tokens FROM (SELECT id, label, {WORDS} AS w FROM (VALUES {listed(licenses.TEMPLATES)}) AS v(id, label, text))),
+             p AS (SELECT label, w FROM (SELECT label, {WORDS} AS w FROM (VALUES {listed(licenses.PHRASES)}) AS v(id, label, text))),
+             each AS (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d),
+             base AS (SELECT e.r, e.pos, label FROM each e JOIN p ON p.w[1] = e.word JOIN d ON d.r = e.r WHERE d.w[e.pos + 1 : e.pos + len(p.w)] = p.w),
+             told AS (SELECT id, label, l, len(tokens) AS n, unnest(tokens) AS token FROM t),
+             block AS (SELECT r, label, count(DISTINCT token) OVER (PARTITION BY r, id ORDER BY pos RANGE BETWEEN CURRENT ROW AND l - 1 FOLLOWING) / n AS share FROM each JOIN told ON token = word),
+             met AS (SELECT r, label, share FROM block WHERE share >= CAST(0.85 AS DOUBLE)),
+             b AS (SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY r),
+             m AS (SELECT r, max(share) AS share FROM met GROUP BY r),
+             a AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM base UNION ALL SELECT r, label FROM met) GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+               CASE WHEN n_base > 0 THEN CAST(1 AS DOUBLE) ELSE coalesce(share, 0) END AS score
+        FROM d LEFT JOIN b USING (r) LEFT JOIN m USING (r) LEFT JOIN a USING (r)""",
     "op1_warc_transactions": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS size FROM pages),
              m AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS original FROM p)
