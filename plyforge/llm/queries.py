@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import compress_quality, decontaminate, hilbert, kneser_ney, langid, licenses, packing, simhash, token_store, warc, webp, whitening
+from . import compress_quality, decontaminate, divergence, hilbert, kneser_ney, langid, licenses, packing, simhash, token_store, warc, webp, whitening
 from .common import materialize, scratch
 
 
@@ -95,6 +95,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source of a language is from each other one, and its fifty most telling terms."""
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The license phrases of every document, and the labels of templates that a block of it holds."""
     return licenses.scan(table(spark, sf_dir, "documents"))
@@ -105,7 +110,7 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_kneser_ney, op3_decontamination, op4_compression_quality, op5_simhash_near_dedup, op6_lossless_webp, op7_hilbert_shards, op8_language_id, op9_token_store, op10_best_fit_packing, op12_license_scan, op13_embedding_whitening)}
+QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_kneser_ney, op3_decontamination, op4_compression_quality, op5_simhash_near_dedup, op6_lossless_webp, op7_hilbert_shards, op8_language_id, op9_token_store, op10_best_fit_packing, op11_source_divergence, op12_license_scan, op13_embedding_whitening)}
 
 #: Lower-cased words of a text in DuckDB.
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -118,6 +123,22 @@ def listed(rows: list[tuple[str, str]]) -> str:
 
 
 ORACLES: dict[str, str] = {
+    "op11_source_divergence": r"""
+        WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+             g AS (SELECT DISTINCT lang, source FROM d),
+             kept AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d) GROUP BY 1, 2 HAVING count(*) >= 30),
+             v AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+             c AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM d) JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+             total AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY 1, 2),
+             p AS (SELECT lang, source, term, coalesce(n, 0) AS n, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(n, 0) + 5)) // (coalesce(total, 0) + 5 * v) AS p
+                   FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN total USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+             whole AS (SELECT lang, sum(total) AS total FROM total GROUP BY 1),
+             q AS (SELECT lang, term, 1 + (CAST(1000000000 AS HUGEINT) * (sum(n) + 5)) // (any_value(whole.total) + 5 * any_value(v)) AS q FROM c JOIN v USING (lang) JOIN whole USING (lang) GROUP BY 1, 2),
+             f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+             pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+             term AS (SELECT lang, source, 'term' AS part, term AS item, CAST(p - q AS BIGINT) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+             ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+        SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50""",
     "op12_license_scan": f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
              t AS (SELECT id, label, len(w) AS l, list_distinct(w) AS tokens FROM (SELECT id, label, {WORDS} AS w FROM (VALUES {listed(licenses.TEMPLATES)}) AS v(id, label, text))),
