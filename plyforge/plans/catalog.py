@@ -292,7 +292,8 @@ def otsu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.otsu_levels(views.pixels(spark, sf_dir))
 
 
-@query(f"WITH {PIXELS}, b AS (SELECT y, x, v AS bv FROM pixels WHERE image = 0) SELECT p.image, p.y, p.x, CASE WHEN abs(v - bv) > 30 THEN 255 ELSE 0 END AS v FROM pixels p LEFT JOIN b ON b.y = p.y AND b.x = p.x")
+@query(f"""WITH {PIXELS}, b AS (SELECT vec_id AS image, CAST(i // 8 AS INTEGER) AS y, CAST(i % 8 AS INTEGER) AS x, CAST(floor((least(greatest(CAST(embedding[i + 1] AS DOUBLE), CAST(-0.55 AS DOUBLE)), CAST(0.55 AS DOUBLE)) + CAST(0.55 AS DOUBLE)) * CAST(231.0 AS DOUBLE)) AS INTEGER) AS bv
+    FROM (SELECT vec_id, embedding FROM embeddings WHERE vec_id = 0) CROSS JOIN range(64) AS r(i)) SELECT p.image, p.y, p.x, CASE WHEN abs(v - bv) > 30 THEN 255 ELSE 0 END AS v FROM pixels p LEFT JOIN b ON b.y = p.y AND b.x = p.x""")
 def bg_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = views.pixels(spark, sf_dir)
     return pixels.subtract_background(p, p.filter("image = 0")).select("image", "y", "x", "v")
@@ -394,7 +395,18 @@ FLOODED = f"""WITH RECURSIVE {PIXELS}, on_ AS (SELECT image, y, x, y * 8 + x AS
     FROM traced t LEFT JOIN holes h ON h.image = t.image AND h.owner = t.id WHERE t.kind = 0 AND t.area >= 1""")
 def contours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outlines of the 8 x 8 masks, by the numpy border follower."""
+    found = mask_contours(spark, sf_dir)
+    return found.select("image", "contour_idx", F.size("inners").alias("n_holes"), F.round("area_mm2", 6).alias("area_mm2"), F.round("perimeter_mm", 6).alias("perimeter_mm"))
+
+
+@query()
+def contour_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of the same outlines' points when they are simplified, and how round they are; tested against a plain recursion, as SQL has no Douglas-Peucker."""
+    found = mask_contours(spark, sf_dir)
+    return found.select("image", "contour_idx", F.size("outer").alias("n_points"), F.transform("inners", lambda h: F.size(h)).alias("hole_points"), F.round("confidence", 6).alias("confidence"))
+
+
+def mask_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = views.pixels(spark, sf_dir).groupBy("image").agg(F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("p"))
     mask = F.unhex(F.array_join(F.transform("p", lambda q: F.when(q["v"] > 127, "FF").otherwise("00")), ""))
-    found = segment.contours(p.select("image", F.lit(8).alias("height"), F.lit(8).alias("width"), mask.alias("mask")))
-    return found.select("image", "contour_idx", F.size("inners").alias("n_holes"), F.round("area_mm2", 6).alias("area_mm2"), F.round("perimeter_mm", 6).alias("perimeter_mm"))
+    return segment.contours(p.select("image", F.lit(8).alias("height"), F.lit(8).alias("width"), mask.alias("mask")))

@@ -93,7 +93,11 @@ def run(spark: SparkSession, settings: BuildSettings, progress: Callable[[float,
             images = layers.respace(images, total, settings.layer_height_mm)
         tell(20, "calibration")
         if settings.calibration_profile:
-            profile = files.read_profiles(spark, settings.calibration_profile).first()
+            try:
+                profile = files.read_profiles(spark, settings.calibration_profile).first()
+            except PySparkException as e:  # the given scale holds without it
+                profile = None
+                tell(20, f"no calibration profile: {type(e).__name__}")
             out.scale = profile.scale_mm_per_pixel if profile and profile.scale_mm_per_pixel else out.scale
         tell(30, "masks")
         t["masks"] = written(segment.threshold_masks(images))
@@ -122,7 +126,7 @@ def run(spark: SparkSession, settings: BuildSettings, progress: Callable[[float,
             _compare(spark, settings, out, tell)
         tell(90, "anomalies")
         t["anomalies"] = written(layers.anomalies(t["contours"]))
-        if "distances" in t:
+        if "distances" in t and not t["anomalies"].isEmpty():  # without an anomaly there is no score
             tell(95, "score")
             parts = compare.within_tolerance(t["distances"], "distance", settings.tolerance_mm).withColumnRenamed("within_tolerance_pct", "dimensional")
             # both sides are one row

@@ -5,6 +5,7 @@ from __future__ import annotations
 import copy
 import json
 import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -165,9 +166,28 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_profiles(profiles: DataFrame, path: str) -> None:
-    """One JSON file a profile below path, in a folder of its name; of profiles of one name any one. Existing ones of other names stay."""
-    named = profiles.select(PROFILE.names).filter("name is not null").dropDuplicates(["name"])
-    named.withColumn("profile", F.col("name")).repartition("profile").write.mode("append").partitionBy("profile").json(path)
+    """One JSON file a profile in the folder `path`, named like it; of profiles of one name any one.
+
+    A profile is written aside and renamed into place, so that readers see the
+    old or the new one, and the last save of a name wins. Others stay.
+    """
+    spark = profiles.sparkSession
+    named = profiles.select(PROFILE.names).filter("name <> ''").dropDuplicates(["name"])
+    aside = f"{path.rstrip('/')}/.saving-{uuid.uuid4().hex[:12]}"
+    named.withColumn("profile", F.col("name")).repartition("profile").write.partitionBy("profile").json(aside)
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    at = hadoop.Path(aside)
+    store = at.getFileSystem(conf)
+    over = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    over[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    files = hadoop.FileContext.getFileContext(store.makeQualified(at).toUri(), conf)
+    for folder in store.listStatus(at):
+        if folder.isDirectory():
+            name = folder.getPath().getName().removeprefix("profile=")  # as Spark escapes it
+            for part in store.listStatus(folder.getPath()):
+                if part.getPath().getName().startswith("part-"):
+                    files.rename(store.makeQualified(part.getPath()), store.makeQualified(hadoop.Path(f"{path.rstrip('/')}/{name}.json")), over)
+    store.delete(at, True)
 
 
 def list_profiles(spark: SparkSession, path: str) -> DataFrame:
@@ -179,12 +199,36 @@ def list_profiles(spark: SparkSession, path: str) -> DataFrame:
 DEFAULTS = {"quality_score": {"weights": {"dimensional": 0.35, "layer": 0.25, "anomaly": 0.25, "completeness": 0.15}}, "default_tolerance_mm": 0.2, "default_layer_height_mm": 0.2}
 
 
+def flat(settings: dict, above: str = "") -> dict:
+    """Values by dotted name; an empty section is a value."""
+    out = {}
+    for k, v in settings.items():
+        out |= flat(v, f"{above}{k}.") if isinstance(v, dict) and v else {f"{above}{k}": v}
+    return out
+
+
+def nested(values: dict) -> dict:
+    """Sections of values by dotted name."""
+    sections = {k.partition(".")[0]: {} for k in values}
+    for k, v in values.items():
+        section, _, rest = k.partition(".")
+        if rest:
+            sections[section][rest] = v
+        else:
+            sections[section] = copy.deepcopy(v)
+    deep = {k.partition(".")[0] for k in values if "." in k}
+    return {k: nested(v) if k in deep else v for k, v in sections.items()}
+
+
+def set_values(values: dict, more: dict) -> dict:
+    """values by dotted name with more's; what lies above or below a set name goes."""
+    related = lambda a, b: a == b or a.startswith(f"{b}.") or b.startswith(f"{a}.")
+    return {k: v for k, v in values.items() if not any(related(k, m) for m in more)} | more
+
+
 def merged(base: dict, over: dict) -> dict:
     """A copy of base with over's values, nested ones by name."""
-    out = copy.deepcopy(base)
-    for k, v in over.items():
-        out[k] = merged(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else copy.deepcopy(v)
-    return out
+    return nested(set_values(flat(base), flat(over)))
 
 
 def load_settings(path: str) -> dict:
@@ -192,7 +236,7 @@ def load_settings(path: str) -> dict:
     try:
         with open(path, encoding="utf-8") as f:
             return merged(DEFAULTS, json.load(f))
-    except (OSError, ValueError):
+    except (OSError, ValueError, AttributeError):  # AttributeError: JSON, but no section
         return copy.deepcopy(DEFAULTS)
 
 
@@ -203,25 +247,17 @@ def save_settings(path: str, settings: dict) -> None:
 
 
 def setting(settings: dict, name: str, default=None):
-    """A value by its dotted name."""
-    for part in name.split("."):
-        if not isinstance(settings, dict) or part not in settings:
-            return default
-        settings = settings[part]
-    return settings
+    """A value, or a section, by its dotted name."""
+    values = flat(settings)
+    if name in values:
+        return values[name]
+    below = {k.removeprefix(f"{name}."): v for k, v in values.items() if k.startswith(f"{name}.")}
+    return nested(below) if below else default
 
 
 def with_setting(settings: dict, name: str, value) -> dict:
     """A copy with the value set at its dotted name; what is missing, or no section, on the way becomes one."""
-    out = copy.deepcopy(settings)
-    *way, last = name.split(".")
-    at = out
-    for part in way:
-        if not isinstance(at.get(part), dict):
-            at[part] = {}
-        at = at[part]
-    at[last] = copy.deepcopy(value)
-    return out
+    return nested(set_values(flat(settings), {name: value}))
 
 
 #: A project's fields and what they are at first.

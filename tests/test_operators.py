@@ -1,6 +1,7 @@
 """Hand-computed cases, phantoms and properties of the inspection operators."""
 
 import math
+import os
 import random
 import struct
 import zlib
@@ -292,6 +293,9 @@ def test_whole_inspection(spark, tmp_path):
     q = out.tables["quality"].first()
     assert q.grade in "ABCDF" and 0 <= q.score <= 100
     assert inspection.run(spark, inspection.BuildSettings()).error
+    told = []
+    kept = inspection.run(spark, inspection.BuildSettings(images_dir=str(tmp_path / "img"), calibration_profile=str(tmp_path / "none.json"), scale_mm_per_px=0.5), lambda p, s: told.append(s))
+    assert kept.error is None and kept.scale == 0.5 and any("calibration profile" in s for s in told) and "quality" not in kept.tables
 
 
 def test_mesh_files(spark, tmp_path):
@@ -353,8 +357,43 @@ def test_registered_queries_run_and_have_stable_names(spark):
     from plyforge.plans import catalog
 
     assert set(catalog.ORACLES) <= set(catalog.QUERIES) and len(catalog.QUERIES) >= 30
-    out = catalog.QUERIES["contours"](spark, "/root/testdata/sf0.001").toPandas()
-    assert len(out) and (out["area_mm2"] >= 0).all() and out["confidence"].between(0, 1).all()
+    out = catalog.QUERIES["contour_shapes"](spark, "/root/testdata/sf0.001").toPandas()
+    assert len(out) == catalog.QUERIES["contours"](spark, "/root/testdata/sf0.001").count()
+
+
+def kept_points(points, epsilon):
+    """Douglas-Peucker of an open line as a plain recursion."""
+    (x0, y0), (x1, y1) = points[0], points[-1]
+    length = math.hypot(x1 - x0, y1 - y0)
+    away = [abs((x1 - x0) * (y - y0) - (y1 - y0) * (x - x0)) / length if length else math.hypot(x - x0, y - y0) for x, y in points[1:-1]]
+    if not away or max(away) <= epsilon:
+        return [points[0], points[-1]]
+    k = away.index(max(away)) + 1
+    return kept_points(points[: k + 1], epsilon)[:-1] + kept_points(points[k:], epsilon)
+
+
+def test_shapes_of_contours_by_brute_force(spark):
+    from plyforge.plans import catalog, views
+
+    got = {(r.image, r.contour_idx): r for r in catalog.QUERIES["contour_shapes"](spark, "/root/testdata/sf0.001").collect()}
+    pixels_of = views.pixels(spark, "/root/testdata/sf0.001").toPandas().sort_values(["image", "y", "x"])
+    n = 0
+    for image, p in pixels_of.groupby("image"):
+        mask = np.where(p["v"].to_numpy().reshape(8, 8) > 127, 255, 0).astype(np.uint8)
+        found = [(o, h) for o, h in images.outlines(mask) if images.closed_area(o) >= 1]
+        for k, (outer, holes) in enumerate(found):
+
+            def size(border):
+                corners = images.corners(border).tolist()
+                far = max(range(len(corners)), key=lambda i: math.dist(corners[i], corners[0]))
+                ring, eps = [*corners, corners[0]], 0.002 * images.closed_length(border)
+                return len(corners) if len(corners) < 4 else len(kept_points(ring[: far + 1], eps)) + len(kept_points(ring[far:], eps)) - 2
+
+            row = got[image, k]
+            round_ = 4 * math.pi * images.closed_area(outer) / images.closed_length(outer) ** 2 * min(1, size(outer) / 10)
+            assert (row.n_points, list(row.hole_points)) == (size(outer), [size(h) for h in holes]) and abs(row.confidence - min(1, round_)) < 2e-6
+            n += 1
+    assert n == len(got) > 50
 
 
 def test_specks_and_holes_by_brute_force():
@@ -397,6 +436,11 @@ def test_profiles_projects_and_dotted_names(spark, tmp_path):
     files.write_profiles(spark.createDataFrame([("c d", 0.2, *[None] * 6)], files.PROFILE), str(tmp_path / "profiles"))
     assert sorted((r.name, r.scale_mm_per_pixel, r.image_size) for r in files.read_profiles(spark, str(tmp_path / "profiles")).collect()) == [("a", 0.05, [640, 480]), ("b", 0.1, None), ("c d", 0.2, None)]
     assert [r.name for r in files.list_profiles(spark, str(tmp_path / "profiles")).collect()] == ["a", "b", "c d"]
+    files.write_profiles(spark.createDataFrame([("b", 0.7, *[None] * 6), ("", 9.0, *[None] * 6)], files.PROFILE), str(tmp_path / "profiles"))
+    assert [(r.name, r.scale_mm_per_pixel) for r in files.list_profiles(spark, str(tmp_path / "profiles")).collect()] == [("a", 0.05), ("b", 0.7), ("c d", 0.2)]
+    assert not [x for x in os.listdir(tmp_path / "profiles") if x.startswith(".saving")]
+    assert files.merged({"a": {"b": 1, "c": {}}, "d": 1}, {"a": {"b": {"e": 2}}, "d": {"f": {}}}) == {"a": {"c": {}, "b": {"e": 2}}, "d": {"f": {}}}
+    assert files.setting({"a": {"b": {"c": 1}}}, "a.b") == {"c": 1} and files.setting({"a": 1}, "a.b", 5) == 5
     assert files.with_setting({"a": {"b": 1}, "x": 2}, "a.c.d", 3) == {"a": {"b": 1, "c": {"d": 3}}, "x": 2} and files.with_setting({"x": 2}, "x.y", 1) == {"x": {"y": 1}}
     folder = str(tmp_path / "part7")
     project = files.load_project(folder)
