@@ -41,6 +41,7 @@ from .token_store import mix
 #: The hash of the end of a text, an empty word.
 END = int(mix(np.zeros(1, np.uint64), 5)[0])
 STEP = 1 << 20  # bytes hashed at a time
+LONG_WORD = 256
 
 
 def combine(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,20 +74,26 @@ def powers() -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words data[start:end]: a polynomial of the bytes, from running sums, and a finaliser."""
+    """64-bit hashes of the words data[start:end]: a polynomial of the bytes, from running sums, and a finaliser.
+
+    Words of LONG_WORD bytes and more have the library's digest instead: modulo
+    a power of two, long words exist that any polynomial confuses (a Thue-Morse
+    word of 1024 letters and its complement, say).
+    """
     out, k = np.empty(len(starts), np.uint64), 0
     up, down = powers()
     while k < len(starts):
         a = int(starts[k])
         stop = int(np.searchsorted(ends, a + STEP, side="right"))
-        if stop == k:  # a word longer than a step: its digest by the library
-            out[k] = xxhash.xxh64_intdigest(data[a : ends[k]].tobytes(), 0)
+        if stop == k:  # a word longer than a step, see below
             k += 1
             continue
         z = int(ends[stop - 1])
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data[a:z].astype(np.uint64) + np.uint64(1)) * up[: z - a])])
         out[k:stop] = (sums[ends[k:stop] - a] - sums[starts[k:stop] - a]) * down[starts[k:stop] - a]
         k = stop
+    for i in np.flatnonzero(ends - starts >= LONG_WORD).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes(), 0)
     return mix(out ^ (ends - starts).astype(np.uint64), 5)
 
 

@@ -2,6 +2,7 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plyforge.llm import kneser_ney
@@ -113,3 +114,14 @@ def test_better_than_the_base_on_held_out_text(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     held = [r for r in kneser_ney.train_and_score(docs, docs.doc_id % 7 != 2).collect() if r.held_out]
     assert held and all(r.score > r.base_score + 10 for r in held)
+
+
+def test_long_words_that_a_polynomial_confuses():
+    for letters in (256, 512, 1024, 2048, 4096):
+        one = "".join("ab"[i.bit_count() % 2] for i in range(letters))
+        two = one.translate(str.maketrans("ab", "ba"))
+        texts = pa.array([one, two, f"{one} {two} x", "y" * (1 << 21), one + "a"])
+        distinct, place, ends = kneser_ney.tokens(texts)
+        assert len(distinct) == 5 and ends.tolist() == [0, 1, 2, 5, 6, 7] and place[0] == place[2] != place[1] == place[3]
+    short = pa.array([f"w{i:0{n}d}" for n in (3, 100, 253, 254, 255, 256) for i in range(200)])
+    assert len(kneser_ney.tokens(short)[0]) == 1200
