@@ -50,7 +50,19 @@ def test_stage_catches_planted_near_copies(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == sorted(set(want))
 
 
-def test_links_of_dense_groups(spark):
+def test_small_sets_are_compared_whatever_their_fingerprints(spark):
+    """Pairs of four and five shingles at 0.8 exactly; about one in ten thousand is over 24 bits, so the radius is narrowed here."""
+    rng = random.Random(5)
+    texts = []
+    for _ in range(200):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(9)]
+        texts += [" ".join(words), " ".join(words[:-1])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs, radius=8).collect()}
+    assert [got[i] for i in range(400)] == components(texts) == [i // 2 * 2 for i in range(400)]
+
+
+def test_links_of_dense_groups(spark, monkeypatch):
     rng = random.Random(4)
     base = [f"w{i}" for i in range(120)]
     texts = []
@@ -64,7 +76,8 @@ def test_links_of_dense_groups(spark):
     path = common.scratch(spark, "test")
     rows = common.materialize(near_copies.with_set(docs, path, "doc_id", "text", 5), "sets")
     key_of = {r.set: r.key for r in rows.collect()}
-    for most in (1000, 20):  # the second deals groups by pairs of blocks
+    for most, hot in ((1000, 20_000), (20, 20_000), (20, 30)):  # the second deals groups by pairs of blocks, the third by a sample's counts
+        monkeypatch.setattr(near_copies, "HOT", hot)
         parent = {}
 
         def root(x):
