@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from . import boxes
 from .tables import written
 
 
@@ -41,39 +39,36 @@ def hausdorff(a: DataFrame, b: DataFrame, keys: list[str], points: str = "points
     return both.select(*keys, F.round(F.sqrt(F.greatest(one_way("_a", "_b"), one_way("_b", "_a"))), 6).alias("hausdorff"))
 
 
-def nearest(points: DataFrame, targets: DataFrame, axes: list[str], point_id: str, target_id: str, cell: float) -> DataFrame:
+def nearest(points: DataFrame, targets: DataFrame, axes: list[str], point_id: str, target_id: str) -> DataFrame:
     """(point_id, target_id, distance): each point's nearest target; ties go to the smallest target id.
 
-    An equi-join on grid cells finds what lies within one cell's width. Points
-    without a target so near go on to cells of twice the width, until all have
-    one; each round keeps only what is left. Rows without finite coordinates
-    take no part; without targets there are no rows.
+    Points and targets meet in a hierarchy of boxes (see boxes). Targets of one
+    place count once, by their smallest id. Rows without finite coordinates take
+    no part; without targets there are no rows.
     """
-    found, width = [], float(cell)
-    finite = lambda df, of: df.filter(" and ".join(f"{of}{a} > double('-infinity') and {of}{a} < double('infinity')" for a in axes))
-    todo = finite(points.select(F.col(point_id).alias("_p"), *axes), "")
-    targets = finite(targets.select(F.col(target_id).alias("_t"), *[F.col(a).alias(f"_{a}") for a in axes]), "_")
-    if targets.isEmpty():
-        return todo.limit(0).crossJoin(targets.limit(0)).select(F.col("_p").alias(point_id), F.col("_t").alias(target_id), F.lit(0.0).alias("distance"))
-    while True:
-        at = [F.floor(F.col(a) / width).alias(f"_c{a}") for a in axes]
-        around = F.array(*[F.lit(float(i)) for i in (-1, 0, 1)])
-        near = todo.select("*", *at)
-        for a in axes:
-            near = near.withColumn("_d", F.explode(around)).withColumn(f"_c{a}", (F.col(f"_c{a}") + F.col("_d")).cast("long")).drop("_d")
-        held = targets.select("*", *[F.floor(F.col(f"_{a}") / width).cast("long").alias(f"_c{a}") for a in axes])
-        squared = sum(((F.col(a) - F.col(f"_{a}")) * (F.col(a) - F.col(f"_{a}")) for a in axes), F.lit(0.0))
-        best = near.join(held, [f"_c{a}" for a in axes]).withColumn("_d", F.sqrt(squared)).filter(F.col("_d") <= width)
-        best = written(best.groupBy("_p").agg(F.min(F.struct("_d", "_t")).alias("b")).select("_p", "b._t", "b._d"))
-        found.append(best)
-        todo = written(todo.join(best.select("_p"), "_p", "left_anti"))
-        if todo.isEmpty():
-            break
-        width *= 2
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out.select(F.col("_p").alias(point_id), F.col("_t").alias(target_id), F.col("_d").alias("distance"))
+    found = targets.select(F.col(target_id).alias("id"), *[(F.col(a).cast("double") + 0.0).alias(f"c{i}") for i, a in enumerate(axes)])
+    names = [f"c{i}" for i in range(len(axes))]
+    held = found.filter(boxes.finite([F.col(c) for c in names])).groupBy(*names).agg(F.min("id").alias("id"))
+    asked = points.select(F.col(point_id).alias("id"), *[F.col(a).cast("double").alias(f"c{i}") for i, a in enumerate(axes)]).filter(boxes.finite([F.col(c) for c in names]))
+
+    def apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return np.sqrt(sum((p[:, None, i] - q[None, :, i]) ** 2 for i in range(len(axes))))
+
+    out = meet(asked, held, [names], apart)
+    return out.select(F.col("id").alias(point_id), F.col("target").alias(target_id), "distance")
+
+
+def meet(points: DataFrame, targets: DataFrame, corners: list[list[str]], pairwise, needed: str = "") -> DataFrame:
+    """(id, target, distance) of points (id, c0 ...) and targets (id and each corner's coordinates); needed: the error where there is no target."""
+    dims = len(corners[0])
+    targets, points = written(targets), written(points)  # each is read three times: for its extent, to sample its order, to be dealt
+    leaves = boxes.packed(targets, corners, boxes.LEAF)
+    blocks = boxes.packed(points, [[f"c{i}" for i in range(dims)]], boxes.BLOCK)
+    if needed and leaves.isEmpty():
+        raise ValueError(needed)
+    if leaves.isEmpty() or blocks.isEmpty():
+        return points.select("id").limit(0).withColumns({"target": F.lit(None).cast(targets.schema["id"].dataType), "distance": F.lit(0.0)})
+    return boxes.nearest_of(blocks, leaves, dims, pairwise)
 
 
 def triangle_distance(p: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -96,41 +91,19 @@ def triangle_distance(p: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray
     return np.where(inside, plane, np.minimum(np.minimum(edge(a, b), edge(b, c)), edge(c, a)))
 
 
-def surface_distance(points: DataFrame, triangles: DataFrame, point_id: str = "vid", most_rounds: int = 60) -> DataFrame:
+def surface_distance(points: DataFrame, triangles: DataFrame, point_id: str = "vid") -> DataFrame:
     """(point_id, distance) of points (x, y, z) to the nearest of the triangles (ax ... cz).
 
-    An equi-join on grid cells: a triangle goes to the cells that its box reaches when grown by the cells' width, a point
-    to its own. What is found within the width is final; for the points left, the width doubles. Points and triangles
-    without finite coordinates take no part; no triangle at all is an error.
+    Points and triangles meet in a hierarchy of boxes (see boxes), near or far
+    alike. Equal triangles count once. Points and triangles without finite
+    coordinates take no part; no triangle at all is an error.
     """
-    cols = [f"{v}{x}" for v in "abc" for x in "xyz"]
-    finite = lambda names: reduce(lambda p, q: p & q, [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in names])
-    low, high = ({x: f(*[F.col(f"{v}{x}") for v in "abc"]) for x in "xyz"} for f in (F.least, F.greatest))
-    rows = triangles.select(*[F.col(c).cast("double").alias(c) for c in cols]).filter(finite(cols))
-    side = F.greatest(*[high[x] - low[x] for x in "xyz"])
-    n, mean, most = rows.agg(F.count("*"), F.avg(side), F.max(side)).first()
-    if not n:
-        raise ValueError("no triangles")
-    width = max(mean, most / 16) or 1.0
-
-    @F.pandas_udf("double")
-    def distance(*xyz: pd.Series) -> pd.Series:
-        p, a, b, c = (np.stack([v.to_numpy(float) for v in xyz[k : k + 3]], axis=1) for k in (0, 3, 6, 9))
-        return pd.Series(triangle_distance(p, a, b, c) if len(p) else np.empty(0))
-
-    cell = lambda c: F.floor(c / width).cast("long")
-    todo = written(points.select(F.col(point_id).alias("_p"), *[F.col(x).cast("double").alias(x) for x in "xyz"]).filter(finite("xyz")))
-    found = [todo.select("_p", F.lit(0.0).alias("distance")).limit(0)]
-    for _ in range(most_rounds):
-        if todo.isEmpty():
-            break
-        reach = rows
-        for x in "xyz":
-            reach = reach.withColumn(f"_c{x}", F.explode(F.sequence(cell(low[x] - width), cell(high[x] + width))))
-        near = todo.select("*", *[cell(F.col(x)).alias(f"_c{x}") for x in "xyz"]).join(reach, [f"_c{x}" for x in "xyz"])
-        best = near.select("_p", distance(*"xyz", *cols).alias("distance")).filter(F.col("distance") <= width)
-        best = written(best.groupBy("_p").agg(F.min("distance").alias("distance")))
-        found.append(best)
-        todo = written(todo.join(best.select("_p"), "_p", "left_anti"))
-        width *= 2
-    return reduce(DataFrame.unionByName, found).withColumnRenamed("_p", point_id)
+    corners = [[f"{v}{x}" for x in "xyz"] for v in "abc"]
+    cols = [c for corner in corners for c in corner]
+    rows = triangles.select(*[F.col(c).cast("double").alias(c) for c in cols]).filter(boxes.finite([F.col(c) for c in cols])).distinct().withColumn("id", F.xxhash64(*cols))
+    asked = points.select(F.col(point_id).alias("id"), *[F.col(x).cast("double").alias(f"c{i}") for i, x in enumerate("xyz")]).filter(boxes.finite([F.col(f"c{i}") for i in range(3)]))
+    def apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        each, to = np.repeat(p, len(q), axis=0), np.tile(q, (len(p), 1))
+        return triangle_distance(each, to[:, :3], to[:, 3:6], to[:, 6:]).reshape(len(p), len(q))
+
+    return meet(asked, rows, corners, apart, "no triangles").select(F.col("id").alias(point_id), "distance")

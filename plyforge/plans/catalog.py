@@ -175,10 +175,14 @@ def hausdorff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.hausdorff(p, p.withColumn("vec_id", F.col("vec_id") - 1), ["vec_id"])
 
 
-@query(f"WITH {POINTS}, p AS (SELECT vec_id, x, y FROM points WHERE k = 0 AND vec_id % 2 = 1), t AS (SELECT vec_id, x, y FROM points WHERE k = 0 AND vec_id % 2 = 0) SELECT p.vec_id, arg_min(t.vec_id, sqrt((p.x - t.x) * (p.x - t.x) + (p.y - t.y) * (p.y - t.y))) AS target_id, round(min(sqrt((p.x - t.x) * (p.x - t.x) + (p.y - t.y) * (p.y - t.y))), 6) AS distance FROM p CROSS JOIN t GROUP BY p.vec_id")
+@query(f"""WITH {POINTS}, p AS (SELECT vec_id * 32 + k AS vid, x, y FROM points WHERE vec_id % 2 = 1), t AS (SELECT vec_id * 32 + k AS tid, x, y FROM points WHERE vec_id % 2 = 0),
+    d AS (SELECT vid, tid, sqrt((p.x - t.x) * (p.x - t.x) + (p.y - t.y) * (p.y - t.y)) AS d FROM p CROSS JOIN t), m AS (SELECT vid, min(d) AS d FROM d GROUP BY vid)
+    SELECT vid, min(tid) AS target_id, round(any_value(d), 6) AS distance FROM d JOIN m USING (vid, d) GROUP BY vid""")
 def nearest_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = views.polygons(spark, sf_dir).select("vec_id", F.col("points")[0]["x"].alias("x"), F.col("points")[0]["y"].alias("y"))
-    found = compare.nearest(p.filter("vec_id % 2 = 1"), p.filter("vec_id % 2 = 0").withColumnRenamed("vec_id", "target_id"), ["x", "y"], "vec_id", "target_id", 0.02)
+    """Of each corner of the odd polygons, the nearest corner of the even ones."""
+    p = views.polygons(spark, sf_dir).select("vec_id", F.posexplode("points").alias("k", "p"))
+    p = p.select("vec_id", (F.col("vec_id") * 32 + F.col("k")).alias("vid"), F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+    found = compare.nearest(p.filter("vec_id % 2 = 1"), p.filter("vec_id % 2 = 0").withColumnRenamed("vid", "target_id"), ["x", "y"], "vid", "target_id")
     return found.withColumn("distance", F.round("distance", 6))
 
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plyforge.functions import geometry, images, names
-from plyforge.operators import compare, layers, meshes, pixels, register, score, segment, toolpath
+from plyforge.operators import boxes, compare, layers, meshes, pixels, register, score, segment, toolpath
 from plyforge.plans import inspection
 from plyforge.sources import files
 
@@ -108,10 +108,54 @@ def test_nearest_far_and_near(spark):
     p, t = rng.normal(size=(40, 2)) * 10, rng.normal(size=(15, 2))
     points = spark.createDataFrame([*((i, float(x), float(y)) for i, (x, y) in enumerate(p)), (98, None, 0.0), (99, 0.0, math.nan)], "pid int, x double, y double")
     targets = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(t)], "tid int, x double, y double")
-    got = {r.pid: (r.tid, r.distance) for r in compare.nearest(points, targets, ["x", "y"], "pid", "tid", 0.5).collect()}
+    got = {r.pid: (r.tid, r.distance) for r in compare.nearest(points, targets, ["x", "y"], "pid", "tid").collect()}
     gap = np.linalg.norm(p[:, None] - t[None], axis=2)
     assert {k: v[0] for k, v in got.items()} == dict(enumerate(gap.argmin(axis=1).tolist()))
-    assert compare.nearest(points, targets.limit(0), ["x", "y"], "pid", "tid", 0.5).count() == 0
+    assert compare.nearest(points, targets.limit(0), ["x", "y"], "pid", "tid").count() == 0
+
+
+def ball(spark, radius=8.0):
+    return meshes.voxel_faces(meshes.sphere_phantom(spark, 10, radius))
+
+
+def cloud_of(spark, points, key="vid"):
+    return spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], f"{key} long, x double, y double, z double")
+
+
+@pytest.mark.parametrize("leaf, block, fan", [(64, 128, 4), (3, 5, 1)])
+def test_nearest_targets_and_surfaces_by_brute_force(spark, monkeypatch, leaf, block, fan):
+    for name, v in (("LEAF", leaf), ("BLOCK", block), ("FAN_BITS", fan)):
+        monkeypatch.setattr(boxes, name, v)
+    rng = np.random.default_rng(7)
+    tris = ball(spark, 4.0)
+    held = tris.toPandas()[files.CORNERS].to_numpy(float)
+    points = np.concatenate([rng.normal(size=(60, 3)) * 5, rng.normal(size=(20, 3)) + 300, [[0, 0, 0], [0.25, 0.25, 0.25]]])
+    df = cloud_of(spark, points).union(spark.createDataFrame([(900, None, 0.0, 0.0), (901, math.inf, 0.0, 0.0)], "vid long, x double, y double, z double"))
+    doubled = tris.union(tris).union(tris.selectExpr("volume", *["double('nan')" for _ in files.CORNERS]))
+    got = {r.vid: r.distance for r in compare.surface_distance(df, doubled).collect()}
+    want = np.stack([compare.triangle_distance(np.repeat(p[None], len(held), 0), held[:, :3], held[:, 3:6], held[:, 6:]).min() for p in points])
+    assert sorted(got) == list(range(len(points))) and np.allclose([got[i] for i in range(len(points))], want, atol=1e-12)
+    targets = np.round(rng.normal(size=(90, 3)))  # many ties and repeats
+    asked = np.concatenate([np.round(rng.normal(size=(50, 3)), 1), rng.normal(size=(10, 3)) * 1e6])
+    found = {r.vid: (r.tid, r.distance) for r in compare.nearest(cloud_of(spark, asked), cloud_of(spark, targets, "tid"), ["x", "y", "z"], "vid", "tid").collect()}
+    gap = np.sqrt(((asked[:, None] - targets[None]) ** 2).sum(axis=2))
+    assert len(found) == 60 and all(np.isclose(found[i][1], gap[i].min(), rtol=1e-12) for i in range(60))
+    assert [found[i][0] for i in range(50)] == [min(np.flatnonzero(gap[i] == gap[i].min())) for i in range(50)]
+    with pytest.raises(ValueError, match="no triangles"):
+        compare.surface_distance(df, tris.limit(0))
+    assert compare.surface_distance(df.limit(0), tris).count() == 0
+
+
+def test_far_points_meet_no_more_leaves_than_near_ones(spark):
+    rng = np.random.default_rng(8)
+    tris = ball(spark).withColumn("id", F.monotonically_increasing_id())
+    leaves = boxes.packed(tris, [[f"{v}{x}" for x in "xyz"] for v in "abc"], 16)
+    met = {}
+    for name, away in (("near", 8.0), ("far", 130.0)):
+        points = cloud_of(spark, rng.normal(size=(3000, 3)) * 0.5 + [away, 0, 0], "id").withColumnsRenamed({"x": "c0", "y": "c1", "z": "c2"})
+        blocks = boxes.packed(points, [["c0", "c1", "c2"]], 32)
+        met[name] = boxes.candidates(blocks, leaves, 3).count() / (blocks.count() * leaves.count())
+    assert 0 < met["near"] < 0.2 and 0 < met["far"] < 0.35  # of pairs of a block and a leaf, 512 pairs of a point and a triangle each
 
 
 def test_triangle_distance():
