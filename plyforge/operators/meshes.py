@@ -58,27 +58,36 @@ def voxel_faces(voxels: DataFrame, volume: str = "volume") -> DataFrame:
     return faces.select(volume, F.explode(both).alias("t")).select(volume, "t.*")
 
 
-def cell_loops(mask: int) -> list[list[tuple[int, int]]]:
+def sides_of_cell() -> list[list[int]]:
+    """The corners of a cell's six sides in cyclic order, seen alike from outside (corner x + 2 y + 4 z)."""
+    out = []
+    for axis in range(3):
+        u, v = 1 << (axis + 1) % 3, 1 << (axis + 2) % 3
+        for far in (0, 1):
+            out.append([far << axis, far << axis | u, far << axis | u | v, far << axis | v][:: 1 if far else -1])
+    return out
+
+
+def cell_loops(mask: int, joined: int = 0) -> list[list[tuple[int, int]]]:
     """Where the surface crosses a cell of eight corners (bit x + 2 y + 4 z of the mask is set inside): loops of crossed
     edges, each a pair of corners.
 
     On each side of the cell, cut off every run of inside corners by a line from the edge that leaves it to the edge that
-    enters it; where two opposite corners are inside, each is cut off alone. The neighbouring cell cuts the shared side
-    alike, so the surface is closed. Lines of all sides chain into loops.
+    enters it; where two opposite corners are inside, each is cut off alone, or, where the side's bit of `joined` is set,
+    each of the two outside corners. The neighbouring cell cuts the shared side alike, so the surface is closed. Lines of
+    all sides chain into loops.
     """
-    onward = {}
-    for axis in range(3):
-        u, v = 1 << (axis + 1) % 3, 1 << (axis + 2) % 3
-        for far in (0, 1):
-            side = [far << axis, far << axis | u, far << axis | u | v, far << axis | v][:: 1 if far else -1]
-            inside = [mask >> c & 1 for c in side]
-            for i in range(4):
-                if inside[i] and not inside[i - 1]:
-                    j = i
-                    while inside[(j + 1) % 4]:
-                        j += 1
-                    edge = lambda p, q: (min(p, q), max(p, q))
-                    onward[edge(side[j % 4], side[(j + 1) % 4])] = edge(side[i - 1], side[i])
+    onward, edge = {}, lambda p, q: (min(p, q), max(p, q))
+    for number, side in enumerate(sides_of_cell()):
+        inside = [mask >> c & 1 for c in side]
+        across = joined >> number & 1 and inside in ([1, 0, 1, 0], [0, 1, 0, 1])
+        for i in range(4):
+            if inside[i] and not inside[i - 1]:
+                j = i
+                while inside[(j + 1) % 4]:
+                    j += 1
+                leaves = edge(side[j % 4], side[(j + 1) % 4])
+                onward[leaves] = edge(side[(i + 1) % 4], side[(i + 2) % 4]) if across else edge(side[i - 1], side[i])
     loops = []
     while onward:
         loop = [next(iter(onward))]
@@ -89,28 +98,87 @@ def cell_loops(mask: int) -> list[list[tuple[int, int]]]:
     return loops
 
 
-def marching_cubes(voxels: DataFrame, volume: str = "volume", step: int = 1) -> DataFrame:
-    """(volume, ax ... cz): the triangles between inside and outside voxels' centres, wound outward.
+EDGES = [(c, c | 1 << a) for a in range(3) for c in range(8) if not c >> a & 1]
 
-    Vertices are the middles of lattice edges whose ends differ, as in isosurface_vertices. Each voxel is sent to the
-    eight cells that it is a corner of; a cell's corners make a mask, whose triangles come from a table of 254 rows made
-    by rule. step: only every step-th voxel along each axis is looked at. Outside the given voxels all is empty.
-    """
-    spark = voxels.sparkSession
-    middle = lambda e: tuple(((e[0] >> i & 1) + (e[1] >> i & 1)) / 2 for i in range(3))
-    rows = []
+
+def cell_table() -> list[tuple[int, int, list[list[int]]]]:
+    """(mask, joined, triangles): for each mask and each choice at its sides of two opposite inside corners, triangles of places in EDGES."""
+    rows, sides = [], sides_of_cell()
     for mask in range(1, 255):
-        found = [(loop[0], loop[i + 1], loop[i]) for loop in cell_loops(mask) for i in range(1, len(loop) - 1)]
-        rows.append((mask, [[x for e in t for x in middle(e)] for t in found]))
-    table = F.broadcast(spark.createDataFrame(rows, "mask int, found array<array<double>>"))
-    some = voxels.filter("inside")
+        open_ = [k for k, side in enumerate(sides) if [mask >> c & 1 for c in side] in ([1, 0, 1, 0], [0, 1, 0, 1])]
+        for choice in range(1 << len(open_)):
+            joined = sum(1 << k for i, k in enumerate(open_) if choice >> i & 1)
+            loops = [[EDGES.index(e) for e in loop] for loop in cell_loops(mask, joined)]
+            rows.append((mask, joined, [[loop[0], loop[i + 1], loop[i]] for loop in loops for i in range(1, len(loop) - 1)]))
+    return rows
+
+
+def marching_cubes(voxels: DataFrame, volume: str = "volume", step: int = 1, value: str | None = None, level: float = 0.5) -> DataFrame:
+    """(volume, slice, ax ... cz): the triangles of the surface between voxels over `level` and others, wound outward.
+
+    value names the column of grey levels; without it, voxels that are `inside` count as 1 and others as 0. Vertices lie
+    on lattice edges whose ends differ, where the value between both ends is the level, and neighbouring cells compute
+    them alike. Each voxel is sent to the eight cells that it is a corner of; a cell's mask, and the saddle values of sides
+    with two opposite corners inside (over the level: these are joined), find its triangles in a table made by rule.
+    slice is the cell's lower z (in steps). step: only every step-th voxel along each axis is looked at. Voxels that are
+    not given, and nulls, are 0, so the level can't be negative. Whether a cell that is open on several sides is open
+    inside too is not asked: its loops are filled one by one.
+    """
+    if level < 0:
+        raise ValueError("the level can't be below 0, the value outside")
+    table = F.broadcast(voxels.sparkSession.createDataFrame(cell_table(), "mask int, joined int, found array<array<int>>"))
+    grey = F.col("inside").cast("double") if value is None else F.col(value).cast("double")
+    some = voxels.select(volume, *"xyz", F.coalesce(grey, F.lit(0.0)).alias("v")).filter("v <> 0")
     if step > 1:
         some = some.filter(" and ".join(f"pmod({a}, {step}) = 0" for a in "xyz")).withColumns({a: (F.col(a) / step).cast("int") for a in "xyz"})
-    corners = F.array(*[F.struct(*[F.lit(c >> i & 1).alias(a) for i, a in enumerate("xyz")], F.lit(1 << c).alias("bit")) for c in range(8)])
-    sent = some.select(volume, *"xyz").distinct().withColumn("c", F.explode(corners))
-    cells = sent.groupBy(volume, *[(F.col(a) - F.col(f"c.{a}")).alias(a) for a in "xyz"]).agg(F.sum("c.bit").cast("int").alias("mask"))
-    each = cells.join(table, "mask").select(volume, *"xyz", F.explode("found").alias("t"))
-    return each.select(volume, *[((F.col(a) + F.col("t")[3 * k + i]) * step).alias(f"{v}{a}") for k, v in enumerate("abc") for i, a in enumerate("xyz")])
+    corners = F.array(*[F.struct(*[F.lit(c >> i & 1).alias(a) for i, a in enumerate("xyz")], F.lit(c).alias("k")) for c in range(8)])
+    sent = some.withColumn("c", F.explode(corners))
+    at = [F.coalesce(F.max(F.when(F.col("c.k") == c, F.col("v"))), F.lit(0.0)).alias(f"v{c}") for c in range(8)]
+    cells = sent.groupBy(volume, *[(F.col(a) - F.col(f"c.{a}")).alias(a) for a in "xyz"]).agg(*at)
+    v, zero = [F.col(f"v{c}") for c in range(8)], F.lit(0)
+    mask = sum((F.when(v[c] > level, 1 << c).otherwise(0) for c in range(8)), zero)
+
+    def across(p: int, q: int, r: int, s: int) -> Column:
+        """Whether a side with p and r, or q and s, inside alone is joined at its saddle."""
+        opposite = ((v[p] > level) == (v[r] > level)) & ((v[q] > level) == (v[s] > level)) & ((v[p] > level) != (v[q] > level))
+        return opposite & (F.try_divide(v[p] * v[r] - v[q] * v[s], v[p] + v[r] - v[q] - v[s]) > level)
+
+    joined = sum((F.when(across(*side), 1 << k).otherwise(0) for k, side in enumerate(sides_of_cell())), zero)
+    met = cells.withColumn("mask", mask).filter("mask > 0 and mask < 255").withColumn("joined", joined).join(table, ["mask", "joined"])
+
+    def crossing(p: int, q: int) -> Column:
+        along = F.coalesce(F.try_divide(level - v[p], v[q] - v[p]), F.lit(0.0))  # equal ends aren't crossed
+        return F.struct(*[F.coalesce((F.col(a) + (p >> i & 1)) + (along if (p ^ q) >> i & 1 else 0.0), F.lit(0.0)).alias(a) for i, a in enumerate("xyz")])
+
+    each = met.select(volume, F.col("z").alias("slice"), F.array(*[crossing(*e) for e in EDGES]).alias("e"), "found").select(volume, "slice", "e", F.explode("found").alias("t"))
+    point = [F.get("e", F.col("t")[k]) for k in range(3)]
+    each = each.filter((point[0] != point[1]) & (point[1] != point[2]) & (point[2] != point[0]))  # a corner at the level itself is the end of several edges
+    return each.select(volume, "slice", *[(p[a] * step).alias(f"{c}{a}") for c, p in zip("abc", point, strict=True) for a in "xyz"])
+
+
+def lifted(tris: DataFrame, heights: DataFrame) -> DataFrame:
+    """Triangles of marching_cubes (step 1) with z between their slices' heights. heights: (slice, height), slices from 0 on without gaps.
+
+    Below the first slice and above the last one, a slice is as thick as they are on average (0 for a single one).
+    """
+    h = heights.select(F.col("slice").cast("int").alias("slice"), F.col("height").cast("double").alias("height"))
+    ends = h.agg(F.min("height").alias("low"), F.max("height").alias("high"), F.max("slice").alias("last"))  # one row
+    ends = ends.withColumn("step", (F.col("high") - F.col("low")) / F.greatest(F.col("last"), F.lit(1)))
+    more = ends.select(F.explode(F.array(F.struct(F.lit(-1).alias("slice"), (F.col("low") - F.col("step")).alias("height")), F.struct((F.col("last") + 1).alias("slice"), (F.col("high") + F.col("step")).alias("height")))).alias("e")).select("e.*")
+    every = h.unionByName(more)
+    pairs = every.join(every.select((F.col("slice") - 1).alias("slice"), F.col("height").alias("above")), "slice")
+    z = lambda c: F.col("height") + (F.col(c) - F.col("slice")) * (F.col("above") - F.col("height"))
+    return tris.join(pairs, "slice").withColumns({f"{c}z": z(f"{c}z") for c in "abc"}).drop("height", "above", "slice")
+
+
+def area_centroid(tris: DataFrame) -> list[float]:
+    """The mean of the triangles' middles by area, or of the middles where there is no area; one row reaches the driver."""
+    a, b, c = ([F.col(f"{v}{x}") for x in "xyz"] for v in "abc")
+    n = _cross([q - p for p, q in zip(a, b, strict=True)], [q - p for p, q in zip(a, c, strict=True)])
+    area = F.sqrt(sum((x * x for x in n), F.lit(0.0)))
+    middle = [(p + q + r) / 3 for p, q, r in zip(a, b, c, strict=True)]
+    r = tris.agg(F.sum(area), *[F.sum(area * m) for m in middle], *[F.avg(m) for m in middle]).first()
+    return [x / r[0] for x in r[1:4]] if r[0] else list(r[4:7])
 
 
 def open_edges(tris: DataFrame, mesh: str = "mesh") -> DataFrame:

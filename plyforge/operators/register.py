@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from . import meshes
+
 
 def kabsch_2d(pairs: DataFrame, *by: str) -> DataFrame:
     """(by, angle, tx, ty, error): the rotation and shift that bring (sx, sy) nearest to (tx, ty), and the mean squared rest.
@@ -166,20 +168,20 @@ def best_alignment(runs: DataFrame) -> DataFrame:
 
 
 def prealign(source: DataFrame, target: DataFrame) -> tuple[float, float, list[float]]:
-    """(scale of X and Y, scale of Z, shift): extents' ratios, 1 where an extent is 0 or both are within 0.01 of 1, then centres.
+    """(scale of X and Y, scale of Z, shift) of triangles (ax ... cz): extents' ratios, 1 where an extent is 0 or both are within 0.01 of 1, then centres.
 
-    The scales are about the source's centre.
+    Centres are the surfaces' centroids by area; the scales are about the source's,
+    which they leave where it is.
     """
 
-    def about(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        r = df.agg(*[f(a) for a in "xyz" for f in (F.avg, F.min, F.max)]).first()
-        v = np.array(r, float).reshape(3, 3)
-        return v[:, 0], v[:, 2] - v[:, 1]
+    def extent(df: DataFrame) -> np.ndarray:
+        r = df.agg(*[f(*[F.col(f"{v}{x}") for v in "abc"]) for x in "xyz" for f in (lambda *c: F.max(F.greatest(*c)), lambda *c: F.min(F.least(*c)))]).first()
+        return np.array(r[::2], float) - np.array(r[1::2], float)
 
-    (sc, se), (tc, te) = about(source), about(target)
+    se, te = extent(source), extent(target)
     ratio = [te[i] / se[i] if se[i] > 0 and te[i] > 0 else None for i in range(3)]
     flat = [r for r in ratio[:2] if r is not None]
     xy, z = float(np.mean(flat)) if flat else 1.0, float(ratio[2]) if ratio[2] is not None else 1.0
     if abs(xy - 1) <= 0.01 and abs(z - 1) <= 0.01:
         xy = z = 1.0
-    return xy, z, (tc - sc).tolist()
+    return xy, z, (np.array(meshes.area_centroid(target)) - np.array(meshes.area_centroid(source))).tolist()

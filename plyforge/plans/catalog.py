@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plyforge.functions import geometry, names
 from plyforge.operators import calibrate, compare, layers, meshes, pixels, register, score, segment, toolpath
+from plyforge.operators.tables import written
 
 from . import views
-from .views import COMMANDS, LAYERS, PIXELS, POINTS, POSITIONS, TOOL_LAYERS, VOXELS, table
+from .views import COMMANDS, GREY, LAYERS, PIXELS, POINTS, POSITIONS, TOOL_LAYERS, VOXELS, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -365,6 +366,20 @@ def marching_cubes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return meshes.mesh_info(tris).select("mesh", "n_vertices", "min_x", "max_z").join(meshes.open_edges(tris), "mesh")
 
 
+@query(f"""WITH {GREY}, e AS (SELECT volume, 0 AS axis, unnest([x, x - 1]) AS x, y, z, unnest([0, 1]) AS far, v FROM grey UNION ALL SELECT volume, 1, x, unnest([y, y - 1]), z, unnest([0, 1]), v FROM grey UNION ALL SELECT volume, 2, x, y, unnest([z, z - 1]), unnest([0, 1]), v FROM grey),
+    p AS (SELECT volume, axis, x, y, z, coalesce(max(v) FILTER (WHERE far = 0), 0) AS a, coalesce(max(v) FILTER (WHERE far = 1), 0) AS b FROM e GROUP BY 1, 2, 3, 4, 5),
+    c AS (SELECT *, (CAST(127 AS DOUBLE) - a) / (b - a) AS t FROM p WHERE (a > 127) <> (b > 127)),
+    n AS (SELECT DISTINCT volume, x + CASE axis WHEN 0 THEN t ELSE 0 END AS x, y + CASE axis WHEN 1 THEN t ELSE 0 END AS y, z + CASE axis WHEN 2 THEN t ELSE 0 END AS z FROM c)
+    SELECT volume AS mesh, count(*) AS n_vertices, round(sum(x), 6) AS sum_x, round(sum(y), 6) AS sum_y, round(sum(z), 6) AS sum_z, round(min(x), 6) AS min_x, round(max(z), 6) AS max_z, CAST(0 AS BIGINT) AS open_edges FROM n GROUP BY 1""")
+def grey_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each embedding as a volume of grey levels: the vertices of its surface at level 127, and whether that is closed."""
+    grey = views.voxels(spark, sf_dir, level=True)
+    tris = written(meshes.marching_cubes(grey, value="v", level=127.0).withColumnRenamed("volume", "mesh"))
+    point = F.explode(F.array(*[F.struct(*[F.col(f"{v}{x}").alias(x) for x in "xyz"]) for v in "abc"])).alias("p")
+    vertices = tris.select("mesh", point).distinct().groupBy("mesh").agg(F.count("*").alias("n_vertices"), *[F.round(F.sum(f"p.{x}"), 6).alias(f"sum_{x}") for x in "xyz"], F.round(F.min("p.x"), 6).alias("min_x"), F.round(F.max("p.z"), 6).alias("max_z"))
+    return vertices.join(meshes.open_edges(tris), "mesh")
+
+
 @query(f"WITH {SIDES} SELECT volume, CAST(z / 2 AS INTEGER) AS height_idx, 2 * count(*) AS n_segments, CAST(count(*) AS DOUBLE) AS length FROM sides WHERE axis <> 2 GROUP BY 1, 2")
 def mesh_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     heights = spark.range(4).select(F.col("id").cast("int").alias("height_idx"), (F.col("id") + 0.25).alias("z"))

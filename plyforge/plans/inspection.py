@@ -117,11 +117,10 @@ def run(spark: SparkSession, settings: BuildSettings, progress: Callable[[float,
         tell(60, "surface")
         if n_images < 2:
             raise ValueError("a surface needs two images")
-        voxels = written(mask_voxels(t["masks"]))
         heights = slices(t["masks"]).select("slice", F.col("z_height").alias("height"))
-        vertices = meshes.interpolated_z(meshes.isosurface_vertices(voxels), heights)
-        t["vertices"] = written(vertices.select(F.xxhash64("x", "y", "z").alias("vid"), *[(F.col(a) * out.scale).alias(a) for a in "xy"], "z"))
-        t["surface"] = meshes.voxel_faces(voxels)
+        surface = meshes.lifted(meshes.marching_cubes(mask_voxels(t["masks"])), heights)
+        t["surface"] = written(surface.withColumns({f"{v}{a}": F.col(f"{v}{a}") * out.scale for v in "abc" for a in "xy"}))
+        t["vertices"] = written(vertices_of(t["surface"]))
         if settings.mesh_file.strip():
             _compare(spark, settings, out, tell)
         tell(90, "anomalies")
@@ -143,11 +142,10 @@ def _compare(spark: SparkSession, settings: BuildSettings, out: Inspection, tell
     t = out.tables
     tell(70, "reference mesh")
     t["reference"] = written(files.read_triangles(spark, settings.mesh_file))
-    corners, _ = files.indexed(t["reference"])
+    corners = vertices_of(t["reference"])
     tell(75, "alignment")
-    xy, z, shift = register.prealign(t["vertices"], corners)
-    center = t["vertices"].agg(F.avg("x"), F.avg("y"), F.avg("z")).first()
-    matrix = geometry.about(tuple(center), [[xy, 0, 0], [0, xy, 0], [0, 0, z]])
+    xy, z, shift = register.prealign(t["surface"], t["reference"])
+    matrix = geometry.about(tuple(meshes.area_centroid(t["surface"])), [[xy, 0, 0], [0, xy, 0], [0, 0, z]])
     for i in range(3):
         matrix[i][3] += shift[i]
     placed = written(moved(t["vertices"], matrix))
@@ -159,6 +157,12 @@ def _compare(spark: SparkSession, settings: BuildSettings, out: Inspection, tell
     t["stats"] = compare.distance_stats(t["distances"], "distance")
 
 
+def vertices_of(tris: DataFrame) -> DataFrame:
+    """(vid, x, y, z): the distinct corners of triangles."""
+    corner = F.explode(F.array(*[F.struct(*[F.col(f"{v}{x}").alias(x) for x in "xyz"]) for v in "abc"])).alias("p")
+    return tris.select(corner).select("p.*").distinct().select(F.xxhash64("x", "y", "z").alias("vid"), "x", "y", "z")
+
+
 def moved(points: DataFrame, matrix: list[list[float]]) -> DataFrame:
     x, y, z = geometry.affine(F.col("x"), F.col("y"), F.col("z"), matrix)
     return points.withColumns({"x": x, "y": y, "z": z})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,8 +36,7 @@ POINTS = """points AS (SELECT vec_id, k, CAST(embedding[2 * k + 1] AS DOUBLE) AS
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An embedding as an image of 8 x 8 grey levels."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), F.posexplode("embedding").alias("i", "e"))
-    level = F.floor((F.least(F.greatest(F.col("e").cast("double"), F.lit(-0.55)), F.lit(0.55)) + 0.55) * 231.0).cast("int")
-    return e.select("image", F.expr("cast(i div 8 as int)").alias("y"), (F.col("i") % 8).alias("x"), level.alias("v"))
+    return e.select("image", F.expr("cast(i div 8 as int)").alias("y"), (F.col("i") % 8).alias("x"), grey_level(F.col("e")).alias("v"))
 
 
 PIXELS = """pixels AS (SELECT vec_id AS image, CAST(i // 8 AS INTEGER) AS y, CAST(i % 8 AS INTEGER) AS x,
@@ -45,12 +44,19 @@ PIXELS = """pixels AS (SELECT vec_id AS image, CAST(i // 8 AS INTEGER) AS y, CAS
     FROM embeddings CROSS JOIN range(64) AS r(i))"""
 
 
-def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An embedding as a volume of 4 x 4 x 4 voxels."""
+def grey_level(e: Column) -> Column:
+    return F.floor((F.least(F.greatest(e.cast("double"), F.lit(-0.55)), F.lit(0.55)) + 0.55) * 231.0).cast("int")
+
+
+def voxels(spark: SparkSession, sf_dir: str, level: bool = False) -> DataFrame:
+    """An embedding as a volume of 4 x 4 x 4 voxels: `inside` where an entry is over 0, or its grey level as v."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("volume"), F.posexplode("embedding").alias("i", "e"))
-    return e.select("volume", F.expr("cast(i div 16 as int)").alias("z"), F.expr("cast(i div 4 % 4 as int)").alias("y"), (F.col("i") % 4).alias("x"), (F.col("e") > 0).alias("inside"))
+    own = grey_level(F.col("e")).alias("v") if level else (F.col("e") > 0).alias("inside")
+    return e.select("volume", F.expr("cast(i div 16 as int)").alias("z"), F.expr("cast(i div 4 % 4 as int)").alias("y"), (F.col("i") % 4).alias("x"), own)
 
 
+GREY = """grey AS (SELECT vec_id AS volume, CAST(i // 16 AS INTEGER) AS z, CAST(i // 4 % 4 AS INTEGER) AS y, CAST(i % 4 AS INTEGER) AS x,
+    CAST(floor((least(greatest(CAST(embedding[i + 1] AS DOUBLE), CAST(-0.55 AS DOUBLE)), CAST(0.55 AS DOUBLE)) + CAST(0.55 AS DOUBLE)) * CAST(231.0 AS DOUBLE)) AS INTEGER) AS v FROM embeddings CROSS JOIN range(64) AS r(i))"""
 VOXELS = """voxels AS (SELECT vec_id AS volume, CAST(i // 16 AS INTEGER) AS z, CAST(i // 4 % 4 AS INTEGER) AS y, CAST(i % 4 AS INTEGER) AS x, embedding[i + 1] > 0 AS inside FROM embeddings CROSS JOIN range(64) AS r(i))"""
 
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus"]

@@ -205,6 +205,40 @@ def test_marching_cubes(spark):
     assert meshes.marching_cubes(v.limit(0)).count() == 0
 
 
+def test_grey_levels_give_smooth_surfaces(spark):
+    v = meshes.sphere_phantom(spark, 20, 15.0).withColumn("v", F.greatest(F.lit(0.0), F.least(F.lit(255.0), 127 + 40 * (15.3 - F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)))))
+    tris = meshes.marching_cubes(v, value="v", level=127.0).withColumnRenamed("volume", "mesh").cache()
+    info = meshes.mesh_info(tris).first()
+    assert info.watertight and meshes.open_edges(tris).first().open_edges == 0 and info.n_vertices - info.n_edges + info.n_faces == 2
+    assert abs(info.area / (4 * math.pi * 15.3**2) - 1) < 0.01 and abs(info.volume / (4 / 3 * math.pi * 15.3**3) - 1) < 0.01
+    assert np.allclose(meshes.area_centroid(tris), 0, atol=1e-4)
+    with pytest.raises(ValueError, match="below 0"):
+        meshes.marching_cubes(v, value="v", level=-1.0)
+
+
+def test_sides_of_two_opposite_corners(spark):
+    """Random grey levels have many such sides; every choice closes, and the saddle decides whether corners are joined."""
+    assert all(sorted(e for loop in meshes.cell_loops(m, j) for e in loop) == sorted(e for e in meshes.EDGES if (m >> e[0] & 1) != (m >> e[1] & 1)) for m, j, _ in meshes.cell_table())
+    rng = np.random.default_rng(4)
+    rows = [(k, z, y, x, float(rng.integers(0, 256))) for k in range(3) for z in range(6) for y in range(6) for x in range(6)] + [(0, 9, 9, 9, None)]
+    df = spark.createDataFrame(rows, "volume int, z int, y int, x int, v double")
+    tris = meshes.marching_cubes(df.withColumn("v", F.when(F.col("x") % 3 == 0, 127.0).otherwise(F.col("v"))), value="v", level=127.0)  # many at the level itself
+    assert {r.open_edges for r in meshes.open_edges(tris, "volume").collect()} == {0} and not tris.filter("ax = bx and ay = by and az = bz").count()
+    tris = meshes.marching_cubes(df, value="v", level=127.3)
+    assert {r.open_edges for r in meshes.open_edges(tris, "volume").collect()} == {0}
+    for corner, parts in ((40.0, 2), (120.0, 1)):  # two bright corners of a square: apart, or joined over a bright saddle
+        flat = spark.createDataFrame([(0, 0, 0, 0, 200.0), (0, 0, 1, 1, 200.0), (0, 0, 0, 1, corner), (0, 0, 1, 0, corner)], "volume int, z int, y int, x int, v double")
+        info = meshes.mesh_info(meshes.marching_cubes(flat, value="v", level=127.0).withColumnRenamed("volume", "mesh")).first()
+        assert info.watertight and info.n_vertices - info.n_edges + info.n_faces == 2 * parts
+
+
+def test_heights_of_surfaces(spark):
+    v = spark.createDataFrame([(0, z, y, x, True) for z in range(3) for y in range(2) for x in range(2)], "volume int, z int, y int, x int, inside boolean")
+    h = spark.createDataFrame([(0, 1.0), (1, 2.0), (2, 5.0)], "slice int, height double")
+    tris = meshes.lifted(meshes.marching_cubes(v), h)
+    assert sorted({r[0] for c in "abc" for r in tris.select(f"{c}z").collect()}) == [0.0, 1.0, 2.0, 5.0, 6.0]
+
+
 def test_interpolated_heights(spark):
     v = spark.createDataFrame([(0.5,), (-0.5,), (1.0,), (2.5,)], "z double")
     h = spark.createDataFrame([(0, 0.0), (1, 1.0), (2, 4.0)], "slice int, height double")
@@ -224,7 +258,10 @@ def test_registration(spark):
     runs = register.align_from_starts(cloud(a), cloud(b))
     best = register.best_alignment(runs).first()
     assert runs.count() == 24 and best.error < 1e-6 and np.allclose(register.moved(a, np.array(best.matrix)), b)
-    assert register.prealign(cloud(a), cloud(a * [2, 2, 1]))[:2] == (2.0, 1.0)
+    box = meshes.voxel_faces(spark.createDataFrame([(0, z, y, x, True) for z in range(4) for y in range(3) for x in range(2)], "volume int, z int, y int, x int, inside boolean"))
+    wide = box.select("volume", *[(F.col(f"{v}{x}") * (1 if x == "z" else 2) + 5).alias(f"{v}{x}") for v in "abc" for x in "xyz"])
+    xy, z, shift = register.prealign(box, wide)
+    assert (xy, z) == (2.0, 1.0) and np.allclose(shift, [5 + 0.5, 5 + 1, 5])
 
 
 def test_every_pair_of_clouds_is_aligned(spark, tmp_path):
