@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import IntegerType
 
-from .common import runs, text_column
+from .common import frugal, runs, text_column
 
 
 @dataclass
@@ -151,4 +151,4 @@ def score(docs: DataFrame, model: CompressionModel, text: str = "text") -> DataF
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
     schema = docs.schema
-    return docs.mapInArrow(run, type(schema)(list(schema.fields)).add("score", "double").add("predicted", IntegerType()))
+    return docs.mapInArrow(frugal(run), type(schema)(list(schema.fields)).add("score", "double").add("predicted", IntegerType()))

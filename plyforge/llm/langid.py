@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import text_column, utf8
+from .common import frugal, text_column, utf8
 
 #: Closely related languages by ISO 639-1 code. A language outside has a family of its own.
 FAMILIES = {
@@ -229,4 +229,4 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
 
     schema = docs.schema
-    return docs.mapInArrow(run, type(schema)(list(schema.fields)).add("lang_pred", "string").add("score", "double"))
+    return docs.mapInArrow(frugal(run), type(schema)(list(schema.fields)).add("lang_pred", "string").add("score", "double"))

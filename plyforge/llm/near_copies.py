@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import batches_of, gather, join_by_key, map_file, materialize, runs, scratch, small, split_words, text_column, write_file
+from .common import batches_of, frugal, gather, join_by_key, map_file, materialize, runs, scratch, small, split_words, text_column, write_file
 from .components import components
 from .simhash import BIT, pivot_table
 from .token_store import mix
@@ -94,7 +94,7 @@ def with_set(docs: DataFrame, path: str, key: str, text: str, width: int) -> Dat
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *map(pa.array, cols)], ["key", "set", "file", "start", "n", "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, set long, file long, start long, n long, fp long")
+    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(frugal(run), f"key {kind}, set long, file long, start long, n long, fp long")
 
 
 def shingles(items: DataFrame, path: str, similarity: float | None = None, common: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
@@ -117,7 +117,7 @@ def shingles(items: DataFrame, path: str, similarity: float | None = None, commo
                     yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array([x for _, x in out]), [len(x) for x, _ in out]))], ["h", "set"])
                     out, size = [], 0
 
-    return items.select("set", "file", "start", "n").orderBy("file").mapInArrow(run, "h long, set long")
+    return items.select("set", "file", "start", "n").orderBy("file").mapInArrow(frugal(run), "h long, set long")
 
 
 def prefix(n: int, similarity: float) -> int:
@@ -258,7 +258,7 @@ def links(items: DataFrame, path: str, similarity: float = 0.8, radius: int = 24
     keyed = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     keyed = keyed.select("h", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "set").join(pivot_table(items, pivots).select("set", "file", "start", "n", "fp", "coords"), "set")
     keyed = keyed.select("h", "low", "high", "side", "set", "file", "start", "n", "fp", "coords").repartition("h", "low", "high").sortWithinPartitions("h", "low", "high", "file")
-    return keyed.mapInArrow(lambda x: sorted_links(x, path, similarity, radius), "a long, b long").distinct()
+    return keyed.mapInArrow(frugal(lambda x: sorted_links(x, path, similarity, radius)), "a long, b long").distinct()
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 24) -> DataFrame:

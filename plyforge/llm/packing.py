@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batches_of, materialize, runs, text_column
+from .common import batches_of, frugal, materialize, runs, text_column
 from .tokens import encoder, with_end
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -81,7 +81,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(cols)])
 
     kept = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(frugal(run), schema)
 
 
 def pack(items: DataFrame, n_items: int, capacity: int = 1024, group_items: int = 32_768, slack: int = 8) -> DataFrame:

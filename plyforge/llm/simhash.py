@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batches_of, join_by_key, materialize, runs, small, split_words, text_column, utf8
+from .common import batches_of, frugal, join_by_key, materialize, runs, small, split_words, text_column, utf8
 from .components import components
 
 BIT = (np.uint64(1) << np.arange(64, dtype=np.uint64))[None, :]
@@ -70,7 +70,7 @@ def with_fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text", w
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["key", "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, fp long")
+    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(frugal(run), f"key {kind}, fp long")
 
 
 def pivot_table(fps: DataFrame, pivots: int) -> DataFrame:
@@ -192,7 +192,7 @@ def links(fps: DataFrame, radius: int = 2, pivots: int = 16, max_group: int = 10
         masks = sorted({f & (1 << 64) - 1 for _, f in finer})
     groups = pivot_table(reduce(DataFrame.unionByName, done).select("fp", "mask", "bits"), pivots)
     groups = groups.repartition("mask", "bits") if parts is None else groups.repartition(parts, "mask", "bits")
-    return groups.sortWithinPartitions("mask", "bits", "fp").mapInArrow(lambda x: sorted_links(x, radius), "a long, b long").distinct()
+    return groups.sortWithinPartitions("mask", "bits", "fp").mapInArrow(frugal(lambda x: sorted_links(x, radius)), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, radius: int = 2, pivots: int = 16) -> DataFrame:
