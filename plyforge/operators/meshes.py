@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from .tables import written
 
 
 def sphere_phantom(spark: SparkSession, half: int = 20, radius: float = 15.0) -> DataFrame:
@@ -243,18 +245,108 @@ def plane_sections(tris: DataFrame, heights: DataFrame, mesh: str = "mesh", cell
     ends = F.array_compact(F.array(crossing("a", "b"), crossing("b", "c"), crossing("c", "a")))
     rows = cut.withColumn("e", ends).filter(F.size("e") == 2)
     n = _cross([F.col(f"b{x}") - F.col(f"a{x}") for x in "xyz"], [F.col(f"c{x}") - F.col(f"a{x}") for x in "xyz"])
-    run = {x: F.col("e")[1][x] - F.col("e")[0][x] for x in "xy"}
+    end = [F.get("e", F.lit(i)) for i in (0, 1)]  # get(): filters of later steps may be looked at first
+    run = {x: end[1][x] - end[0][x] for x in "xy"}
     rows = rows.withColumn("e", F.when(run["y"] * n[0] - run["x"] * n[1] < 0, F.reverse("e")).otherwise(F.col("e")))
-    return rows.select(mesh, "height_idx", *[F.col("e")[i][x].alias(f"{x}{i}") for i in (0, 1) for x in "xy"])
+    return rows.select(mesh, "height_idx", *[end[i][x].alias(f"{x}{i}") for i in (0, 1) for x in "xy"])
 
 
-def section_rings(cuts: DataFrame, mesh: str = "mesh", digits: int = 6) -> DataFrame:
+def section_rings(cuts: DataFrame, mesh: str = "mesh", digits: int = 6, most_local: int = 100_000) -> DataFrame:
     """(mesh, height_idx, ring, n_points, area, perimeter, points): sections' segments chained into rings.
 
-    One task holds one section of one mesh. Chains follow the segments' direction
-    where they can. A ring's area is negative where it runs clockwise, that is,
-    around a hole of a mesh wound outward. Open chains have area 0.
+    A section of most_local segments or fewer is chained in one task, a larger one by Spark (linked_rings).
+    Chains begin with their least segment and follow the segments' direction where they can. A ring's area is
+    negative where it runs clockwise, that is, around a hole of a mesh wound outward. Open chains have area 0.
+    """
+    cuts = written(cuts)
+    sizes = cuts.groupBy(mesh, "height_idx").agg(F.count("*").alias("n")).filter(F.col("n") > most_local)
+    large = written(sizes.select(mesh, "height_idx"))
+    if large.isEmpty():
+        return _chained(cuts, mesh, digits)
+    small = cuts.join(large, [mesh, "height_idx"], "left_anti")
+    return _chained(small, mesh, digits).unionByName(linked_rings(cuts.join(large, [mesh, "height_idx"], "left_semi"), mesh, digits))
+
+
+def doubled(links: DataFrame, carried: dict[str, Column], watched: str, most_rounds: int = 64) -> DataFrame:
+    """links (dart, ptr, ...) after pointer doubling: each round a dart takes over what its ptr points at, until no row reaches an end or changes in `watched`.
+
+    carried: the columns carried along, and what becomes of each from its own value and `_name`, that of the ptr's row.
+    """
+    state = written(links)
+    for _ in range(most_rounds):
+        ahead = state.select(F.col("dart").alias("ptr"), F.col("ptr").alias("_ptr"), *[F.col(c).alias(f"_{c}") for c in carried])
+        both = state.join(ahead, "ptr", "left")
+        open_ = F.col("ptr").isNotNull()
+        changed = open_ & (F.col("_ptr").isNull() | (carried[watched] != F.col(watched)))
+        new = both.select("dart", F.col("_ptr").alias("ptr"), *[F.when(open_, how).otherwise(F.col(c)).alias(c) for c, how in carried.items()], changed.alias("_changed"))
+        new = written(new)
+        state = new.drop("_changed")
+        if new.filter("_changed").isEmpty():
+            return state
+    raise RuntimeError(f"chains did not settle in {most_rounds} rounds")
+
+
+def linked_rings(cuts: DataFrame, mesh: str = "mesh", digits: int = 6) -> DataFrame:
+    """section_rings() of sections of any size, by list ranking.
+
+    Segment ends that meet in a point are paired in the order of their angles, so that chains don't cross there. A
+    segment is two darts, one each way, and a dart's next one is fixed by its head's pair. Pointer doubling finds each
+    cycle's least dart (or an open chain's last one), the cut there gives every dart's place, in as many rounds as the
+    longest chain's length has bits. Of a chain's two ways the one with its least segment's direction stays. No task
+    holds a section until a ring's points become its row.
+    """
+    near = {c: F.round(c, digits).alias(c) for c in ("x0", "y0", "x1", "y1")}
+    ends = cuts.select(mesh, "height_idx", *near.values()).filter("x0 <> x1 or y0 <> y1").orderBy(mesh, "height_idx", "x0", "y0", "x1", "y1")
+    rows = written(ends.withColumn("sid", F.monotonically_increasing_id()))
+    half = F.array(*[F.struct(F.lit(e).alias("end"), F.col(f"x{e}").alias("x"), F.col(f"y{e}").alias("y"), F.atan2(F.col(f"y{1 - e}") - F.col(f"y{e}"), F.col(f"x{1 - e}") - F.col(f"x{e}")).alias("turn")) for e in (0, 1)])
+    halves = rows.select(mesh, "height_idx", "sid", F.explode(half).alias("h")).select(mesh, "height_idx", "sid", "h.*")
+    point = [mesh, "height_idx", "x", "y"]
+    place = F.floor((F.row_number().over(Window.partitionBy(*point).orderBy("turn", "sid", "end")) - 1) / 2).alias("pair")
+    pairs = halves.select(*point, place, (F.col("sid") * 2 + F.col("end")).alias("leaves"), (F.col("sid") * 2 + 1 - F.col("end")).alias("arrives")).groupBy(*point, "pair").agg(F.collect_list(F.struct("leaves", "arrives")).alias("d"))
+    # who arrives at one end goes on from the other; an end without another one is open
+    links = written(pairs.select(F.explode(F.transform("d", lambda e, i: F.struct(e["arrives"].alias("dart"), F.get("d", 1 - i)["leaves"].alias("ptr")))).alias("m")).select("m.*"))
+    chains = doubled(links.select("dart", "ptr", F.col("dart").alias("least"), F.col("dart").alias("last")), {"least": F.least("least", "_least"), "last": F.col("_last")}, "least")
+    closed = chains.select("dart", F.col("ptr").isNotNull().alias("closed"), F.when(F.col("ptr").isNotNull(), F.col("least")).otherwise(F.col("last")).alias("chain"))
+    cut = written(links.join(closed, "dart").withColumn("ptr", F.when(F.col("closed") & (F.col("ptr") == F.col("chain")), None).otherwise(F.col("ptr"))))
+    ranked = doubled(cut.select("dart", "ptr", F.when(F.col("ptr").isNull(), 0).otherwise(1).cast("long").alias("after")), {"after": F.col("after") + F.col("_after")}, "after")
+    placed = ranked.join(cut.select("dart", "closed", "chain"), "dart")
+    # a closed chain's least dart tells its way; an open one's ways are told by their least darts too
+    ways = placed.groupBy("chain").agg(F.min("dart").alias("least")).filter("least % 2 = 0").select("chain")
+    kept = placed.join(ways, "chain").withColumns({"sid": F.expr("dart div 2"), "back": F.col("dart") % 2 == 1})
+    each = kept.join(rows, "sid")
+    turn = lambda a, b: F.when(F.col("back"), F.col(b)).otherwise(F.col(a))
+    each = each.select(mesh, "height_idx", "chain", "closed", "after", "sid", turn("x0", "x1").alias("ax"), turn("y0", "y1").alias("ay"), turn("x1", "x0").alias("bx"), turn("y1", "y0").alias("by"))
+    length = F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("by") - F.col("ay")) ** 2)
+    seq = F.array_sort(F.collect_list(F.struct((-F.col("after")).alias("k"), "ax", "ay", "bx", "by"))).alias("seq")
+    rings = each.groupBy(mesh, "height_idx", "chain", "closed").agg(F.min("sid").alias("first"), F.sum(F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")).alias("twice"), F.sum(length).alias("perimeter"), seq)
+    points = F.transform("seq", lambda p: F.struct(p["ax"].alias("x"), p["ay"].alias("y")))
+    tail = F.transform(F.slice("seq", -1, 1), lambda p: F.struct(p["bx"].alias("x"), p["by"].alias("y")))
+    number = (F.row_number().over(Window.partitionBy(mesh, "height_idx").orderBy("first")) - 1).alias("ring")
+    out = rings.select(mesh, "height_idx", number, F.when(F.col("closed"), F.col("twice") / 2).otherwise(0.0).alias("area"), "perimeter", F.when(F.col("closed"), points).otherwise(F.concat(points, tail)).alias("points"))
+    return out.select(mesh, "height_idx", "ring", F.size("points").alias("n_points"), "area", "perimeter", "points")
+
+
+def nested(rings: DataFrame, mesh: str = "mesh", cells: int = 64) -> DataFrame:
+    """rings with areas signed by even-odd nesting, for meshes whose winding tells nothing: a ring in an odd number of others is a hole.
+
+    A ray along x from a ring's first point meets the other rings' segments of its y; they are joined by rows of cells.
     """
+    section = [mesh, "height_idx"]
+    closed = F.transform(F.sequence(F.lit(0), F.size("points") - 1), lambda i: F.struct(F.get("points", i).alias("a"), F.get("points", F.pmod(i + 1, F.size("points"))).alias("b")))
+    each = rings.filter("area <> 0").select(*section, F.col("ring").alias("other"), F.explode(closed).alias("s")).select(*section, "other", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by"))
+    asked = rings.filter("area <> 0").select(*section, "ring", F.get("points", F.lit(0))["x"].alias("px"), F.get("points", F.lit(0))["y"].alias("py"))
+    about = each.groupBy(*section).agg(F.min("ay").alias("low"), ((F.max("ay") - F.min("ay")) / cells).alias("step"))
+    cell = lambda y: F.when(F.col("step") > 0, F.floor((y - F.col("low")) / F.col("step"))).otherwise(0).cast("int")
+    held = each.join(about, section).withColumn("cell", F.explode(F.sequence(cell(F.least("ay", "by")), cell(F.greatest("ay", "by"))))).drop("low", "step")
+    met = asked.join(about, section).withColumn("cell", cell(F.col("py"))).drop("low", "step").join(held, [*section, "cell"])
+    above = (F.col("ay") > F.col("py")) != (F.col("by") > F.col("py"))
+    crosses = F.col("ax") + F.try_divide(F.col("py") - F.col("ay"), F.col("by") - F.col("ay")) * (F.col("bx") - F.col("ax"))
+    depth = met.filter((F.col("other") != F.col("ring")) & above & (crosses > F.col("px"))).groupBy(*section, "ring").agg((F.count("*") % 2).alias("_odd"))
+    return rings.join(depth, [*section, "ring"], "left").withColumn("area", F.when(F.col("_odd") == 1, -F.abs("area")).otherwise(F.abs("area"))).drop("_odd").select(rings.columns)
+
+
+def _chained(cuts: DataFrame, mesh: str, digits: int) -> DataFrame:
+    """Rings of sections that a task holds."""
     kind = cuts.schema[mesh].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -187,6 +187,41 @@ def test_areas_without_holes(spark):
     assert sorted(r.area for r in rings.filter("volume = 0").collect()) == [-4.0, 16.0]
 
 
+def test_large_sections_are_chained_by_spark(spark):
+    """The same rings from list ranking: random volumes with holes and touching corners, chains left open, repeated and empty segments."""
+    rng = np.random.default_rng(12)
+    rows = [(k, 0, y, x, bool(rng.random() < 0.6)) for k in range(4) for y in range(7) for x in range(7)]
+    v = spark.createDataFrame(rows, "volume int, z int, y int, x int, inside boolean")
+    cuts = meshes.plane_sections(meshes.voxel_faces(v), spark.createDataFrame([(0, 0.25)], "height_idx int, z double"), "volume")
+    one, two = (meshes.section_contour(r, "volume").orderBy("volume").toPandas() for r in (meshes.section_rings(cuts, "volume"), meshes.section_rings(cuts, "volume", most_local=0)))
+    assert np.allclose(one["area"], two["area"]) and np.allclose(one["perimeter"], two["perimeter"]) and len(two) == 4
+    inside = v.filter("inside").groupBy("volume").count().orderBy("volume").toPandas()
+    rings = meshes.linked_rings(cuts, "volume").toPandas()
+    assert np.allclose(rings.groupby("volume")["area"].sum(), inside["count"])
+    for r in rings.itertuples():  # every ring is closed, of its stated length, and its area is that of its points
+        p = np.array([(q["x"], q["y"]) for q in r.points])
+        assert abs((p[:, 0] * np.roll(p[:, 1], -1) - np.roll(p[:, 0], -1) * p[:, 1]).sum() / 2 - r.area) < 1e-9 and r.n_points == len(p)
+        assert abs(np.linalg.norm(np.roll(p, -1, axis=0) - p, axis=1).sum() - r.perimeter) < 1e-9
+    turned_ = cuts.withColumn("f", F.pmod(F.xxhash64("x0", "y0"), F.lit(2)) == 0).select("volume", "height_idx", *[F.when(F.col("f"), F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("x0", "x1"), ("y0", "y1"), ("x1", "x0"), ("y1", "y0"))])
+    mixed = meshes.nested(meshes.linked_rings(turned_, "volume"), "volume").groupBy("volume").agg(F.sum("area").alias("a")).orderBy("volume").toPandas()
+    assert np.allclose(mixed["a"], inside["count"])  # windings of no meaning: even-odd nesting
+    open_ = spark.createDataFrame([(0, 0, 0.0, 0.0, 1.0, 0.0), (0, 0, 1.0, 0.0, 1.0, 1.0), (0, 0, 5.0, 5.0, 5.0, 5.0), (1, 0, 2.0, 2.0, 3.0, 2.0)], "volume int, height_idx int, x0 double, y0 double, x1 double, y1 double")
+    for most in (0, 100):
+        got = {r.volume: r for r in meshes.section_rings(open_, "volume", most_local=most).collect()}
+        assert [(q.x, q.y) for q in got[0].points] == [(0, 0), (1, 0), (1, 1)] and got[0].area == 0 and got[1].n_points == 2 and got[0].perimeter == 2
+
+
+def test_a_ring_longer_than_a_task_would_hold(spark):
+    n = 3000
+    turn = 2 * math.pi / n
+    at = lambda f, i: F.round(100 * f(i * turn), 6)
+    cuts = spark.range(n).select(F.lit(0).alias("mesh"), F.lit(0).alias("height_idx"), at(F.cos, F.col("id")).alias("x0"), at(F.sin, F.col("id")).alias("y0"), at(F.cos, F.pmod(F.col("id") + 1, F.lit(n))).alias("x1"), at(F.sin, F.pmod(F.col("id") + 1, F.lit(n))).alias("y1"))
+    (ring,) = meshes.section_rings(cuts, most_local=1000).collect()
+    assert ring.n_points == n and abs(ring.area / (math.pi * 100**2) - 1) < 1e-5
+    p = np.array([(q.x, q.y) for q in ring.points])
+    assert np.allclose(p[0], p[p[:, 0].argmin()]) and np.linalg.norm(np.diff(p, axis=0), axis=1).max() < 0.3
+
+
 def test_marching_cubes(spark):
     """Every mask gives closed loops over its crossed edges; a sphere phantom gives one closed surface of about its volume."""
     for mask in range(1, 255):
