@@ -9,12 +9,71 @@ from . import boxes
 from .tables import written
 
 
-def distance_stats(rows: DataFrame, value: str, *by: str) -> DataFrame:
-    """Mean, maximum, population deviation, median, 95th and 99th percentile (interpolated), rounded to 6; zeros without rows."""
-    q = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    out = rows.groupBy(*by).agg(F.avg(value).alias("mean"), F.max(value).alias("max"), F.stddev_pop(value).alias("std"), q.alias("_q"))
-    cols = {"mean": F.col("mean"), "max": F.col("max"), "std": F.col("std"), "median": F.get("_q", F.lit(0)), "p95": F.get("_q", F.lit(1)), "p99": F.get("_q", F.lit(2))}
-    return out.select(*by, *[F.round(F.coalesce(c, F.lit(0.0)), 6).alias(n) for n, c in cols.items()])
+def selected(rows: DataFrame, value: str, ranks: list[int], total: int, most: int = 100_000) -> list[float]:
+    """The values at ranks (from 0) among `total` rows without nulls, by rounds of counted ranges.
+
+    A sketch proposes a narrow range around each rank, a pass counts the rows below and up to it, and a range that holds
+    the rank stands. When a range has `most` rows or fewer, one task sorts these; one of equal values is the answer.
+    Proposals that don't narrow are halved by value, so it ends whatever the sketch says.
+    """
+    v = F.col(value).cast("double")
+    low, high = rows.agg(F.min(v), F.max(v)).first()
+    state = {r: [low, high, 0, total] for r in ranks}  # the range (ends included), rows below it, rows in it
+
+    def counted(ranges: dict[int, tuple[float, float]]) -> dict[int, tuple[int, int]]:
+        got = rows.agg(*[F.count(F.when(test, 1)) for lo, hi in ranges.values() for test in (v < lo, v <= hi)]).first()
+        return {r: (got[2 * i], got[2 * i + 1]) for i, r in enumerate(ranges)}
+
+    while wide := [r for r, (lo, hi, _, n) in state.items() if n > most and lo < hi]:
+        share = {r: (r - state[r][2]) / state[r][3] for r in wide}
+        around = [F.percentile_approx(F.when((v >= state[r][0]) & (v <= state[r][1]), v), F.array(F.lit(max(0.0, share[r] - 0.0005)), F.lit(min(1.0, share[r] + 0.0005))), F.lit(10_000)) for r in wide]
+        asked = dict(zip(wide, (tuple(x) for x in rows.agg(*around).first()), strict=True))
+        for _ in range(2):
+            for r, (below, upto) in counted(asked).items():
+                lo, hi = asked[r]
+                if below <= r < upto and upto - below < state[r][3]:
+                    state[r] = [lo, hi, below, upto - below]
+                    asked = {k: x for k, x in asked.items() if k != r}
+            asked = {r: (state[r][0], middle) if side else (middle, state[r][1]) for r in asked for middle, side in [(state[r][0] / 2 + state[r][1] / 2, True)]}
+            if not asked:
+                break
+        for r in asked:  # the lower half doesn't hold it or is all of it: the range above it
+            lo, hi, _, _ = state[r]
+            above = rows.filter(v > lo / 2 + hi / 2).agg(F.min(v)).first()[0]
+            below, upto = counted({r: (above, hi)})[r]
+            if not (below <= r < upto and above > lo):
+                raise RuntimeError(f"no range around rank {r}")
+            state[r] = [above, hi, below, upto - below]
+    held = {r: x for r, x in state.items() if x[0] < x[1]}
+    own = {}
+    if held:
+        lists = rows.agg(*[F.array_sort(F.collect_list(F.when((v >= lo) & (v <= hi), v)))[r - below].alias(f"r{r}") for r, (lo, hi, below, _) in held.items()]).first()
+        own = dict(zip(held, lists, strict=True))
+    return [own.get(r, state[r][0]) for r in ranks]
+
+
+def distance_stats(rows: DataFrame, value: str, *by: str, most: int = 100_000) -> DataFrame:
+    """Mean, maximum, population deviation, median, 95th and 99th percentile (interpolated), rounded to 6; zeros without rows.
+
+    With `by`, a group's distinct values meet in one task. Without, no task sorts more than `most` values (selected()).
+    """
+    names = {"median": 0.5, "p95": 0.95, "p99": 0.99}
+    basic = {"mean": F.avg(value), "max": F.max(value), "std": F.stddev_pop(value)}
+    if by:
+        q = F.percentile(value, F.array(*[F.lit(x) for x in names.values()]))
+        out = rows.groupBy(*by).agg(*[c.alias(n) for n, c in basic.items()], q.alias("_q"))
+        cols = {n: F.col(n) for n in basic} | {n: F.get("_q", F.lit(i)) for i, n in enumerate(names)}
+        return out.select(*by, *[F.round(F.coalesce(c, F.lit(0.0)), 6).alias(n) for n, c in cols.items()])
+    told = rows.filter(F.col(value).isNotNull())
+    row = told.agg(F.count("*").alias("n"), *[c.alias(n) for n, c in basic.items()]).first()
+    found = dict.fromkeys(names, 0.0)
+    if row.n:
+        places = {n: x * (row.n - 1) for n, x in names.items()}
+        ranks = sorted({r for p in places.values() for r in (int(p), min(int(p) + 1, row.n - 1))})
+        at = dict(zip(ranks, selected(told, value, ranks, row.n, most), strict=True))
+        found = {n: at[int(p)] + (at[min(int(p) + 1, row.n - 1)] - at[int(p)]) * (p - int(p)) for n, p in places.items()}
+    values = {n: float(row[n] or 0.0) for n in basic} | found
+    return rows.sparkSession.createDataFrame([tuple(values.values())], ", ".join(f"{n} double" for n in values)).select(*[F.round(n, 6).alias(n) for n in values])
 
 
 def within_tolerance(rows: DataFrame, value: str, tolerance: float = 0.2, *by: str) -> DataFrame:

@@ -133,6 +133,17 @@ def anomaly_summary(found: DataFrame, *by: str) -> DataFrame:
     return counted.select(*keys, "n")
 
 
+def paired(left: DataFrame, right: DataFrame, left_order: str, right_order: str, build: str = "build_id") -> DataFrame:
+    """left's and right's columns side by side, a build's rows by their places in either order (masks and heights, say).
+
+    Builds that have not as many rows on both sides are an error when the result is computed; no further pass is made for it.
+    """
+    place = lambda df, order: df.withColumn("_place", F.row_number().over(Window.partitionBy(build).orderBy(order)))
+    both = place(left, left_order).withColumn("_l", F.lit(1)).join(place(right, right_order).withColumn("_r", F.lit(1)), [build, "_place"], "full")
+    unequal = F.when(F.col("_l").isNull() | F.col("_r").isNull(), F.raise_error(F.concat(F.lit("unequal numbers of rows to pair in build "), F.col(build).cast("string"))).cast("int")).otherwise(1)
+    return both.withColumn("_l", unequal).filter("_l = 1").drop("_place", "_l", "_r")
+
+
 def height_errors(planned: DataFrame, measured: DataFrame, build: str = "build_id", order: str = "layer_idx") -> DataFrame:
     """(build, order, error): measured minus planned z of the layers that both have."""
     p = planned.select(build, order, F.col("z").alias("_p"))

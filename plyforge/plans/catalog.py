@@ -165,6 +165,13 @@ def distance_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.distance_stats(table(spark, sf_dir, "events").withColumn("d", F.abs("value")), "d", "event_type")
 
 
+@query("SELECT round(avg(d), 6) AS mean, round(max(d), 6) AS max, round(stddev_pop(d), 6) AS std, round(median(d), 6) AS median, round(quantile_cont(d, 0.95), 6) AS p95, round(quantile_cont(d, 0.99), 6) AS p99 FROM (SELECT abs(l_extendedprice - 20 * l_quantity) AS d FROM lineitem)")
+def distance_stats_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of one list of distances, percentiles by selection."""
+    rows = table(spark, sf_dir, "lineitem").select(F.abs(F.col("l_extendedprice") - 20 * F.col("l_quantity")).alias("d"))
+    return compare.distance_stats(rows, "d", most=2000)
+
+
 @query("SELECT l_returnflag, round(avg(CASE WHEN l_discount <= CAST(0.05 AS DOUBLE) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) * 100, 2) AS within_tolerance_pct FROM lineitem GROUP BY l_returnflag")
 def tolerance_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.within_tolerance(table(spark, sf_dir, "lineitem"), "l_discount", 0.05, "l_returnflag")
@@ -367,6 +374,16 @@ def mesh_section_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return meshes.section_contour(meshes.section_rings(cuts, "volume"), "volume").select("volume", "height_idx", "area")
 
 
+@query(f"""WITH {SIDES}, p AS (SELECT volume, CAST(z / 2 AS INTEGER) AS height_idx, CAST(count(*) AS DOUBLE) AS perimeter, 2 * count(*) AS n_points FROM sides WHERE axis <> 2 GROUP BY 1, 2), a AS (SELECT volume, z AS height_idx, CAST(count(*) AS DOUBLE) AS area FROM voxels WHERE inside GROUP BY 1, 2)
+    SELECT volume, height_idx, area, perimeter, n_points FROM p JOIN a USING (volume, height_idx)""")
+def mesh_linked_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections' areas, lengths and points from rings that list ranking chains, signed by even-odd nesting."""
+    heights = spark.range(4).select(F.col("id").cast("int").alias("height_idx"), (F.col("id") + 0.25).alias("z"))
+    cuts = meshes.plane_sections(meshes.voxel_faces(views.voxels(spark, sf_dir)), heights, "volume")
+    rings = meshes.nested(written(meshes.linked_rings(cuts, "volume")), "volume")
+    return rings.groupBy("volume", "height_idx").agg(F.round(F.sum("area"), 6).alias("area"), F.round(F.sum("perimeter"), 6).alias("perimeter"), F.sum("n_points").alias("n_points"))
+
+
 @query(f"""WITH {VOXELS}, i AS (SELECT * FROM voxels WHERE inside), e AS (SELECT volume, 0 AS axis, unnest([x, x - 1]) AS x, y, z FROM i UNION ALL SELECT volume, 1, x, unnest([y, y - 1]), z FROM i UNION ALL SELECT volume, 2, x, y, unnest([z, z - 1]) FROM i),
     v AS (SELECT volume, axis, x, y, z FROM e GROUP BY ALL HAVING count(*) = 1)
     SELECT volume AS mesh, count(*) AS n_vertices, min(x + CASE axis WHEN 0 THEN CAST(0.5 AS DOUBLE) ELSE 0 END) AS min_x, max(z + CASE axis WHEN 2 THEN CAST(0.5 AS DOUBLE) ELSE 0 END) AS max_z, CAST(0 AS BIGINT) AS open_edges FROM v GROUP BY 1""")

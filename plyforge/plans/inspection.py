@@ -127,7 +127,7 @@ def run(spark: SparkSession, settings: BuildSettings, progress: Callable[[float,
         t["anomalies"] = written(layers.anomalies(t["contours"]))
         if "distances" in t and not t["anomalies"].isEmpty():  # without an anomaly there is no score
             tell(95, "score")
-            parts = compare.within_tolerance(t["distances"], "distance", settings.tolerance_mm).withColumnRenamed("within_tolerance_pct", "dimensional")
+            parts = t["within_tolerance"].withColumnRenamed("within_tolerance_pct", "dimensional")
             # both sides are one row
             parts = parts.crossJoin(F.broadcast(score.anomaly_score(t["anomalies"]))).withColumns({"layer": F.lit(100.0), "n_processed": F.lit(n_contours), "n_expected": F.lit(expected or n_images)})
             t["quality"] = score.quality(parts, settings.weights)
@@ -153,8 +153,23 @@ def _compare(spark: SparkSession, settings: BuildSettings, out: Inspection, tell
     best = register.best_alignment(t["alignment"]).first()
     t["aligned"] = written(moved(placed, best.matrix))
     tell(85, "comparison")
-    t["distances"] = written(compare.surface_distance(t["aligned"], t["reference"]))
-    t["stats"] = compare.distance_stats(t["distances"], "distance")
+    t |= compare_models(t["aligned"], t["reference"], settings.tolerance_mm)
+
+
+def compare_models(vertices: DataFrame, reference: DataFrame, tolerance_mm: float = 0.2, planned: DataFrame | None = None, detected: DataFrame | None = None, contours: DataFrame | None = None, reference_contours: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The comparison of a model's vertices (vid, x, y, z) with a reference's triangles: distances, stats and within_tolerance.
+
+    With planned and detected layers (build_id, layer_idx, z) also height_errors, with contours of both
+    (build_id, layer_idx, points) also contour_hausdorff; layers that one side lacks have no row there.
+    """
+    out = {"distances": written(compare.surface_distance(vertices, reference))}
+    out["stats"] = compare.distance_stats(out["distances"], "distance")
+    out["within_tolerance"] = compare.within_tolerance(out["distances"], "distance", tolerance_mm)
+    if planned is not None and detected is not None:
+        out["height_errors"] = layers.height_errors(planned, detected)
+    if contours is not None and reference_contours is not None:
+        out["contour_hausdorff"] = compare.hausdorff(contours, reference_contours, ["build_id", "layer_idx"])
+    return out
 
 
 def vertices_of(tris: DataFrame) -> DataFrame:

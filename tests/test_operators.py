@@ -94,6 +94,36 @@ def test_statistics_without_rows(spark):
     assert compare.within_tolerance(none, "d").first()[0] == 100.0
 
 
+@pytest.mark.parametrize("most", [1, 7, 100_000])
+def test_percentiles_by_selection(spark, most):
+    rng = np.random.default_rng(10)
+    for values in (rng.normal(size=900), np.round(rng.normal(size=700)), np.full(300, 2.5), np.exp(40 * rng.normal(size=400)), [3.0], [1.0, 5.0]):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "d double").repartition(3)
+        got = compare.distance_stats(df, "d", most=most).first()
+        want = [np.mean(values), np.max(values), np.std(values), *np.percentile(values, [50, 95, 99])]
+        assert np.allclose(got, want, rtol=1e-9, atol=1e-6)
+
+
+def test_pairs_by_place_need_equal_numbers(spark):
+    masks = spark.createDataFrame([("a", 3, "m3"), ("a", 1, "m1"), ("b", 9, "m9")], "build_id string, layer_number int, mask string")
+    heights = spark.createDataFrame([("a", 0.2), ("a", 0.1), ("b", 0.5)], "build_id string, z double")
+    assert sorted((r.mask, r.z) for r in layers.paired(masks, heights, "layer_number", "z").collect()) == [("m1", 0.1), ("m3", 0.2), ("m9", 0.5)]
+    for left, right in ((masks, heights.filter("z < 0.5")), (masks.filter("layer_number > 1"), heights)):
+        with pytest.raises(Exception, match="unequal numbers"):
+            layers.paired(left, right, "layer_number", "z").collect()
+
+
+def test_comparison_with_and_without_layers(spark):
+    tris = ball(spark, 3.0)
+    vertices = inspection.vertices_of(tris)
+    plain = inspection.compare_models(vertices, tris)
+    assert sorted(plain) == ["distances", "stats", "within_tolerance"] and plain["stats"].first().max == 0 and plain["within_tolerance"].first()[0] == 100
+    z = lambda *rows: spark.createDataFrame(rows, "build_id int, layer_idx int, z double")
+    ring = lambda *rows: spark.createDataFrame([(1, i, [(float(x), 0.0), (0.0, 1.0)]) for i, x in rows], "build_id int, layer_idx int, points array<struct<x: double, y: double>>")
+    full = inspection.compare_models(vertices, tris, 0.1, z((1, 0, 0.2), (1, 1, 0.4)), z((1, 1, 0.45), (1, 2, 0.6)), ring((0, 1), (1, 2)), ring((1, 4), (5, 1)))
+    assert [tuple(r) for r in full["height_errors"].collect()] == [(1, 1, 0.05)] and [tuple(r) for r in full["contour_hausdorff"].collect()] == [(1, 1, 2.0)]
+
+
 def test_hausdorff_properties(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [(float(x), float(y)) for x, y in rng.normal(size=(7, 2))]) for i in range(4)] + [(9, [(0.0, 0.0)])]
