@@ -4,9 +4,11 @@ zstandard dictionaries of several sizes are trained on good and on bad labelled
 texts. Texts are compressed in blocks, so that a long text's own repetition does
 not drown what the dictionaries know; the sizes are summed over blocks and
 dictionaries. The normalised difference (bad size - good size) / (bad size +
-good size) is all that the score reads: a logistic curve turns it into a
+good size) is all that the score reads: isotonic regression turns it into a
 probability. Each half of the labelled texts trains dictionaries, and the curve
-is fitted on what the other half's dictionaries say of it.
+is fitted on what the other half's dictionaries say of it. A score then adds up
+both halves' dictionaries: twice as many as the curve has seen at once, and the
+difference, being normalised, is their mean but for how much each compresses.
 """
 
 from __future__ import annotations

@@ -211,7 +211,13 @@ def sample_labelled(docs: DataFrame, text: str, lang: str, known: Column, per_la
 
 
 def fit(docs: DataFrame, known: Column, text: str = "text", lang: str = "lang", per_language: int = 600, most_bytes: int = 64_000_000, dims: int = 4096) -> LanguageModel:
-    """Learn from the rows where `known` holds. per_language and most_bytes bound the texts that reach the driver."""
+    """Learn from the rows where `known` holds. per_language and most_bytes bound the texts that reach the driver.
+
+    Rows with a null text or language, or where `known` is null, teach nothing;
+    equal texts of a language count once, whatever their keys, and a text under
+    two languages once for each. A table without such rows gives a model that
+    knows no language.
+    """
     return LanguageModel.fit(*sample_labelled(docs, text, lang, known, per_language, most_bytes), dims)
 
 
@@ -219,7 +225,10 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     """docs with lang_pred and score (0 to 1), replacing columns of these names.
 
     Whole texts are scored. A null text, or one without a letter, is `und` with
-    score 0, as is everything where nothing was learned. All other columns stay.
+    score 0, as is everything where nothing was learned. Of languages with equal
+    votes and margins the first by name is taken. Every row is judged by its own
+    text, so keys may repeat or be null; an empty table stays empty. All other
+    columns stay.
     """
     docs = docs.drop("lang_pred", "score")
 

@@ -70,8 +70,9 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
     a null url an empty one, a null key never the original of another; no pages
     give no files. Originals are found from keys and digests alone. Up to
     most_broadcast payloads that occur twice (counted) are broadcast to the
-    pages, so that no payload is shuffled; beyond it pages meet their original
-    by a join on the digest, which Spark splits where one payload fills it.
+    pages, so that no payload is shuffled. Beyond it the most frequent ones,
+    50,000 at most, still are, and other pages meet their original by a join on
+    the digest, none of which many pages share.
     """
     spark = pages.sparkSession
     payload = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
@@ -80,10 +81,15 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
     digest = F.when((F.col("size") >= least_bytes) & F.col("page").isNotNull(), F.sha1("payload"))
     each = rows.select(digest.alias("digest"), "page").filter("digest is not null").groupBy("digest", "page").agg(F.count("*").alias("n"))
     originals = each.groupBy("digest").agg(F.max(F.struct("page", F.col("n").alias("same"))).alias("original"), F.sum("n").alias("n"))
-    originals = materialize(originals.filter("n > 1").drop("n"), "originals")
+    originals = materialize(originals.filter("n > 1"), "originals")
     # Rows without a digest get keys of their own, so that they don't meet in one task.
     keyed = rows.withColumn("digest", F.coalesce(digest, F.concat(F.lit("-"), F.col("row"))))
-    joined = keyed.join(F.broadcast(originals) if originals.count() <= most_broadcast else originals, "digest", "left")
+    if originals.count() <= most_broadcast:
+        joined = keyed.join(F.broadcast(originals.drop("n")), "digest", "left")
+    else:
+        hot = F.col("n") > max(1000, rows.count() // 50_000)
+        often, other = F.broadcast(originals.filter(hot).drop("n")), originals.filter(~hot).drop("n")
+        joined = keyed.join(often, "digest").unionByName(keyed.join(often.select("digest"), "digest", "left_anti").join(other, "digest", "left"))
     # An original has a name that its revisits know; rows that repeat it are told apart by their place.
     known = F.when(F.col("original.same") == 1, F.concat_ws(":", "original.page", "digest"))
     revisit = F.coalesce(F.col("original.page") != F.col("page"), F.lit(False))

@@ -24,7 +24,7 @@ def test_held_out_accuracy_and_edges(spark):
 
 
 def test_sizes_and_scores_against_the_library(spark):
-    """Every text on its own, by the library's dictionaries and a logistic written out."""
+    """Every text on its own, by the library's dictionaries and the curve written out."""
     rng = np.random.default_rng(5)
     good, bad = texts(rng, [f"{a}{b}ing" for a in "abcdefgh" for b in "opqrst"], 90), texts(rng, [f"{a}{b}%%$" for a in "abcdefgh" for b in "opqrst"], 60)
     model = compress_quality.fit_texts(good, bad)

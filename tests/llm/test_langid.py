@@ -46,3 +46,42 @@ def test_copies_leave_the_others_their_share(spark):
     assert len(set(texts)) == len(texts) == 82 and langs.count("de") == 30
     few, _ = langid.sample_labelled(docs, "text", "lang", docs.lang.isNotNull(), 60, 600)
     assert 0 < len(few) < 60
+
+
+def plain_margin(text, weights, dims):
+    """A machine's margin of one text from its n-grams, one by one."""
+    data = bytes(c + 32 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in text.encode())
+    total = 0.0
+    for n in range(1, 5):
+        for i in range(len(data)):
+            gram = int.from_bytes(data[i : i + n], "little")
+            total += float(weights[(((gram + n * 0x9E37) * 0x9E3779B1 & 0xFFFFFFFF) >> 16) % dims])
+    return (total / (4 * len(data)) if data else 0.0) + float(weights[dims])
+
+
+def test_predictions_by_brute_force():
+    rng = np.random.default_rng(14)
+    texts = [t for lang in WORDS for t in sentences(rng, lang, 25)]
+    model = langid.LanguageModel.fit(texts, [lang for lang in WORDS for _ in range(25)], 256)
+    tried = [*texts[::9], "A", "The 12 und", "été où", "", "...", "x" * 300, "Straße 7"]
+    lang, score = model.predict(pa.array(tried))
+    for text, got, sure in zip(tried, lang, score, strict=True):
+        margin = {(a, b, w): plain_margin(text, model.weights[k], 256) * model.scale[k] for k, (a, b, w) in enumerate(model.machines)}
+
+        def winner(names, within):
+            votes, least = dict.fromkeys(names, 0.0), dict.fromkeys(names, 1.0)
+            for (a, b, w), m in margin.items():
+                if w == within and a in names and b in names:
+                    p = 1 / (1 + np.exp(-np.clip(m, -30, 30)))
+                    votes[a] += (m > 0) + 1e-3 * np.tanh(m / 8)
+                    votes[b] += (m <= 0) - 1e-3 * np.tanh(m / 8)
+                    least[a], least[b] = min(least[a], p), min(least[b], 1 - p)
+            best = max(names, key=lambda s: (votes[s], -names.index(s)))
+            return best, least[best]
+
+        if not any(c.isalpha() for c in text):
+            assert (got, sure) == ("und", 0.0)
+            continue
+        fam, p = winner(sorted({langid.family(s) for s in model.languages}), False)
+        want, q = winner([s for s in model.languages if langid.family(s) == fam], True)
+        assert got == want and abs(sure - p * q) < 1e-4

@@ -45,3 +45,10 @@ def test_payloads_come_back(spark):
     got = {r.page_id: bytes(r.payload) for r in warc.read(spark, files, with_payload=True).filter("type = 'response'").collect()}
     assert got == {1: "täxt".encode(), 2: b""}
     assert warc.write(pages.limit(0), common.scratch(spark, "warc")) == []
+
+
+def test_a_payload_of_half_the_pages_beyond_the_broadcast(spark):
+    pages = spark.range(3000).selectExpr("id as page_id", "'u' as url", "case when id % 2 = 0 then repeat('a', 1200) when id % 10 = 1 then repeat('b', 1100 + cast(id % 50 as int)) else concat(repeat('c', 1000), id) end as html").repartition(5)
+    want = sorted(tuple(r) for r in queries.warc_rows(warc.captures(pages, common.scratch(spark, "warc"))).fillna(-1).collect())
+    got = sorted(tuple(r) for r in queries.warc_rows(warc.captures(pages, common.scratch(spark, "warc"), most_broadcast=0)).fillna(-1).collect())
+    assert got == want and len(got) == 3000 and sum(r[3] == "revisit" for r in got) > 1700
