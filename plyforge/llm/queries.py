@@ -61,9 +61,9 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text as a lossless WebP column, written, read back and decoded."""
+    """Every text as a lossless WebP column, written, read back and decoded to its pixel array."""
     media = materialize(webp.store(table(spark, sf_dir, "documents")), "media")
-    return webp.read(media)
+    return webp.read(media, with_pixels=True)
 
 
 def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -396,6 +396,13 @@ def predict(mode: int, left: list[int], top: list[int], corner: list[int], right
 
 def predictor(argb: np.ndarray, width: int, height: int, modes: np.ndarray, size: int, sign: int) -> np.ndarray:
     """Add (sign 1: argb holds residuals) or subtract (sign -1: argb holds pixels) the predictions."""
+    used = np.unique(modes >> 8 & 15)
+    if sign > 0 and len(used) == 1 and used[0] in (1, 2):  # left or top alone: running sums
+        rest = np.stack(split(argb)).reshape(4, height, width)
+        rest[0, 0, 0] += 255
+        first = np.s_[:, :, 0] if used[0] == 1 else np.s_[:, 0]
+        rest[first] = np.cumsum(rest[first], axis=1)
+        return join(*np.cumsum(rest, axis=3 - int(used[0])).reshape(4, -1))
     px = np.stack(split(argb), axis=1).tolist()
     out, across = [None] * len(px), div_up(width, size)
     known = out if sign > 0 else px
@@ -683,15 +690,15 @@ def pack_bits(values: np.ndarray, sizes: np.ndarray, head: int, head_bits: int)
     return stream[: -(-total // 8)].astype(np.uint8)
 
 
-def write_own(out: Writer, data: np.ndarray, refs: list, counts: np.ndarray, distances: np.ndarray) -> bytes:
-    """The image's data by codes of its own, after what the writer has."""
+def write_own(out: Writer, data: np.ndarray, refs: list, counts: np.ndarray, distances: np.ndarray, alpha: int = 255) -> bytes:
+    """The image's data by codes of its own, after what the writer has; all pixels have the one alpha."""
     for _ in range(3):  # no more transforms, no cache, one code group
         out.write(0, 1)
     if not distances.any():
         distances[0] = 1
     used = [code_lengths(c.tolist(), MOST_BITS) for c in (counts, distances)]
     write_code(out, used[0])
-    for only in (0, 0, 255):
+    for only in (0, 0, alpha):
         write_code(out, [int(s == only) for s in range(256)])
     write_code(out, used[1])
     (word, size), (far_word, far_size) = ((np.array(canonical(n), np.int64), np.array(n if sum(map(bool, n)) > 1 else [0] * len(n), np.int64)) for n in used)
@@ -720,11 +727,36 @@ def encode_payload(data: np.ndarray, width: int = 576) -> bytes:
     return b"".join(_encode_part(data[k : k + most], width) for k in range(0, len(data), most))
 
 
+def entropy(data: np.ndarray) -> float:
+    """Bits of the values by their own frequencies."""
+    c = np.bincount(data, minlength=1)
+    c = c[c > 0]
+    return float((c * np.log2(len(data) / c)).sum())
+
+
+def from_left(data: np.ndarray, width: int) -> np.ndarray:
+    """Differences to the left sample, and in the first column to the one above."""
+    image = data.reshape(-1, width)
+    out = image.copy()
+    out[:, 1:] -= image[:, :-1]
+    out[1:, 0] -= image[:-1, 0]
+    return out.reshape(-1)
+
+
 def _encode_part(data: np.ndarray, width: int) -> bytes:
+    """The smallest by estimate of: bytes as they are, differences to the left (the predictor transform), and a packed palette."""
     refs = references(repeats(data), width)
     counts, distances, extra = own_counts(data, refs)
+    size, alpha = own_bits(counts, distances, extra), 255
     out = Writer()
     out.write((width - 1) | (len(data) // width - 1) << 14, 32)
+    form = data
+    rest = from_left(data, width)
+    if entropy(rest) < entropy(data):  # cheap to ask, and true of few texts
+        rest_refs = references(repeats(rest), width)
+        of_rest = own_counts(rest, rest_refs)
+        if (bits := own_bits(*of_rest) + 60) < size:
+            size, form, refs, (counts, distances, _), alpha = bits, rest, rest_refs, of_rest, 0
     colours = np.flatnonzero(np.bincount(data, minlength=256))
     if len(colours) <= 16:
         bits = palette_bits(len(colours))
@@ -732,13 +764,19 @@ def _encode_part(data: np.ndarray, width: int) -> bytes:
         packed = (index << ((8 >> bits) * np.arange(1 << bits))).sum(axis=2).astype(np.uint8).reshape(-1)
         packed_refs = references(repeats(packed), div_up(width, bits))
         of_packed = own_counts(packed, packed_refs)
-        if own_bits(*of_packed) + 16 * len(colours) + 100 < own_bits(counts, distances, extra):
+        if own_bits(*of_packed) + 16 * len(colours) + 100 < size:
             out.write(1, 1)
             out.write(3, 2)
             out.write(len(colours) - 1, 8)
             write_image(out, delta_table(join(255, 0, colours, 0), -1), len(colours), False)
-            data, refs, (counts, distances, _) = packed, packed_refs, of_packed
-    return riff(write_own(out, data, refs, counts, distances))
+            form, refs, (counts, distances, _), alpha = packed, packed_refs, of_packed, 255
+    if not alpha:
+        out.write(1, 1)
+        out.write(0, 2)
+        out.write(7, 3)  # blocks of 512, all of the left predictor
+        across = div_up(width, 9)
+        write_image(out, np.full(across * div_up(len(data) // width, 9), 255 << 24 | 1 << 8, np.int64), across, False)
+    return riff(write_own(out, form, refs, counts, distances, alpha))
 
 
 def decode_payload(data: bytes) -> np.ndarray:

@@ -139,3 +139,26 @@ def test_store_and_read(spark):
         assert r.payload_sha256 == hashlib.sha256(want).hexdigest() and r.tail_crc32 == zlib.crc32(want[-32:])
     assert got[1][1:] == got[2][1:]
     assert webp.read(webp.store(docs.limit(0))).count() == 0
+
+
+def test_left_predictor_where_it_is_smaller():
+    rng = np.random.default_rng(8)
+    steps = np.cumsum(rng.integers(0, 3, 576 * 7)).astype(np.uint8)  # noise about a ramp
+    media = webp.encode_payload(steps)
+    assert (webp.decode_payload(media) == steps).all() and len(media) < 0.35 * len(steps)
+    bits = webp.Bits(media[21:])
+    assert [bits.read(n) for n in (14, 14, 1, 3, 1, 2, 3)] == [575, 6, 0, 0, 1, 0, 7]
+    assert (webp.from_left(steps, 576)[1:576] == np.diff(steps[:576])).all()
+    for raw in (b"", b"plain text, as most are " * 50, bytes(range(256)) * 40):
+        px = webp.payload(raw)
+        assert (webp.decode_payload(webp.encode_payload(px)) == px).all()
+
+
+def test_running_sums_equal_the_predictor_pixel_by_pixel():
+    rng = np.random.default_rng(9)
+    px = rng.integers(0, 1 << 32, 9 * 7)
+    for mode in (1, 2):
+        grid = np.full(12, mode << 8)
+        rest = webp.predictor(px, 9, 7, grid, 2, -1)
+        mixed = np.concatenate([grid, [0]])  # a block that no pixel uses keeps it from the short way
+        assert (webp.predictor(rest, 9, 7, grid, 2, 1) == px).all() and (webp.predictor(rest, 9, 7, mixed, 2, 1) == px).all()
