@@ -15,6 +15,8 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 
 from plyforge.operators.layers import layer_images
 
+from . import meshfiles
+
 
 def read_layer_images(spark: SparkSession, directory: str, layer_height: float = 0.2) -> DataFrame:
     """(build_id, path, layer_number, z_height, image) of a folder's layer images, one a layer.
@@ -44,7 +46,7 @@ def read_programs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_mesh(name: str, data: bytes) -> np.ndarray:
-    """A file's triangles (n, 3, 3), by its ending: stl (binary or text), obj, ply (text or little-endian)."""
+    """A file's triangles (n, 3, 3), by its ending: stl (binary or text), obj, ply (text or binary)."""
     kind = name.rpartition(".")[2].lower()
     if kind == "stl":
         n = int.from_bytes(data[80:84], "little") if len(data) >= 84 else -1
@@ -70,7 +72,9 @@ def parse_mesh(name: str, data: bytes) -> np.ndarray:
 
 
 #: PLY's number types.
-PLY_TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "<i2", "int16": "<i2", "ushort": "<u2", "uint16": "<u2", "int": "<i4", "int32": "<i4", "uint": "<u4", "uint32": "<u4", "float": "<f4", "float32": "<f4", "double": "<f8", "float64": "<f8"}
+PLY_TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
+#: PLY's formats and their byte orders.
+PLY_ORDERS = {"ascii": "", "binary_little_endian": "<", "binary_big_endian": ">"}
 
 
 def parse_ply(data: bytes) -> np.ndarray:
@@ -84,7 +88,7 @@ def parse_ply(data: bytes) -> np.ndarray:
             parts.append((line[1], int(line[2]), []))
         elif line[:1] == ["property"]:
             parts[-1][2].append(line[1:])
-    if style not in ("ascii", "binary_little_endian"):
+    if style not in PLY_ORDERS:
         raise ValueError(f"PLY format {style}")
     words, at, points, faces = iter(body.split()) if style == "ascii" else None, 0, [], []
 
@@ -92,7 +96,7 @@ def parse_ply(data: bytes) -> np.ndarray:
         nonlocal at
         if words is not None:
             return float(next(words))
-        t = np.dtype(PLY_TYPES[kind])
+        t = np.dtype(PLY_ORDERS[style] + PLY_TYPES[kind])
         at += t.itemsize
         return np.frombuffer(body, t, 1, at - t.itemsize)[0].item()
 
@@ -107,11 +111,13 @@ def parse_ply(data: bytes) -> np.ndarray:
     return np.array(points, float)[np.array(faces, int)].reshape(-1, 3, 3) if faces else np.empty((0, 3, 3))
 
 
-CORNERS = [f"{v}{x}" for v in "abc" for x in "xyz"]
+CORNERS = meshfiles.CORNERS
 
 
 def read_triangles(spark: SparkSession, path: str) -> DataFrame:
-    """(mesh, fid, ax ... cz) of mesh files; each file is parsed by one task."""
+    """(mesh, fid, ax ... cz) of mesh files. One binary STL is read by ranges (see meshfiles); else each file is parsed by one task."""
+    if path.lower().endswith(".stl") and meshfiles.stl_triangles(path) is not None:
+        return meshfiles.read_stl(spark, path).select(F.lit(path).alias("mesh"), "fid", *CORNERS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from plyforge.functions import geometry, images, names
 from plyforge.operators import boxes, compare, layers, meshes, pixels, register, score, segment, toolpath
 from plyforge.plans import inspection
-from plyforge.sources import files
+from plyforge.sources import files, meshfiles
 
 
 def test_layer_numbers(spark):
@@ -464,6 +464,27 @@ def test_mesh_files(spark, tmp_path):
         assert (files.parse_mesh(f"x.{kind}", part.read_bytes()).reshape(-1, 9) == t).all()
 
 
+def test_large_mesh_files(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    t = rng.normal(size=(1000, 9)).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(t)] + [(5000, None, *[0.0] * 8)], "fid long, " + ", ".join(f"{c} double" for c in files.CORNERS)).repartition(7)
+    for kind, name in (("stl", "a.stl"), ("ply", "b.ply"), ("ply_big", "c.ply")):
+        path = str(tmp_path / "out" / name)
+        assert meshfiles.write_mesh(df, path, kind) == 1000
+        assert (files.parse_mesh(path, open(path, "rb").read()).reshape(-1, 9) == t).all()
+    path = str(tmp_path / "out" / "a.stl")
+    assert sorted(os.listdir(tmp_path / "out")) == ["a.stl", "b.ply", "c.ply"]
+    got = meshfiles.read_stl(spark, path, per_task=130)
+    assert got.rdd.getNumPartitions() == 8 and (got.orderBy("fid").toPandas()[files.CORNERS].to_numpy() == t).all()
+    assert files.read_triangles(spark, path).count() == 1000
+    assert meshfiles.write_mesh(df.limit(0), str(tmp_path / "none.stl")) == 0 and meshfiles.read_stl(spark, str(tmp_path / "none.stl")).count() == 0
+    (tmp_path / "text.stl").write_text("solid x\nendsolid x\n" + " " * 100)
+    with pytest.raises(Exception, match="no binary STL"):
+        meshfiles.read_stl(spark, str(tmp_path / "text.stl")).count()
+    with pytest.raises(ValueError, match="written as"):
+        meshfiles.write_mesh(df, path, "obj")
+
+
 def test_settings_and_profiles(spark, tmp_path):
     (tmp_path / "s.json").write_text('{"quality_score": {"weights": {"layer": 0.5}}}')
     s = files.load_settings(str(tmp_path / "s.json"))
