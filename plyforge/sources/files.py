@@ -13,7 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
+from plyforge.functions import names
 from plyforge.operators.layers import layer_images
+from plyforge.operators.tables import written
 
 from . import meshfiles
 
@@ -21,18 +23,17 @@ from . import meshfiles
 def read_layer_images(spark: SparkSession, directory: str, layer_height: float = 0.2) -> DataFrame:
     """(build_id, path, layer_number, z_height, image) of a folder's layer images, one a layer.
 
-    Paths are chosen before pixels are read: the listing reads no content, and
-    only the chosen files are decoded. Files that don't decode are left out.
+    Paths are chosen by their names in a listing that reads no content; the choice is a table, and the driver gets no
+    path. Files of a folder with an image's ending are decoded where they are and meet the choice by a join, which Spark
+    broadcasts while the listing is small. Files that don't decode are left out.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(directory).select(F.lit(directory).alias("build_id"), "path")
-    chosen = layer_images(listed, layer_height)
-    paths = [r.path for r in chosen.select("path").collect()]
-    schema = "build_id string, path string, layer_number int, z_height double, image struct<origin: string, height: int, width: int, nChannels: int, mode: int, data: binary>"
-    if not paths:
-        return spark.createDataFrame([], schema)
-    decoded = spark.read.format("image").option("dropInvalid", True).load(paths).withColumn("path", F.col("image.origin"))
+    chosen = written(layer_images(listed, layer_height))
+    ending = "{" + ",".join("".join(f"[{c}{c.upper()}]" for c in e) for e in names.IMAGE_ENDINGS) + "}"
+    decoded = spark.read.format("image").option("dropInvalid", True).option("pathGlobFilter", f"*.{ending}").load(directory)
     same = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    return chosen.withColumn("_k", same("path")).join(decoded.select(same("path").alias("_k"), "image"), "_k").drop("_k")
+    origin = F.url_decode(F.replace(F.col("image.origin"), F.lit("+"), F.lit("%2B")))  # the image source writes paths as URIs
+    return chosen.withColumn("_k", same("path")).join(decoded.select(same(origin).alias("_k"), "image"), "_k").select("build_id", "path", "layer_number", "z_height", "image")
 
 
 def read_programs(spark: SparkSession, path: str) -> DataFrame:

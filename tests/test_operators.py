@@ -464,6 +464,18 @@ def test_mesh_files(spark, tmp_path):
         assert (files.parse_mesh(f"x.{kind}", part.read_bytes()).reshape(-1, 9) == t).all()
 
 
+def test_layer_images_of_a_folder(spark, tmp_path):
+    folder = tmp_path / "a folder"
+    folder.mkdir()
+    for name, grey in (("layer_2.PNG", 20), ("layer_10.png", 100), ("Layer-2b.txt", 0), ("none.png", 50), ("a+b% img3.jpeg", 30), ("layer_2_copy.png", 21)):
+        (folder / name).write_bytes(png(np.full((3, 4), grey, np.uint8)))
+    (folder / "layer_5.png").write_bytes(b"no image")
+    got = files.read_layer_images(spark, str(folder), 0.5).orderBy("layer_number").collect()
+    assert [(r.layer_number, r.z_height, r.image.height, r.image.data[0]) for r in got] == [(2, 1.0, 3, 20), (3, 1.5, 3, 30), (10, 5.0, 3, 100)]
+    (tmp_path / "empty").mkdir()
+    assert files.read_layer_images(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_large_mesh_files(spark, tmp_path):
     rng = np.random.default_rng(3)
     t = rng.normal(size=(1000, 9)).astype(np.float32).astype(float)
