@@ -221,7 +221,9 @@ def nearest_of(blocks: DataFrame, leaves: DataFrame, dims: int, pairwise: Callab
                 for i in np.flatnonzero(same.sum(axis=1) > 1).tolist():
                     tied = np.flatnonzero(same[i])
                     which[i] = tied[np.argmin(have[tied])] if len(tied) > 1 else tied[0]
-                better = (d < best[at]) | ((d == best[at]) & np.array([ids[i] is None or have[j] < ids[i] for i, j in zip(at, which, strict=True)], bool))
+                better = d < best[at]
+                for i in np.flatnonzero(d == best[at]).tolist():
+                    better[i] = ids[at[i]] is None or have[which[i]] < ids[at[i]]
                 best[at[better]], ids[at[better]], at_target[at[better]] = d[better], have[which[better]], values[which[better]]
         if names is not None:
             yield done()

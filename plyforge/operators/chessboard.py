@@ -24,6 +24,8 @@ from plyforge.functions import images
 from .segment import as_array
 from .tables import written
 
+EXACT = 1e-6  # pixels of root mean square error at which corners count as explained
+
 # ---- corners of one image
 
 
@@ -358,7 +360,7 @@ def calibrate(found: DataFrame, across: int, down: int, square_mm: float, image:
         lower = max(damping / 10, 1e-12)
         s_new, g_new, cost_new = equations(moved, theta + step, lower)
         if np.isfinite(cost_new) and cost_new <= cost:
-            settled = cost - cost_new <= tolerance * cost + 1e-18
+            settled = cost - cost_new <= tolerance * cost or cost_new <= EXACT * EXACT * count * n
             state, theta, s, g, cost, damping = moved, theta + step, s_new, g_new, cost_new, lower
             if settled:
                 break

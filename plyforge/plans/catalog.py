@@ -183,9 +183,9 @@ def hausdorff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.hausdorff(p, p.withColumn("vec_id", F.col("vec_id") - 1), ["vec_id"])
 
 
-@query(f"""WITH {POINTS}, p AS (SELECT vec_id * 32 + k AS vid, x, y FROM points WHERE vec_id % 2 = 1), t AS (SELECT vec_id * 32 + k AS tid, x, y FROM points WHERE vec_id % 2 = 0),
-    d AS (SELECT vid, tid, sqrt((p.x - t.x) * (p.x - t.x) + (p.y - t.y) * (p.y - t.y)) AS d FROM p CROSS JOIN t), m AS (SELECT vid, min(d) AS d FROM d GROUP BY vid)
-    SELECT vid, min(tid) AS target_id, round(any_value(d), 6) AS distance FROM d JOIN m USING (vid, d) GROUP BY vid""")
+@query(f"""WITH {POINTS}, p AS MATERIALIZED (SELECT vec_id * 32 + k AS vid, x, y FROM points WHERE vec_id % 2 = 1), t AS MATERIALIZED (SELECT vec_id * 32 + k AS tid, x, y FROM points WHERE vec_id % 2 = 0),
+    m AS (SELECT vid, any_value(p.x) AS x, any_value(p.y) AS y, min(sqrt((p.x - t.x) * (p.x - t.x) + (p.y - t.y) * (p.y - t.y))) AS d FROM p CROSS JOIN t GROUP BY vid)
+    SELECT vid, min(tid) AS target_id, round(any_value(d), 6) AS distance FROM m CROSS JOIN t WHERE sqrt((m.x - t.x) * (m.x - t.x) + (m.y - t.y) * (m.y - t.y)) = d GROUP BY vid""")
 def nearest_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each corner of the odd polygons, the nearest corner of the even ones."""
     p = views.polygons(spark, sf_dir).select("vec_id", F.posexplode("points").alias("k", "p"))
