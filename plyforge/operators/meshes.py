@@ -115,7 +115,7 @@ def cell_table() -> list[tuple[int, int, list[list[int]]]]:
     return rows
 
 
-def marching_cubes(voxels: DataFrame, volume: str = "volume", step: int = 1, value: str | None = None, level: float = 0.5) -> DataFrame:
+def marching_cubes(voxels: DataFrame, volume: str = "volume", step: int = 1, value: str | None = None, level: float = 0.5, flat: bool = False) -> DataFrame:
     """(volume, slice, ax ... cz): the triangles of the surface between voxels over `level` and others, wound outward.
 
     value names the column of grey levels; without it, voxels that are `inside` count as 1 and others as 0. Vertices lie
@@ -124,7 +124,8 @@ def marching_cubes(voxels: DataFrame, volume: str = "volume", step: int = 1, val
     with two opposite corners inside (over the level: these are joined), find its triangles in a table made by rule.
     slice is the cell's lower z (in steps). step: only every step-th voxel along each axis is looked at. Voxels that are
     not given, and nulls, are 0, so the level can't be negative. Whether a cell that is open on several sides is open
-    inside too is not asked: its loops are filled one by one.
+    inside too is not asked: its loops are filled one by one. flat: triangles with equal corners stay, so that every
+    vertex is a corner of some triangle; a voxel at the level itself that is the only one not over it is but one point.
     """
     if level < 0:
         raise ValueError("the level can't be below 0, the value outside")
@@ -154,7 +155,8 @@ def marching_cubes(voxels: DataFrame, volume: str = "volume", step: int = 1, val
 
     each = met.select(volume, F.col("z").alias("slice"), F.array(*[crossing(*e) for e in EDGES]).alias("e"), "found").select(volume, "slice", "e", F.explode("found").alias("t"))
     point = [F.get("e", F.col("t")[k]) for k in range(3)]
-    each = each.filter((point[0] != point[1]) & (point[1] != point[2]) & (point[2] != point[0]))  # a corner at the level itself is the end of several edges
+    if not flat:  # a corner at the level itself is the end of several edges
+        each = each.filter((point[0] != point[1]) & (point[1] != point[2]) & (point[2] != point[0]))
     return each.select(volume, "slice", *[(p[a] * step).alias(f"{c}{a}") for c, p in zip("abc", point, strict=True) for a in "xyz"])
 
 
@@ -184,9 +186,9 @@ def area_centroid(tris: DataFrame) -> list[float]:
 
 
 def open_edges(tris: DataFrame, mesh: str = "mesh") -> DataFrame:
-    """(mesh, open_edges): directed edges that are not met by as many in the opposite direction; 0 for a closed surface."""
+    """(mesh, open_edges): directed edges that are not met by as many in the opposite direction; 0 for a closed surface. Edges without length are none."""
     point = lambda v: F.struct(*[F.col(f"{v}{x}").alias(x) for x in "xyz"])
-    ways = F.array(*[F.struct(F.least(point(p), point(q)).alias("p"), F.greatest(point(p), point(q)).alias("q"), F.when(point(p) < point(q), 1).otherwise(-1).alias("way")) for p, q in ("ab", "bc", "ca")])
+    ways = F.array(*[F.struct(F.least(point(p), point(q)).alias("p"), F.greatest(point(p), point(q)).alias("q"), F.when(point(p) < point(q), 1).when(point(p) > point(q), -1).otherwise(0).alias("way")) for p, q in ("ab", "bc", "ca")])
     each = tris.select(mesh, F.explode(ways).alias("e")).groupBy(mesh, "e.p", "e.q").agg(F.sum("e.way").alias("way"))
     return each.groupBy(mesh).agg(F.sum(F.abs("way")).alias("open_edges"))
 

@@ -400,7 +400,7 @@ def marching_cubes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grey_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each embedding as a volume of grey levels: the vertices of its surface at level 127, and whether that is closed."""
     grey = views.voxels(spark, sf_dir, level=True)
-    tris = written(meshes.marching_cubes(grey, value="v", level=127.0).withColumnRenamed("volume", "mesh"))
+    tris = written(meshes.marching_cubes(grey, value="v", level=127.0, flat=True).withColumnRenamed("volume", "mesh"))
     point = F.explode(F.array(*[F.struct(*[F.col(f"{v}{x}").alias(x) for x in "xyz"]) for v in "abc"])).alias("p")
     vertices = tris.select("mesh", point).distinct().groupBy("mesh").agg(F.count("*").alias("n_vertices"), *[F.round(F.sum(f"p.{x}"), 6).alias(f"sum_{x}") for x in "xyz"], F.round(F.min("p.x"), 6).alias("min_x"), F.round(F.max("p.z"), 6).alias("max_z"))
     return vertices.join(meshes.open_edges(tris), "mesh")

@@ -6,6 +6,7 @@ import random
 import struct
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -297,6 +298,22 @@ def test_sides_of_two_opposite_corners(spark):
         assert info.watertight and info.n_vertices - info.n_edges + info.n_faces == 2 * parts
 
 
+def test_a_hole_of_one_point_is_a_vertex(spark, tmp_path):
+    from plyforge.plans import catalog
+
+    hole = [0.5] * 64
+    hole[21] = 0.002  # grey level 127, the surface's own, among voxels over it
+    line = [0.002 if i % 4 == 1 else 0.5 for i in range(64)]
+    spark.createDataFrame([(1, hole), (2, line), (3, [0.5] * 64)], "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(catalog.ORACLES["grey_surface"])
+    names = [c[0] for c in want.description]
+    got = {r.mesh: r for r in catalog.grey_surface(spark, str(tmp_path)).collect()}
+    assert got[1].n_vertices == got[3].n_vertices + 1 and got[1].sum_x == got[3].sum_x + 1 and got[1].open_edges == 0
+    assert sorted(tuple(r[c] for c in names) for r in got.values()) == sorted(want.fetchall())
+
+
 def test_heights_of_surfaces(spark):
     v = spark.createDataFrame([(0, z, y, x, True) for z in range(3) for y in range(2) for x in range(2)], "volume int, z int, y int, x int, inside boolean")
     h = spark.createDataFrame([(0, 1.0), (1, 2.0), (2, 5.0)], "slice int, height double")
