@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from plyforge.functions import images
@@ -24,6 +25,7 @@ from plyforge.functions import images
 from .segment import as_array
 from .tables import written
 
+IMAGES = 256  # looked at together
 EXACT = 1e-6  # pixels of root mean square error at which corners count as explained
 
 # ---- corners of one image
@@ -184,10 +186,12 @@ def board(across: int, down: int, square_mm: float) -> np.ndarray:
 
 
 def rotation(r: np.ndarray) -> np.ndarray:
-    """Rodrigues' formula."""
-    angle = np.linalg.norm(r)
-    k = r / angle if angle > 1e-12 else np.zeros(3)
-    cross = np.array([[0, -k[2], k[1]], [k[2], 0, -k[0]], [-k[1], k[0], 0]])
+    """Rodrigues' formula, for one rotation vector or an array of them."""
+    angle = np.linalg.norm(r, axis=-1)[..., None]
+    k = np.where(angle > 1e-12, r / np.where(angle > 1e-12, angle, 1.0), 0.0)
+    cross, angle = np.zeros((*k.shape, 3)), angle[..., None]
+    cross[..., [2, 0, 1], [1, 2, 0]] = k
+    cross[..., [1, 2, 0], [2, 0, 1]] = -k
     return np.eye(3) + np.sin(angle) * cross + (1 - np.cos(angle)) * cross @ cross
 
 
@@ -205,63 +209,85 @@ def turn_of(m: np.ndarray) -> np.ndarray:
     return angle / (2 * np.sin(angle)) * np.array([m[2, 1] - m[1, 2], m[0, 2] - m[2, 0], m[1, 0] - m[0, 1]])
 
 
+def turns_of(m: np.ndarray) -> np.ndarray:
+    """turn_of() of an array of matrices."""
+    u, _, vt = np.linalg.svd(m)
+    u[..., :, 2] *= np.linalg.det(u @ vt)[..., None]
+    near = u @ vt
+    angle = np.arccos(np.clip((np.trace(near, axis1=-2, axis2=-1) - 1) / 2, -1, 1))
+    plain = (angle >= 1e-9) & (np.pi - angle >= 1e-6)
+    axis = np.stack([near[:, 2, 1] - near[:, 1, 2], near[:, 0, 2] - near[:, 2, 0], near[:, 1, 0] - near[:, 0, 1]], axis=1)
+    out = axis * (angle / np.where(plain, 2 * np.sin(angle), 1.0))[:, None]
+    for i in np.flatnonzero(~plain):
+        out[i] = turn_of(m[i])
+    return out
+
+
 def homography(plane: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """By direct linear transformation, both sides centred and scaled first."""
+    """By direct linear transformation, both sides centred and scaled first. seen: (images, corners, 2); a matrix an image."""
 
     def norm(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        c, s = p.mean(axis=0), np.sqrt(2) / max(np.linalg.norm(p - p.mean(axis=0), axis=1).mean(), 1e-12)
-        return (p - c) * s, np.array([[s, 0, -s * c[0]], [0, s, -s * c[1]], [0, 0, 1]])
+        c = p.mean(axis=-2, keepdims=True)
+        s = np.sqrt(2) / np.maximum(np.linalg.norm(p - c, axis=-1).mean(axis=-1), 1e-12)
+        t = np.zeros((*s.shape, 3, 3))
+        t[..., 0, 0], t[..., 1, 1], t[..., 2, 2] = s, s, 1.0
+        t[..., :2, 2] = -s[..., None] * c[..., 0, :]
+        return (p - c) * s[..., None, None], t
 
     (p, tp), (q, tq) = norm(plane), norm(seen)
-    one, zero = np.ones(len(p)), np.zeros((len(p), 3))
-    row = np.column_stack([p, one])
-    a = np.concatenate([np.column_stack([row, zero, -q[:, :1] * row]), np.column_stack([zero, row, -q[:, 1:] * row])])
-    h = np.linalg.svd(a)[2][-1].reshape(3, 3)
+    n = len(p)
+    row = np.column_stack([p, np.ones(n)])
+    a = np.zeros((len(q), 2 * n, 9))
+    a[:, :n, :3], a[:, n:, 3:6] = row, row
+    a[:, :n, 6:], a[:, n:, 6:] = -q[..., :1] * row, -q[..., 1:] * row
+    h = np.linalg.svd(a, full_matrices=2 * n < 9)[2][:, -1].reshape(-1, 3, 3)
     return np.linalg.inv(tq) @ h @ tp
 
 
 def constraints(h: np.ndarray) -> np.ndarray:
-    """The two rows that an image's homography demands of the camera's conic."""
+    """The two rows that each image's homography demands of the camera's conic."""
 
     def v(i: int, j: int) -> np.ndarray:
-        a, b = h[:, i], h[:, j]
-        return np.array([a[0] * b[0], a[0] * b[1] + a[1] * b[0], a[1] * b[1], a[2] * b[0] + a[0] * b[2], a[2] * b[1] + a[1] * b[2], a[2] * b[2]])
+        a, b = h[..., i].T, h[..., j].T
+        return np.stack([a[0] * b[0], a[0] * b[1] + a[1] * b[0], a[1] * b[1], a[2] * b[0] + a[0] * b[2], a[2] * b[1] + a[1] * b[2], a[2] * b[2]], axis=-1)
 
-    return np.stack([v(0, 1), v(0, 0) - v(1, 1)])
+    return np.stack([v(0, 1), v(0, 0) - v(1, 1)], axis=-2)
 
 
 def project(theta: np.ndarray, pose: np.ndarray, plane: np.ndarray) -> np.ndarray:
-    """Pixels of board points. theta: fx fy cx cy k1 k2 p1 p2 k3; pose: a rotation vector and a shift."""
+    """Pixels of board points. theta: fx fy cx cy k1 k2 p1 p2 k3; pose: a rotation vector and a shift, or an array of them."""
     fx, fy, cx, cy, k1, k2, p1, p2, k3 = theta
-    p = plane @ rotation(pose[:3])[:, :2].T + pose[3:]
-    x, y = p[:, 0] / p[:, 2], p[:, 1] / p[:, 2]
+    p = plane @ np.swapaxes(rotation(pose[..., :3])[..., :2], -1, -2) + pose[..., None, 3:]
+    x, y = p[..., 0] / p[..., 2], p[..., 1] / p[..., 2]
     r = x * x + y * y
     radial = 1 + r * (k1 + r * (k2 + r * k3))
-    return np.column_stack([fx * (x * radial + 2 * p1 * x * y + p2 * (r + 2 * x * x)) + cx, fy * (y * radial + p1 * (r + 2 * y * y) + 2 * p2 * x * y) + cy])
+    return np.stack([fx * (x * radial + 2 * p1 * x * y + p2 * (r + 2 * x * x)) + cx, fy * (y * radial + p1 * (r + 2 * y * y) + 2 * p2 * x * y) + cy], axis=-1)
 
 
 def normal_parts(theta: np.ndarray, pose: np.ndarray, plane: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Residuals and their derivatives by camera and pose, from central differences."""
-    rest = (project(theta, pose, plane) - seen).ravel()
-
-    def by(x: np.ndarray, f) -> np.ndarray:
-        out = np.empty((len(rest), len(x)))
-        for k in range(len(x)):
-            h = 1e-6 * max(abs(x[k]), 1.0)
-            d = np.where(np.arange(len(x)) == k, h, 0.0)
-            out[:, k] = (f(x + d) - f(x - d)).ravel() / (2 * h)
-        return out
-
-    return rest, by(theta, lambda t: project(t, pose, plane)), by(pose, lambda p: project(theta, p, plane))
-
-
-def reduced(theta: np.ndarray, pose: np.ndarray, plane: np.ndarray, seen: np.ndarray, damping: float) -> tuple[np.ndarray, np.ndarray, float, np.ndarray, np.ndarray]:
-    """An image's part of the camera's normal equations with its pose eliminated: matrix, gradient, cost; and how the pose follows a camera step."""
+    """Each image's residuals and their derivatives by camera and pose, from central differences. pose: (images, 6)."""
+    flat = lambda p: p.reshape(len(pose), -1)
+    a, b = np.empty((len(pose), seen[0].size, 9)), np.empty((len(pose), seen[0].size, 6))
+    for k in range(9):
+        h = 1e-6 * max(abs(theta[k]), 1.0)
+        d = np.where(np.arange(9) == k, h, 0.0)
+        a[..., k] = flat(project(theta + d, pose, plane) - project(theta - d, pose, plane)) / (2 * h)
+    for k in range(6):
+        h = 1e-6 * np.maximum(np.abs(pose[:, k : k + 1]), 1.0)
+        d = np.where(np.arange(6) == k, h, 0.0)
+        b[..., k] = flat(project(theta, pose + d, plane) - project(theta, pose - d, plane)) / (2 * h)
+    return flat(project(theta, pose, plane) - seen), a, b
+
+
+def reduced(theta: np.ndarray, pose: np.ndarray, plane: np.ndarray, seen: np.ndarray, damping: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each image's part of the camera's normal equations with its pose eliminated: matrix, gradient, cost; and how the pose follows a camera step."""
     rest, a, b = normal_parts(theta, pose, plane, seen)
-    c = b.T @ b
-    c[np.diag_indices(6)] *= 1 + damping
-    solve = np.linalg.pinv(c) @ np.column_stack([b.T @ rest, b.T @ a])
-    return a.T @ a - (a.T @ b) @ solve[:, 1:], a.T @ rest - (a.T @ b) @ solve[:, 0], float(rest @ rest), solve[:, 0], solve[:, 1:]
+    bt, right = np.swapaxes(b, 1, 2), np.concatenate([rest[..., None], a], axis=2)
+    c = bt @ b
+    c[:, np.arange(6), np.arange(6)] *= 1 + damping
+    solve = np.linalg.pinv(c) @ (bt @ right)
+    both = np.swapaxes(a, 1, 2) @ right - np.swapaxes(a, 1, 2) @ b @ solve
+    return both[..., 1:], both[..., 0], (rest * rest).sum(axis=1), solve[..., 0], solve[..., 1:]
 
 
 @dataclass
@@ -284,6 +310,32 @@ def summed(parts: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+def numbers(column: pa.Array) -> np.ndarray:
+    """Lists of equal length as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def stacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray | None]]:
+    """Up to IMAGES rows at a time: the rows, their corners (images, corners, 2) and, where there are any, poses (images, 6)."""
+    for whole in batches:
+        for k in range(0, len(whole), IMAGES):
+            b = whole.slice(k, IMAGES)
+            column = {name: b.column(i) for i, name in enumerate(b.schema.names)}
+            yield b, np.stack([numbers(column["x"]), numbers(column["y"])], axis=2), numbers(column["pose"]) if "pose" in column else None
+
+
+def lists(m: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), pa.array(m.ravel()))
+
+
+def with_pose(b: pa.RecordBatch, pose: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*b.columns[:3], lists(pose)], ["image", "x", "y", "pose"])
+
+
+def vector(v: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([lists(v.reshape(1, -1))], ["v"])
+
+
 def calibrate(found: DataFrame, across: int, down: int, square_mm: float, image: str = "path", most_rounds: int = 30, tolerance: float = 1e-10) -> Camera:
     """The camera that explains the corners (image, idx, x, y) of three or more images best.
 
@@ -298,58 +350,50 @@ def calibrate(found: DataFrame, across: int, down: int, square_mm: float, image:
     if count < 3:
         raise ValueError(f"{count} images show the whole board; three are needed")
     kind = rows.schema["image"].dataType.simpleString()
-    seen = lambda r: np.column_stack([r.x, r.y])
 
-    def closed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((6, 6))
-        for b in batches:
-            for r in b.itertuples(index=False):
-                h = homography(plane, seen(r))
-                v = constraints(h / np.linalg.norm(h))
-                total += v.T @ v
-        yield pd.DataFrame({"v": [total.ravel().tolist()]})
+        for _, seen, _ in stacked(batches):
+            h = homography(plane, seen)
+            v = constraints(h / np.linalg.norm(h, axis=(1, 2), keepdims=True)).reshape(-1, 6)
+            total += v.T @ v
+        yield vector(total)
 
     # pixels in units of the image's spread keep the six sums of like size
     middle, unit = about_pixels(rows)
     scaled = rows.select("image", F.transform("x", lambda p: (p - middle[0]) / unit).alias("x"), F.transform("y", lambda p: (p - middle[1]) / unit).alias("y"))
-    total = summed(scaled.mapInPandas(closed, "v array<double>"), 36).reshape(6, 6)
+    total = summed(scaled.mapInArrow(closed, "v array<double>"), 36).reshape(6, 6)
     fx, fy, cx, cy = camera_of(np.linalg.eigh(total)[1][:, 0])
     theta = np.array([fx * unit, fy * unit, cx * unit + middle[0], cy * unit + middle[1], 0, 0, 0, 0, 0])
 
-    def first_pose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def first_pose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         back = np.linalg.inv(np.array([[theta[0], 0, theta[2]], [0, theta[1], theta[3]], [0, 0, 1]]))
-        for b in batches:
-            out = []
-            for r in b.itertuples(index=False):
-                m = back @ homography(plane, seen(r))
-                m /= (np.linalg.norm(m[:, 0]) + np.linalg.norm(m[:, 1])) / 2 * (np.sign(m[2, 2]) or 1.0)
-                out.append(np.concatenate([turn_of(np.column_stack([m[:, 0], m[:, 1], np.cross(m[:, 0], m[:, 1])])), m[:, 2]]).tolist())
-            yield b.assign(pose=out)
+        for b, seen, _ in stacked(batches):
+            m = back @ homography(plane, seen)
+            m /= ((np.linalg.norm(m[:, :, 0], axis=1) + np.linalg.norm(m[:, :, 1], axis=1)) / 2 * np.where(m[:, 2, 2] < 0, -1.0, 1.0))[:, None, None]
+            turns = turns_of(np.stack([m[:, :, 0], m[:, :, 1], np.cross(m[:, :, 0], m[:, :, 1])], axis=2))
+            yield with_pose(b, np.concatenate([turns, m[:, :, 2]], axis=1))
 
-    state = written(rows.mapInPandas(first_pose, f"image {kind}, x array<double>, y array<double>, pose array<double>"))
+    state = written(rows.mapInArrow(first_pose, f"image {kind}, x array<double>, y array<double>, pose array<double>"))
 
     def equations(table: DataFrame, at: np.ndarray, damping: float) -> tuple[np.ndarray, np.ndarray, float]:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros(91)
-            for b in batches:
-                for r in b.itertuples(index=False):
-                    s, g, cost, _, _ = reduced(at, np.array(r.pose), plane, seen(r), damping)
-                    out += np.concatenate([s.ravel(), g, [cost]])
-            yield pd.DataFrame({"v": [out.tolist()]})
+            for _, seen, pose in stacked(batches):
+                s, g, cost, _, _ = reduced(at, pose, plane, seen, damping)
+                out += np.concatenate([s.sum(axis=0).ravel(), g.sum(axis=0), [cost.sum()]])
+            yield vector(out)
 
-        total = summed(table.mapInPandas(run, "v array<double>"), 91)
+        total = summed(table.mapInArrow(run, "v array<double>"), 91)
         return total[:81].reshape(9, 9), total[81:90], total[90]
 
     def following(table: DataFrame, at: np.ndarray, step: np.ndarray, damping: float) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                out = []
-                for r in b.itertuples(index=False):
-                    _, _, _, own, by = reduced(at, np.array(r.pose), plane, seen(r), damping)
-                    out.append((np.array(r.pose) - own - by @ step).tolist())
-                yield b.assign(pose=out)
-
-        return written(table.mapInPandas(run, table.schema))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b, seen, pose in stacked(batches):
+                _, _, _, own, by = reduced(at, pose, plane, seen, damping)
+                yield with_pose(b, pose - own - by @ step)
+
+        return written(table.mapInArrow(run, table.schema))
 
     damping = 1e-3
     s, g, cost = equations(state, theta, damping)

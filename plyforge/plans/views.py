@@ -74,11 +74,12 @@ def board_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     plane = chessboard.board(7, 5, 20.0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r in b.itertuples(index=False):
-                e = np.clip(np.asarray(r.embedding[:6], float), -0.55, 0.55)
-                seen = chessboard.project(np.array(CAMERA), np.concatenate([e[:3], np.array([-60.0, -40.0, 330.0]) + 60 * e[3:]]), plane)
-                yield pd.DataFrame({"vec_id": r.vec_id, "idx": range(len(seen)), "x": seen[:, 0], "y": seen[:, 1]})
+        for whole in batches:
+            for k in range(0, len(whole), 1000):
+                b = whole.iloc[k : k + 1000]
+                e = np.clip(np.stack([np.asarray(x[:6], float) for x in b["embedding"]]), -0.55, 0.55)
+                seen = chessboard.project(np.array(CAMERA), np.concatenate([e[:, :3], np.array([-60.0, -40.0, 330.0]) + 60 * e[:, 3:]], axis=1), plane)
+                yield pd.DataFrame({"vec_id": b["vec_id"].repeat(len(plane)).to_numpy(), "idx": np.tile(np.arange(len(plane), dtype=np.int32), len(b)), "x": seen[..., 0].ravel(), "y": seen[..., 1].ravel()})
 
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, idx int, x double, y double")
 

@@ -89,3 +89,24 @@ def test_rotation_vectors():
     for r in ([0, 0, 0], [0.3, -0.2, 0.9], [math.pi, 0, 0], [0, -math.pi * 0.9999999, 0], [2.0, 2.0, 0.1]):
         m = chessboard.rotation(np.array(r, float))
         assert np.allclose(chessboard.rotation(chessboard.turn_of(m)), m, atol=1e-6)
+
+
+def test_images_are_solved_together():
+    """Arrays of poses give what each pose gives, whatever the number of images; odd turns included."""
+    rng = np.random.default_rng(5)
+    poses = np.concatenate([rng.uniform(-0.5, 0.5, (40, 3)), rng.uniform(-20, 20, (40, 2)), rng.uniform(250, 400, (40, 1))], axis=1)
+    poses[0, :3] = 0
+    plane = chessboard.board(ACROSS, DOWN, 20.0)
+    theta = np.array([620.0, 600.0, 322.0, 235.0, -0.12, 0.05, 0.01, -0.01, 0.0])
+    seen = chessboard.project(theta, poses, plane)
+    assert seen.shape == (40, ACROSS * DOWN, 2) and all(np.allclose(s, chessboard.project(theta, p, plane)) for s, p in zip(seen, poses, strict=True))
+    m = chessboard.rotation(np.concatenate([poses[:, :3], [[0, 0, np.pi], [np.pi, 0, 0]]]))
+    assert all(np.allclose(chessboard.rotation(t), chessboard.rotation(chessboard.turn_of(x)), atol=1e-6) for t, x in zip(chessboard.turns_of(m), m, strict=True))
+    h = chessboard.homography(plane, chessboard.project(np.array([620.0, 600.0, 322.0, 235.0, 0, 0, 0, 0, 0]), poses, plane))
+    assert h.shape == (40, 3, 3) and chessboard.constraints(h).shape == (40, 2, 6)
+    at = poses + rng.normal(0, 0.01, poses.shape)
+    both = chessboard.reduced(theta, at, plane, seen, 1e-3)
+    for k in (0, 1, 39):
+        assert all(np.allclose(x[k], y[0], rtol=1e-6, atol=1e-6) for x, y in zip(both, chessboard.reduced(theta, at[k : k + 1], plane, seen[k : k + 1], 1e-3), strict=True))
+    moved = at - both[3]  # the camera is right already, so a step of the poses alone nears them
+    assert chessboard.reduced(theta, moved, plane, seen, 1e-3)[2].sum() < 0.01 * both[2].sum()
