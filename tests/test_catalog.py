@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from plyforge.plans import catalog
+from plyforge.plans import catalog, views
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,3 +33,11 @@ def test_query_equals_sql(spark, duck, name):
     names = [c[0] for c in want.description]
     assert sorted(df.columns) == sorted(names)
     assert rows(df.columns, map(tuple, df.collect())) == rows(names, want.fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_partitions_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(views, "LINES", 500)
+    monkeypatch.setattr(views, "VOLUMES", 10)
+    n = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert catalog.gcode_position(spark, SF).rdd.getNumPartitions() == -(-n // 500) > 4
