@@ -41,3 +41,5 @@ def test_partitions_grow_with_the_table(spark, monkeypatch):
     monkeypatch.setattr(views, "VOLUMES", 10)
     n = spark.read.parquet(f"{SF}/lineitem.parquet").count()
     assert catalog.gcode_position(spark, SF).rdd.getNumPartitions() == -(-n // 500) > 4
+    n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    assert catalog.mesh_info(spark, SF).rdd.getNumPartitions() == -(-n // 10) > 4
