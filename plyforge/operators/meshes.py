@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .tables import written
+from .tables import dealt, written
 
 
 def sphere_phantom(spark: SparkSession, half: int = 20, radius: float = 15.0) -> DataFrame:
@@ -347,40 +349,71 @@ def nested(rings: DataFrame, mesh: str = "mesh", cells: int = 64) -> DataFrame:
     return rings.join(depth, [*section, "ring"], "left").withColumn("area", F.when(F.col("_odd") == 1, -F.abs("area")).otherwise(F.abs("area"))).drop("_odd").select(rings.columns)
 
 
+def ring_chains(ends: list[tuple[tuple, tuple]]) -> list[tuple[float, float, bool, np.ndarray]]:
+    """(area, perimeter, closed, points) of each chain of one section's segments."""
+    at: dict = {}
+    for i, (a, b) in enumerate(ends):
+        at.setdefault(a, []).append(i)
+        at.setdefault(b, []).append(i)
+    used, out = [False] * len(ends), []
+    for i in sorted(range(len(ends)), key=lambda k: ends[k]):
+        if used[i]:
+            continue
+        used[i] = True
+        chain = list(ends[i])
+        while chain[-1] != chain[0]:
+            free = [k for k in at[chain[-1]] if not used[k]]
+            onward = next((k for k in free if ends[k][0] == chain[-1]), free[0] if free else None)
+            if onward is None:
+                break
+            used[onward] = True
+            a, b = ends[onward]
+            chain.append(b if a == chain[-1] else a)
+        closed = chain[-1] == chain[0]
+        p = np.array(chain)
+        area = float((p[:-1, 0] * p[1:, 1] - p[1:, 0] * p[:-1, 1]).sum()) / 2 if closed else 0.0
+        out.append((area, float(np.linalg.norm(np.diff(p, axis=0), axis=1).sum()), closed, p[: len(p) - closed]))
+    return out
+
+
 def _chained(cuts: DataFrame, mesh: str, digits: int) -> DataFrame:
-    """Rings of sections that a task holds."""
-    kind = cuts.schema[mesh].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ends = [(tuple(a), tuple(b)) for a, b in zip(pdf[["x0", "y0"]].round(digits).to_numpy().tolist(), pdf[["x1", "y1"]].round(digits).to_numpy().tolist(), strict=True) if a != b]
-        at: dict = {}
-        for i, (a, b) in enumerate(ends):
-            at.setdefault(a, []).append(i)
-            at.setdefault(b, []).append(i)
-        used, out = [False] * len(ends), []
-        for i in sorted(range(len(ends)), key=lambda k: ends[k]):
-            if used[i]:
-                continue
-            used[i] = True
-            chain = list(ends[i])
-            while chain[-1] != chain[0]:
-                free = [k for k in at[chain[-1]] if not used[k]]
-                onward = next((k for k in free if ends[k][0] == chain[-1]), free[0] if free else None)
-                if onward is None:
-                    break
-                used[onward] = True
-                a, b = ends[onward]
-                chain.append(b if a == chain[-1] else a)
-            closed = chain[-1] == chain[0]
-            p = np.array(chain)
-            area = float((p[:-1, 0] * p[1:, 1] - p[1:, 0] * p[:-1, 1]).sum()) / 2 if closed else 0.0
-            out.append((len(out), len(chain) - closed, area, float(np.linalg.norm(np.diff(p, axis=0), axis=1).sum()), [{"x": x, "y": y} for x, y in (chain[:-1] if closed else chain)]))
-        rows = pd.DataFrame(out, columns=["ring", "n_points", "area", "perimeter", "points"])
-        rows.insert(0, mesh, pdf[mesh].iloc[0])
-        rows.insert(1, "height_idx", pdf["height_idx"].iloc[0])
-        return rows
-
-    return cuts.groupBy(mesh, "height_idx").applyInPandas(run, f"{mesh} {kind}, height_idx {cuts.schema['height_idx'].dataType.simpleString()}, ring int, n_points int, area double, perimeter double, points array<struct<x: double, y: double>>")
+    """Rings of sections that a task holds, one after another."""
+    kind, number = (cuts.schema[c].dataType.simpleString() for c in (mesh, "height_idx"))
+
+    def rows(found: list[tuple], types: list[pa.DataType]) -> pa.RecordBatch:
+        m, h, ring, area, perimeter, points = zip(*found, strict=True)
+        sizes, flat = [len(p) for p in points], np.concatenate(points)
+        xy = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["x", "y"])
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), xy)
+        columns = [pa.array(m, types[0]), pa.array(h, types[1]), pa.array(ring, pa.int32()), pa.array(sizes, pa.int32()), pa.array(area), pa.array(perimeter), lists]
+        return pa.RecordBatch.from_arrays(columns, [mesh, "height_idx", "ring", "n_points", "area", "perimeter", "points"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ends, found, types = None, [], [], []
+
+        def finish() -> None:
+            found.extend((*now, i, area, perimeter, p) for i, (area, perimeter, _, p) in enumerate(ring_chains(ends)))
+
+        for b in batches:
+            types = [b.schema.field(i).type for i in (0, 1)]
+            place = np.round(np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(2, 6)]), digits).tolist()
+            for m, h, (x0, y0, x1, y1) in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), place, strict=True):
+                if (m, h) != now:
+                    if ends:
+                        finish()
+                    now, ends = (m, h), []
+                if (x0, y0) != (x1, y1):
+                    ends.append(((x0, y0), (x1, y1)))
+            if found:
+                yield rows(found, types)
+                found.clear()
+        if ends:
+            finish()
+        if found:
+            yield rows(found, types)
+
+    told = dealt(cuts.select(mesh, "height_idx", "x0", "y0", "x1", "y1"), 200_000, mesh, "height_idx").sortWithinPartitions(mesh, "height_idx")
+    return told.mapInArrow(run, f"`{mesh}` {kind}, height_idx {number}, ring int, n_points int, area double, perimeter double, points array<struct<x: double, y: double>>")
 
 
 def section_areas(cuts: DataFrame, mesh: str = "mesh") -> DataFrame:

@@ -59,7 +59,7 @@ def grey_level(e: Column) -> Column:
 
 def voxels(spark: SparkSession, sf_dir: str, level: bool = False) -> DataFrame:
     """An embedding as a volume of 4 x 4 x 4 voxels: `inside` where an entry is over 0, or its grey level as v. What follows by volume stays in the partitions dealt here."""
-    e = dealt(table(spark, sf_dir, "embeddings"), "vec_id", VOLUMES).select(F.col("vec_id").alias("volume"), F.posexplode("embedding").alias("i", "e"))
+    e = dealt(table(spark, sf_dir, "embeddings"), VOLUMES, "vec_id").select(F.col("vec_id").alias("volume"), F.posexplode("embedding").alias("i", "e"))
     own = grey_level(F.col("e")).alias("v") if level else (F.col("e") > 0).alias("inside")
     return e.select("volume", F.expr("cast(i div 16 as int)").alias("z"), F.expr("cast(i div 4 % 4 as int)").alias("y"), (F.col("i") % 4).alias("x"), own)
 
@@ -92,7 +92,7 @@ ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedpri
 
 def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toolpath program a supplier: a line for each of their order lines. What follows by file stays in the partitions dealt here."""
-    li = dealt(table(spark, sf_dir, "lineitem"), "l_suppkey", LINES)
+    li = dealt(table(spark, sf_dir, "lineitem"), LINES, "l_suppkey")
     q, n = F.col("l_quantity").cast("int").cast("string"), F.col("l_linenumber").cast("string")
     kind = F.col("l_partkey") % 8
     text = (

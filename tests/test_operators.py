@@ -661,3 +661,22 @@ def test_profiles_projects_and_dotted_names(spark, tmp_path):
     files.save_project(folder, project | {"images_dir": "/i", "tolerance_mm": 0.3})
     settings = inspection.of_project(files.load_project(folder), 0.05)
     assert (settings.images_dir, settings.tolerance_mm, settings.scale_mm_per_px) == ("/i", 0.3, 0.05)
+
+
+def test_many_small_sections_in_a_task(spark):
+    """Sections that share a task, and batches that end inside one, give each section's own rings; ids beyond 2^53 and null ones stay."""
+    base = 2**60
+    square = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]
+    side = lambda m, h, k, n: (m, h, *(n * c for c in square[k]), *(n * c for c in square[(k + 1) % 4]))
+    rows = [side(base + m, h, k, m + h + 1) for m in range(40) for h in range(3) for k in range(4)] + [side(None, 0, k, 1) for k in range(4)] + [(base, 9, 1.0, 1.0, 1.0, 1.0)]
+    cuts = spark.createDataFrame(rows, "volume long, height_idx int, x0 double, y0 double, x1 double, y1 double").repartition(5)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rings = meshes.section_rings(cuts, "volume")
+        got = {(r.volume, r.height_idx): (r.ring, r.n_points, r.area, r.perimeter) for r in rings.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {(base + m, h): (0, 4, 4.0 * (m + h + 1) ** 2, 8.0 * (m + h + 1)) for m in range(40) for h in range(3)} | {(None, 0): (0, 4, 4.0, 8.0)}
+    assert got == want and rings.count() == len(want)
+    assert "FlatMapGroupsInPandas" not in rings._jdf.queryExecution().toString()
