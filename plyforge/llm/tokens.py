@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +19,9 @@ from .common import gather, runs
 SPACES = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]"
 
 
-#: Letters that no normaliser but lower-casing changes, and one stop: such a chunk is a word, or a word and a stop.
-PLAIN = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)").fullmatch
+#: Letters that no normaliser but lower-casing changes, and one stop: such a chunk is a word, or a word and a stop, or two of these in lines of their own.
+LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
+PLAIN = re.compile(f"( ?{LETTERS})([.,]?)(?:\n({LETTERS})([.,]?))?").fullmatch
 
 
 def byte_letters() -> dict[int, str]:
@@ -47,7 +47,7 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.spaced, self.max_chunks = spaced, max_chunks
         self.model, self.letters, self.stops = self.tokenizer.model, byte_letters(), {}
-        for stop in (".", ","):
+        for stop in (".", ",", "\n", ".\n", ",\n"):
             self.stops[stop] = self.tokenizer.encode(stop, add_special_tokens=False).ids
         self.stops[""] = []
         self.forget()
@@ -57,27 +57,36 @@ class ChunkEncoder:
         self.ids = np.empty(1 << 16, np.uint32)
         self.at = np.zeros(1 << 14, np.int64)
 
-    def _encode(self, chunks: list[str]) -> list[list[int]]:
-        """Plain words go to the vocabulary's model, anything else through the whole tokenizer."""
-        tokenize, letters, stops = self.model.tokenize, self.letters, self.stops
-        plain = [PLAIN(c) for c in chunks]
+    def _encode(self, chunks: list[str]) -> tuple[list[int], list[int]]:
+        """All ids in a row, and the number of each chunk's. Plain words go to the vocabulary's model, anything else through the whole tokenizer."""
+        tokenize, letters, stops, known, lower = self.model.tokenize, self.letters, self.stops, self.known, self.spaced
+        space = letters[32]
+        plain = list(map(PLAIN, chunks))
         rest = iter(self.tokenizer.encode_batch_fast([c for c, m in zip(chunks, plain, strict=True) if m is None], add_special_tokens=False))
-        out = []
+        flat, counts = [], []
         for m in plain:
+            before = len(flat)
             if m is None:
-                out.append(next(rest).ids)
-                continue
-            word, stop = m.groups()
-            if stop and (k := self.known.get(word)) is not None:
-                out.append(self.ids[self.at[k] : self.at[k + 1]].tolist() + stops[stop])
-                continue
-            out.append([t.id for t in tokenize((word.lower() if self.spaced else word).translate(letters))] + stops[stop])
-        return out
+                flat += next(rest).ids
+            else:
+                word, stop, line, line_stop = m.groups()
+                if (stop or line) and (k := known.get(word)) is not None:
+                    flat += self.ids[self.at[k] : self.at[k + 1]].tolist()
+                else:
+                    name = word.lower() if lower else word
+                    name = name.translate(letters) if not name.isascii() else name if name[0] != " " else space + name[1:]
+                    flat += [t.id for t in tokenize(name)]
+                if line:
+                    flat += stops[stop + "\n"]
+                    flat += [t.id for t in tokenize((line.lower() if lower else line).translate(letters))] + stops[line_stop]
+                elif stop:
+                    flat += stops[stop]
+            counts.append(len(flat) - before)
+        return flat, counts
 
     def _learn(self, chunks: list[str]) -> None:
-        found = self._encode(chunks)
-        n, lengths = len(self.known), np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
+        flat, counts = self._encode(chunks)
+        n, lengths = len(self.known), np.array(counts, np.int64)
         ends = self.at[n] + np.cumsum(lengths)
         while len(self.at) < n + len(chunks) + 1:
             self.at = np.concatenate([self.at, np.zeros_like(self.at)])

@@ -129,3 +129,23 @@ def test_packing_in_many_groups(spark):
             assert x["offset"].tolist() == np.concatenate([[0], np.cumsum(x["length"])[:-1]]).tolist() and x["length"].sum() <= 1024
     least = -(-sum(r[3] for r in rows) // 1024)
     assert one.sequence_id.nunique() <= many.sequence_id.nunique() <= one.sequence_id.nunique() * 1.05 + 2 and many.sequence_id.nunique() >= least
+
+
+@pytest.mark.parametrize(("name", "spaced"), [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_plain_words_on_both_sides_of_a_line_end_go_to_the_model(name, spaced):
+    import pyarrow as pa
+
+    path = public_tokenizers.path(name)
+    enc = ChunkEncoder(path, spaced)
+    plain, seen = enc.tokenizer, []
+
+    class Told:
+        def encode_batch_fast(self, chunks, add_special_tokens):
+            seen.extend(chunks)
+            return plain.encode_batch_fast(chunks, add_special_tokens=add_special_tokens)
+
+    enc.tokenizer = Told()
+    texts = ["one end.\nThe next, line\nand Éàü,\nünd.", "end. end,\nend", "a.\n\nb c\n d.\r\ne it's.\nx1 a\n", " end\nEnd. (x\ny)"]
+    flat, ends = enc.encode(pa.array(texts))
+    assert [flat[a:b].tolist() for a, b in zip(ends, ends[1:])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not [c for c in seen if c.strip(" ").replace(".\n", "").replace(",\n", "").replace("\n", "").strip(".,").isalpha() and not c.endswith("\n") and "\n\n" not in c]
