@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .tables import dealt, written
 
+CHUNK = 50_000  # segments of whole sections ranked at a time
+
 
 def sphere_phantom(spark: SparkSession, half: int = 20, radius: float = 15.0) -> DataFrame:
     """(volume, z, y, x, inside) of a sphere in a cube of (2 half) voxels a side."""
@@ -262,13 +264,19 @@ def section_rings(cuts: DataFrame, mesh: str = "mesh", digits: int = 6, most_loc
     Chains begin with their least segment and follow the segments' direction where they can. A ring's area is
     negative where it runs clockwise, that is, around a hole of a mesh wound outward. Open chains have area 0.
     """
+    small, large = _by_size(cuts, mesh, most_local)
+    rings = _chained(small, mesh, digits)
+    return rings if large is None else rings.unionByName(_linked(large, mesh, digits))
+
+
+def _by_size(cuts: DataFrame, mesh: str, most_local: int) -> tuple[DataFrame, DataFrame | None]:
+    """The segments of sections of most_local or fewer, and those of larger ones, if there are any."""
     cuts = written(cuts)
     sizes = cuts.groupBy(mesh, "height_idx").agg(F.count("*").alias("n")).filter(F.col("n") > most_local)
     large = written(sizes.select(mesh, "height_idx"))
     if large.isEmpty():
-        return _chained(cuts, mesh, digits)
-    small = cuts.join(large, [mesh, "height_idx"], "left_anti")
-    return _chained(small, mesh, digits).unionByName(linked_rings(cuts.join(large, [mesh, "height_idx"], "left_semi"), mesh, digits))
+        return cuts, None
+    return cuts.join(large, [mesh, "height_idx"], "left_anti"), cuts.join(large, [mesh, "height_idx"], "left_semi")
 
 
 def doubled(links: DataFrame, carried: dict[str, Column], watched: str, most_rounds: int = 64) -> DataFrame:
@@ -290,15 +298,118 @@ def doubled(links: DataFrame, carried: dict[str, Column], watched: str, most_rou
     raise RuntimeError(f"chains did not settle in {most_rounds} rounds")
 
 
-def linked_rings(cuts: DataFrame, mesh: str = "mesh", digits: int = 6) -> DataFrame:
+def linked_rings(cuts: DataFrame, mesh: str = "mesh", digits: int = 6, most_local: int = 100_000) -> DataFrame:
     """section_rings() of sections of any size, by list ranking.
 
     Segment ends that meet in a point are paired in the order of their angles, so that chains don't cross there. A
     segment is two darts, one each way, and a dart's next one is fixed by its head's pair. Pointer doubling finds each
     cycle's least dart (or an open chain's last one), the cut there gives every dart's place, in as many rounds as the
-    longest chain's length has bits. Of a chain's two ways the one with its least segment's direction stays. No task
-    holds a section until a ring's points become its row.
+    longest chain's length has bits. Of a chain's two ways the one with its least segment's direction stays. Sections of
+    most_local segments or fewer are ranked so in the task that they are dealt to, so their darts are shuffled once and
+    not in every round; darts of larger ones meet by Spark's joins, and no task holds such a section until a ring's
+    points become its row.
     """
+    small, large = _by_size(cuts, mesh, most_local)
+    rings = _ranked(small, mesh, digits)
+    return rings if large is None else rings.unionByName(_linked(large, mesh, digits))
+
+
+def doubled_here(ptr: np.ndarray, carried: list[np.ndarray], how: list) -> np.ndarray:
+    """doubled() of darts 0, 1, ... that a task holds (ptr -1: an end); carried arrays change in place, the first is watched."""
+    ptr = ptr.copy()
+    while True:
+        at = np.flatnonzero(ptr >= 0)
+        to = ptr[at]
+        onward = ptr[to]
+        new = [f(c[at], c[to]) for f, c in zip(how, carried, strict=True)]
+        settled = not ((onward < 0) | (new[0] != carried[0][at])).any()
+        for c, x in zip(carried, new, strict=True):
+            c[at] = x
+        ptr[at] = onward
+        if settled:
+            return ptr
+
+
+def ring_ranks(section: np.ndarray, ends: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(darts, first places of rings, whether closed) of segments (n, ends, xy) in order of their sections and places; turn: (n, ends)."""
+    n = len(section)
+    xy, sid = ends.reshape(2 * n, 2), np.arange(2 * n) // 2  # half 2 s + e is where dart 2 s + e leaves and its opposite arrives
+    order = np.lexsort((np.arange(2 * n), turn.ravel(), xy[:, 1], xy[:, 0], section[sid]))
+    new = np.ones(2 * n, bool)
+    new[1:] = (section[sid[order[1:]]] != section[sid[order[:-1]]]) | (xy[order[1:]] != xy[order[:-1]]).any(axis=1)
+    first = np.flatnonzero(new)
+    even = (np.arange(2 * n) - np.repeat(first, np.diff(np.append(first, 2 * n)))) % 2 == 0
+    one = np.flatnonzero(even[:-1] & ~even[1:] & ~new[1:])
+    p, q, links = order[one], order[one + 1], np.full(2 * n, -1)
+    links[p ^ 1], links[q ^ 1] = q, p
+    dart = np.arange(2 * n)
+    least, last = dart.copy(), dart.copy()
+    closed = doubled_here(links, [least, last], [np.minimum, lambda _, b: b]) >= 0
+    chain = np.where(closed, least, last)
+    cut = np.where(closed & (links == chain), -1, links)
+    after = (cut >= 0).astype(np.int64)
+    doubled_here(cut, [after], [np.add])
+    lowest = np.full(2 * n, 2 * n)
+    np.minimum.at(lowest, chain, dart)
+    kept = np.flatnonzero(lowest[chain] % 2 == 0)
+    kept = kept[np.lexsort((-after[kept], lowest[chain[kept]]))]
+    begins = np.flatnonzero(np.append(True, chain[kept[1:]] != chain[kept[:-1]]))
+    return kept, begins, closed[kept[begins]]
+
+
+def _ranked(cuts: DataFrame, mesh: str, digits: int) -> DataFrame:
+    """linked_rings() of sections that a task holds; it ranks CHUNK segments of whole sections at a time."""
+    kind, number = (cuts.schema[c].dataType.simpleString() for c in (mesh, "height_idx"))
+    place, chunk = ["x0", "y0", "x1", "y1"], CHUNK
+
+    def solve(t: pa.Table, section: np.ndarray) -> pa.RecordBatch:
+        ends = np.column_stack([t[c].to_numpy() for c in place]).reshape(-1, 2, 2)
+        darts, begins, closed = ring_ranks(section, ends, np.column_stack([t["turn0"].to_numpy(), t["turn1"].to_numpy()]))
+        xy = ends.reshape(-1, 2)
+        a, b = xy[darts], xy[darts ^ 1]
+        twice = np.add.reduceat(a[:, 0] * b[:, 1] - b[:, 0] * a[:, 1], begins)
+        length = np.add.reduceat(np.sqrt(((b - a) ** 2).sum(axis=1)), begins)
+        stops = np.append(begins[1:], len(darts))
+        points = np.insert(a, stops[~closed], b[stops[~closed] - 1], axis=0)  # an open chain has its last end too
+        sizes = stops - begins + ~closed
+        rows = darts[begins] // 2
+        own = section[rows]
+        start = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        ring = np.arange(len(own)) - np.repeat(start, np.diff(np.append(start, len(own))))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.StructArray.from_arrays([pa.array(points[:, i].copy()) for i in (0, 1)], ["x", "y"]))
+        keys = [t[c].combine_chunks().take(pa.array(rows)) for c in (mesh, "height_idx")]
+        return pa.RecordBatch.from_arrays([*keys, pa.array(ring, pa.int32()), pa.array(sizes, pa.int32()), pa.array(np.where(closed, twice / 2, 0.0)), pa.array(length), lists], [mesh, "height_idx", "ring", "n_points", "area", "perimeter", "points"])
+
+    def sections(t: pa.Table) -> np.ndarray:
+        codes = np.column_stack([t[c].combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False) for c in (mesh, "height_idx")])
+        return np.append(0, np.cumsum((codes[1:] != codes[:-1]).any(axis=1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, most = [], 0, chunk
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n < most:
+                continue
+            t = pa.Table.from_batches(held)
+            section = sections(t)
+            whole = int(np.searchsorted(section, section[-1]))  # the last section may go on
+            if whole:
+                yield solve(t.slice(0, whole), section[:whole])
+            held, n = t.slice(whole).to_batches(), t.num_rows - whole
+            most = max(chunk, 2 * n)
+        if n:
+            t = pa.Table.from_batches(held)
+            yield solve(t, sections(t))
+
+    told = dealt(cuts.select(mesh, "height_idx", *place), 200_000, mesh, "height_idx")
+    told = told.select(mesh, "height_idx", *[F.round(c, digits).alias(c) for c in place]).filter("x0 <> x1 or y0 <> y1").sortWithinPartitions(mesh, "height_idx", *place)
+    turns = [F.atan2(F.col(f"y{1 - e}") - F.col(f"y{e}"), F.col(f"x{1 - e}") - F.col(f"x{e}")).alias(f"turn{e}") for e in (0, 1)]
+    return told.select("*", *turns).mapInArrow(run, f"`{mesh}` {kind}, height_idx {number}, ring int, n_points int, area double, perimeter double, points array<struct<x: double, y: double>>")
+
+
+def _linked(cuts: DataFrame, mesh: str, digits: int) -> DataFrame:
+    """linked_rings() of sections of any size."""
     near = {c: F.round(c, digits).alias(c) for c in ("x0", "y0", "x1", "y1")}
     ends = cuts.select(mesh, "height_idx", *near.values()).filter("x0 <> x1 or y0 <> y1").orderBy(mesh, "height_idx", "x0", "y0", "x1", "y1")
     rows = written(ends.withColumn("sid", F.monotonically_increasing_id()))
@@ -333,16 +444,21 @@ def linked_rings(cuts: DataFrame, mesh: str = "mesh", digits: int = 6) -> DataFr
 def nested(rings: DataFrame, mesh: str = "mesh", cells: int = 64) -> DataFrame:
     """rings with areas signed by even-odd nesting, for meshes whose winding tells nothing: a ring in an odd number of others is a hole.
 
-    A ray along x from a ring's first point meets the other rings' segments of its y; they are joined by rows of cells.
+    A ray along x from a ring's first point meets the other rings' segments of its y; they are joined by rows of cells, one
+    for each 32 points of a section. A section of one ring has nothing to join.
     """
     section = [mesh, "height_idx"]
     closed = F.transform(F.sequence(F.lit(0), F.size("points") - 1), lambda i: F.struct(F.get("points", i).alias("a"), F.get("points", F.pmod(i + 1, F.size("points"))).alias("b")))
-    each = rings.filter("area <> 0").select(*section, F.col("ring").alias("other"), F.explode(closed).alias("s")).select(*section, "other", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by"))
-    asked = rings.filter("area <> 0").select(*section, "ring", F.get("points", F.lit(0))["x"].alias("px"), F.get("points", F.lit(0))["y"].alias("py"))
-    about = each.groupBy(*section).agg(F.min("ay").alias("low"), ((F.max("ay") - F.min("ay")) / cells).alias("step"))
+    y = F.transform("points", lambda p: p["y"])
+    about = rings.filter("area <> 0").groupBy(*section).agg(F.count("*").alias("_n"), F.sum(F.size("points")).alias("_size"), F.min(F.array_min(y)).alias("low"), F.max(F.array_max(y)).alias("high")).filter("_n > 1")
+    count = F.least(F.lit(cells), F.ceil(F.col("_size") / 32))
+    about = about.select(*section, "low", ((F.col("high") - F.col("low")) / count).alias("step"))
+    base = rings.filter("area <> 0").join(about, section)
     cell = lambda y: F.when(F.col("step") > 0, F.floor((y - F.col("low")) / F.col("step"))).otherwise(0).cast("int")
-    held = each.join(about, section).withColumn("cell", F.explode(F.sequence(cell(F.least("ay", "by")), cell(F.greatest("ay", "by"))))).drop("low", "step")
-    met = asked.join(about, section).withColumn("cell", cell(F.col("py"))).drop("low", "step").join(held, [*section, "cell"])
+    each = base.select(*section, F.col("ring").alias("other"), "low", "step", F.explode(closed).alias("s")).select(*section, "other", "low", "step", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by"))
+    held = each.filter("ay <> by").withColumn("cell", F.explode(F.sequence(cell(F.least("ay", "by")), cell(F.greatest("ay", "by"))))).drop("low", "step")
+    met = base.select(*section, "ring", "low", "step", F.get("points", F.lit(0))["x"].alias("px"), F.get("points", F.lit(0))["y"].alias("py"))
+    met = met.withColumn("cell", cell(F.col("py"))).drop("low", "step").join(held, [*section, "cell"])
     above = (F.col("ay") > F.col("py")) != (F.col("by") > F.col("py"))
     crosses = F.col("ax") + F.try_divide(F.col("py") - F.col("ay"), F.col("by") - F.col("ay")) * (F.col("bx") - F.col("ax"))
     depth = met.filter((F.col("other") != F.col("ring")) & above & (crosses > F.col("px"))).groupBy(*section, "ring").agg((F.count("*") % 2).alias("_odd"))

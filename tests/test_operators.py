@@ -242,6 +242,24 @@ def test_large_sections_are_chained_by_spark(spark):
         assert [(q.x, q.y) for q in got[0].points] == [(0, 0), (1, 0), (1, 1)] and got[0].area == 0 and got[1].n_points == 2 and got[0].perimeter == 2
 
 
+def test_sections_ranked_in_tasks_are_those_ranked_by_joins(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    on = rng.random((3, 6, 6)) < 0.55
+    rows = [(f"m{k}", 0, y, x, bool(on[k, y, x])) for k in range(3) for y in range(6) for x in range(6)]
+    v = spark.createDataFrame(rows, "mesh string, z int, y int, x int, inside boolean")
+    cuts = meshes.plane_sections(meshes.voxel_faces(v, "mesh"), spark.createDataFrame([(0, 0.25), (1, 0.75)], "height_idx int, z double"))
+    f = F.pmod(F.xxhash64("x0", "y0"), F.lit(3)) == 0
+    turned_ = cuts.select("mesh", "height_idx", *[F.when(f, F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("x0", "x1"), ("y0", "y1"), ("x1", "x0"), ("y1", "y0"))])
+    more = [("m9", 0, 0.0, 0.0, 1.0, 0.0), ("m9", 0, 1.0, 0.0, 1.0, 1.0), ("m9", 0, 1.0, 0.0, 2.0, -1.0), ("m9", 0, 5.0, 5.0, 5.0, 5.0), ("m9", 0, 7.0, 7.0, 8.0, 7.0), ("m9", 0, 7.0, 7.0, 8.0, 7.0)]
+    every = turned_.unionByName(spark.createDataFrame(more, turned_.schema)).cache()
+    told = lambda df: sorted((r.mesh, r.height_idx, r.ring, r.n_points, round(r.area, 9), round(r.perimeter, 9), tuple((p.x, p.y) for p in r.points)) for r in df.collect())
+    want = told(meshes.linked_rings(every, most_local=0))
+    monkeypatch.setattr(meshes, "doubled", None)  # no rounds of joins where tasks hold the sections
+    for chunk in (50_000, 7):
+        monkeypatch.setattr(meshes, "CHUNK", chunk)
+        assert told(meshes.linked_rings(every)) == want
+
+
 def test_a_ring_longer_than_a_task_would_hold(spark):
     n = 3000
     turn = 2 * math.pi / n
