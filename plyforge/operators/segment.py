@@ -18,6 +18,7 @@ from plyforge.functions import geometry, images
 from .pixels import ellipse
 
 METHODS = ("adaptive", "otsu", "background_subtraction")
+IMAGES = 256  # whose contours a task holds as Python's points at a time
 
 
 @dataclass
@@ -84,7 +85,7 @@ def contours(masks: DataFrame, scale: float = 1.0, simplify: float = 0.002, min_
     Borders under min_area_mm2, before holes are taken off, go. outer is
     simplified by `simplify` of its length; area, perimeter and confidence's
     shape are of the traced border. masks: height, width, mask and other
-    columns, which are kept.
+    columns, which are kept. A task's points leave it every IMAGES masks.
     """
     if scale <= 0:
         raise ValueError("the scale must be over 0")
@@ -94,7 +95,7 @@ def contours(masks: DataFrame, scale: float = 1.0, simplify: float = 0.002, min_
     as_points = lambda p: [{"x": float(x), "y": float(y)} for x, y in p * scale]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in (x.iloc[k : k + IMAGES] for x in batches for k in range(0, len(x), IMAGES)):
             out = []
             for row in b.to_dict("records"):
                 mask = np.frombuffer(row["mask"], np.uint8).reshape(row["height"], row["width"])

@@ -698,3 +698,20 @@ def test_many_small_sections_in_a_task(spark):
     want = {(base + m, h): (0, 4, 4.0 * (m + h + 1) ** 2, 8.0 * (m + h + 1)) for m in range(40) for h in range(3)} | {(None, 0): (0, 4, 4.0, 8.0)}
     assert got == want and rings.count() == len(want)
     assert "FlatMapGroupsInPandas" not in rings._jdf.queryExecution().toString()
+
+
+def test_contours_leave_a_task_in_slices(spark):
+    """A batch of many masks never stands as Python's points all at once."""
+    from types import SimpleNamespace
+    from unittest.mock import MagicMock
+
+    import pandas as pd
+
+    held = MagicMock()
+    held.schema = [SimpleNamespace(name="image", dataType=SimpleNamespace(simpleString=lambda: "int"))]
+    segment.contours(held)
+    run = held.mapInPandas.call_args.args[0]
+    mask = np.zeros((8, 8), np.uint8)
+    mask[1:6, 2:7] = 255
+    found = list(run(iter([pd.DataFrame({"image": range(600), "height": 8, "width": 8, "mask": [mask.tobytes()] * 600})])))
+    assert [len(f) for f in found] == [256, 256, 88] and pd.concat(found)["image"].tolist() == list(range(600))
