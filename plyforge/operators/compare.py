@@ -131,23 +131,30 @@ def meet(points: DataFrame, targets: DataFrame, corners: list[list[str]], pairwi
 
 
 def triangle_distance(p: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Distances of points (n, 3) to triangles (n, 3 each): to the plane where the foot lies inside, else to the nearest edge."""
-    ab, ac, ap = b - a, c - a, p - a
-    normal = np.cross(ab, ac)
-    squared = (normal * normal).sum(axis=1)
+    """Distances of points (..., 3) to triangles (..., 3 each): to the plane where the foot lies inside, else to the nearest edge.
+
+    Points and triangles broadcast; what a triangle alone decides is computed once for all points.
+    """
+    p, a, b, c = ([x[..., i] for i in range(3)] for x in (p, a, b, c))
+    minus = lambda u, v: [x - y for x, y in zip(u, v, strict=True)]
+    dot = lambda u, v: u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
+    cross = lambda u, v: [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+    ab, ac, ap = minus(b, a), minus(c, a), minus(p, a)
+    normal = cross(ab, ac)
+    squared = dot(normal, normal)
     safe = np.where(squared > 0, squared, 1.0)
-    v = (np.cross(ap, ac) * normal).sum(axis=1) / safe
-    w = (np.cross(ab, ap) * normal).sum(axis=1) / safe
+    v, w = dot(cross(ap, ac), normal) / safe, dot(cross(ab, ap), normal) / safe
     inside = (squared > 0) & (v >= 0) & (w >= 0) & (v + w <= 1)
-    plane = np.abs((ap * normal).sum(axis=1)) / np.sqrt(safe)
+    plane = np.abs(dot(ap, normal)) / np.sqrt(safe)
 
-    def edge(s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        d = e - s
-        n = (d * d).sum(axis=1)
-        t = np.clip(((p - s) * d).sum(axis=1) / np.where(n > 0, n, 1.0), 0, 1)
-        return np.linalg.norm(p - s - t[:, None] * d, axis=1)
+    def edge(s: list[np.ndarray], d: list[np.ndarray], sp: list[np.ndarray]) -> np.ndarray:
+        n = dot(d, d)
+        t = np.clip(dot(sp, d) / np.where(n > 0, n, 1.0), 0, 1)
+        rest = [x - t * y for x, y in zip(sp, d, strict=True)]
+        return np.sqrt(dot(rest, rest))
 
-    return np.where(inside, plane, np.minimum(np.minimum(edge(a, b), edge(b, c)), edge(c, a)))
+    bc, ca = minus(c, b), minus(a, c)
+    return np.where(inside, plane, np.minimum(np.minimum(edge(a, ab, ap), edge(b, bc, minus(p, b))), edge(c, ca, minus(p, c))))
 
 
 def surface_distance(points: DataFrame, triangles: DataFrame, point_id: str = "vid") -> DataFrame:
@@ -162,7 +169,6 @@ def surface_distance(points: DataFrame, triangles: DataFrame, point_id: str = "v
     rows = triangles.select(*[F.col(c).cast("double").alias(c) for c in cols]).filter(boxes.finite([F.col(c) for c in cols])).distinct().withColumn("id", F.xxhash64(*cols))
     asked = points.select(F.col(point_id).alias("id"), *[F.col(x).cast("double").alias(f"c{i}") for i, x in enumerate("xyz")]).filter(boxes.finite([F.col(f"c{i}") for i in range(3)]))
     def apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        each, to = np.repeat(p, len(q), axis=0), np.tile(q, (len(p), 1))
-        return triangle_distance(each, to[:, :3], to[:, 3:6], to[:, 6:]).reshape(len(p), len(q))
+        return triangle_distance(p[:, None], q[:, :3], q[:, 3:6], q[:, 6:])
 
     return meet(asked, rows, corners, apart, "no triangles").select(F.col("id").alias(point_id), "distance")

@@ -715,3 +715,12 @@ def test_contours_leave_a_task_in_slices(spark):
     mask[1:6, 2:7] = 255
     found = list(run(iter([pd.DataFrame({"image": range(600), "height": 8, "width": 8, "mask": [mask.tobytes()] * 600})])))
     assert [len(f) for f in found] == [256, 256, 88] and pd.concat(found)["image"].tolist() == list(range(600))
+
+
+def test_triangle_distance_of_all_points_and_triangles():
+    rng = np.random.default_rng(2)
+    p, q = rng.normal(size=(5, 3)), rng.normal(size=(4, 9)).round(1)
+    q[1] = np.tile(q[1, :3], 3)  # a triangle that is one point
+    got = compare.triangle_distance(p[:, None], q[:, :3], q[:, 3:6], q[:, 6:])
+    want = [[compare.triangle_distance(x[None], y[None, :3], y[None, 3:6], y[None, 6:])[0] for y in q] for x in p]
+    assert got.shape == (5, 4) and (got == np.array(want)).all()
