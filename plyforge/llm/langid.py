@@ -59,11 +59,17 @@ def features(texts: list[str], dims: int) -> np.ndarray:
 
 
 def train_svm(x: np.ndarray, y: np.ndarray, strength: float = 1e-4, rounds: int = 12, seed: int = 7) -> np.ndarray:
-    """Weights (dims + 1, the last the bias) of a linear SVM for y in {-1, 1}: averaged Pegasos on centred, scaled rows."""
-    scale = 1.0 / max(float(np.sqrt((x * x).sum(axis=1)).mean()), 1e-12)
+    """Weights (dims + 1, the last the bias) of a linear SVM for y in {-1, 1}: averaged Pegasos on centred, scaled rows.
+
+    x is centred and scaled in place, as the driver's memory is small.
+    """
+    squares = np.concatenate([(x[k : k + 256] * x[k : k + 256]).sum(axis=1) for k in range(0, len(x), 256)])
+    scale = 1.0 / max(float(np.sqrt(squares).mean()), 1e-12)
     mean = x.mean(axis=0)
     rng, w, total, steps, t = np.random.default_rng(seed), np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1), 0, 0
-    rows = (x - mean) * scale
+    rows = x
+    rows -= mean
+    rows *= scale
     weight = np.where(y > 0, 0.5 / max((y > 0).mean(), 1e-9), 0.5 / max((y < 0).mean(), 1e-9))
     size = 32
     for r in range(rounds):
@@ -102,7 +108,7 @@ class LanguageModel:
             rows = np.flatnonzero((names == a) | (names == b))
             y = np.where(names[rows] == a, 1.0, -1.0)
             w = train_svm(x[rows], y)
-            margin = x[rows] @ w[:-1] + w[-1]
+            margin = np.concatenate([x[rows[k : k + 256]] @ w[:-1] for k in range(0, len(rows), 256)]) + w[-1]
             machines.append((a, b, within))
             weights.append(w)
             scale.append(4.0 / max(float(np.abs(margin).mean()), 1e-9))

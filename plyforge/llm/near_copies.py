@@ -57,7 +57,14 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarra
     return h, np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(n)))]).astype(np.int64)
 
 
-def set_fingerprints(grams: np.ndarray, ends: np.ndarray, step: int = 200_000) -> np.ndarray:
+def file_sets(texts: pa.Array, width: int, most_bytes: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """shingle_sets of a file's texts, made from a megabyte of text at a time: sorting takes many times a text's size."""
+    each = [shingle_sets(texts[x:y], width) for x, y in runs(texts, most_bytes)]
+    n = np.concatenate([np.diff(ends) for _, ends in each])
+    return np.concatenate([grams for grams, _ in each]), np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+
+
+def set_fingerprints(grams: np.ndarray, ends: np.ndarray, step: int = 50_000) -> np.ndarray:
     """64-bit SimHash of each set; 0 for an empty one."""
     n = np.diff(ends)
     doc, votes = np.repeat(np.arange(len(n)), n), np.zeros((len(n), 64), np.int64)
@@ -85,7 +92,7 @@ def with_set(docs: DataFrame, path: str, key: str, text: str, width: int) -> Dat
         for batch in batches:
             texts = text_column(batch, "text")
             for a, b in runs(texts):
-                grams, ends = shingle_sets(texts[a:b], width)
+                grams, ends = file_sets(texts[a:b], width)
                 raw, file = grams.astype("<u8").tobytes(), uuid.uuid4().int >> 65
                 write_file(f"{path}/{file:016x}.grams", [raw])
                 cut = (8 * ends).tolist()

@@ -66,7 +66,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, spaced=False)
-        for batch, texts in ((b.slice(x, y - x), t[x:y]) for b in batches for t in [text_column(b, "text")] for x, y in runs(t, 6 << 20)):
+        for batch, texts in ((b.slice(x, y - x), t[x:y]) for b in batches for t in [text_column(b, "text")] for x, y in runs(t, 1 << 20)):
             flat, ends = with_end(*enc.encode(texts), end_id)
             n = np.diff(ends)
             count = -(-n // capacity)
