@@ -8,20 +8,25 @@ from __future__ import annotations
 
 import os
 import re
+import string
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import gather, runs
+from .common import gather, runs, utf8
 
-#: White space beyond what ascii_split_whitespace knows; next to a space it makes cuts depend on more than a chunk.
-SPACES = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]"
-
-
-#: Letters that no normaliser but lower-casing changes, and one stop: such a chunk is a word, or a word and a stop, or two of these in lines of their own.
+#: Letters that no normaliser but lower-casing changes, and one stop: such a chunk is a word, or a word and a stop.
 LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
-PLAIN = re.compile(f"( ?{LETTERS})([.,]?)(?:\n({LETTERS})([.,]?))?").fullmatch
+PLAIN = re.compile(f"( ?{LETTERS})([.,]?)").fullmatch
+
+#: By byte: the ASCII ones of LETTERS, the second bytes of its others (the first is 0xC3), and ASCII that shows.
+LETTER = np.isin(np.arange(256), np.frombuffer(string.ascii_letters.encode(), np.uint8))
+SECOND = (np.arange(256) >> 6 == 2) & ~np.isin(np.arange(256), [0x97, 0xB7])
+SHOWN = (np.arange(256) > 0x20) & (np.arange(256) < 0x7F)
+#: UTF-8 of white space beyond ASCII.
+WIDE_SPACES = [c.encode() for c in "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
 
 
 def byte_letters() -> dict[int, str]:
@@ -36,8 +41,8 @@ class ChunkEncoder:
     """Encode string arrays; keeps the ids of chunks seen, up to a bound.
 
     spaced: True where text is lower-cased and white space never enters a token (chunks are
-    runs of other characters), False where a token may begin with one space (a chunk
-    then begins with the space before it).
+    runs of other characters), False where a token may begin with one space, and letters and
+    other characters share none (a chunk is a word with the space before it, or what lies between).
     """
 
     def __init__(self, path: str, spaced: bool, max_chunks: int = 400_000):
@@ -47,15 +52,28 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.spaced, self.max_chunks = spaced, max_chunks
         self.model, self.letters, self.stops = self.tokenizer.model, byte_letters(), {}
-        for stop in (".", ",", "\n", ".\n", ",\n"):
+        for stop in (".", ","):
             self.stops[stop] = self.tokenizer.encode(stop, add_special_tokens=False).ids
-        self.stops[""] = []
-        self.forget()
-
-    def forget(self) -> None:
+        self.cuts = ~LETTER & (np.arange(256) < 128)  # what may begin a chunk after a letter: no character of an added token
+        self.cuts[list("".join(t.content for t in self.tokenizer.get_added_tokens_decoder().values()).encode())] = False
         self.known: dict[str, int] = {}
         self.ids = np.empty(1 << 16, np.uint32)
-        self.at = np.zeros(1 << 14, np.int64)
+        self.at, self.met = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)  # met: in how many runs
+
+    def forget(self) -> None:
+        """Forget all chunks but those that runs met again, and of these but the most met: half the bound at most."""
+        known = list(self.known)
+        met = self.met[: len(known)]
+        kept = np.flatnonzero(met > 1)
+        if len(kept) > self.max_chunks // 2:
+            kept = np.sort(kept[np.argsort(-met[kept], kind="stable")[: self.max_chunks // 2]])
+        lengths = self.at[kept + 1] - self.at[kept]
+        ids = self.ids[gather(self.at[kept], lengths)]
+        self.known = {known[k]: i for i, k in enumerate(kept.tolist())}
+        self.ids[: len(ids)] = ids
+        self.at[1 : len(kept) + 1] = np.cumsum(lengths)
+        self.met[: len(kept)] = met[kept] // 2  # what is not met again goes some day
+        self.met[len(kept) :] = 0
 
     def _encode(self, chunks: list[str]) -> tuple[list[int], list[int]]:
         """All ids in a row, and the number of each chunk's. Plain words go to the vocabulary's model, anything else through the whole tokenizer."""
@@ -65,23 +83,20 @@ class ChunkEncoder:
         rest = iter(self.tokenizer.encode_batch_fast([c for c, m in zip(chunks, plain, strict=True) if m is None], add_special_tokens=False))
         flat, counts = [], []
         for m in plain:
-            before = len(flat)
             if m is None:
-                flat += next(rest).ids
+                got = next(rest).ids
             else:
-                word, stop, line, line_stop = m.groups()
-                if (stop or line) and (k := known.get(word)) is not None:
-                    flat += self.ids[self.at[k] : self.at[k + 1]].tolist()
+                word, stop = m.groups()
+                if stop and (k := known.get(word)) is not None:
+                    got = self.ids[self.at[k] : self.at[k + 1]].tolist()
                 else:
                     name = word.lower() if lower else word
                     name = name.translate(letters) if not name.isascii() else name if name[0] != " " else space + name[1:]
-                    flat += [t.id for t in tokenize(name)]
-                if line:
-                    flat += stops[stop + "\n"]
-                    flat += [t.id for t in tokenize((line.lower() if lower else line).translate(letters))] + stops[line_stop]
-                elif stop:
-                    flat += stops[stop]
-            counts.append(len(flat) - before)
+                    got = [t.id for t in tokenize(name)]
+                if stop:
+                    got += stops[stop]
+            flat += got
+            counts.append(len(got))
         return flat, counts
 
     def _learn(self, chunks: list[str]) -> None:
@@ -89,29 +104,50 @@ class ChunkEncoder:
         n, lengths = len(self.known), np.array(counts, np.int64)
         ends = self.at[n] + np.cumsum(lengths)
         while len(self.at) < n + len(chunks) + 1:
-            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+            self.at, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.met))
         while len(self.ids) < ends[-1]:
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         self.ids[self.at[n] : ends[-1]] = flat
         self.at[n + 1 : n + len(chunks) + 1] = ends
         self.known.update(zip(chunks, range(n, n + len(chunks)), strict=True))
 
-    def _chunks(self, texts: pa.Array) -> pa.ListArray:
+    def _firm(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether what lies before each place is a character other than white space."""
+        last = data[at - 1]
+        firm = SHOWN[last]
+        wide = np.flatnonzero(last >= 128)
+        spaces = np.zeros(len(wide), bool)
+        for space in WIDE_SPACES:
+            spaces |= np.logical_and.reduce([data[at[wide] - k] == b for k, b in enumerate(reversed(space), 1)])
+        firm[wide] = ~spaces
+        return firm
+
+    def _chunks(self, texts: pa.Array) -> pa.ListArray | pa.LargeListArray:
+        """Cut before white space, between a letter and other ASCII, and between a line end and a letter.
+
+        Tokenizers of the kind look ahead only from white space, and only to
+        where it ends, so a cut before all of it changes nothing; one behind a
+        line end does not if the line end is all of it.
+        """
         if self.spaced:
             return pc.ascii_split_whitespace(texts)
-        # Only a single space before other text is surely a cut; a text with other runs is cut by the exact rule.
-        odd = pc.match_substring_regex(texts, rf"{SPACES} (?:{SPACES}|$)")
-        lists = pc.split_pattern(texts, " ")
-        words, ends = lists.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
-        first = np.zeros(len(words), bool)
-        first[ends[:-1]] = True
-        words = pc.if_else(pa.array(first), words, pc.binary_join_element_wise("", words, " "))
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words)
-        if not pc.any(odd).as_py():
-            return lists
-        cut = re.compile(r"(?<=\S)(?= \S)")
-        parts = [cut.split(t) if o else None for t, o in zip(texts.to_pylist(), odd.to_pylist(), strict=True)]
-        return pa.array([p if p is not None else x for p, x in zip(parts, lists.to_pylist(), strict=True)], pa.list_(pa.string()))
+        data, ends = utf8(texts)
+        first = np.zeros(len(data) + 1, bool)
+        first[ends] = True  # what is asked about places before a text's first byte has no effect
+        at = np.flatnonzero(self.cuts[data])
+        last = data[at - 1]
+        after = LETTER[last] | SECOND[last] & (data.take(at - 2, mode="wrap") == 0xC3)
+        rest = at[~after]
+        space, line = rest[data[rest] == 0x20], at[data[at] == 0x0A]
+        line = line[line + 1 < len(data)]
+        first[at[after]] = True
+        first[space[self._firm(data, space)]] = True
+        letter = LETTER[data[line + 1]] | (data[line + 1] == 0xC3) & SECOND[data.take(line + 2, mode="clip")]
+        line = line[letter]
+        first[line[self._firm(data, line)] + 1] = True
+        starts = np.flatnonzero(first[:-1])
+        words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)])
+        return pa.LargeListArray.from_arrays(pa.array(np.searchsorted(starts, ends)), words)
 
     def encode(self, texts: pa.Array, most_bytes: int = 6 << 20) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) in a row, and n + 1 offsets of each text's ids."""
@@ -119,14 +155,17 @@ class ChunkEncoder:
         for a, b in runs(texts, most_bytes):
             lists = self._chunks(texts[a:b])
             coded = lists.flatten().dictionary_encode()
-            codes, chunks = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+            codes, chunks = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
             if len(self.known) + len(chunks) > self.max_chunks:
                 self.forget()
-            if new := [c for c in chunks if c not in self.known]:
-                self._learn(new)
-            which = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))[codes] if len(chunks) else np.empty(0, np.int64)
-            lengths = self.at[which + 1] - self.at[which]
-            ids.append(self.ids[gather(self.at[which], lengths)])
+            which = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
+            if len(new := np.flatnonzero(which < 0)):
+                which[new] = len(self.known) + np.arange(len(new))
+                self._learn([chunks[k] for k in new.tolist()])
+            self.met[which] += 1
+            start, lengths = self.at[which], self.at[which + 1] - self.at[which]
+            lengths = lengths[codes]
+            ids.append(self.ids[gather(start[codes], lengths)])
             ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])]
             counts.append(np.diff(ends))
         flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)

@@ -149,3 +149,65 @@ def test_plain_words_on_both_sides_of_a_line_end_go_to_the_model(name, spaced):
     flat, ends = enc.encode(pa.array(texts))
     assert [flat[a:b].tolist() for a, b in zip(ends, ends[1:])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
     assert not [c for c in seen if c.strip(" ").replace(".\n", "").replace(",\n", "").replace("\n", "").strip(".,").isalpha() and not c.endswith("\n") and "\n\n" not in c]
+
+
+def odd_texts(seed: int, n: int) -> list[str]:
+    """Texts of a few characters each, among them white space and letters of every kind that cuts ask about."""
+    rng = np.random.default_rng(seed)
+    some = [*"abAZéßÀÿ×÷ªÃ日й.,!'$17|<>\n\n\t\r", *" " * 8, "'s", "'LL", "<|endoftext|>", "́", "̸", "…", "“", "\U0001f600", "\x00", "\x1c", "\x7f", "\x85", "\xa0", " ", "᠎", " ", " ", "​", " ", " ", "　"]
+    return ["".join(rng.choice(rng.choice(some, rng.integers(2, 12)), rng.integers(0, 20))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_odd_texts_give_the_librarys_ids(seed):
+    import pyarrow as pa
+
+    path, texts = public_tokenizers.path("byte_bpe_50k.json"), odd_texts(seed, 3000)
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    for bound, run in ((400_000, 6 << 20), (300, 200)):
+        flat, ends = ChunkEncoder(path, False, bound).encode(pa.array(["before. ", *texts])[1:], most_bytes=run)
+        assert [flat[a:b].tolist() for a, b in zip(ends, ends[1:])] == want
+
+
+class Counting:
+    """Stands in for a vocabulary's model and keeps the words that it is given."""
+
+    def __init__(self, model):
+        self.model, self.seen = model, []
+
+    def tokenize(self, word):
+        self.seen.append(word)
+        return self.model.tokenize(word)
+
+
+def test_a_word_is_encoded_once_whatever_stands_beside_it():
+    import pyarrow as pa
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc, plain, whole = ChunkEncoder(path, False), Tokenizer.from_file(path), []
+    enc.model = Counting(enc.model)
+
+    class Told:
+        def encode_batch_fast(self, chunks, add_special_tokens):
+            whole.extend(chunks)
+            return plain.encode_batch_fast(chunks, add_special_tokens=add_special_tokens)
+
+    enc.tokenizer = Told()
+    texts = ["a schön word, word. word.\nword,***\nword$$$ word!! schön*** word", "word\nword schön.### x word%%% schön"]
+    flat, ends = enc.encode(pa.array(texts))
+    assert [flat[a:b].tolist() for a, b in zip(ends, ends[1:])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sorted(enc.model.seen) == sorted(["a", "Ġschön".replace("ö", "Ã¶"), "Ġword", "word", "Ġx"])
+    assert len(whole) == len(set(whole)) and not [c for c in whole if any(x.isalpha() for x in c)]
+
+
+def test_chunks_met_again_stay_known():
+    import pyarrow as pa
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc, plain = ChunkEncoder(path, False, max_chunks=20), Tokenizer.from_file(path)
+    enc.model = Counting(enc.model)
+    for k in range(12):
+        text = f"the end of {chr(97 + k)}aa {chr(97 + k)}bb"
+        assert enc.encode(pa.array([text]))[0].tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert len(enc.known) <= 20
+    assert len(enc.model.seen) == len(set(enc.model.seen)) == 3 + 24
